@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, jaccard, langid, warc
+from strandline.llm import bpe, decontaminate, hmm, jaccard, langid, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -54,6 +54,15 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
 
 
+# --- 7: hidden Markov language model
+
+
+@query
+def op7_hidden_markov_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(fold("doc_id", 7) != 2, F.lit(True)).alias("train"))
+    return hmm.score_documents(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 # --- 8: content-addressed archive
 
 
