@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, hmm, jaccard, langid, warc
+from strandline.llm import bpe, decontaminate, hmm, hnsw, jaccard, langid, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -54,6 +54,14 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
 
 
+# --- 6: near-duplicate vectors
+
+
+@query
+def op6_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
+
+
 # --- 7: hidden Markov language model
 
 
