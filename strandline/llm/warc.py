@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.work import new_path, saved
+from strandline.llm.work import dropped, new_path, saved
 
 #: Payloads smaller than this are stored with every record and never revisited.
 MIN_DEDUP_BYTES = 0
+#: Rows of keys or addresses that are broadcast at most.
+BROADCAST_ROWS = 500_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 EOL = "\r\n"
@@ -25,17 +27,21 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), _DIGITS, _BASE32)
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
-    """One WARC record for each row: its key, payload, address, type and exact header block.
+def addressed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Rows with payload and address. A null html is an empty payload, a null url an empty target."""
+    base = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
+    return base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha256": F.sha2("payload", 256), "payload_digest": base32_sha1(F.col("payload"))})
+
+
+def records(base: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
+    """Of addressed rows, one record each, without payload: its address, type and exact header block.
 
     Of rows with equal payloads of at least min_bytes, the smallest key is the response and the others
-    revisit it. A null html is an empty payload, a null url an empty target; a null key sorts last and is
-    kept. Rows that share a key share a record type.
+    revisit it. A row with a null key revisits too where another has a key. Rows that share a key share a type.
     """
-    base = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
-    base = base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha256": F.sha2("payload", 256), "payload_digest": base32_sha1(F.col("payload"))})
-    first = base.groupBy("sha256", "payload_digest", "payload_bytes").agg(F.min("key").alias("first"))
-    joined = base.join(first, ["sha256", "payload_digest", "payload_bytes"])
+    address = ["sha256", "payload_digest", "payload_bytes"]
+    base = base.select("key", "url", *address)
+    joined = base.join(base.groupBy(*address).agg(F.min("key").alias("first")), address)
     revisit = (F.col("payload_bytes") >= min_bytes) & F.coalesce(F.col("key") != F.col("first"), F.col("first").isNotNull())
     out = joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first"))})
     return out.withColumn("header", header(F.col("key"), F.col("url"), F.col("payload_bytes"), F.col("payload_digest"), F.col("record_type"), F.col("refers_to"))).drop("first")
@@ -60,10 +66,26 @@ def header(key: Column, url: Column, size: Column, digest: Column, kind: Column,
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_DEDUP_BYTES) -> None:
-    """Writes the archive: ``path/payloads`` (sha256, payload) once per response, ``path/headers`` (key, header, sha256)."""
-    all_records = saved(records(pages, key, url, html, min_bytes), "warc-records", path=f"{path}/staged")
-    all_records.where("record_type = 'response'").groupBy("sha256").agg(F.min(F.struct(F.col("key").isNull(), "key", "payload"))["payload"].alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    all_records.select("key", "header", "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
+    """Writes the archive: ``path/payloads`` (sha256, payload) once per address, ``path/headers`` (key, header, sha256).
+
+    Headers are settled from addresses alone. The payloads of responses are then written where they were read:
+    the keys of revisits are broadcast if they are few enough, else joined. Only addresses that several
+    responses share (repeated rows, null keys, payloads under min_bytes) carry payloads through a shuffle.
+    """
+    spark = pages.sparkSession
+    base = addressed(pages, key, url, html)
+    made = saved(records(base, min_bytes), "warc-records", path=f"{path}/records")
+    made.select("key", "header", "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    revisits = made.where("record_type = 'revisit' and key is not null").select("key").distinct()
+    shared = saved(made.where("record_type = 'response' or key is null").groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha256"), "warc-shared", path=f"{path}/shared")
+    payloads = base.select("key", "sha256", "payload")
+    own = payloads.join(small(revisits), "key", "left_anti").join(small(shared), "sha256", "left_anti").select("sha256", "payload")
+    if shared.head(1):
+        own = own.union(payloads.join(small(shared), "sha256", "left_semi").groupBy("sha256").agg(F.first("payload").alias("payload")))
+    own.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    dropped(spark, f"{path}/records")
+    dropped(spark, f"{path}/shared")
 
 
 def read(spark, path: str) -> DataFrame:
