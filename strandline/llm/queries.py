@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, hmm, hnsw, jaccard, langid, linechunks, warc
+from strandline.llm import bpe, decontaminate, hmm, hnsw, jaccard, langid, licenses, linechunks, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -46,6 +46,14 @@ def op1_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
+# --- 3: license scans
+
+
+@query
+def op3_license_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 # --- 4: repeated chunks of lines
 
 
