@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, hmm, hnsw, jaccard, langid, licenses, linechunks, warc
+from strandline.llm import bpe, decontaminate, hmm, hnsw, htmltree, jaccard, langid, licenses, linechunks, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -46,6 +46,15 @@ def op1_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
+# --- 2: main text of pages
+
+
+@query
+def op2_site_style_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltree.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 # --- 3: license scans
 
 
