@@ -1,12 +1,77 @@
-"""The corpus pipeline: STAGES in order, each on what the one before it kept."""
+"""The corpus pipeline over ``documents``: STAGES in order, each working on all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
+the next one's docs. All but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm import decontaminate, jaccard, langid, linechunks, queries
+from strandline.llm.work import new_path, saved
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null texts and texts without any letter. Sets lang to the predicted one.
+
+    The network is fitted on labelled rows of docs as op10's is; where there are none, documents with letters stay as they are.
+    """
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    net = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
+    found = langid.predict(docs, net)
+    if net is None:
+        return found.where(F.col("text").rlike(r"\p{L}")).select(docs.columns)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated runs of lines out of every later copy; a document of which only blank lines are left goes. Updates n_chars."""
+    found = linechunks.deduplicated(docs, removed="_removed_lines")
+    some = (F.col("_removed_lines") == 0) | F.col("text").rlike(r"\S")
+    return found.where(some).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by n-gram overlap, the one with the smallest doc_id stays; of rows that share it, one."""
+    found = saved(jaccard.groups(docs), "groups", new_path(spark, "groups"))
+    gone = found.where("component <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.head(1):  # repeated keys: rare rows are settled apart
+        several = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(several)
+    return kept.select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which at least a twentieth of the words stand in benchmark windows."""
+    found = decontaminate.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts, as op9's."""
+    return queries.encoded_digests(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", remove_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode_tokens),
+]
 
-STAGES: list = []
+#: Recurrent networks, small-threshold joins of n-grams and BPE can't be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents table of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}", new_path(spark, f"stage-{name}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
