@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import text as tx
 from strandline.llm.graph import components
-from strandline.llm.work import dropped, new_path, saved
+from strandline.llm.work import dropped, new_path, released, saved
 
 NGRAM = 5
 #: Similarity in percent from which documents link.
@@ -32,7 +32,9 @@ LOCAL_FREQUENCY = 12
 HOT_NGRAMS = 200_000
 #: Bits of the filter that tells which documents' sets are needed again; when more are needed it lets more pass.
 FILTER_BITS = 24
-#: Further pivot rounds while the pairs left are over so many times the column entries.
+#: Columns with more rows than this are first held against one pivot.
+PIVOT_FROM = 8
+#: Further pivot rounds while the pairs left in such columns are over so many times the column entries.
 PAIRS_PER_ENTRY = 4
 PIVOT_ROUNDS = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -112,10 +114,12 @@ def incidence(docs: DataFrame, key: str, text: str, n: int, percent: int, hot: n
 
 
 def _close(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with sizes and ranks of a common entry: one row a pair that sizes and ranks don't rule out."""
-    pairs = pairs.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.min("rank_a").alias("rank_a"), F.min("rank_b").alias("rank_b"), F.count(F.lit(1)).alias("overlap"))
-    return pairs.where(f"{100 + percent} * least(size_a - rank_a, size_b - rank_b) >= {percent} * (size_a + size_b)").select("a", "b", "size_a", "size_b")
+    """Of all common column entries of pairs (a, b): the pairs whose count, sizes and ranks don't rule them out.
+
+    Beyond the last common entry that is stored, either set has at most as many as its size leaves.
+    """
+    found = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.max("rank_a").alias("rank_a"), F.max("rank_b").alias("rank_b"), F.count(F.lit(1)).alias("overlap"))
+    return found.where(f"{100 + percent} * (overlap + least(size_a - rank_a, size_b - rank_b) - 1) >= {percent} * (size_a + size_b)").select("a", "b")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -128,27 +132,26 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs of classes, those whose whole sets are similar enough (a, b)."""
+    """Of candidate pairs of classes, those whose whole sets are similar enough (a, b).
+
+    One document stands for each class; only such documents' sets are made again and moved.
+    """
     spark = docs.sparkSession
     pairs = saved(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    chosen = saved(rows.select("class", "key").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("key").alias("id")), "chosen")
-    shared = spark.sparkContext.broadcast(_filter_of(chosen.select("id")))
+    chosen = saved(rows.select("class", "key").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("key").alias("key")), "chosen")
+    shared = spark.sparkContext.broadcast(_filter_of(chosen.select(F.col("key").alias("id"))))
 
     def run(batches):
         bits = shared.value
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column("bit").to_numpy()]))
             for part in tx.chunks([batch], text):
-                found = {}
-                for x in sets(part.column(text), n):
-                    if len(x):
-                        found.setdefault(_class(x), x)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["class", "entries"])
+                found = [(k, _class(x), x.tobytes()) for k, x in zip(part.column(key).to_pylist(), sets(part.column(text), n), strict=True) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], names=["key", "class", "entries"])
 
-    hashed = docs.where(F.col(key).isNotNull()).select(text, F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS)).cast("int").alias("bit"))
-    entries = hashed.mapInArrow(run, "class bigint, entries binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    entries = saved(entries, "sets")
+    hashed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text, F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS)).cast("int").alias("bit"))
+    entries = hashed.mapInArrow(run, "key bigint, class bigint, entries binary")
 
     def count(batches):
         for batch in batches:
@@ -161,8 +164,11 @@ def _links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: Dat
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    both = pairs.select("a", "b").join(entries.select(F.col("class").alias("a"), F.col("entries").alias("left")), "a").join(entries.select(F.col("class").alias("b"), F.col("entries").alias("right")), "b")
-    return saved(both.mapInArrow(count, "a bigint, b bigint"), "links")
+    for side in "ab":
+        pairs = pairs.join(chosen.select(F.col("class").alias(side), F.col("key").alias(f"key_{side}")), side)
+    for side, name in (("a", "left"), ("b", "right")):
+        pairs = pairs.join(entries.select(F.col("key").alias(f"key_{side}"), F.col("class").alias(side), F.col("entries").alias(name)), [f"key_{side}", side])
+    return saved(pairs.mapInArrow(count, "a bigint, b bigint"), "links")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -174,39 +180,41 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
     """
     spark = docs.sparkSession
     docs = docs.select(key, text)
-    rows_at = new_path(spark, "incidence")
-    rows = saved(incidence(docs, key, text, n, percent, frequent(docs, text, n)), "incidence", rows_at, codec="lz4")
-    entries = rows.select("class", "size", F.posexplode("entries").alias("rank", "gram"))
+    at = new_path(spark, "incidence")
+    stored = saved(incidence(docs, key, text, n, percent, frequent(docs, text, n)), "incidence", at, codec="lz4")
+    rows = saved(stored.select("key", "size", "class"), "classes")
     column = Window.partitionBy("gram")
-    entries = entries.withColumns({"low": F.min("class").over(column), "high": F.max("class").over(column)}).where("low <> high").select("gram", "class", "size", "rank")
-    entries_at = new_path(spark, "entries")
-    entries = saved(entries, "entries", entries_at)
+    live = stored.select("class", "size", F.posexplode("entries").alias("rank", "gram")).withColumn("label", F.col("class"))
     links = labels = None
     for k in range(PIVOT_ROUNDS + 1):
-        if labels is None:
-            left = entries.withColumn("label", F.col("class"))
-        else:
-            left = entries.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-            mixed = left.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-            mixed = saved(mixed, "mixed")
-            total = mixed.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()
-            if not total[0]:
-                break
-            left = left.join(mixed.select("gram"), "gram", "left_semi")
-            if total[1] <= PAIRS_PER_ENTRY * total[0] or k == PIVOT_ROUNDS:
-                x, y = (left.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "rank", "label")]) for s in "ab")
-                pairs = x.join(y, "gram").where(f"class_a < class_b and label_a <> label_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-                links = links.union(_links(docs, key, text, n, percent, rows, _close(pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "size_a", "size_b", "rank_a", "rank_b"), percent)))
-                labels = components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
-                break
-        pivot = left.groupBy("gram").agg(F.min_by(F.struct("class", "size", "rank", "label"), F.xxhash64("class", F.lit(k))).alias("p"))
-        pairs = left.join(pivot, "gram").where("class <> p.class" + (" and label <> p.label" if labels is not None else ""))
-        pairs = pairs.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b"), *[F.when(F.col("class") < F.col("p.class"), F.col(c)).otherwise(F.col(f"p.{c}")).alias(f"{c}_a") for c in ("size", "rank")], *[F.when(F.col("class") < F.col("p.class"), F.col(f"p.{c}")).otherwise(F.col(c)).alias(f"{c}_b") for c in ("size", "rank")])
-        new = _links(docs, key, text, n, percent, rows, _close(pairs, percent))
+        if labels is not None:
+            live = live.drop("label").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        live = live.withColumns({"low": F.min("label").over(column), "high": F.max("label").over(column), "m": F.count(F.lit(1)).over(column)}).where("low <> high").drop("low", "high")
+        last, at = at, new_path(spark, "entries")
+        live = saved(live.select("gram", "class", "size", "rank", "label", "m"), "entries", at)
+        dropped(spark, last)
+        released(spark)
+        n_entries, n_pairs = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("m") > PIVOT_FROM, (F.col("m") - 1) / 2)), F.lit(0.0))).first()
+        if not n_entries:
+            break
+        live = live.drop("m")
+        if n_pairs <= PAIRS_PER_ENTRY * n_entries or k == PIVOT_ROUNDS:
+            x, y = (live.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "rank", "label")]) for s in "ab")
+            pairs = x.join(y, "gram").where(f"class_a < class_b and label_a <> label_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+            pairs = _close(pairs.withColumnsRenamed({"class_a": "a", "class_b": "b"}), percent)
+        else:  # each row of a large column against its pivot; of a row's pivots, the one it meets most often
+            big = saved(live.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class").alias("pivot"), F.col("label").alias("pivot_label"), F.col("size").alias("pivot_size"))).alias("p")).where(F.col("m") > PIVOT_FROM).select("gram", "p.pivot", "p.pivot_label", "p.pivot_size"), "pivots")
+            met = live.join(big, "gram").where(f"label <> pivot_label and 100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)")
+            pairs = met.groupBy("class", "pivot").count().groupBy("class").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+            pairs = pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+        new = _links(docs, key, text, n, percent, rows, pairs)
         links = new if links is None else links.union(new)
         labels = saved(components(links).select(F.col("node").alias("class"), F.col("component").alias("label")), "labels")
-    labelled = rows.select("key", "size", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        released(spark)
+        if n_pairs <= PAIRS_PER_ENTRY * n_entries or k == PIVOT_ROUNDS:
+            break
+    dropped(spark, at)
+    labelled = rows.withColumn("label", F.col("class")) if labels is None else rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = labelled.where("size > 0").groupBy("label").agg(F.min("key").alias("least"))
     out = labelled.join(least, "label", "left")
-    dropped(spark, entries_at)
     return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("key").isNotNull(), F.col("least")).otherwise(F.col("key")).alias("component"))

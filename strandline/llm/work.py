@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,3 +35,9 @@ def dropped(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more, ahead of the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
