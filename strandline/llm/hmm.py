@@ -13,15 +13,17 @@ a chunk, not one per token.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import text as tx
-from strandline.llm.work import new_path, saved
+from strandline.llm.work import dropped, new_path, released, saved
 
 #: Symbols with a word of their own, classes of other words, and latent states.
 WORDS = 1024
@@ -30,31 +32,32 @@ STATES = 6
 ROUNDS = 6
 #: Training sequences are cut into pieces of so many tokens; scoring joins the pieces again exactly.
 PIECE = 128
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Additive smoothing of expected counts.
 ALPHA = 0.1
 END = "end"
 
-CHUNK_SCHEMA = "doc_ids array<bigint>, train array<boolean>, ends array<int>, tokens array<string>, counts array<bigint>, numbers binary"
+CHUNK_SCHEMA = "chunk bigint, doc_ids array<bigint>, train array<boolean>, ends array<int>, tokens array<string>, counts array<bigint>, numbers binary"
 
 
-def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text", train: str = "train") -> DataFrame:
+def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text", train: str = "train", path: str | None = None) -> DataFrame:
     """Codes texts in chunks: per chunk its documents, distinct words, their counts in training texts, and all words' numbers.
 
     Words are runs of other than ASCII white space, A-Z lower-cased. A null text has no words.
     """
 
     def run(batches):
-        for part in tx.chunks(batches, text, CHUNK_BYTES):
+        task = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(tx.chunks(batches, text, CHUNK_BYTES)):
             numbers, tokens, ends = tx.encoded(part.column(text), tx.NON_SPACE)
             learn = part.column(train).to_numpy(zero_copy_only=False).astype(bool)
             of_doc = np.repeat(learn, np.diff(ends, prepend=0))
             counts = np.bincount(numbers[of_doc], minlength=len(tokens))
             one = lambda v, kind: pa.array([v], pa.list_(kind))
-            yield pa.RecordBatch.from_arrays([one(part.column(key), pa.int64()), one(part.column(train), pa.bool_()), one(ends, pa.int32()), one(tokens.cast(pa.string()), pa.string()), one(counts, pa.int64()), pa.array([numbers.astype(np.int32).tobytes()], pa.binary())], names=["doc_ids", "train", "ends", "tokens", "counts", "numbers"])
+            yield pa.RecordBatch.from_arrays([pa.array([task + k], pa.int64()), one(part.column(key), pa.int64()), one(part.column(train), pa.bool_()), one(ends, pa.int32()), one(tokens.cast(pa.string()), pa.string()), one(counts, pa.int64()), pa.array([numbers.astype(np.int32).tobytes()], pa.binary())], names=["chunk", "doc_ids", "train", "ends", "tokens", "counts", "numbers"])
 
     coded = docs.select(F.col(key).cast("long").alias(key), text, F.coalesce(train, F.lit(False)).alias(train)).mapInArrow(run, CHUNK_SCHEMA)
-    return saved(coded, "chunks").withColumn("chunk", F.monotonically_increasing_id())
+    return saved(coded, "chunks", path)
 
 
 @dataclass
@@ -64,13 +67,22 @@ class Model:
     emit: np.ndarray
 
 
-def _class_of(token):
-    """A class of words by their last letters: words alike in ending share it."""
-    return F.lit(WORDS + 1) + F.pmod(F.xxhash64(F.right(token, F.lit(2))), F.lit(CLASSES)).cast("int")
+@dataclass
+class Symbols:
+    """What turns words into symbols: the most frequent words, and training tokens and distinct words of each class."""
+
+    own: list[str]
+    tokens: np.ndarray
+    distinct: np.ndarray
+
 
+def class_of(word: str) -> int:
+    """A class of words by their last two letters: words alike in ending share it."""
+    return zlib.crc32(word[-2:].encode()) % CLASSES
 
-def statistics(chunks: DataFrame) -> tuple[DataFrame, dict]:
-    """Each distinct token's count c over all training texts with its symbol and log10 probability given the symbol; and totals.
+
+def statistics(chunks: DataFrame) -> tuple[DataFrame, Symbols, dict]:
+    """Each distinct token's count c over all training texts, the symbols, and totals.
 
     Totals: ends (training texts), n (training tokens with ends), v (distinct ones with the end).
     """
@@ -78,22 +90,38 @@ def statistics(chunks: DataFrame) -> tuple[DataFrame, dict]:
     counted = saved(counted.groupBy("token").agg(F.sum("n").alias("c")), "counts")
     totals = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = chunks.select(F.explode("train").alias("t")).where("t").count()
-    top = counted.where("c > 0").orderBy(F.desc("c"), "token").limit(WORDS)
-    ranked = top.select("token", (F.row_number().over(Window.orderBy(F.desc("c"), "token")) - 1).alias("own"))
-    coded = counted.join(F.broadcast(ranked), "token", "left").withColumn("symbol", F.coalesce(F.col("own"), _class_of(F.col("token")))).drop("own")
-    sizes = coded.groupBy("symbol").agg(F.sum("c").alias("class_n"), F.count_if(F.col("c") > 0).alias("class_v"))
-    coded = coded.join(F.broadcast(sizes), "symbol")
-    own = F.col("symbol") < WORDS
-    given = F.when(own, F.lit(0.0)).otherwise(F.log10((F.col("c") + 1) / (F.col("class_n") + F.col("class_v") + 1)))
-    return coded.select("token", "c", "symbol", given.alias("given")), {"ends": ends, "n": totals["n"] + ends, "v": totals["v"] + (ends > 0)}
+    own = [r.token for r in counted.where("c > 0").orderBy(F.desc("c"), "token").limit(WORDS).collect()]
+    rest = counted.where("c > 0").join(F.broadcast(counted.sparkSession.createDataFrame([(w,) for w in own], "token string")), "token", "left_anti")
+    sizes = rest.groupBy(F.pmod(F.crc32(F.right("token", F.lit(2))), F.lit(CLASSES)).alias("class")).agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("distinct")).collect()
+    tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in sizes:
+        tokens[r["class"]], distinct[r["class"]] = r["tokens"], r["distinct"]
+    return counted, Symbols(own, tokens, distinct), {"ends": ends, "n": totals["n"] + ends, "v": totals["v"] + (ends > 0)}
+
 
+def looked_up(chunks: DataFrame, counts: DataFrame, symbols: Symbols) -> DataFrame:
+    """Chunks with the count, the symbol and the log10 probability given the symbol of each distinct token."""
+    rows = chunks.select("chunk", F.posexplode("tokens").alias("place", "token")).join(counts, "token").select("chunk", "place", "c")
+    arrays = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "c")))["c"].alias("c"))
+    shared = chunks.sparkSession.sparkContext.broadcast(symbols)
+
+    def run(batches):
+        s = shared.value
+        own = {w: i for i, w in enumerate(s.own)}
+        for batch in batches:
+            out: list[list] = [[], []]
+            for row in range(batch.num_rows):
+                words = batch.column("tokens")[row].as_py()
+                symbol = np.array([own[w] if w in own else WORDS + 1 + class_of(w) for w in words], np.int32)
+                kind = np.maximum(symbol - WORDS - 1, 0)
+                c = np.array(batch.column("c")[row].as_py() or [], np.float64)
+                given = np.where(symbol < WORDS, 0.0, np.log10((c + 1) / (s.tokens[kind] + s.distinct[kind] + 1)))
+                out[0].append(symbol)
+                out[1].append(given)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("chunk", "doc_ids", "train", "ends", "numbers", "c")), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.float64()))], names=["chunk", "doc_ids", "train", "ends", "numbers", "c", "symbols", "given"])
 
-def looked_up(chunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """Chunks with, for each distinct token in order, its count, symbol and log10 probability given the symbol."""
-    rows = chunks.select("chunk", F.posexplode("tokens").alias("place", "token")).join(counts, "token")
-    arrays = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "c", "symbol", "given"))).alias("x"))
-    arrays = arrays.select("chunk", F.col("x.c").alias("c"), F.col("x.symbol").alias("symbols"), F.col("x.given").alias("given"))
-    return chunks.select("chunk", "doc_ids", "train", "ends", "numbers").join(arrays, "chunk", "left")
+    joined = chunks.select("chunk", "doc_ids", "train", "ends", "numbers", "tokens").join(arrays, "chunk", "left")
+    return joined.mapInArrow(run, "chunk bigint, doc_ids array<bigint>, train array<boolean>, ends array<int>, numbers binary, c array<bigint>, symbols array<int>, given array<double>")
 
 
 def _symbols(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -297,8 +325,13 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
 
     Without training rows all symbols keep their starting weights. Adds train_tokens (training tokens with ends).
     """
-    chunks = prepare(docs, key, text, train)
-    counts, totals = statistics(chunks)
-    coded = saved(looked_up(chunks, counts), "coded", new_path(docs.sparkSession, "coded"))
+    spark = docs.sparkSession
+    at = new_path(spark, "chunks")
+    chunks = prepare(docs, key, text, train, at)
+    counts, symbols, totals = statistics(chunks)
+    released(spark)
+    coded = saved(looked_up(chunks, counts, symbols), "coded")
+    dropped(spark, at)
+    released(spark)
     model = fit(coded, rounds, states)
     return score(coded, model, totals).withColumn("train_tokens", F.lit(totals["n"]).cast("long"))
