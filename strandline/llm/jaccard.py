@@ -7,9 +7,9 @@ in common. The order puts very frequent n-grams last. The product's blocks are t
 shuffle deals them out); their overlap counts are summed per pair, pairs below the bounds that sizes
 and ranks give are discarded, and what remains is counted over the whole sets.
 
-Equal sets are one class from the start. In a column, rows are first held against one pivot; only
-rows that no link has joined yet are then held against each other, so a large group of near copies
-costs its size, not its square, and no link between different components is lost.
+Equal sets are one class from the start. Classes that meet the same central row most often form a group;
+a large group's block of the matrix is multiplied tile by tile over whole sets and leaves a spanning forest
+of its links. Pairs across groups are counted from the stored entries. Together they lose no link.
 """
 
 from __future__ import annotations
@@ -21,22 +21,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import text as tx
-from strandline.llm.graph import components
+from strandline.llm.graph import components, forest
 from strandline.llm.work import dropped, new_path, released, saved
 
 NGRAM = 5
 #: Similarity in percent from which documents link.
 PERCENT = 75
 #: N-grams that stand in this many documents of one chunk are counted over all chunks; the HOT_NGRAMS most frequent come last in the order.
-LOCAL_FREQUENCY = 12
+LOCAL_FREQUENCY = 4
 HOT_NGRAMS = 200_000
 #: Bits of the filter that tells which documents' sets are needed again; when more are needed it lets more pass.
 FILTER_BITS = 24
-#: Columns with more rows than this are first held against one pivot.
-PIVOT_FROM = 8
-#: Further pivot rounds while the pairs left in such columns are over so many times the column entries.
-PAIRS_PER_ENTRY = 4
-PIVOT_ROUNDS = 4
+#: Groups of more documents than this are multiplied as matrix blocks; classes and entries that a tile of a group holds about; columns multiplied at once.
+GROUP_FROM = 8
+TILE = 512
+TILE_ENTRIES = 1_000_000
+COLUMNS = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,14 +131,12 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs of classes, those whose whole sets are similar enough (a, b).
+def _sets_of(docs: DataFrame, key: str, text: str, n: int, rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole sets (key, class, entries) of one document of each wanted class, and those documents (class, key).
 
-    One document stands for each class; only such documents' sets are made again and moved.
+    Sets are made again from the texts; the filter that picks documents may let others pass.
     """
     spark = docs.sparkSession
-    pairs = saved(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     chosen = saved(rows.select("class", "key").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("key").alias("key")), "chosen")
     shared = spark.sparkContext.broadcast(_filter_of(chosen.select(F.col("key").alias("id"))))
 
@@ -151,7 +149,13 @@ def _links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: Dat
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], names=["key", "class", "entries"])
 
     hashed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text, F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS)).cast("int").alias("bit"))
-    entries = hashed.mapInArrow(run, "key bigint, class bigint, entries binary")
+    return hashed.mapInArrow(run, "key bigint, class bigint, entries binary"), chosen
+
+
+def _links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of candidate pairs of classes, those whose whole sets are similar enough (a, b)."""
+    pairs = saved(pairs, "pairs")
+    entries, chosen = _sets_of(docs, key, text, n, rows, pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
 
     def count(batches):
         for batch in batches:
@@ -171,6 +175,63 @@ def _links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: Dat
     return saved(pairs.mapInArrow(count, "a bigint, b bigint"), "links")
 
 
+def product_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two tiles (of one tile with itself if right is None) that are similar enough, by a blocked product.
+
+    Columns that stand in one row alone can't add to a pair and are left out; the others are multiplied COLUMNS at a time.
+    """
+    both = left + (right or [])
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    grams, column, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    size = np.array([len(x) for x in both], np.int64)
+    n = len(left)
+    overlap = np.zeros((n, len(both) - n if right is not None else n), np.float32)
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        block = np.zeros((len(both), COLUMNS), np.float32)
+        block[row[lo:hi], column[lo:hi] - at] = 1
+        overlap += block[:n] @ (block[n:] if right is not None else block).T
+    a, b = size[:n, None], (size[n:] if right is not None else size)[None, :]
+    near = 100 * overlap >= percent * (a + b - overlap)
+    if right is None:
+        near &= np.tri(n, k=-1, dtype=bool)
+    return np.nonzero(near)
+
+
+def _group_links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Links within groups of classes (class, group; m and total: the group's classes and entries), as forests (a, b).
+
+    A group is dealt to tiles of about TILE classes or TILE_ENTRIES entries; a task holds two tiles' sets, multiplies them and gives the
+    links found as a spanning forest, so no more rows than documents leave it.
+    """
+    entries, chosen = _sets_of(docs, key, text, n, rows, members.select("class"))
+    tiles = F.ceil(F.greatest(F.col("m") / TILE, F.col("total") / TILE_ENTRIES))
+    dealt = chosen.join(members, "class").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("class"), tiles)})
+    dealt = dealt.select("class", "key", "group", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("class", "key", "group", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        tile, i, j = table.column("tile").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids = table.column("class").to_numpy()
+        _, first = np.unique(ids, return_index=True)
+        found = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("entries")]
+        left, right = [k for k in first if tile[k] == i], [k for k in first if tile[k] == j]
+        if not left or not right:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        x, y = product_links([found[k] for k in left], None if i == j else [found[k] for k in right], percent)
+        a, b = ids[np.array(left)[x]], ids[np.array(left if i == j else right)[y]]
+        trees = list(forest([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])]))
+        return pa.Table.from_batches(trees, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    with_sets = dealt.join(entries, ["key", "class"])
+    return saved(with_sets.groupBy("group", "i", "j").applyInArrow(run, "a bigint, b bigint"), "links")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """For each row of docs: key, n_shingles (set size) and component (smallest key reachable by links).
 
@@ -184,37 +245,30 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
     stored = saved(incidence(docs, key, text, n, percent, frequent(docs, text, n)), "incidence", at, codec="lz4")
     rows = saved(stored.select("key", "size", "class"), "classes")
     column = Window.partitionBy("gram")
-    live = stored.select("class", "size", F.posexplode("entries").alias("rank", "gram")).withColumn("label", F.col("class"))
-    links = labels = None
-    for k in range(PIVOT_ROUNDS + 1):
-        if labels is not None:
-            live = live.drop("label").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        live = live.withColumns({"low": F.min("label").over(column), "high": F.max("label").over(column), "m": F.count(F.lit(1)).over(column)}).where("low <> high").drop("low", "high")
-        last, at = at, new_path(spark, "entries")
-        live = saved(live.select("gram", "class", "size", "rank", "label", "m"), "entries", at)
-        dropped(spark, last)
-        released(spark)
-        n_entries, n_pairs = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("m") > PIVOT_FROM, (F.col("m") - 1) / 2)), F.lit(0.0))).first()
-        if not n_entries:
-            break
-        live = live.drop("m")
-        if n_pairs <= PAIRS_PER_ENTRY * n_entries or k == PIVOT_ROUNDS:
-            x, y = (live.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "rank", "label")]) for s in "ab")
-            pairs = x.join(y, "gram").where(f"class_a < class_b and label_a <> label_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-            pairs = _close(pairs.withColumnsRenamed({"class_a": "a", "class_b": "b"}), percent)
-        else:  # each row of a large column against its pivot; of a row's pivots, the one it meets most often
-            big = saved(live.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class").alias("pivot"), F.col("label").alias("pivot_label"), F.col("size").alias("pivot_size"))).alias("p")).where(F.col("m") > PIVOT_FROM).select("gram", "p.pivot", "p.pivot_label", "p.pivot_size"), "pivots")
-            met = live.join(big, "gram").where(f"label <> pivot_label and 100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)")
-            pairs = met.groupBy("class", "pivot").count().groupBy("class").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-            pairs = pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-        new = _links(docs, key, text, n, percent, rows, pairs)
-        links = new if links is None else links.union(new)
-        labels = saved(components(links).select(F.col("node").alias("class"), F.col("component").alias("label")), "labels")
-        released(spark)
-        if n_pairs <= PAIRS_PER_ENTRY * n_entries or k == PIVOT_ROUNDS:
-            break
+    entries = stored.select("class", "size", F.posexplode("entries").alias("rank", "gram"))
+    entries = entries.withColumns({"low": F.min("class").over(column), "high": F.max("class").over(column)}).where("low <> high").select("gram", "class", "size", "rank")
+    last, at = at, new_path(spark, "entries")
+    entries = saved(entries, "entries", at)
+    dropped(spark, last)
+    released(spark)
+    # a column's pivot: the row with most of its set in common with others (of copies, the original); a row's group: the pivot it meets most often
+    met = entries.groupBy("class").agg((F.count(F.lit(1)) / F.first("size")).alias("met"))
+    pivots = entries.join(met, "class").groupBy("gram").agg(F.max(F.struct("met", F.xxhash64("class").alias("h"), F.col("class").alias("pivot")))["pivot"].alias("pivot"))
+    members = entries.join(pivots, "gram").groupBy("class", "size", "pivot").count().groupBy("class").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("group"), F.first("size").alias("size"))
+    members = saved(members, "members")
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
+    large = saved(members.join(sizes.where(F.col("m") > GROUP_FROM), "group"), "large-groups")
+    released(spark)
+    links = _group_links(docs, key, text, n, percent, rows, large)
+    released(spark)
+    inside = entries.join(large.select("class", "group"), "class", "left")
+    x, y = (inside.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "rank", "group")]) for s in "ab")
+    pairs = x.join(y, "gram").where(f"class_a < class_b and not coalesce(group_a = group_b, false) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+    links = links.union(_links(docs, key, text, n, percent, rows, _close(pairs.withColumnsRenamed({"class_a": "a", "class_b": "b"}), percent)))
+    labels = components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
     dropped(spark, at)
-    labelled = rows.withColumn("label", F.col("class")) if labels is None else rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    released(spark)
+    labelled = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = labelled.where("size > 0").groupBy("label").agg(F.min("key").alias("least"))
     out = labelled.join(least, "label", "left")
     return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("key").isNotNull(), F.col("least")).otherwise(F.col("key")).alias("component"))
