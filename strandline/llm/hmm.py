@@ -13,13 +13,14 @@ a chunk, not one per token.
 
 from __future__ import annotations
 
-import zlib
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import text as tx
@@ -29,10 +30,10 @@ from strandline.llm.work import dropped, new_path, released, saved
 WORDS = 1024
 CLASSES = 256
 STATES = 6
-ROUNDS = 6
+ROUNDS = 4
 #: Training sequences are cut into pieces of so many tokens; scoring joins the pieces again exactly.
 PIECE = 128
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Additive smoothing of expected counts.
 ALPHA = 0.1
 END = "end"
@@ -54,7 +55,7 @@ def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text", train: str
             of_doc = np.repeat(learn, np.diff(ends, prepend=0))
             counts = np.bincount(numbers[of_doc], minlength=len(tokens))
             one = lambda v, kind: pa.array([v], pa.list_(kind))
-            yield pa.RecordBatch.from_arrays([pa.array([task + k], pa.int64()), one(part.column(key), pa.int64()), one(part.column(train), pa.bool_()), one(ends, pa.int32()), one(tokens.cast(pa.string()), pa.string()), one(counts, pa.int64()), pa.array([numbers.astype(np.int32).tobytes()], pa.binary())], names=["chunk", "doc_ids", "train", "ends", "tokens", "counts", "numbers"])
+            yield pa.RecordBatch.from_arrays([pa.array([task + k], pa.int64()), one(part.column(key), pa.int64()), one(part.column(train), pa.bool_()), one(ends, pa.int32()), one(tokens.cast(pa.string()), pa.string()), one(counts, pa.int64()), pa.array([zstandard.compress(numbers.astype(np.int32).tobytes(), 1)], pa.binary())], names=["chunk", "doc_ids", "train", "ends", "tokens", "counts", "numbers"])
 
     coded = docs.select(F.col(key).cast("long").alias(key), text, F.coalesce(train, F.lit(False)).alias(train)).mapInArrow(run, CHUNK_SCHEMA)
     return saved(coded, "chunks", path)
@@ -76,58 +77,43 @@ class Symbols:
     distinct: np.ndarray
 
 
-def class_of(word: str) -> int:
-    """A class of words by their last two letters: words alike in ending share it."""
-    return zlib.crc32(word[-2:].encode()) % CLASSES
-
-
 def statistics(chunks: DataFrame) -> tuple[DataFrame, Symbols, dict]:
-    """Each distinct token's count c over all training texts, the symbols, and totals.
+    """Each training token's count c over all training texts with its symbol; the symbols' sizes; and totals.
 
+    A word without a symbol of its own has that of its class: words alike in their last two letters share it.
     Totals: ends (training texts), n (training tokens with ends), v (distinct ones with the end).
     """
-    counted = chunks.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.counts").alias("n"))
+    counted = chunks.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.counts").alias("n")).where("n > 0")
     counted = saved(counted.groupBy("token").agg(F.sum("n").alias("c")), "counts")
-    totals = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    totals = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = chunks.select(F.explode("train").alias("t")).where("t").count()
-    own = [r.token for r in counted.where("c > 0").orderBy(F.desc("c"), "token").limit(WORDS).collect()]
-    rest = counted.where("c > 0").join(F.broadcast(counted.sparkSession.createDataFrame([(w,) for w in own], "token string")), "token", "left_anti")
-    sizes = rest.groupBy(F.pmod(F.crc32(F.right("token", F.lit(2))), F.lit(CLASSES)).alias("class")).agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("distinct")).collect()
+    own = [r.token for r in counted.orderBy(F.desc("c"), "token").limit(WORDS).collect()]
+    sizes = counted.select("c", symbol(F.col("token"), own).alias("symbol")).where(F.col("symbol") > WORDS).groupBy("symbol").agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("distinct")).collect()
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sizes:
-        tokens[r["class"]], distinct[r["class"]] = r["tokens"], r["distinct"]
+        tokens[r["symbol"] - WORDS - 1], distinct[r["symbol"] - WORDS - 1] = r["tokens"], r["distinct"]
     return counted, Symbols(own, tokens, distinct), {"ends": ends, "n": totals["n"] + ends, "v": totals["v"] + (ends > 0)}
 
 
-def looked_up(chunks: DataFrame, counts: DataFrame, symbols: Symbols) -> DataFrame:
-    """Chunks with the count, the symbol and the log10 probability given the symbol of each distinct token."""
-    rows = chunks.select("chunk", F.posexplode("tokens").alias("place", "token")).join(counts, "token").select("chunk", "place", "c")
-    arrays = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "c")))["c"].alias("c"))
-    shared = chunks.sparkSession.sparkContext.broadcast(symbols)
+def symbol(token: Column, own: list[str]) -> Column:
+    """A word's symbol: its rank among the words that have one, else its class after them and the end."""
+    ranks = F.from_json(F.lit(json.dumps({w: i for i, w in enumerate(own)})), "map<string, int>")
+    kind = F.pmod(F.crc32(F.right(token, F.lit(2))), F.lit(CLASSES)) + WORDS + 1
+    return F.coalesce(F.try_element_at(ranks, token), kind).cast("int") if own else kind.cast("int")
 
-    def run(batches):
-        s = shared.value
-        own = {w: i for i, w in enumerate(s.own)}
-        for batch in batches:
-            out: list[list] = [[], []]
-            for row in range(batch.num_rows):
-                words = batch.column("tokens")[row].as_py()
-                symbol = np.array([own[w] if w in own else WORDS + 1 + class_of(w) for w in words], np.int32)
-                kind = np.maximum(symbol - WORDS - 1, 0)
-                c = np.array(batch.column("c")[row].as_py() or [], np.float64)
-                given = np.where(symbol < WORDS, 0.0, np.log10((c + 1) / (s.tokens[kind] + s.distinct[kind] + 1)))
-                out[0].append(symbol)
-                out[1].append(given)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("chunk", "doc_ids", "train", "ends", "numbers", "c")), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.float64()))], names=["chunk", "doc_ids", "train", "ends", "numbers", "c", "symbols", "given"])
 
-    joined = chunks.select("chunk", "doc_ids", "train", "ends", "numbers", "tokens").join(arrays, "chunk", "left")
-    return joined.mapInArrow(run, "chunk bigint, doc_ids array<bigint>, train array<boolean>, ends array<int>, numbers binary, c array<bigint>, symbols array<int>, given array<double>")
+def looked_up(chunks: DataFrame, counts: DataFrame, symbols: Symbols) -> DataFrame:
+    """Chunks with, for each distinct token in order, its count and symbol (packed: count * 2048 + symbol)."""
+    rows = chunks.select("chunk", F.posexplode("tokens").alias("place", "token")).join(counts, "token", "left")
+    packed = F.coalesce("c", F.lit(0)) * 2048 + symbol(F.col("token"), symbols.own)
+    arrays = rows.select("chunk", F.struct("place", packed.alias("v")).alias("x")).groupBy("chunk").agg(F.array_sort(F.collect_list("x"))["v"].alias("packed"))
+    return chunks.select("chunk", "doc_ids", "train", "ends", "numbers").join(arrays, "chunk", "left")
 
 
-def _symbols(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _symbols(batch: pa.RecordBatch, row: int, sizes: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk: documents' token ends (each text's end counted), symbols, log10 probabilities given them, counts, and whether a token is an end."""
     cell = lambda name: batch.column(name)[row]
-    numbers = np.frombuffer(cell("numbers").as_py(), np.int32)
+    numbers = np.frombuffer(zstandard.decompress(cell("numbers").as_py()), np.int32)
     ends = cell("ends").values.to_numpy().astype(np.int64)
     n_docs = len(ends)
     total = len(numbers) + n_docs
@@ -135,10 +121,12 @@ def _symbols(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, n
     is_end[ends + np.arange(n_docs)] = True
     symbol, given, count = np.full(total, WORDS, np.int32), np.zeros(total), np.zeros(total, np.int64)
     if len(numbers):
-        table = lambda name, kind: cell(name).values.to_numpy(zero_copy_only=False).astype(kind)
-        symbol[~is_end] = table("symbols", np.int32)[numbers]
-        given[~is_end] = table("given", np.float64)[numbers]
-        count[~is_end] = table("c", np.int64)[numbers]
+        packed = cell("packed").values.to_numpy()[numbers]
+        words = ~is_end
+        symbol[words] = packed % 2048
+        count[words] = packed // 2048
+        kind = np.maximum(symbol - WORDS - 1, 0)
+        given[words] = np.where(symbol < WORDS, 0.0, np.log10((count + 1) / (sizes.tokens[kind] + sizes.distinct[kind] + 1)))[words]
     return ends + np.arange(1, n_docs + 1), symbol, given, count, is_end
 
 
@@ -168,11 +156,12 @@ def expected(model: Model, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     k = len(model.start)
     emit = np.concatenate((model.emit, np.ones((k, 1))), axis=1)  # column -1: beyond the end
     steps, n = x.shape
-    alpha, scale = np.empty((steps, k, n)), np.empty((steps, n))
+    emit, move = emit.astype(np.float32), model.move.astype(np.float32)
+    alpha, scale = np.empty((steps, k, n), np.float32), np.empty((steps, n), np.float32)
     mean = _stationary(model.move)
-    state = np.where(first, model.start[:, None], mean[:, None])
+    state = np.where(first, model.start[:, None], mean[:, None]).astype(np.float32)
     for t in range(steps):
-        a = (state if t == 0 else model.move.T @ alpha[t - 1]) * emit[:, x[t]]
+        a = (state if t == 0 else move.T @ alpha[t - 1]) * emit[:, x[t]]
         s = a.sum(axis=0)
         alpha[t] = a / s
         scale[t] = s
@@ -180,16 +169,16 @@ def expected(model: Model, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     log = float(np.log10(np.where(real, scale, 1)).sum())
     moves = np.zeros((k, k))
     emissions = np.zeros((k, model.emit.shape[1]))
-    beta = np.ones((k, n))
+    beta = np.ones((k, n), np.float32)
     for t in range(steps - 1, -1, -1):
         gamma = alpha[t] * beta * real[t]
-        gamma /= np.maximum(gamma.sum(axis=0), 1e-300)
+        gamma /= np.maximum(gamma.sum(axis=0), 1e-30)
         for i in range(k):
             emissions[i] += np.bincount(x[t][real[t]], weights=gamma[i][real[t]], minlength=emissions.shape[1])
         if t:
             ahead = beta * emit[:, x[t]] / scale[t]
             moves += (alpha[t - 1] * real[t]) @ ahead.T
-            beta = model.move @ ahead
+            beta = move @ ahead
     starts = (gamma * first).sum(axis=1)
     return starts, moves * model.move, emissions, log
 
@@ -209,7 +198,7 @@ def initial(symbols: int, states: int = STATES, seed: int = 7) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
 
 
-def fit(coded: DataFrame, rounds: int = ROUNDS, states: int = STATES, seed: int = 7) -> Model:
+def fit(coded: DataFrame, sizes: Symbols, rounds: int = ROUNDS, states: int = STATES, seed: int = 7) -> Model:
     """Baum-Welch over all training documents. Each task sums its chunks' expected counts; the driver gets only their sum.
 
     A round moves states * (symbols + states + 1) numbers, whatever the size of the corpus.
@@ -224,7 +213,7 @@ def fit(coded: DataFrame, rounds: int = ROUNDS, states: int = STATES, seed: int
             model, total = shared.value, None
             for batch in batches:
                 for row in range(batch.num_rows):
-                    ends, symbol, _, _, _ = _symbols(batch, row)
+                    ends, symbol, _, _, _ = _symbols(batch, row, sizes)
                     keep = batch.column("train")[row].values.to_numpy(zero_copy_only=False).astype(bool)
                     _, start, size, first = _pieces(ends, keep)
                     by = np.argsort(size, kind="stable")
@@ -297,7 +286,7 @@ def likelihood(model: Model, ends: np.ndarray, symbol: np.ndarray) -> np.ndarray
 SCORE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def score(coded: DataFrame, model: Model, totals: dict) -> DataFrame:
+def score(coded: DataFrame, model: Model, sizes: Symbols, totals: dict) -> DataFrame:
     """For each document: tokens (words and one end), those known from training, and log10 probabilities.
 
     base_score is the add-one unigram's, score the hidden Markov model's.
@@ -308,7 +297,7 @@ def score(coded: DataFrame, model: Model, totals: dict) -> DataFrame:
         model = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                ends, symbol, given, count, is_end = _symbols(batch, row)
+                ends, symbol, given, count, is_end = _symbols(batch, row, sizes)
                 count[is_end] = totals["ends"]
                 firsts = np.concatenate(([0], ends[:-1]))
                 per_doc = lambda v: np.add.reduceat(v, firsts) if len(firsts) else v
@@ -333,5 +322,5 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     coded = saved(looked_up(chunks, counts, symbols), "coded")
     dropped(spark, at)
     released(spark)
-    model = fit(coded, rounds, states)
-    return score(coded, model, totals).withColumn("train_tokens", F.lit(totals["n"]).cast("long"))
+    model = fit(coded, symbols, rounds, states)
+    return score(coded, model, symbols, totals).withColumn("train_tokens", F.lit(totals["n"]).cast("long"))
