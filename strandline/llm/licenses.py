@@ -143,13 +143,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     are what suppression leaves (first word, word after the last, priority, rule, label, confidence); score is the
     highest confidence among them, 0 if there are none. Repeated rows give repeated rows.
     """
-    rows = docs.select(F.col(key).alias("key"), F.concat(F.lit(" "), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _GAP, " "), F.lit(" ")).alias("spaced"))
-    rows = _bound(rows, spaced_once=F.regexp_replace("spaced", " {2,}", " ")).drop("spaced")
-    lowered = F.lower("spaced_once")
+    spaced = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")), F.lit(" ")), _GAP, " ")
+    rows = _bound(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), spaced_once=spaced).drop("text")
+    rows = _bound(rows, lowered=F.lower("spaced_once"))
     gate = F.lit(False)
     for stem in STEMS:
-        gate = gate | lowered.contains(stem)
-    rows = _bound(rows, n_words=F.expr(_words("spaced_once")).cast("long"), gated=gate)
+        gate = gate | F.col("lowered").contains(stem)
+    # words are parted, preceded and followed by one blank each
+    blanks = F.octet_length("spaced_once") - F.octet_length(F.replace("spaced_once", F.lit(" "), F.lit("")))
+    rows = _bound(rows, n_words=(blanks - 1).cast("long"), gated=gate).drop("lowered")
     # only rows that pass are lower-cased as asked (A-Z alone) and scanned
     rows = _bound(rows, words=F.when(F.col("gated"), F.translate("spaced_once", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).drop("spaced_once", "gated")
     base = "(?<= )(?:" + "|".join(p for p, _ in BASE) + ")(?= )"
