@@ -16,6 +16,8 @@ from strandline.llm.work import new_path, saved
 
 #: A line with so many blanks is long: it is a passage by itself.
 LONG_LINE = 50
+#: A chunk ends after a line unless the rolling hash is a multiple of this; small chunks find more of a passage's lines.
+SPARE = 4
 
 
 def _bound(df: DataFrame, **columns: Column) -> DataFrame:
@@ -27,8 +29,8 @@ def _bound(df: DataFrame, **columns: Column) -> DataFrame:
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every chunk: key, version (a hash of the text), first line, number of lines, whether a line of it is long, and its text."""
     lines = _bound(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines")), **{"hashes": F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")), "long": F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= LONG_LINE)})
-    even = "(hashes[i - 1] + 31L * coalesce(get(hashes, i - 2), 0L)) % 2 = 0"
-    starts = F.expr(f"filter(sequence(0, size(lines) - 1), i -> i = 0 or long[i] or long[i - 1] or {even})")
+    cut = f"(hashes[i - 1] + 31L * coalesce(get(hashes, i - 2), 0L)) % {SPARE} <> 0"
+    starts = F.expr(f"filter(sequence(0, size(lines) - 1), i -> i = 0 or long[i] or long[i - 1] or {cut})")
     lines = _bound(lines, starts=starts)
     found = lines.select("key", "version", "lines", "long", F.posexplode("starts").alias("place", "first"), "starts")
     count = F.coalesce(F.expr("get(starts, place + 1)"), F.size("lines")) - F.col("first")
@@ -64,13 +66,13 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", remov
     alike. A column named as ``removed`` is replaced.
     """
     names = [c for c in docs.columns if c != removed]
-    spans = repeated(docs, key, text).select(F.col("key").alias("_key"), F.col("version").alias("_version"), "spans")
+    spans = repeated(docs, key, text).select(F.col("key").alias("_key"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
     rows = docs.select(*[F.col(c) for c in names], F.xxhash64(text).alias("_hash"))
     rows = rows.join(spans, rows[key].eqNullSafe(spans["_key"]) & (rows["_hash"] == spans["_version"]), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("spans", lambda s: (i >= s["first"]) & (i < s["after"])))
-    gone = F.aggregate("spans", F.lit(0), lambda a, s: a + s["after"] - s["first"])
-    some = F.col("spans").isNotNull()
+    kept = F.filter(lines, lambda x, i: ~F.exists("_spans", lambda s: (i >= s["first"]) & (i < s["after"])))
+    gone = F.aggregate("_spans", F.lit(0), lambda a, s: a + s["after"] - s["first"])
+    some = F.col("_spans").isNotNull()
     new = {text: F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text)), removed: F.when(some, gone).otherwise(0).cast("long")}
     return rows.select(*[new[c].alias(c) if c == text else F.col(c) for c in names], new[removed].alias(removed))
 
@@ -81,7 +83,7 @@ WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, gen
            FROM {docs} WHERE text IS NOT NULL),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) >= 50 AS long FROM l),
 b AS (SELECT *, i = 0 OR long OR lag(long) OVER w
-        OR (lag(h) OVER w + 31 * coalesce(lag(h, 2) OVER w, 0)) % 2 = 0 AS begins FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        OR (lag(h) OVER w + 31 * coalesce(lag(h, 2) OVER w, 0)) % 4 <> 0 AS begins FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM b),
 k AS (SELECT doc_id, c, min(i) AS first, count(*) AS n_lines, bool_or(long) AS long, string_agg(line, chr(10) ORDER BY i) AS chunk FROM n GROUP BY doc_id, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) > 1 AS again FROM k),
