@@ -1,7 +1,7 @@
 r"""Line deduplication by content-defined chunks of lines, in DataFrame expressions only.
 
 A text's lines (cut at \n) are hashed. A rolling hash over the last two line hashes ends a chunk
-where it is even, so boundaries depend on nearby lines alone and survive insertions elsewhere; a
+unless it is a multiple of SPARE, so boundaries depend on nearby lines alone and survive insertions elsewhere; a
 line of over LONG_LINE words is a chunk of its own. Chunks whose hash occurs more than once are
 compared byte for byte. A chunk that is a later copy of another is repeated; runs of neighbouring
 repeated chunks are removed if they hold several lines, or one of over LONG_LINE words.
