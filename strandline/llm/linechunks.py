@@ -18,6 +18,8 @@ from strandline.llm.work import new_path, saved
 LONG_LINE = 50
 #: A chunk ends after a line unless the rolling hash is a multiple of this; small chunks find more of a passage's lines.
 SPARE = 4
+#: Repeated hashes (8 bytes each) that are broadcast at most; more are joined.
+BROADCAST_HASHES = 1_000_000
 
 
 def _bound(df: DataFrame, **columns: Column) -> DataFrame:
@@ -41,14 +43,15 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each text that has some: key, version and the spans of lines (first, after) to remove.
 
-    Hashes are counted before anything moves; only chunks with a hash that occurs again carry their text
-    through a shuffle. The first copy in order of key, version and line stays. Nulls sort first among keys.
+    Hashes are counted before anything moves. The repeated ones are broadcast if they are few enough, so that
+    only chunks with such a hash carry their text through a shuffle. The first copy in order of key, version and line stays. Nulls sort first among keys.
     """
     all_chunks = chunks(docs, key, text)
     at = F.struct("key", "version", "first")
     hashes = all_chunks.select(F.xxhash64("chunk").alias("h"), at.alias("at"))
     again = saved(hashes.groupBy("h").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("h"), "repeated-hashes")
-    candidates = all_chunks.withColumn("h", F.xxhash64("chunk")).join(again, "h", "left_semi")
+    few = again.count() <= BROADCAST_HASHES
+    candidates = all_chunks.withColumn("h", F.xxhash64("chunk")).join(F.broadcast(again) if few else again, "h", "left_semi")
     candidates = saved(candidates.select("h", "chunk", "long", "n_lines", at.alias("at")), "repeated-chunks", new_path(docs.sparkSession, "chunks"))
     first = candidates.groupBy("h", "chunk").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("h", "chunk", "low")
     later = candidates.join(first, ["h", "chunk"]).where("at <> low").select("at.*", "n_lines", "long").distinct()
