@@ -30,6 +30,8 @@ PERCENT = 75
 #: N-grams that stand in this many documents of one chunk are counted over all chunks; the HOT_NGRAMS most frequent come last in the order.
 LOCAL_FREQUENCY = 4
 HOT_NGRAMS = 200_000
+#: Leading bits by which a set's entries are counted; the smaller counts of two sets bound what they have in common.
+SKETCH_BITS = 8
 #: Bits of the filter that tells which documents' sets are needed again; when more are needed it lets more pass.
 FILTER_BITS = 24
 #: Groups of more documents than this are multiplied as matrix blocks; classes and entries that a tile of a group holds about; columns multiplied at once.
@@ -87,13 +89,14 @@ def frequent(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, key: str, text: str, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """For each document: key, size, class (equal for equal sets) and the entries of its set that can be first in common."""
+    """For each document: key, size, class (equal for equal sets) the entries of its set that can
+    be first in common, and how many of its entries have each leading SKETCH_BITS (32-bit counts). Of copies in a chunk one has the last two."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         hot = shared.value
         for part in tx.chunks(batches, text):
-            size, classes, entries, seen = [], [], [], set()
+            size, classes, entries, sketches, seen = [], [], [], [], set()
             for found in sets(part.column(text), n):
                 k = len(found)
                 c = _class(found)
@@ -101,16 +104,18 @@ def incidence(docs: DataFrame, key: str, text: str, n: int, percent: int, hot: n
                 classes.append(c)
                 if not k or c in seen:
                     entries.append(found[:0].view(np.int64))
+                    sketches.append(None)
                     continue
                 seen.add(c)
+                sketches.append(np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32).tobytes())
                 at = np.minimum(np.searchsorted(hot, found), max(len(hot) - 1, 0))
                 late = hot[at] == found if len(hot) else np.zeros(k, bool)
                 first = k - -(-percent * k // 100) + 1
                 entries.append(np.concatenate((found[~late], found[late]))[:first].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(e) for e in entries])))
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(size, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(entries)))], names=["key", "size", "class", "entries"])
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(size, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(entries))), pa.array(sketches, pa.binary())], names=["key", "size", "class", "entries", "sketch"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "key bigint, size bigint, class bigint, entries array<bigint>")
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "key bigint, size bigint, class bigint, entries array<bigint>, sketch binary")
 
 
 def _close(pairs: DataFrame, percent: int) -> DataFrame:
@@ -122,6 +127,22 @@ def _close(pairs: DataFrame, percent: int) -> DataFrame:
     return found.where(f"{100 + percent} * (overlap + least(size_a - rank_a, size_b - rank_b) - 1) >= {percent} * (size_a + size_b)").select("a", "b")
 
 
+def _bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose counts by leading bits don't rule them out; a few hundred bytes a row decide instead of whole sets."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(tx.text_buffers(batch.column(side))[0].tobytes(), np.uint32).reshape(batch.num_rows, -1).astype(np.int64) for side in ("left", "right"))
+            keep = pa.array((100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * (x.sum(axis=1) + y.sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    for side, name in (("a", "left"), ("b", "right")):
+        pairs = pairs.join(sketches.select(F.col("class").alias(side), F.col("sketch").alias(name)), side)
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
 def _filter_of(ids: DataFrame) -> np.ndarray:
     """A bit set of fixed size with the hashes of all ids (column id)."""
     bit = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("bit"))
@@ -155,6 +176,7 @@ def _sets_of(docs: DataFrame, key: str, text: str, n: int, rows: DataFrame, want
 def _links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of candidate pairs of classes, those whose whole sets are similar enough (a, b)."""
     pairs = saved(pairs, "pairs")
+    released(docs.sparkSession)
     entries, chosen = _sets_of(docs, key, text, n, rows, pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
 
     def count(batches):
@@ -249,6 +271,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
     entries = entries.withColumns({"low": F.min("class").over(column), "high": F.max("class").over(column)}).where("low <> high").select("gram", "class", "size", "rank")
     last, at = at, new_path(spark, "entries")
     entries = saved(entries, "entries", at)
+    shared = entries.select("class").distinct()
+    sketches = saved(stored.where("sketch is not null").select("class", "sketch").join(shared, "class", "left_semi").dropDuplicates(["class"]), "sketches")
     dropped(spark, last)
     released(spark)
     # a column's pivot: the row with most of its set in common with others (of copies, the original); a row's group: the pivot it meets most often
@@ -264,7 +288,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
     inside = entries.join(large.select("class", "group"), "class", "left")
     x, y = (inside.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "rank", "group")]) for s in "ab")
     pairs = x.join(y, "gram").where(f"class_a < class_b and not coalesce(group_a = group_b, false) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-    links = links.union(_links(docs, key, text, n, percent, rows, _close(pairs.withColumnsRenamed({"class_a": "a", "class_b": "b"}), percent)))
+    pairs = saved(_close(pairs.withColumnsRenamed({"class_a": "a", "class_b": "b"}), percent), "close")
+    released(spark)
+    links = links.union(_links(docs, key, text, n, percent, rows, _bounded(pairs, sketches, percent)))
     labels = components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
     dropped(spark, at)
     released(spark)
