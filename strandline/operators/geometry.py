@@ -60,3 +60,46 @@ def disassembled(lines: DataFrame) -> DataFrame:
     p = F.posexplode(F.split(F.regexp_extract("wkt", r"\((.*)\)", 1), ", "))
     v = lines.select("line_id", p.alias("seq", "p"))
     return v.select("line_id", F.col("seq").cast("long").alias("seq"), F.split("p", " ")[0].cast("double").alias("x"), F.split("p", " ")[1].cast("double").alias("y"))
+
+
+#: Weights of a quadratic fitted to five equally spaced points, at the middle one.
+_FIVE = (-3 / 35, 12 / 35, 17 / 35, 12 / 35, -3 / 35)
+
+
+def smoothed(vertices: DataFrame) -> DataFrame:
+    """Lines smoothed by a quadratic over five vertices; beyond the ends vertices are mirrored, and the end vertices stay."""
+    w = Window.partitionBy("line_id").orderBy("seq")
+    v = vertices.withColumns({"_k": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("line_id"))})
+
+    def at(c: str, d: int):
+        mirrored = F.coalesce(F.lag(c, -d).over(w), F.lag(c, d).over(w), F.col(c))
+        return F.col(c) if d == 0 else mirrored
+
+    smooth = lambda c: sum((wt * at(c, d) for d, wt in zip(range(-2, 3), _FIVE, strict=True)), F.lit(0.0))
+    inner = (F.col("_k") > 1) & (F.col("_k") < F.col("_n"))
+    return v.select("line_id", "seq", F.when(inner, smooth("x")).otherwise(F.col("x")).alias("x"), F.when(inner, smooth("y")).otherwise(F.col("y")).alias("y"))
+
+
+def merged(ends: DataFrame, tolerance: float) -> DataFrame:
+    """Groups of lines that meet within a tolerance (line_id, x0, y0, x1, y1): adds group, the smallest line_id of the chain.
+
+    Ends are dealt to grid cells of twice the tolerance and their neighbours; labels then spread along meeting lines,
+    jumping to the least label that any line of a label knows, until nothing changes.
+    """
+    e = ends.select("line_id", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p")).select("line_id", "p.x", "p.y")
+    size = 2 * tolerance
+    cell = lambda c: F.floor(F.col(c) / size)
+    around = lambda c: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: cell(c) + k))
+    b = e.select(F.col("line_id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"), around("x").alias("cx"), "y").select("other", "bx", "by", "cx", around("y").alias("cy"))
+    meets = e.withColumns({"cx": cell("x"), "cy": cell("y")}).join(b, ["cx", "cy"]).where(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")) <= tolerance).select("line_id", "other").distinct().persist()
+    state, previous = ends.select("line_id", F.col("line_id").alias("group")), None
+    for _ in range(64):
+        near = meets.join(state.select(F.col("line_id").alias("other"), "group"), "other").groupBy("line_id").agg(F.min("group").alias("near"))
+        state = state.join(near, "line_id").withColumn("group", F.min("near").over(Window.partitionBy("group"))).select("line_id", "group")
+        state = state.checkpoint() if ends.sparkSession.sparkContext.getCheckpointDir() else state.persist()
+        total = state.agg(F.sum("group")).first()[0]
+        if total == previous:
+            break
+        previous = total
+    meets.unpersist()
+    return ends.join(state, "line_id")

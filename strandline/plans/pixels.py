@@ -86,3 +86,11 @@ def class_shares(spark, sf_dir):
     k = F.when(F.col("a") > 0.1, "veg").when(F.col("a") > 0, "sand").otherwise("water")
     c = T.pixel(spark, sf_dir).select("image_id", k.alias("k")).groupBy("image_id").pivot("k", ["veg", "sand", "water"]).agg(F.count(F.lit(1))).na.fill(0)
     return c.where("veg / (veg + sand + water) >= 0.05")
+
+
+_INDEX_SQL = """i AS (SELECT image_id, "row", col, a > 0.05 AS veg, (a - b) / (abs(a) + abs(b) + 0.5) AS nd FROM v_pixel)"""
+
+
+def index_classes(pixels):
+    """Pixels with their class and index."""
+    return pixels.select("image_id", "row", "col", (F.col("a") > 0.05).alias("veg"), ((F.col("a") - F.col("b")) / (F.abs("a") + F.abs("b") + 0.5)).alias("nd"))

@@ -102,3 +102,15 @@ def test_resampled_line_keeps_its_ends(spark):
 def test_missing_marks(spark):
     d = spark.createDataFrame([(["1.5", "--", "masked", "x"],)], "v array<string>")
     assert rows(d.select(S.clean_list(F.col("v"))))[0][0] == [1.5, None, None, None]
+
+
+def test_smoothing_keeps_ends_and_straight_lines(spark):
+    v = spark.createDataFrame([(1, k, float(k), float(2 * k)) for k in range(8)] + [(2, 0, 0.0, 0.0), (2, 1, 1.0, 5.0)], "line_id int, seq int, x double, y double")
+    got = {(r.line_id, r.seq): (r.x, r.y) for r in geometry.smoothed(v).collect()}
+    assert got[(1, 0)] == (0.0, 0.0) and got[(1, 7)] == (7.0, 14.0) and got[(2, 1)] == (1.0, 5.0)
+    assert all(math.isclose(got[(1, k)][0], k) for k in range(2, 6))
+
+
+def test_chains_of_lines(spark):
+    e = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (2, 10.4, 0.0, 20.0, 0.0), (3, 20.0, 0.3, 30.0, 5.0), (4, 50.0, 0.0, 60.0, 0.0)], "line_id long, x0 double, y0 double, x1 double, y1 double")
+    assert {r.line_id: r.group for r in geometry.merged(e, 0.5).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
