@@ -39,6 +39,8 @@ GROUP_FROM = 8
 TILE = 512
 TILE_ENTRIES = 1_000_000
 COLUMNS = 4096
+#: Rows of pairs or group members (a few numbers each) that are broadcast at most; more are joined.
+BROADCAST_ROWS = 300_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,7 +125,9 @@ def _close(pairs: DataFrame, percent: int) -> DataFrame:
 
     Beyond the last common entry that is stored, either set has at most as many as its size leaves.
     """
-    found = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.max("rank_a").alias("rank_a"), F.max("rank_b").alias("rank_b"), F.count(F.lit(1)).alias("overlap"))
+    # entries before a common one can be in common too, and those after it: a pair that this rules out once is out
+    pairs = pairs.where(f"{100 + percent} * (least(rank_a, rank_b) + least(size_a - rank_a, size_b - rank_b)) >= {percent} * (size_a + size_b)")
+    found = pairs.groupBy("a", "b").agg(F.max(F.col("size_a").cast("int")).alias("size_a"), F.max(F.col("size_b").cast("int")).alias("size_b"), F.max(F.col("rank_a").cast("int")).alias("rank_a"), F.max(F.col("rank_b").cast("int")).alias("rank_b"), F.count(F.lit(1)).alias("overlap"))
     return found.where(f"{100 + percent} * (overlap + least(size_a - rank_a, size_b - rank_b) - 1) >= {percent} * (size_a + size_b)").select("a", "b")
 
 
@@ -152,6 +156,11 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _sets_of(docs: DataFrame, key: str, text: str, n: int, rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Whole sets (key, class, entries) of one document of each wanted class, and those documents (class, key).
 
@@ -192,6 +201,7 @@ def _links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: Dat
 
     for side in "ab":
         pairs = pairs.join(chosen.select(F.col("class").alias(side), F.col("key").alias(f"key_{side}")), side)
+    pairs = _small(saved(pairs, "keyed"))  # few enough pairs go to the sets, so that only one of two sets moves
     for side, name in (("a", "left"), ("b", "right")):
         pairs = pairs.join(entries.select(F.col("key").alias(f"key_{side}"), F.col("class").alias(side), F.col("entries").alias(name)), [f"key_{side}", side])
     return saved(pairs.mapInArrow(count, "a bigint, b bigint"), "links")
@@ -250,7 +260,7 @@ def _group_links(docs: DataFrame, key: str, text: str, n: int, percent: int, row
         trees = list(forest([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])]))
         return pa.Table.from_batches(trees, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    with_sets = dealt.join(entries, ["key", "class"])
+    with_sets = _small(saved(dealt, "dealt")).join(entries, ["key", "class"])
     return saved(with_sets.groupBy("group", "i", "j").applyInArrow(run, "a bigint, b bigint"), "links")
 
 
