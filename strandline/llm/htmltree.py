@@ -4,8 +4,8 @@ The pages of one host are merged by the style path of their elements (tag and cl
 For each merged element two entropies say how important it is: presentation, how much the sequence of its
 child styles varies between pages, and content, how far its texts differ between pages. A branch that looks
 and reads the same on page after page is boilerplate. What tags and class names state about an element
-(navigation, notices, adverts, forms; article) weighs that importance. Branches of low importance are
-removed from each page and the rest is returned as blocks of text.
+(navigation, notices, adverts, forms; article) weighs that importance, of every block. Branches whose weighed
+importance is low are removed from each page and the rest is returned as blocks of text.
 
 Tree nodes are counted over all pages of a host with Spark aggregates; no task needs a host's pages at once.
 """
@@ -15,10 +15,9 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,9 +31,12 @@ from strandline.llm.work import dropped, new_path, saved
 THRESHOLD = 0.4
 #: Weight of an element's own content against the presentation of its parent.
 DECAY = 0.9
-#: Weight of a branch outside the article on a page that marks its article.
-OUTSIDE = 0.3
-#: Removed (host, path) keys that are broadcast at most; more are joined by host.
+#: Importance of a path that only one page has, so that nothing is known of it.
+UNMEASURED = 0.7
+#: Weights: in the article; outside it on a page that marks one; in a branch whose name holds a noise word among
+#: others; and where a tag, a role or a whole name says noise, which no importance outweighs.
+ARTICLE, OUTSIDE, NAMED, NOISE = 1.5, 0.6, 0.5, 0.35
+#: Measured (host, path) keys that are broadcast at most; more are joined by host.
 BROADCAST_KEYS = 2_000_000
 
 # Tags and name parts that say what an element is.
@@ -66,6 +68,7 @@ class Element:
     tag: str
     path: str
     noise: bool = False
+    named: bool = False
     main: bool = False
     children: list[str] = field(default_factory=list)
 
@@ -76,9 +79,17 @@ class Block:
     parent: str
     text: str
     noise: bool
+    named: bool
     main: bool
 
 
+@functools.lru_cache(maxsize=4096)
+def _says_noise(names: str) -> tuple[bool, bool]:
+    """Whether one of the class names and ids consists of noise words, and whether one holds such a word."""
+    words = [_parts(name) for name in names.split()]
+    return any(w and all(n in NOISE_NAMES for n in w) for w in words), any(n in NOISE_NAMES for w in words for n in w)
+
+
 @functools.lru_cache(maxsize=4096)
 def _parts(names: str) -> list[str]:
     """Words that class names and ids are made of, camel case and punctuation apart."""
@@ -98,7 +109,7 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             text.clear()
             if joined:
                 top = stack[-1]
-                blocks.append(Block(top.path, stack[-2].path if len(stack) > 1 else "", joined, top.noise, top.main))
+                blocks.append(Block(top.path, stack[-2].path if len(stack) > 1 else "", joined, top.noise, top.named, top.main))
 
     def pop(names) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -149,13 +160,18 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             stack.pop()
         above = stack[-1]
         attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
-        names = _parts(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+        given = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        names = _parts(given)
         label = ".".join([tag, *sorted(set(names))])
         above.children.append(label)
         role = attributes.get("role", "").lower()
-        noise = tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not above.main) or "hidden" in m[3].lower().split() or (tag not in MAIN_TAGS and tag not in ("html", "body") and any(n in NOISE_NAMES for n in names))
-        main = not noise and (tag in MAIN_TAGS or role in ("main", "article") or (any(n in MAIN_NAMES for n in names) and tag not in ("html", "body")))
-        element = Element(tag, f"{above.path}/{label}", above.noise or noise, above.main or main)
+        noise = tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not above.main) or "hidden" in m[3].lower().split()
+        named = False
+        if tag not in MAIN_TAGS and tag not in ("html", "body"):
+            whole, named = _says_noise(given)
+            noise = noise or whole
+        main = not noise and not named and (tag in MAIN_TAGS or role in ("main", "article") or (any(n in MAIN_NAMES for n in names) and tag not in ("html", "body")))
+        element = Element(tag, f"{above.path}/{label}", above.noise or noise, above.named or named, above.main or main)
         elements.append(element)
         if tag not in VOID:
             stack.append(element)
@@ -208,10 +224,10 @@ def nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def importance(found: DataFrame) -> DataFrame:
-    """Of nodes: (host, path, importance from 0 to 1) for every path with text.
+    """Of nodes: (host, path, importance from 0 to 1) for every path with text that several pages have.
 
     With m pages that have a path, content is 1 - mean over its texts of log(pages with the text) / log m, and
-    presentation the entropy of the child sequences to the base m. A path on one page is wholly important.
+    presentation the entropy of the child sequences to the base m. A path on one page is left out.
     Everything is a sum over counted features, so no count is joined to single nodes.
     """
     counted = found.groupBy("host", "path", "parent", "kind", "feature").agg(F.count_distinct("page").alias("n"))
@@ -225,22 +241,22 @@ def importance(found: DataFrame) -> DataFrame:
     content = F.when(alone, 1.0).otherwise(1 - F.col("text_logs") / F.col("texts") / F.log("m"))
     presentation = F.when(alone, 1.0).otherwise(F.least(F.lit(1.0), (F.log("total") - F.col("shape_logs") / F.col("total")) / F.log("m")))
     above = sums.select(F.col("path").alias("parent"), presentation.alias("presentation"))
-    own = sums.where("texts > 0").select("host", "path", "parent", content.alias("content"))
+    own = sums.where("texts > 0 and m > 1").select("host", "path", "parent", content.alias("content"))
     return own.join(above, "parent", "left").select("host", "path", (DECAY * F.col("content") + (1 - DECAY) * F.coalesce("presentation", F.lit(1.0))).alias("importance"))
 
 
-def kept_blocks(page: str, host: str, low: dict[int, float] | set[int], threshold: float = THRESHOLD) -> Iterator[str]:
-    """Texts of a page's branches that aren't of low importance. low: importance of paths under the threshold of the host."""
+def kept_blocks(page: str, host: str, measured: Mapping[int, float] | set[int], threshold: float = THRESHOLD) -> Iterator[str]:
+    """Texts of a page's branches whose weighed importance isn't low. measured: importance of the host's paths that several pages have."""
     blocks, _ = parse(page)
-    marked = any(b.main and not b.noise for b in blocks)
+    marked = any(b.main and not (b.noise or b.named) for b in blocks)
     for b in blocks:
         if b.noise:
-            continue
-        if b.main:
-            yield b.text
-        elif not marked and _hash(host, b.path) not in low:
-            yield b.text
-        elif marked and OUTSIDE >= threshold and _hash(host, b.path) not in low:
+            weight = NOISE
+        else:
+            outside = OUTSIDE if marked and not b.main else 1.0
+            weight = NAMED * outside if b.named else ARTICLE if b.main else outside
+        path = _hash(host, b.path)
+        if weight * (measured[path] if path in measured else UNMEASURED) >= threshold:
             yield b.text
 
 
@@ -248,30 +264,30 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
     """pages with the main text: blocks joined by newlines; empty where there is none, as for a null page.
 
     Rows without a host share one tree. Copies of a page are one page of its tree and get the same text.
-    The paths of low importance are counted and broadcast if they are few enough; else they are joined by host
+    The paths' importances are counted and broadcast if they are few enough; else they are joined by host
     to the pages. A column named as ``text`` is replaced.
     """
     spark = pages.sparkSession
     at = new_path(spark, "style-nodes")
     found = saved(nodes(pages, url, html), "style-nodes", at)
-    weak_at = new_path(spark, "weak-paths")
-    weak = saved(importance(found).where(F.col("importance") < threshold).select("host", "path"), "weak-paths", weak_at)
+    measured = saved(importance(found), "measured-paths", new_path(spark, "measured-paths"))
     fields = [f for f in pages.schema.fields if f.name != text]
     out = T.StructType([*fields, T.StructField(text, T.StringType())])
     base = pages.select([f.name for f in fields])
     dropped(spark, at)
-    if weak.count() <= BROADCAST_KEYS:
-        shared = spark.sparkContext.broadcast(np.sort(weak.select("path").toArrow().column(0).to_numpy()))
+    if measured.count() <= BROADCAST_KEYS:
+        rows = measured.select("path", "importance").toArrow()
+        shared = spark.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_numpy()))
         few = lambda batch: None
     else:
         shared = None
-        by_host = weak.groupBy("host").agg(F.collect_set("path").alias("_weak"))
+        by_host = measured.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("_measured"))
         host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*[a-zA-Z][-+.\w]*://([^/?#\s]*)", 1), r"^.*@|:.*$", ""))
         base = base.withColumn("_host", host).join(by_host.withColumnRenamed("host", "_host"), "_host", "left").drop("_host")
-        few = lambda batch: [set(v or ()) for v in batch.column("_weak").to_pylist()]
+        few = lambda batch: [dict(v or ()) for v in batch.column("_measured").to_pylist()]
 
     def run(batches):
-        common = set(shared.value.tolist()) if shared is not None else None
+        common = dict(zip(*(v.tolist() for v in shared.value), strict=True)) if shared is not None else None
         for part in tx.chunks(batches, html):
             sets = few(part)
             texts = []

@@ -37,3 +37,12 @@ def test_odd_rows(spark):
 
 def test_hosts():
     assert [h.host_of(u) for u in ("https://U:p@Ab.Example:80/x", "x", None, "ftp://q?y")] == ["ab.example", "", "", "q"]
+
+
+def test_marked_pages_are_judged_by_importance(spark):
+    pages = [
+        (k, f"http://a.example/{k}", f"<body><div id=content><div class=box><p>Start, news, about us</p></div><div class=story><p>Story {k}</p></div><div class=south-side><p>South of {k}</p></div></div><div class=dateline>Day {k}</div><div class=slogan>All the best</div><div class=post-comments>Hello {k}</div></body>")
+        for k in range(12)
+    ]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3\nSouth of 3\nDay 3"
