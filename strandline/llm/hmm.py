@@ -30,7 +30,7 @@ from strandline.llm.work import dropped, new_path, released, saved
 WORDS = 1024
 CLASSES = 256
 STATES = 6
-ROUNDS = 4
+ROUNDS = 6
 #: Training sequences are cut into pieces of so many tokens; scoring joins the pieces again exactly.
 PIECE = 128
 CHUNK_BYTES = 8 << 20

@@ -62,3 +62,14 @@ def test_scores(spark):
     assert np.mean([got[k].score - got[k].base_score for k in range(60) if not rows[k][2]]) > 0
     assert h.score_documents(df.limit(0)).count() == 0
     assert h.score_documents(df.where("doc_id = 500")).first().n_known == 0
+
+
+def test_training_goes_on_for_six_rounds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{v}" for v in rng.integers(0, 40, 200) + 40 * (k % 3)), True) for k in range(40)]
+    chunks = h.prepare(spark.createDataFrame(rows, "doc_id long, text string, train boolean"))
+    counts, symbols, totals = h.statistics(chunks)
+    coded = h.looked_up(chunks, counts, symbols).cache()
+    total = lambda **rounds: sum(r.score for r in h.score(coded, h.fit(coded, symbols, **rounds), symbols, totals).collect())
+    assert total() == pytest.approx(total(rounds=6), abs=1e-6)
+    assert total() > total(rounds=4) + 1
