@@ -16,9 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names under which licenses are known. Each entry: label, keyword, names over lower-case words.
+# Every text that one of the names matches holds the keyword. Order of names settles ties.
 FAMILIES: list[tuple[str, str, list[str]]] = [
-    ("mit", "mit", [r"mit license", r"mit licence", r"mit x11 license", r"x11 mit license", r"expat license"]),
-    ("apache", "apache", [r"apache license", r"apache licence", r"apache software license", r"asl 2 0", r"apache 2 0"]),
+    ("mit", "mit", [r"mit license", r"mit licence", r"mit x11 license", r"x11 mit license"]),
+    ("mit", "expat", [r"expat license"]),
+    ("apache", "apache", [r"apache license", r"apache licence", r"apache software license"]),
+    ("apache", "asl 2 0", [r"asl 2 0"]),
+    ("apache", "apache", [r"apache 2 0"]),
     ("gpl", "general public", [r"general public license", r"gnu general public license", r"gnu general public licence"]),
     ("gpl", "gpl", [r"gnu gpl", r"gplv[123]", r"gpl v[123]", r"gpl [123] 0"]),
     ("lgpl", "lesser", [r"gnu lesser general public license", r"lesser general public license"]),
@@ -27,7 +31,8 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("agpl", "affero", [r"gnu affero general public license", r"affero general public license"]),
     ("agpl", "agpl", [r"gnu agpl", r"agplv?3", r"agpl v3"]),
     ("bsd", "bsd", [r"bsd license", r"bsd licence", r"[234] clause bsd(?: license)?", r"bsd [0234] clause(?: license)?", r"new bsd license", r"modified bsd license", r"simplified bsd license", r"free bsd license"]),
-    ("isc", "isc", [r"isc license", r"isc licence", r"internet systems consortium license"]),
+    ("isc", "isc", [r"isc license", r"isc licence"]),
+    ("isc", "internet systems consortium", [r"internet systems consortium license"]),
     ("mpl", "mozilla", [r"mozilla public license", r"mozilla public licence"]),
     ("mpl", "mpl", [r"mplv?[12](?: [01])?", r"mpl v2"]),
     ("epl", "eclipse", [r"eclipse public license", r"eclipse distribution license"]),
@@ -54,8 +59,11 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("w3c", "w3c", [r"w3c software(?: notice and)? license", r"w3c document license"]),
     ("odbl", "open database", [r"open database license", r"open data commons open database license"]),
     ("pddl", "public domain dedication", [r"public domain dedication and license", r"cc0 public domain dedication"]),
-    ("cc0", "cc0", [r"cc0 license", r"creative commons zero(?: license)?", r"cc0 1 0(?: universal)?"]),
-    ("cc-by", "creative commons", [r"creative commons attribution license", r"creative commons attribution [1234] [05](?: international| unported)?(?: license)?", r"cc by license"]),
+    ("cc0", "cc0", [r"cc0 license"]),
+    ("cc0", "creative commons zero", [r"creative commons zero(?: license)?"]),
+    ("cc0", "cc0", [r"cc0 1 0(?: universal)?"]),
+    ("cc-by", "creative commons", [r"creative commons attribution license", r"creative commons attribution [1234] [05](?: international| unported)?(?: license)?"]),
+    ("cc-by", "cc by", [r"cc by license"]),
     ("cc-by-sa", "creative commons", [r"creative commons attribution share ?alike(?: [1234] [05])?(?: international| unported)?(?: license)?"]),
     ("cc-by-nc", "creative commons", [r"creative commons attribution non ?commercial(?: [1234] [05])?(?: international| unported)?(?: license)?"]),
     ("cc-by-nd", "creative commons", [r"creative commons attribution no ?deriv(?:s|atives)(?: [1234] [05])?(?: international| unported)?(?: license)?"]),
@@ -77,7 +85,8 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("busl", "business source", [r"business source license"]),
     ("elastic", "elastic", [r"elastic license"]),
     ("polyform", "polyform", [r"polyform (?:non ?commercial|small business|strict|shield) license"]),
-    ("rail", "responsible ai", [r"responsible ai license", r"open ?rail m? ?license"]),
+    ("rail", "responsible ai", [r"responsible ai license"]),
+    ("rail", "rail", [r"open ?rail m? ?license"]),
 ]
 # Sentences that a notice puts around a name, from the most to the least telling. Priority, confidence, pattern.
 NOTICES: list[tuple[int, float, str]] = [

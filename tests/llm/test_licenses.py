@@ -1,3 +1,5 @@
+import re
+
 from strandline.llm import licenses as x
 
 TEXTS = [
@@ -30,3 +32,42 @@ def test_hundreds_of_rules_in_order_and_stems_cover_them():
 
 def test_empty_table(spark):
     assert x.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def written(pattern, most):
+    """A text that the pattern matches: optional parts left out or all taken, of alternatives the first or the last."""
+    constants = re._constants
+
+    def text(parsed):
+        out = ""
+        for op, value in parsed:
+            if op is constants.LITERAL:
+                out += chr(value)
+            elif op is constants.MAX_REPEAT:
+                out += text(value[2]) * (min(value[1], value[0] + 1) if most else value[0])
+            elif op is constants.SUBPATTERN:
+                out += text(value[3])
+            elif op is constants.BRANCH:
+                out += text(value[1][-1 if most else 0])
+            elif op is constants.IN:
+                kind, first = value[-1 if most else 0]
+                out += "7" if kind is constants.CATEGORY else chr(first)
+            else:
+                raise AssertionError(op)
+        return out
+
+    made = text(re._parser.parse(pattern))
+    assert re.fullmatch(pattern, made)
+    return made
+
+
+def test_every_rule_matches_a_text_made_from_its_pattern_alone(spark):
+    rules = x.rules()
+    texts = [written(pattern, most) for *_, pattern in rules for most in (False, True)]
+    for k, t in enumerate(texts):
+        assert rules[k // 2][1] in f" {t} ", (rules[k // 2], t)
+        assert any(stem in f" {t} " for stem in x.STEMS), t
+    got = {r.doc_id: r.asDict() for r in x.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        want = x.brute_force(t)
+        assert want["labels"] and {c: got[k][c] for c in want} == want, t
