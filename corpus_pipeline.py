@@ -34,15 +34,21 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by n-gram overlap, the one with the smallest doc_id stays; of rows that share it, one."""
-    found = saved(jaccard.groups(docs), "groups", new_path(spark, "groups"))
-    gone = found.where("component <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.head(1):  # repeated keys: rare rows are settled apart
-        several = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(several)
-    return kept.select(docs.columns)
+    """Of each group of documents linked by n-gram overlap, the one with the smallest doc_id stays.
+
+    Where a doc_id is null or repeated, groups are made of numbered rows: different texts that share a doc_id
+    stay, and rows without one are near duplicates as others are; one stays only if its whole group has none.
+    """
+    columns = docs.columns
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1):
+        found = saved(jaccard.groups(docs), "groups", new_path(spark, "groups"))
+        gone = found.where("component <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(columns)
+    docs = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered", new_path(spark, "numbered"))
+    found = saved(jaccard.groups(docs, key="_row"), "groups", new_path(spark, "groups"))
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")
+    stays = docs.select("_row", "doc_id").join(found, "_row").groupBy("component").agg(F.min(order)["_row"].alias("_row")).select("_row")
+    return docs.join(stays, "_row", "left_semi").select(columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

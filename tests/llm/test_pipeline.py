@@ -31,6 +31,14 @@ def test_stages_on_odd_rows(spark, sf_dir):
         assert out.count() == 0
 
 
+def test_different_texts_of_one_key_stay_and_null_keys_are_judged(spark, sf_dir):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(30)) for w in ("red", "green", "blue"))
+    rows = [(7, one), (7, two), (7, two), (None, one), (None, three), (None, three), (9, two), (4, "a text apart from others")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(7, one), (7, two), (None, three), (4, "a text apart from others")], key=str)
+
+
 def test_entry_names_every_operator():
     import __spark_entry__
 
