@@ -4,16 +4,25 @@ A document's row is its set of distinct word n-grams (64-bit hashes). Only the e
 size-derived bound leaves are stored: of a set of n, two documents of similarity t share one of the
 first n - ceil(t n) + 1 entries in any common order, so the columns' other entries can't be the first
 in common. The order puts very frequent n-grams last. The product's blocks are the columns (Spark's
-shuffle deals them out); their overlap counts are summed per pair, pairs below the bounds that sizes
-and ranks give are discarded, and what remains is counted over the whole sets.
+shuffle deals them out); their overlap counts are summed per pair and pairs below the bounds that sizes
+give are discarded before whole sets are compared.
 
-Equal sets are one class from the start. Classes that meet the same central row most often form a group;
-a large group's block of the matrix is multiplied tile by tile over whole sets and leaves a spanning forest
-of its links. Pairs across groups are counted from the stored entries. Together they lose no link.
+Equal sets are one class from the start. The product is taken in rounds, so that groups of many near
+copies cost no more than their members:
+
+1. every class against the central rows of its columns; what links is one component from then on;
+2. pairs of different components that share columns but no group, and pairs within small groups;
+3. pairs of different components within large groups (classes around one central row), as matrix tiles that
+   give what may link, or a spanning forest of it where that is much; repeated until no pair is left that isn't
+   linked or refuted.
+
+Pairs inside one component need no comparison. No link between components is lost.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,8 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import text as tx
-from strandline.llm.graph import components, forest
-from strandline.llm.work import dropped, new_path, released, saved
+from strandline.llm.graph import components
+from strandline.llm.work import Scope, released, saved, small_batches
 
 NGRAM = 5
 #: Similarity in percent from which documents link.
@@ -30,17 +39,19 @@ PERCENT = 75
 #: N-grams that stand in this many documents of one chunk are counted over all chunks; the HOT_NGRAMS most frequent come last in the order.
 LOCAL_FREQUENCY = 4
 HOT_NGRAMS = 200_000
-#: Leading bits by which a set's entries are counted; the smaller counts of two sets bound what they have in common.
-SKETCH_BITS = 8
 #: Bits of the filter that tells which documents' sets are needed again; when more are needed it lets more pass.
 FILTER_BITS = 24
-#: Groups of more documents than this are multiplied as matrix blocks; classes and entries that a tile of a group holds about; columns multiplied at once.
+#: Groups of more classes than this are multiplied as matrix tiles; classes and stored entries that a tile holds about; columns multiplied at once.
 GROUP_FROM = 8
 TILE = 512
-TILE_ENTRIES = 1_000_000
+TILE_ENTRIES = 500_000
 COLUMNS = 4096
-#: Rows of pairs or group members (a few numbers each) that are broadcast at most; more are joined.
+#: A tile gives all its pairs if they are at most so many a class, else a forest; after the rounds of forests every pair that is left.
+FEW_PAIRS = 4
+FOREST_ROUNDS = 3
+#: Rows of pairs, classes or group members (a few numbers each), and bytes of sets, that are broadcast at most; more are joined.
 BROADCAST_ROWS = 300_000
+BROADCAST_BYTES = 32 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,61 +101,70 @@ def frequent(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return np.sort(top.select("gram").toArrow().column(0).to_numpy().view(np.uint64))
 
 
+def sketch(entries: np.ndarray) -> np.ndarray | None:
+    """How many of a set's entries have each combination of leading bits, with two to four counters an entry; None if one exceeds a byte."""
+    bits = max(6, int(len(entries)).bit_length() + 1)
+    counts = np.bincount((entries >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8) if counts.max() < 256 else None
+
+
+def ruled_out(x: bytes | None, y: bytes | None, size_x: int, size_y: int, percent: int) -> bool:
+    """Whether the sketches of two sets prove that they have too little in common: the smaller counts bound that."""
+    if x is None or y is None:
+        return False
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(axis=1)
+    return (100 + percent) * int(np.minimum(x, y).sum()) < percent * (size_x + size_y)
+
+
 def incidence(docs: DataFrame, key: str, text: str, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """For each document: key, size, class (equal for equal sets) the entries of its set that can
-    be first in common, and how many of its entries have each leading SKETCH_BITS (32-bit counts). Of copies in a chunk one has the last two."""
+    """For each document: key, size, class (equal for equal sets), the entries of its set that can be first in
+    common, in order, how many of them aren't frequent, and its sketch. Of copies in a chunk one has entries and sketch, the others null."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         hot = shared.value
         for part in tx.chunks(batches, text):
-            size, classes, entries, sketches, seen = [], [], [], [], set()
+            size, classes, entries, early, sketches, seen = [], [], [], [], [], set()
             for found in sets(part.column(text), n):
                 k = len(found)
                 c = _class(found)
                 size.append(k)
                 classes.append(c)
                 if not k or c in seen:
-                    entries.append(found[:0].view(np.int64))
+                    entries.append(None)
+                    early.append(0)
                     sketches.append(None)
                     continue
                 seen.add(c)
-                sketches.append(np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32).tobytes())
                 at = np.minimum(np.searchsorted(hot, found), max(len(hot) - 1, 0))
                 late = hot[at] == found if len(hot) else np.zeros(k, bool)
-                first = k - -(-percent * k // 100) + 1
+                first = _stored(k, percent)
                 entries.append(np.concatenate((found[~late], found[late]))[:first].view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(e) for e in entries])))
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(size, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(entries))), pa.array(sketches, pa.binary())], names=["key", "size", "class", "entries", "sketch"])
+                early.append(min(first, k - int(late.sum())))
+                counts = sketch(found)
+                sketches.append(None if counts is None else counts.tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(size, pa.int64()), pa.array(classes, pa.int64()), pa.array(entries, pa.list_(pa.int64())), pa.array(early, pa.int32()), pa.array(sketches, pa.binary())], names=["key", "size", "class", "entries", "early", "sketch"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "key bigint, size bigint, class bigint, entries array<bigint>, sketch binary")
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "key bigint, size bigint, class bigint, entries array<bigint>, early int, sketch binary")
 
 
-def _close(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of all common column entries of pairs (a, b): the pairs whose count, sizes and ranks don't rule them out.
+def _stored(size: int, percent: int) -> int:
+    """How many entries of a set of this size are stored."""
+    return size - -(-percent * size // 100) + 1
 
-    Beyond the last common entry that is stored, either set has at most as many as its size leaves.
-    """
-    # entries before a common one can be in common too, and those after it: a pair that this rules out once is out
-    pairs = pairs.where(f"{100 + percent} * (least(rank_a, rank_b) + least(size_a - rank_a, size_b - rank_b)) >= {percent} * (size_a + size_b)")
-    found = pairs.groupBy("a", "b").agg(F.max(F.col("size_a").cast("int")).alias("size_a"), F.max(F.col("size_b").cast("int")).alias("size_b"), F.max(F.col("rank_a").cast("int")).alias("rank_a"), F.max(F.col("rank_b").cast("int")).alias("rank_b"), F.count(F.lit(1)).alias("overlap"))
-    return found.where(f"{100 + percent} * (overlap + least(size_a - rank_a, size_b - rank_b) - 1) >= {percent} * (size_a + size_b)").select("a", "b")
 
+def _enough(percent: int, overlap: str = "overlap") -> str:
+    """SQL condition: this many common stored entries don't rule the pair out.
 
-def _bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose counts by leading bits don't rule them out; a few hundred bytes a row decide instead of whole sets."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(tx.text_buffers(batch.column(side))[0].tobytes(), np.uint32).reshape(batch.num_rows, -1).astype(np.int64) for side in ("left", "right"))
-            keep = pa.array((100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * (x.sum(axis=1) + y.sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    for side, name in (("a", "left"), ("b", "right")):
-        pairs = pairs.join(sketches.select(F.col("class").alias(side), F.col("sketch").alias(name)), side)
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    All common entries up to the end of the stored ones of one of both sets are counted; of that set
+    ceil(percent / 100 size) - 1 entries follow.
+    """
+    rest = f"ceil({percent} * greatest(size_a, size_b) / 100) - 1"
+    return f"{100 + percent} * ({overlap} + {rest}) >= {percent} * (size_a + size_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -161,150 +181,260 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _sets_of(docs: DataFrame, key: str, text: str, n: int, rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Whole sets (key, class, entries) of one document of each wanted class, and those documents (class, key).
+def _sets_of(docs: DataFrame, key: str, text: str, n: int, chosen: DataFrame) -> DataFrame:
+    """Whole sets (class, entries) of chosen documents (class, key), made again from the texts.
 
-    Sets are made again from the texts; the filter that picks documents may let others pass.
+    Few documents are picked by a broadcast join; of many, a filter picks those whose texts are split, and a join drops what it let pass.
     """
     spark = docs.sparkSession
-    chosen = saved(rows.select("class", "key").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("key").alias("key")), "chosen")
-    shared = spark.sparkContext.broadcast(_filter_of(chosen.select(F.col("key").alias("id"))))
+    few = chosen.count() <= BROADCAST_ROWS
+    base = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), text)
+    if few:
+        base, shared = base.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").withColumn("bit", F.lit(0)), None
+    else:
+        shared = spark.sparkContext.broadcast(_filter_of(chosen.select(F.col("key").alias("id"))))
+        base = base.withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS)).cast("int"))
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column("bit").to_numpy()]))
+            if shared is not None:
+                batch = batch.filter(pa.array(shared.value[batch.column("bit").to_numpy()]))
             for part in tx.chunks([batch], text):
-                found = [(k, _class(x), x.tobytes()) for k, x in zip(part.column(key).to_pylist(), sets(part.column(text), n), strict=True) if len(x)]
+                found = [(k, _class(x), x.tobytes()) for k, x in zip(part.column("key").to_pylist(), sets(part.column(text), n), strict=True) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], names=["key", "class", "entries"])
 
-    hashed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text, F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS)).cast("int").alias("bit"))
-    return hashed.mapInArrow(run, "key bigint, class bigint, entries binary"), chosen
+    made = base.mapInArrow(run, "key bigint, class bigint, entries binary")
+    return made.join(F.broadcast(chosen) if few else chosen, ["key", "class"], "left_semi").select("class", "entries")
 
 
-def _links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs of classes, those whose whole sets are similar enough (a, b)."""
-    pairs = saved(pairs, "pairs")
-    released(docs.sparkSession)
-    entries, chosen = _sets_of(docs, key, text, n, rows, pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
+def _bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their sketches (class, size, sketch) don't rule out; a few bytes an entry decide instead of whole sets."""
+
+    def run(batches):
+        for batch in batches:
+            sides = [batch.column(c).to_pylist() for c in ("left", "right", "size_a", "size_b")]
+            keep = pa.array([not ruled_out(*row, percent) for row in zip(*sides, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    few = pairs.count() <= BROADCAST_ROWS
+    pairs0, sketches_of = pairs, sketches
+    for side, name in (("a", "left"), ("b", "right")):
+        if few:  # only the sketches asked for move
+            sketches_of = sketches.join(F.broadcast(pairs0.select(F.col(side).alias("class")).distinct()), "class", "left_semi")
+        pairs = sketches_of.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(name)).join(F.broadcast(pairs) if few and side == "a" else pairs, side)
+    return pairs.select("a", "b", "left", "right", "size_a", "size_b").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _verified(docs: DataFrame, key: str, text: str, n: int, percent: int, classes: DataFrame, pairs: DataFrame, scope: Scope) -> DataFrame:
+    """Candidate pairs (a, b) of classes with whether their whole sets are similar enough (linked).
+
+    classes: class, size and the key of one document. The set of a stays where it is made if pairs are few enough; that of b
+    is broadcast if all of them together are small. One row of a class is used, so repeated keys do no harm.
+    """
+    sizes = classes.select("class", "size", "key")
+
+    def chosen(side: str) -> DataFrame:
+        return scope.saved(sizes.join(_small(scope.saved(pairs.select(F.col(side).alias("class")).distinct(), f"{side}-classes")), "class", "left_semi"), f"{side}-chosen")
+
+    left, right = chosen("a"), chosen("b")
+    few = 8 * (right.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_BYTES
+    right_sets = _sets_of(docs, key, text, n, right.select("class", "key")).select(F.col("class").alias("b"), F.col("entries").alias("right"))
+    right_sets = scope.saved(right_sets, "hub-sets")
 
     def count(batches):
         for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            linked = []
+            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    for side in "ab":
-        pairs = pairs.join(chosen.select(F.col("class").alias(side), F.col("key").alias(f"key_{side}")), side)
-    pairs = _small(saved(pairs, "keyed"))  # few enough pairs go to the sets, so that only one of two sets moves
-    for side, name in (("a", "left"), ("b", "right")):
-        pairs = pairs.join(entries.select(F.col("key").alias(f"key_{side}"), F.col("class").alias(side), F.col("entries").alias(name)), [f"key_{side}", side])
-    return saved(pairs.mapInArrow(count, "a bigint, b bigint"), "links")
+    joined = _sets_of(docs, key, text, n, left.select("class", "key")).select(F.col("class").alias("a"), F.col("entries").alias("left")).join(_small(pairs), "a")
+    joined = joined.join(F.broadcast(right_sets) if few else right_sets, "b").select("a", "b", "left", "right")
+    return joined.mapInArrow(count, "a bigint, b bigint, linked boolean").distinct()
 
 
-def product_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two tiles (of one tile with itself if right is None) that are similar enough, by a blocked product.
+def tile_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, size_left: np.ndarray, size_right: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two tiles (of one tile with itself if right is None) whose stored entries don't rule them out, by a blocked product.
 
     Columns that stand in one row alone can't add to a pair and are left out; the others are multiplied COLUMNS at a time.
     """
     both = left + (right or [])
     row = np.repeat(np.arange(len(both)), [len(x) for x in both])
-    grams, column, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    _, column, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
     shared = count[column] > 1
     row, column = row[shared], column[shared]
     _, column = np.unique(column, return_inverse=True)
-    size = np.array([len(x) for x in both], np.int64)
     n = len(left)
     overlap = np.zeros((n, len(both) - n if right is not None else n), np.float32)
     by = np.argsort(column, kind="stable")
     row, column = row[by], column[by]
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         lo, hi = np.searchsorted(column, [at, at + COLUMNS])
-        block = np.zeros((len(both), COLUMNS), np.float32)
+        block = np.zeros((len(both), min(COLUMNS, int(column[hi - 1]) + 1 - at)), np.float32)
         block[row[lo:hi], column[lo:hi] - at] = 1
         overlap += block[:n] @ (block[n:] if right is not None else block).T
-    a, b = size[:n, None], (size[n:] if right is not None else size)[None, :]
-    near = 100 * overlap >= percent * (a + b - overlap)
+    a, b = size_left[:, None], (size_right if right is not None else size_left)[None, :]
+    rest = -(-percent * np.maximum(a, b) // 100) - 1
+    near = (overlap > 0) & ((100 + percent) * (overlap.astype(np.int64) + rest) >= percent * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
     if right is None:
         near &= np.tri(n, k=-1, dtype=bool)
     return np.nonzero(near)
 
 
-def _group_links(docs: DataFrame, key: str, text: str, n: int, percent: int, rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Links within groups of classes (class, group; m and total: the group's classes and entries), as forests (a, b).
+def _group_pairs(packed: DataFrame, sketches: DataFrame, large: DataFrame, labels: DataFrame, refuted: DataFrame | None, percent: int, whole: bool) -> DataFrame:
+    """Pairs (a, b, group, more) of different components within large groups that their stored entries don't rule out.
 
-    A group is dealt to tiles of about TILE classes or TILE_ENTRIES entries; a task holds two tiles' sets, multiplies them and gives the
-    links found as a spanning forest, so no more rows than documents leave it.
+    The classes of a group's most frequent component needn't meet each other. The others, and those against them, are dealt to tiles
+    of about TILE classes or TILE_ENTRIES entries; a task holds two tiles. Unless whole, a task gives all its pairs if they are few, else
+    a spanning forest of them (more is true then), so that its rows are in proportion to its classes. Refuted pairs are left out.
     """
-    entries, chosen = _sets_of(docs, key, text, n, rows, members.select("class"))
-    tiles = F.ceil(F.greatest(F.col("m") / TILE, F.col("total") / TILE_ENTRIES))
-    dealt = chosen.join(members, "class").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("class"), tiles)})
-    dealt = dealt.select("class", "key", "group", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("class", "key", "group", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    labelled = large.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    counts = labelled.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    major = counts.groupBy("group").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = labelled.join(major, "group").withColumn("minor", F.col("label") != F.col("major"))
+    tiles = lambda minor: F.ceil(F.greatest(F.count(F.when(F.col("minor") == minor, 1)) / TILE, F.coalesce(F.sum(F.when(F.col("minor") == minor, F.col("stored"))), F.lit(0)) / TILE_ENTRIES)).cast("int")
+    grid = rows.groupBy("group").agg(tiles(True).alias("minors"), tiles(False).alias("majors"), ((F.count(F.lit(1)) <= TILE) & (F.sum("stored") <= TILE_ENTRIES)).alias("one"))
+    dealt = rows.join(grid, "group").withColumns({"minor": F.col("minor") | F.col("one"), "majors": F.when(F.col("one"), 0).otherwise(F.col("majors"))}).withColumn("tile", F.when(F.col("minor"), F.pmod(F.xxhash64("class"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("class"), F.col("majors"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1))
+    dealt = dealt.select("class", "label", "group", "tile", other.alias("other")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
 
     def run(table: pa.Table) -> pa.Table:
-        tile, i, j = table.column("tile").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids = table.column("class").to_numpy()
-        _, first = np.unique(ids, return_index=True)
-        found = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("entries")]
-        left, right = [k for k in first if tile[k] == i], [k for k in first if tile[k] == j]
-        if not left or not right:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        x, y = product_links([found[k] for k in left], None if i == j else [found[k] for k in right], percent)
-        a, b = ids[np.array(left)[x]], ids[np.array(left if i == j else right)[y]]
-        trees = list(forest([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])]))
-        return pa.Table.from_batches(trees, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        def out(a: np.ndarray, b: np.ndarray, more: bool) -> pa.Table:
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "group": pa.repeat(table.column("group")[0], len(a)), "more": pa.repeat(pa.scalar(more), len(a))})
 
-    with_sets = _small(saved(dealt, "dealt")).join(entries, ["key", "class"])
-    return saved(with_sets.groupBy("group", "i", "j").applyInArrow(run, "a bigint, b bigint"), "links")
+        tile, i, j = table.column("tile").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, label, size = (table.column(c).to_numpy() for c in ("class", "label", "size"))
+        found = [x.values.to_numpy() for x in table.column("entries")]
+        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        if not len(left) or not len(right):
+            return out(ids[:0], ids[:0], False)
+        x, y = tile_pairs([found[k] for k in left], None if i == j else [found[k] for k in right], size[left], None if i == j else size[right], percent)
+        a, b = left[x], (left if i == j else right)[y]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        drawn = table.column("sketch").to_pylist()
+        close = np.fromiter((not ruled_out(drawn[c], drawn[d], int(size[c]), int(size[d]), percent) for c, d in zip(a, b, strict=True)), bool, len(a))
+        a, b = a[close], b[close]
+        known = {(c, d) for c, near in zip(ids, table.column("refuted"), strict=True) for d in near.as_py() or ()}
+        if known:
+            fresh = np.fromiter(((int(c), int(d)) not in known and (int(d), int(c)) not in known for c, d in zip(ids[a], ids[b], strict=True)), bool, len(a))
+            a, b = a[fresh], b[fresh]
+        more = not whole and len(a) > FEW_PAIRS * (len(left) + len(right))
+        if more:
+            # classes of one component are one node of the forest
+            up: dict[int, int] = {}
+
+            def root(v: int) -> int:
+                while up.setdefault(v, v) != v:
+                    up[v] = v = up[up[v]]
+                return v
+
+            tree = []
+            for k, (c, d) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+                c, d = root(c), root(d)
+                if c != d:
+                    up[c] = d
+                    tree.append(k)
+            a, b = a[tree], b[tree]
+        return out(ids[a], ids[b], more)
+
+    wanted = dealt.select("class").distinct()
+    few = large.count() <= BROADCAST_ROWS
+    own = lambda table: table.join(F.broadcast(wanted), "class", "left_semi") if few else table
+    cells = dealt.join(own(packed.select("class", "size", "entries")), "class").join(own(sketches.select("class", "sketch")), "class")
+    if refuted is None:
+        cells = cells.withColumn("refuted", F.array().cast("array<bigint>"))
+    else:
+        cells = cells.join(refuted.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refuted")), "class", "left")
+    return cells.groupBy("group", "i", "j").applyInArrow(run, "a bigint, b bigint, group bigint, more boolean")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """For each row of docs: key, n_shingles (set size) and component (smallest key reachable by links).
 
-    Two rows link when 100 * intersection >= percent * union of their sets. A row without words links with
+    Two rows link when 100 * intersection >= percent * union of their sets. Keys are integers. A row without words links with
     nothing and is its own component; so is a row with a null key, whose component is null. Rows that share
     a key are rows of their own; repeated rows are copies of each other.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(key, text)
-    at = new_path(spark, "incidence")
-    stored = saved(incidence(docs, key, text, n, percent, frequent(docs, text, n)), "incidence", at, codec="lz4")
-    rows = saved(stored.select("key", "size", "class"), "classes")
-    column = Window.partitionBy("gram")
-    entries = stored.select("class", "size", F.posexplode("entries").alias("rank", "gram"))
-    entries = entries.withColumns({"low": F.min("class").over(column), "high": F.max("class").over(column)}).where("low <> high").select("gram", "class", "size", "rank")
-    last, at = at, new_path(spark, "entries")
-    entries = saved(entries, "entries", at)
-    shared = entries.select("class").distinct()
-    sketches = saved(stored.where("sketch is not null").select("class", "sketch").join(shared, "class", "left_semi").dropDuplicates(["class"]), "sketches")
-    dropped(spark, last)
-    released(spark)
-    # a column's pivot: the row with most of its set in common with others (of copies, the original); a row's group: the pivot it meets most often
-    met = entries.groupBy("class").agg((F.count(F.lit(1)) / F.first("size")).alias("met"))
-    pivots = entries.join(met, "class").groupBy("gram").agg(F.max(F.struct("met", F.xxhash64("class").alias("h"), F.col("class").alias("pivot")))["pivot"].alias("pivot"))
-    members = entries.join(pivots, "gram").groupBy("class", "size", "pivot").count().groupBy("class").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("group"), F.first("size").alias("size"))
-    members = saved(members, "members")
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
-    large = saved(members.join(sizes.where(F.col("m") > GROUP_FROM), "group"), "large-groups")
-    released(spark)
-    links = _group_links(docs, key, text, n, percent, rows, large)
-    released(spark)
-    inside = entries.join(large.select("class", "group"), "class", "left")
-    x, y = (inside.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "rank", "group")]) for s in "ab")
-    pairs = x.join(y, "gram").where(f"class_a < class_b and not coalesce(group_a = group_b, false) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-    pairs = saved(_close(pairs.withColumnsRenamed({"class_a": "a", "class_b": "b"}), percent), "close")
-    released(spark)
-    links = links.union(_links(docs, key, text, n, percent, rows, _bounded(pairs, sketches, percent)))
-    labels = components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
-    dropped(spark, at)
-    released(spark)
-    labelled = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = labelled.where("size > 0").groupBy("label").agg(F.min("key").alias("least"))
-    out = labelled.join(least, "label", "left")
-    return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("key").isNotNull(), F.col("least")).otherwise(F.col("key")).alias("component"))
+    with Scope(spark) as scope:
+        stored = scope.saved(incidence(docs, key, text, n, percent, frequent(docs, text, n)), "incidence", codec="lz4")
+        rows = saved(stored.select("key", "size", "class"), "classes")
+        # of copies in several chunks the one with the smallest key brings the entries
+        first = stored.where("entries is not null").groupBy("class").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("class", "first")
+        again = scope.saved(stored.where("entries is not null").select("class", "key").join(first, "class").where("not key <=> first").select("class", "key").distinct(), "again")
+        mark = _small(again).select(F.col("class").alias("_class"), F.col("key").alias("_key"))
+        once = stored.where("entries is not null").join(mark, (F.col("class") == F.col("_class")) & F.col("key").eqNullSafe(F.col("_key")), "left_anti")
+        each = once.select("class", "size", "early", F.posexplode("entries").alias("rank", "gram"))
+        sketches = scope.saved(once.select("class", "size", "sketch"), "sketches")
+        # frequent n-grams are known to stand in several documents; of the others, columns of one class give no pair
+        column = Window.partitionBy("gram")
+        rare = each.where("rank < early").select("gram", "class", "size", F.min("class").over(column).alias("low"), F.max("class").over(column).alias("high")).where("low <> high")
+        entries = rare.select("class", "size", "gram").union(each.where("rank >= early").select("class", "size", "gram"))
+        packed = scope.saved(entries.groupBy("class", "size").agg(F.collect_set("gram").alias("entries")), "packed", codec="lz4")
+        scope.dropped(stored)
+        released(spark)
+
+        # a column's pivot: the row with most of its set in common with others (of copies, the original); a row's group: the pivot it meets most often
+        single = packed.select("class", "size", (F.size("entries") / F.col("size")).alias("met"), F.explode("entries").alias("gram"))
+        pivots = single.groupBy("gram").agg(F.max(F.struct("met", F.xxhash64("class").alias("h"), F.col("class").alias("pivot"), F.col("size").alias("pivot_size"))).alias("p")).select("gram", "p.pivot", "p.pivot_size")
+        met = scope.saved(single.select("gram", "class", "size").join(pivots, "gram").groupBy("class", "size", "pivot", "pivot_size").agg(F.count(F.lit(1)).alias("overlap")), "met")
+        members = met.groupBy("class").agg(F.max_by("pivot", F.struct("overlap", "pivot")).alias("group"))
+        members = scope.saved(members.join(packed.select("class", F.size("entries").alias("stored")), "class"), "members")
+        large = members.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP_FROM).select("group")
+        large = scope.saved(members.join(_small(scope.saved(large, "large-names")), "group"), "large-groups")
+        wanted = packed.select("class")
+        chosen = scope.saved(rows.where("key is not null").join(wanted, "class", "left_semi").groupBy("class", "size").agg(F.min("key").alias("key")), "representatives")
+        stars = met.where("class <> pivot").withColumnsRenamed({"class": "a", "pivot": "b", "size": "size_a", "pivot_size": "size_b"}).where(_enough(percent)).select("a", "b")
+        released(spark)
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            return scope.saved(_verified(docs, key, text, n, percent, chosen, pairs, scope), "verified")
+
+        stars = scope.saved(stars, "stars")
+        done = [verified(scope.saved(_bounded(stars, sketches, percent), "stars"))]
+        labels = scope.saved(components(done[0].where("linked").select("a", "b")), "labels").select(F.col("node").alias("class"), F.col("component").alias("label"))
+        released(spark)
+
+        marks = members.join(_small(labels), "class", "left").join(_small(large.select("class", F.lit(True).alias("large"))), "class", "left").select("class", F.coalesce("label", "class").alias("label"), F.when(F.col("large"), F.col("group")).alias("group"))
+        cells = packed.join(_small(scope.saved(marks, "marks")), "class").select("class", "size", "label", "group", F.explode("entries").alias("gram"))
+        many = cells.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.coalesce("group", "class")).alias("g"), F.max(F.coalesce("group", "class")).alias("h")).where("low <> high and g <> h").select("gram")
+        cells = scope.saved(cells.join(many, "gram", "left_semi"), "cells", codec="lz4")
+        x, y = (cells.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "label", "group")]) for s in "ab")
+        pairs = x.join(y, "gram").where(f"class_a < class_b and label_a <> label_b and not coalesce(group_a = group_b, false) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+        pairs = scope.saved(pairs.groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b")).agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count(F.lit(1)).alias("overlap")).where(_enough(percent)).select("a", "b"), "across")
+        inside = scope.saved(_group_pairs(packed, sketches, large, labels, None, percent, whole=False), "inside")
+        pairs = scope.saved(_bounded(pairs, sketches, percent).union(inside.select("a", "b")).distinct(), "pairs")
+        scope.dropped(cells)
+        released(spark)
+        step = 0
+        while pairs.head(1):
+            done.append(verified(pairs))
+            found = functools.reduce(DataFrame.union, done)
+            labels = scope.saved(components(found.where("linked").select("a", "b")), "labels").select(F.col("node").alias("class"), F.col("component").alias("label"))
+            released(spark)
+            step += 1
+            large = scope.saved(large.join(_small(scope.saved(inside.where("more").select("group").distinct(), "unfinished")), "group", "left_semi"), "large-groups")
+            if not large.head(1):
+                break
+            inside = scope.saved(_group_pairs(packed, sketches, large, labels, found.where("not linked"), percent, whole=step > FOREST_ROUNDS), "inside")
+            pairs = scope.saved(inside.select("a", "b").distinct(), "pairs")
+        return _rows_out(rows, saved(labels, "component-labels"), key)
+
+
+def _rows_out(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Each row (key, size, class) with its component's smallest key.
+
+    Only classes with copies or links are looked up, by a broadcast if they are few; other rows are their own component.
+    """
+    classes = rows.where("size > 0 and key is not null").groupBy("class").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
+    labelled = classes.join(labels, "class", "left").where("n > 1 or label is not null").select("class", "least", F.coalesce("label", "class").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component"))
+    touched = saved(labelled.join(least, "label").select("class", "component"), "touched")
+    out = rows.join(_small(touched), "class", "left")
+    linked = (F.col("size") > 0) & F.col("key").isNotNull() & F.col("component").isNotNull()
+    return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("key")).alias("component"))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one chunk holds at most, unless a single document is longer.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 

@@ -71,8 +71,31 @@ def test_product_of_blocks():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, 80, dtype=np.uint64)
     rows = [np.unique(np.concatenate((base[rng.random(80) < 0.93], rng.integers(0, 1 << 60, 3, dtype=np.uint64)))) for _ in range(30)]
-    want = {(a, b) for a in range(30) for b in range(a) if 100 * len(np.intersect1d(rows[a], rows[b])) >= 75 * len(np.union1d(rows[a], rows[b]))}
-    x, y = j.product_links(rows, None, 75)
-    assert set(zip(x.tolist(), y.tolist(), strict=True)) == want and want
-    x, y = j.product_links(rows[:10], rows[10:], 75)
-    assert {(a, b + 10) for a, b in zip(x.tolist(), y.tolist(), strict=True)} == {(b, a) for a, b in want if a >= 10 > b}
+    rows += [rng.integers(0, 1 << 60, 70, dtype=np.uint64) for _ in range(5)] + [np.unique(np.concatenate((base[:3], rng.integers(0, 1 << 60, 70, dtype=np.uint64))))]
+    size = np.array([len(x) for x in rows])
+    stored = [np.sort(x)[: j._stored(len(x), 75)] for x in rows]
+    want = {(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(np.intersect1d(rows[a], rows[b])) >= 75 * len(np.union1d(rows[a], rows[b]))}
+    x, y = j.tile_pairs(stored, None, size, None, 75)
+    got = set(zip(x.tolist(), y.tolist(), strict=True))
+    assert want and want <= got and max(map(max, got)) < 30
+    x, y = j.tile_pairs(stored[:10], stored[10:], size[:10], size[10:], 75)
+    assert {(a, b + 10) for a, b in zip(x.tolist(), y.tolist(), strict=True)} == {(b, a) for a, b in got if a >= 10 > b}
+
+
+def test_groups_whose_centre_links_with_nothing(spark, monkeypatch):
+    """Rounds of forests and refuted pairs end with every link found."""
+    monkeypatch.setattr(j, "TILE", 8)
+    for rounds, few in ((0, 0), (3, 0), (3, 4)):
+        monkeypatch.setattr(j, "FOREST_ROUNDS", rounds)
+        monkeypatch.setattr(j, "FEW_PAIRS", few)
+        rng = random.Random(3)
+        core = [f"c{k}" for k in range(40)]
+        docs = [(0, " ".join(core + [f"z{k}" for k in range(40)]))]
+        for k in range(40):
+            own = [f"f{k % 4}x{i}" for i in range(25)]
+            t = core + own
+            for _ in range(k % 3):
+                t[rng.randrange(len(t))] = f"n{rng.randrange(1000)}"
+            docs.append((k + 1, " ".join(t)))
+        got = sorted((r.doc_id, r.n_shingles, r.component) for r in j.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+        assert got == brute(docs)
