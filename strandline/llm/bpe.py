@@ -27,7 +27,7 @@ from strandline.llm import text as tx
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
 #: Bytes of text whose words share one pair index; larger chunks repeat fewer merges.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def byte_chars() -> list[str]:
@@ -47,6 +47,7 @@ class Vocabulary:
         self.tokens = [""] * (1 + max([*ids.values(), *self.special.values()]))
         for token, i in [*ids.items(), *self.special.items()]:
             self.tokens[i] = token
+        self.texts = pa.array(self.tokens, pa.string())
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         chars = byte_chars()
         self.inner = np.array([ids[c] for c in chars], np.int32)
@@ -193,6 +194,21 @@ def encode_texts(vocabulary: Vocabulary, texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
 
+def decode_ids(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    """The text of each list of ids of an Arrow array."""
+    if lists.null_count:
+        lists = lists.fill_null([])
+    tokens = vocabulary.texts
+    flat = lists.flatten()
+    keep = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))).fill_null(False)
+    bounds = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
+    if pc.sum(keep).as_py() not in (len(flat), None):
+        bounds = np.concatenate(([0], np.cumsum(keep.to_numpy(zero_copy_only=False))))[bounds]
+        flat = flat.filter(keep)
+    parts = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), tokens.take(flat))
+    return pc.binary_join(parts, " ")
+
+
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     names = [x for x in batch.schema.names if x != name]
     return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), column], names=[*names, name])
@@ -225,18 +241,21 @@ def decode(df: DataFrame, vocabulary: Broadcast, ids: str = "ids", decoded: str
 
     def run(batches):
         v = _vocabulary(vocabulary.value)
-        tokens = pa.array(v.tokens, pa.string())
         for batch in batches:
-            lists = batch.column(ids)
-            if lists.null_count:
-                lists = lists.fill_null([])
-            flat = lists.flatten()
-            keep = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))).fill_null(False)
-            bounds = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
-            if pc.sum(keep).as_py() != len(flat):
-                bounds = np.concatenate(([0], np.cumsum(keep.to_numpy(zero_copy_only=False))))[bounds]
-                flat = flat.filter(keep)
-            parts = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), tokens.take(flat))
-            yield _with(batch, decoded, pc.binary_join(parts, " "))
+            yield _with(batch, decoded, decode_ids(v, batch.column(ids)))
 
     return df.mapInArrow(run, _schema(df, decoded, T.StringType()))
+
+
+def round_trip(df: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both at once, by one Python worker a task: each text's ids, and the text decoded from them. The text itself is left out."""
+    fields = [f for f in df.schema.fields if f.name not in (text, ids, decoded)]
+    out = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
+    def run(batches):
+        v = _vocabulary(vocabulary.value)
+        for part in tx.chunks(batches, text, CHUNK_BYTES):
+            coded = encode_texts(v, part.column(text))
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), coded, decode_ids(v, coded)], names=out.names)
+
+    return df.mapInArrow(run, out)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, decontaminate, hmm, hnsw, htmltree, jaccard, langid, licenses, linechunks, warc
+from strandline.llm.work import small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -106,8 +107,14 @@ def op7_hidden_markov_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write(table(spark, sf_dir, "pages"), path)
-    kind = table(spark, sf_dir, "pages").schema["page_id"].dataType
-    return warc.read(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").try_cast(kind).alias("refers_to"))
+    return archived(spark, path)
+
+
+def archived(spark: SparkSession, path: str) -> DataFrame:
+    """What an archive's records are, from the payloads and records read back."""
+    read = warc.read(spark, path)
+    kind = read.schema["key"].dataType
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").try_cast(kind).alias("refers_to"))
 
 
 _SQL["op8_content_addressed_warc"] = """
@@ -130,8 +137,8 @@ def encoded_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id with the digests of its token ids and of the text decoded from them."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
     vocabulary = docs.sparkSession.sparkContext.broadcast(bpe.vocabulary_bytes(path))
-    coded = bpe.encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    both = bpe.decode(coded, vocabulary)
+    small_batches(docs.sparkSession)
+    both = bpe.round_trip(docs.select("doc_id", "text"), vocabulary)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -92,19 +92,23 @@ def read(spark, path: str) -> DataFrame:
     """Reads an archive back: every record's header with its payload, rebuilt by a join on the address.
 
     Columns: key, header, record (the exact bytes as they stand in a WARC file; a revisit has none of the
-    payload), payload (of the record it refers to), and what the header says. Fails on a payload whose
-    digest or length isn't what its header states.
+    payload), payload (of the record it refers to), payload_bytes and payload_digest (both computed from the stored bytes), and
+    record_type, url and refers as the rebuilt record's header block states them. Fails on a payload whose digest or length isn't what
+    its address and its header state, and on a record without payload, whichever of these columns are asked for.
     """
-    payloads = spark.read.parquet(f"{path}/payloads")
-    headers = spark.read.parquet(f"{path}/headers")
-    field = lambda label: F.regexp_extract("header", rf"(?md)^{label}: ([^\r\n]*)\r$", 1)
-    out = headers.join(payloads, "sha256", "left")
-    out = out.withColumns({"record_type": field("WARC-Type"), "url": field("WARC-Target-URI"), "payload_digest": F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", ""), "payload_bytes": field("X-Payload-Length").try_cast("long"), "refers": F.regexp_extract(field("WARC-Refers-To"), r"^<urn:page:(.*)>$", 1)})
-    good = (F.sha2("payload", 256) == F.col("sha256")) & (base32_sha1(F.col("payload")) == F.col("payload_digest")) & (F.octet_length("payload") == F.col("payload_bytes"))
-    out = out.withColumn("payload", F.when(F.coalesce(good, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload of record "), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(" is damaged")))))
-    tail = F.encode(F.lit(EOL * 2), "UTF-8")
-    body = F.when(F.col("record_type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
-    return out.withColumn("record", F.concat(F.encode("header", "UTF-8"), body, tail))
+    stored = spark.read.parquet(f"{path}/payloads")
+    stored = stored.withColumns({"intact": F.sha2("payload", 256) == F.col("sha256"), "payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
+    out = spark.read.parquet(f"{path}/headers").join(stored, "sha256", "left")
+    revisit = F.col("header").startswith(f"WARC/1.1{EOL}WARC-Type: revisit{EOL}")
+    body = F.when(revisit, F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
+    out = out.withColumn("record", F.concat(F.encode("header", "UTF-8"), body, F.encode(F.lit(EOL * 2), "UTF-8")))
+    head = F.decode(F.substring(F.col("record"), F.lit(1), F.octet_length("header")), "UTF-8")
+    field = lambda label: F.regexp_extract("_head", rf"(?md)^{label}: ([^\r\n]*)\r$", 1)
+    out = out.withColumn("_head", head)
+    good = F.col("intact") & (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (field("X-Payload-Length") == F.col("payload_bytes").cast("string"))
+    damaged = F.raise_error(F.concat(F.lit("payload of record "), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(" is damaged")))
+    checked = lambda c: F.when(F.coalesce(good, F.lit(False)), c).otherwise(damaged)
+    return out.select("key", "header", "record", checked(F.col("payload")).alias("payload"), checked(F.col("payload_bytes")).alias("payload_bytes"), checked(F.col("payload_digest")).alias("payload_digest"), checked(field("WARC-Type")).alias("record_type"), field("WARC-Target-URI").alias("url"), F.regexp_extract(field("WARC-Refers-To"), r"^<urn:page:(.*)>$", 1).alias("refers"))
 
 
 def write_files(archive: DataFrame, path: str, records_per_file: int = 10_000) -> None:

@@ -1,7 +1,10 @@
 import base64
 import hashlib
 
-from strandline.llm import warc
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.llm import queries, warc
 from strandline.llm.work import new_path
 
 PAGES = [(3, "http://a", "<p>one</p>"), (1, "http://b", "<p>one</p>"), (2, "http://c\r\nX: y", "é WARC/1.1\r\n\r\n"), (4, None, None), (5, "http://e", ""), (6, "http://f", "z" * 100_000), (7, "http://g", "own")]
@@ -42,3 +45,17 @@ def test_files_hold_all_records(spark, tmp_path):
     data = b"".join(f.read_bytes() for f in sorted((tmp_path / "files").glob("*.txt")))
     assert len(data) == sum(len(bytes(r.record)) for r in a.collect())
     assert data.count(b"WARC-Record-ID: ") == len(PAGES)
+
+
+def test_query_reads_payloads_and_fails_on_a_damaged_byte(spark):
+    path = new_path(spark, "warc")
+    warc.write(spark.createDataFrame(PAGES, "page_id long, url string, html string"), path)
+    assert queries.archived(spark, path).count() == len(PAGES)
+    plan = queries.archived(spark, path)._jdf.queryExecution().toString()
+    assert "payload:binary" in plan and "raise_error" in plan
+    stored = spark.read.parquet(f"{path}/payloads")
+    damaged = stored.withColumn("payload", F.when(F.octet_length("payload") == 100_000, F.encode(F.concat(F.lit("y"), F.repeat(F.lit("z"), 99_999)), "UTF-8")).otherwise(F.col("payload")))
+    rows = damaged.collect()
+    spark.createDataFrame(rows, stored.schema).write.mode("overwrite").parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="payload of record 6 is damaged"):
+        queries.archived(spark, path).collect()
