@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.graph import components, forest
-from strandline.llm.work import saved
+from strandline.llm.work import Scope, saved, small_batches
 
 THRESHOLD = 0.9
-#: Shards at least, and vectors of a shard at most (a shard's graph must fit in a task).
+#: Shards at least, and vectors and their bytes of a shard at most (a shard's graph must fit in a task).
 SHARDS = 6
 SHARD_ROWS = 200_000
+SHARD_BYTES = 192 << 20
 #: Links of a node on upper layers; the ground layer has twice as many.
 DEGREE = 12
 BUILD_BEAM = 48
@@ -31,8 +32,12 @@ FIRST_BEAM = 32
 #: Recall of links that the audit asks for, and its queries per shard.
 AUDIT_RECALL = 0.98
 AUDIT_QUERIES = 256
+#: How far the audit's queries are moved from stored vectors: to a cosine of 0.98, and to one just above the threshold of 0.9.
+AUDIT_NOISE = (0.2, 0.46)
 #: Vectors of a block of queries.
 BLOCK = 2048
+#: Bytes of linked vectors that are broadcast at most; more are joined.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass
@@ -41,6 +46,7 @@ class Graph:
     layers: list[np.ndarray]
     order: np.ndarray
     beam: int = FIRST_BEAM
+    recall: float = 1.0
 
 
 def _search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -210,25 +216,29 @@ def audited(graph: Graph, threshold: float = THRESHOLD, recall: float = AUDIT_RE
     pick = np.sort(np.random.default_rng(seed).permutation(n)[:queries])
     noise = np.random.default_rng(seed + 1).normal(size=(len(pick), graph.vectors.shape[1])).astype(np.float32)
     noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-    probes = graph.vectors[pick] + 0.2 * noise  # as a near copy would ask
+    scale = np.resize(np.array(AUDIT_NOISE, np.float32), len(pick))
+    probes = graph.vectors[pick] + scale[:, None] * noise  # as near copies and the farthest links would ask
     probes /= np.linalg.norm(probes, axis=1, keepdims=True)
     truth = [np.flatnonzero(h) for h in probes @ graph.vectors.T >= threshold]
     total = sum(map(len, truth))
     while graph.beam < n:
         found = query(graph, probes, threshold)
         hit = sum(len(np.intersect1d(a, b)) for a, b in zip(found, truth, strict=True))
+        graph.recall = hit / total if total else 1.0
         if hit >= recall * total:
             break
         graph.beam *= 2
+    else:
+        graph.recall = 1.0
     return graph
 
 
 def classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Distinct usable vectors: id (smallest key), copies, and the vector as doubles."""
+    """Distinct usable vectors: id (smallest key), copies, the vector as doubles and a hash of it."""
     good = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good &= F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
     usable = vectors.where(F.col(key).isNotNull()).where(F.coalesce(good, F.lit(False))).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    return usable.groupBy("vector").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("copies"))
+    return usable.groupBy(F.xxhash64("vector").alias("hash"), "vector").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -241,7 +251,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-GRAPH_SCHEMA = "shard int, width int, ids binary, copies binary, vectors binary, layers array<binary>, degrees array<int>, beam int"
+GRAPH_SCHEMA = "shard int, width int, ids binary, copies binary, vectors binary, layers array<binary>, degrees array<int>, beam int, recall double"
 
 
 def build_shards(distinct: DataFrame, shards: int) -> DataFrame:
@@ -251,44 +261,50 @@ def build_shards(distinct: DataFrame, shards: int) -> DataFrame:
         x = _unit(_matrix(table.column("vector")))
         graph = audited(build(x.astype(np.float32)))
         order = graph.order
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "width": pa.array([x.shape[1]], pa.int32()), "ids": [table.column("id").to_numpy()[order].tobytes()], "copies": [table.column("copies").to_numpy()[order].tobytes()], "vectors": [x[order].tobytes()], "layers": [[v.astype(np.int32).tobytes() for v in graph.layers]], "degrees": pa.array([[v.shape[1] for v in graph.layers]], pa.list_(pa.int32())), "beam": pa.array([graph.beam], pa.int32())}).cast(pa.schema([("shard", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("layers", pa.list_(pa.binary())), ("degrees", pa.list_(pa.int32())), ("beam", pa.int32())]))
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "width": pa.array([x.shape[1]], pa.int32()), "ids": [table.column("id").to_numpy()[order].tobytes()], "copies": [table.column("copies").to_numpy()[order].tobytes()], "vectors": [x[order].tobytes()], "layers": [[v.astype(np.int32).tobytes() for v in graph.layers]], "degrees": pa.array([[v.shape[1] for v in graph.layers]], pa.list_(pa.int32())), "beam": pa.array([graph.beam], pa.int32()), "recall": pa.array([graph.recall], pa.float64())}).cast(pa.schema([("shard", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("layers", pa.list_(pa.binary())), ("degrees", pa.list_(pa.int32())), ("beam", pa.int32()), ("recall", pa.float64())]))
 
     dealt = distinct.withColumns({"shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), "width": F.size("vector")})
     return dealt.groupBy("shard", "width").applyInArrow(run, GRAPH_SCHEMA)
 
 
-def links(distinct: DataFrame, threshold: float = THRESHOLD, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Of distinct vectors: (id, n: other rows linked directly in other classes) and edges (a, b) that span the links found.
+def links(distinct: DataFrame, scope: Scope, threshold: float = THRESHOLD, shards: int | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """Of distinct vectors: (id, n: other rows linked directly in other classes), edges (a, b) that span the links found, and the least recall of the shards' audits.
 
-    Every vector asks every shard's graph. A task of a block and a shard gives its links as counts and as a forest.
+    Every vector asks every shard's graph. Queries are dealt to parts of about a shard's size; a task holds one graph and lets the blocks of
+    one part pass, so a graph moves once for every part and a query once for every shard. It gives the links as counts and as forests.
     """
-    n = distinct.count()
-    shards = shards or max(SHARDS, -(-n // SHARD_ROWS))
-    graphs = saved(build_shards(distinct, shards), "graphs")
-    blocks = max(1, -(-n // BLOCK))
+    spark = distinct.sparkSession
+    n, width = distinct.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    size = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * (width or 1))))
+    shards = shards or max(SHARDS, -(-n // size))
+    parts = max(1, -(-n // size), -(-2 * spark.sparkContext.defaultParallelism // shards))
+    graphs = scope.saved(build_shards(distinct, shards), "graphs")
+    recall = graphs.agg(F.min("recall")).first()[0]
+    blocks = max(parts, -(-n // BLOCK))
 
     def pack(table: pa.Table) -> pa.Table:
         x = _unit(_matrix(table.column("vector")))
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "width": pa.array([x.shape[1]], pa.int32()), "q_ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()), "q_vectors": pa.array([x.tobytes()], pa.binary())})
 
     dealt = distinct.withColumns({"block": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"), "width": F.size("vector")})
-    queries = saved(dealt.groupBy("block", "width").applyInArrow(pack, "block int, width int, q_ids binary, q_vectors binary"), "query-blocks")
+    queries = scope.saved(dealt.groupBy("block", "width").applyInArrow(pack, "block int, width int, q_ids binary, q_vectors binary"), "query-blocks")
 
     def run(batches):
-        kept: tuple = (None, None)
+        cell = lambda batch, name, row: batch.column(name)[row]
+        held, exact, graph = None, None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                cell = lambda name, row=row, batch=batch: batch.column(name)[row].as_py()
-                width = cell("width")
-                ids = np.frombuffer(cell("ids"), np.int64)
-                if kept[0] != (cell("shard"), width):
-                    exact = np.frombuffer(cell("vectors"), np.float64).reshape(-1, width)
-                    layers = [np.frombuffer(v, np.int32).reshape(-1, d).astype(np.int64) for v, d in zip(cell("layers"), cell("degrees"), strict=True)]
-                    kept = ((cell("shard"), width), (exact, Graph(exact.astype(np.float32), layers, np.arange(len(exact)), cell("beam"))))
-                exact, graph = kept[1]
-                copies = np.frombuffer(cell("copies"), np.int64)
-                q_ids = np.frombuffer(cell("q_ids"), np.int64)
-                q = np.frombuffer(cell("q_vectors"), np.float64).reshape(-1, width)
+                at = tuple(cell(batch, c, row).as_py() for c in ("shard", "part", "width"))
+                if cell(batch, "block", row).as_py() < 0:
+                    ids, copies = (np.frombuffer(cell(batch, c, row).as_buffer(), np.int64) for c in ("ids", "copies"))
+                    exact = np.frombuffer(cell(batch, "vectors", row).as_buffer(), np.float64).reshape(-1, at[2])
+                    layers = [np.frombuffer(v, np.int32).reshape(-1, d) for v, d in zip(cell(batch, "layers", row).as_py(), cell(batch, "degrees", row).as_py(), strict=True)]
+                    held, graph = at, Graph(exact.astype(np.float32), layers, np.arange(len(exact)), cell(batch, "beam", row).as_py())
+                    continue
+                if at != held:  # no stored vector of this length in the shard
+                    continue
+                q_ids = np.frombuffer(cell(batch, "q_ids", row).as_buffer(), np.int64)
+                q = np.frombuffer(cell(batch, "q_vectors", row).as_buffer(), np.float64).reshape(-1, at[2])
                 found = query(graph, q.astype(np.float32), threshold)
                 counts = np.zeros(len(q), np.int64)
                 edges: list[np.ndarray] = []
@@ -305,24 +321,38 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, shards: int | None
                     for tree in forest([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])]):
                         yield pa.RecordBatch.from_arrays([tree.column("a"), pa.nulls(tree.num_rows, pa.int64()), tree.column("b")], names=["a", "n", "b"])
 
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "width"])
-    found = saved(asked.repartition(shards * blocks, "shard", "block").mapInArrow(run, "a bigint, n bigint, b bigint"), "vector-links")
-    return found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), found.where("b is not null").select("a", "b")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    stored = graphs.select("shard", every(parts).alias("part"), "width", F.lit(-1).alias("block"), "ids", "copies", "vectors", "layers", "degrees", "beam")
+    asked = queries.select(every(shards).alias("shard"), (F.col("block") % parts).alias("part"), "width", "block", "q_ids", "q_vectors")
+    both = stored.unionByName(asked, allowMissingColumns=True).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "width", "block")
+    found = scope.saved(both.mapInArrow(run, "a bigint, n bigint, b bigint"), "vector-links")
+    return found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), found.where("b is not null").select("a", "b"), recall
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """For each row: key, n_links (other rows linked directly), component (smallest key reachable), kept.
+    """For each row: key (an integer), n_links (other rows linked directly), component (smallest key reachable), kept, and
+    audit_recall, the least recall of links that a shard's audit measured.
 
     Rows with equal vectors are one class. A row whose vector is null, empty, all zero or holds a null or
     non-finite component links with nothing, as does one with a null key; vectors of different length never link.
     """
-    distinct = saved(classes(vectors, key, vector), "vectors")
-    counts, edges = links(distinct, threshold)
-    labels = components(edges).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
-    found = distinct.select("vector", "id", "copies").join(counts, "id", "left").join(labels, "id", "left")
-    least = found.select("vector", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("label", "id").alias("component"))
-    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    out = rows.join(least, "vector", "left")
-    linked = F.col("key").isNotNull() & F.col("component").isNotNull()
-    out = out.select(F.col("key").alias(key), F.when(linked, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(linked, F.col("component")).otherwise(F.col("key")).cast("long").alias("component"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component"), F.lit(True)))
+    small_batches(vectors.sparkSession)
+    with Scope(vectors.sparkSession) as scope:
+        distinct = scope.saved(classes(vectors, key, vector), "vectors")
+        counts, edges, recall = links(distinct, scope, threshold)
+        labels = components(edges).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
+        found = distinct.select("hash", "vector", "id", "copies").join(counts, "id", "left").join(labels, "id", "left")
+        least = found.select("hash", "vector", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("label", "id").alias("component"))
+        # vectors without copies or links are their own component; the others are few, or joined by a hash of the vector
+        linked = saved(least.where("n_links > 0"), "linked-vectors")
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("own")).withColumn("own_hash", F.xxhash64("own"))
+    small = F.broadcast(linked) if linked.count() * 8 * _width(linked) <= BROADCAST_BYTES else linked
+    out = rows.join(small, (F.col("own_hash") == F.col("hash")) & (F.col("own") == F.col("vector")), "left")
+    known = F.col("key").isNotNull() & F.col("component").isNotNull()
+    out = out.select(F.col("key").alias(key), F.when(known, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(known, F.col("component")).otherwise(F.col("key")).alias("component"))
+    return out.withColumns({"kept": F.coalesce(F.col(key) == F.col("component"), F.lit(True)), "audit_recall": F.lit(recall).cast("double")})
+
+
+def _width(linked: DataFrame) -> int:
+    """Components of the longest vector."""
+    return linked.agg(F.max(F.size("vector"))).first()[0] or 1
