@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import text as tx
-from strandline.llm.work import new_path, saved
+from strandline.llm.work import Scope, saved, small_batches
 
 WINDOW = 13
 #: Words beyond the window's length over which a proximity match may spread to either side.
@@ -55,6 +55,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             one = lambda v, kind: pa.array([v], pa.list_(kind))
             yield pa.RecordBatch.from_arrays([one(part.column(key).cast(pa.int64()), pa.int64()), one(ends, pa.int32()), one(terms.take(pa.array(by)), pa.binary()), one(term_ends, pa.int32()), pa.array([steps.astype(np.int32).tobytes()], pa.binary())], names=["doc_ids", "token_ends", "terms", "term_ends", "steps"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, INDEX_SCHEMA)
 
 
@@ -232,13 +233,13 @@ def search(index: DataFrame, benchmark: DataFrame, item: str = "item_id", text:
     return found.select("doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), "spans", F.array_sort("items").alias("items"), F.array_sort("near_items").alias("near_items"))
 
 
-def stored_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index as a table in the shared folder, each segment with a number."""
-    table = saved(build_index(docs, key, text), "postings", path=new_path(docs.sparkSession, "postings"))
+def stored_index(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: Scope | None = None) -> DataFrame:
+    """The index as a table in the shared folder, each segment with a number. It lives as long as the scope, if one is given."""
+    table = (scope.saved if scope else saved)(build_index(docs, key, text), "postings")
     return table.withColumn("segment", F.monotonically_increasing_id())
 
 
-def report(docs: DataFrame, benchmark: DataFrame, least_share: int = 20) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, least_share: int = 20, scope: Scope | None = None) -> DataFrame:
     """For each document: counts, matched items and whether it is contaminated: at least 1/least_share of its words are hit."""
-    found = search(stored_index(docs), benchmark)
+    found = search(stored_index(docs, scope=scope), benchmark)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least_share >= F.col("n_words")))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import text as tx
-from strandline.llm.work import dropped, new_path, saved
+from strandline.llm.work import dropped, new_path, saved, small_batches
 
 #: Importance under which a branch is removed.
 THRESHOLD = 0.4
@@ -268,6 +268,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
     to the pages. A column named as ``text`` is replaced.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     at = new_path(spark, "style-nodes")
     found = saved(nodes(pages, url, html), "style-nodes", at)
     measured = saved(importance(found), "measured-paths", new_path(spark, "measured-paths"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import text as tx
+from strandline.llm.work import small_batches
 
 BLOCK = 128
 HIDDEN = 8
@@ -25,8 +26,6 @@ PIECE = 64
 #: Bound of the training sample: about so many rows of each label are fitted on, PIECES pieces of each.
 ROWS_PER_LABEL = 1000
 PIECES = 3
-#: Labels that are learned at most, the most frequent ones.
-MAX_LABELS = 200
 #: Steps of Adam, whatever the size of the sample.
 STEPS = 400
 _WIDTH = 2048
@@ -188,11 +187,11 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows_per_label: int = ROWS_PER_LABEL, seed: int = 7) -> Network | None:
     """Trains on about ``rows_per_label`` rows of each label, chosen by a hash of their key; None without labelled text.
 
-    Labels are counted over all rows. The driver gets at most MAX_LABELS labels and, of the chosen rows,
+    Labels are counted over all rows and every one is learned. The driver gets the labels' counts and, of the chosen rows,
     PIECES pieces of PIECE characters spread evenly over each text. Rows without label or letters don't count.
     """
     labelled = df.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = dict(df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string")).count().orderBy(F.desc("count"), label).limit(MAX_LABELS).collect())
+    counts = dict(df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string")).count().collect())
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, 1.1 * rows_per_label / n))])
@@ -224,6 +223,7 @@ def predict(df: DataFrame, net: Network | None, text: str = "text") -> DataFrame
             columns = [part.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([net.labels[k] for k in best], pa.string()), pa.array(np.minimum(p[np.arange(len(p)), best], 1.0))], names=[*(f.name for f in fields), "lang_pred", "score"])
 
+    small_batches(df.sparkSession)
     out = base.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     known = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return out.withColumns({"lang_pred": F.when(known, F.col("lang_pred")).otherwise(UNKNOWN), "score": F.when(known, F.col("score")).otherwise(0.0)})
