@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, jaccard, langid, linechunks, queries
-from strandline.llm.work import new_path, saved
+from strandline.llm.work import Scope, dropped, new_path, released, saved
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which at least a twentieth of the words stand in benchmark windows."""
-    found = decontaminate.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
+    with Scope(spark) as scope:
+        found = decontaminate.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scope=scope)
+        gone = saved(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    released(spark)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -78,6 +80,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}", new_path(spark, f"stage-{name}"))
+        at = new_path(spark, f"stage-{name}")
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}", at)
+        if last:
+            dropped(spark, last)
+        last = at
+        released(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
