@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from strandline.llm.work import dropped, new_path, saved
 
 
+#: Edges (two numbers each) that one task may take at most.
+FEW_EDGES = 500_000
+
+
 def forest(batches, first: str = "a", second: str = "b"):
     """Of one partition's edges, a spanning forest: each node with the smallest id of its tree."""
     up: dict[int, int] = {}
@@ -32,6 +36,11 @@ def forest(batches, first: str = "a", second: str = "b"):
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64())], names=["a", "b"])
 
 
+def _labels(stars: DataFrame) -> DataFrame:
+    """Of edges from each node to its component's smallest id, the component of every node."""
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Of edges (a, b) of longs: (node, component), component being the smallest id reachable.
 
@@ -39,11 +48,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smaller ones, to the smallest node it knows. The minimum of a node is aggregated before it is
     shuffled, and joins on a node with very many edges are plain equi-joins that AQE may split.
     Nulls and loops are dropped. Nodes without edges have no row. Stops when the edges no longer change.
+    Edges that are few once each partition has made a forest of its own are settled by one more forest, in one task.
     """
     spark = edges.sparkSession
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     at = new_path(spark, "edges")
-    edges = saved(edges.mapInArrow(forest, "a long, b long").distinct(), "edges", at)
+    edges = saved(edges.mapInArrow(forest, "a long, b long"), "edges", at)
+    if edges.count() <= FEW_EDGES:
+        trees = saved(edges.coalesce(1).mapInArrow(forest, "a long, b long"), "trees")
+        dropped(spark, at)
+        return _labels(trees)
     seen = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -56,7 +70,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         dropped(spark, last)
         if state == seen:
-            leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            return leaves.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            return _labels(edges)
         seen = state
     raise RuntimeError(f"components still change after {rounds} rounds")

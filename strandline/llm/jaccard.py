@@ -181,16 +181,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _sets_of(docs: DataFrame, key: str, text: str, n: int, chosen: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, key: str, text: str, n: int, chosen: DataFrame, few: bool) -> DataFrame:
     """Whole sets (class, entries) of chosen documents (class, key), made again from the texts.
 
     Few documents are picked by a broadcast join; of many, a filter picks those whose texts are split, and a join drops what it let pass.
     """
     spark = docs.sparkSession
-    few = chosen.count() <= BROADCAST_ROWS
     base = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), text)
     if few:
-        base, shared = base.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").withColumn("bit", F.lit(0)), None
+        base, shared = base.join(F.broadcast(chosen.select("key")), "key", "left_semi").withColumn("bit", F.lit(0)), None
     else:
         shared = spark.sparkContext.broadcast(_filter_of(chosen.select(F.col("key").alias("id"))))
         base = base.withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS)).cast("int"))
@@ -222,24 +221,20 @@ def _bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         if few:  # only the sketches asked for move
             sketches_of = sketches.join(F.broadcast(pairs0.select(F.col(side).alias("class")).distinct()), "class", "left_semi")
         pairs = sketches_of.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(name)).join(F.broadcast(pairs) if few and side == "a" else pairs, side)
-    return pairs.select("a", "b", "left", "right", "size_a", "size_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.select("a", "b", "left", "right", "size_a", "size_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(docs: DataFrame, key: str, text: str, n: int, percent: int, classes: DataFrame, pairs: DataFrame, scope: Scope) -> DataFrame:
+def _verified(docs: DataFrame, key: str, text: str, n: int, percent: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of classes with whether their whole sets are similar enough (linked).
 
-    classes: class, size and the key of one document. The set of a stays where it is made if pairs are few enough; that of b
+    classes: class, size and the key of one document. If pairs are few, the set of a stays where it is made; that of b
     is broadcast if all of them together are small. One row of a class is used, so repeated keys do no harm.
     """
-    sizes = classes.select("class", "size", "key")
-
-    def chosen(side: str) -> DataFrame:
-        return scope.saved(sizes.join(_small(scope.saved(pairs.select(F.col(side).alias("class")).distinct(), f"{side}-classes")), "class", "left_semi"), f"{side}-chosen")
-
-    left, right = chosen("a"), chosen("b")
-    few = 8 * (right.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_BYTES
-    right_sets = _sets_of(docs, key, text, n, right.select("class", "key")).select(F.col("class").alias("b"), F.col("entries").alias("right"))
-    right_sets = scope.saved(right_sets, "hub-sets")
+    few = pairs.count() <= BROADCAST_ROWS
+    asked = lambda side: F.broadcast(pairs.select(F.col(side).alias("class"))) if few else pairs.select(F.col(side).alias("class")).distinct()
+    left, right = (classes.select("class", "size", "key").join(asked(side), "class", "left_semi") for side in "ab")
+    light = 8 * (right.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_BYTES
+    right_sets = _sets_of(docs, key, text, n, right.select("class", "key"), few).select(F.col("class").alias("b"), F.col("entries").alias("right"))
 
     def count(batches):
         for batch in batches:
@@ -250,9 +245,9 @@ def _verified(docs: DataFrame, key: str, text: str, n: int, percent: int, classe
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    joined = _sets_of(docs, key, text, n, left.select("class", "key")).select(F.col("class").alias("a"), F.col("entries").alias("left")).join(_small(pairs), "a")
-    joined = joined.join(F.broadcast(right_sets) if few else right_sets, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(count, "a bigint, b bigint, linked boolean").distinct()
+    left_sets = _sets_of(docs, key, text, n, left.select("class", "key"), few).select(F.col("class").alias("a"), F.col("entries").alias("left"))
+    joined = left_sets.join(F.broadcast(pairs) if few else pairs, "a").join(F.broadcast(right_sets) if light else right_sets, "b")
+    return joined.select("a", "b", "left", "right").mapInArrow(count, "a bigint, b bigint, linked boolean")
 
 
 def tile_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, size_left: np.ndarray, size_right: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +278,7 @@ def tile_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, size_left
     return np.nonzero(near)
 
 
-def _group_pairs(packed: DataFrame, sketches: DataFrame, large: DataFrame, labels: DataFrame, refuted: DataFrame | None, percent: int, whole: bool) -> DataFrame:
+def _group_pairs(packed: DataFrame, sketches: DataFrame, large: DataFrame, labels: DataFrame, refuted: DataFrame | None, percent: int, whole: bool, scope: Scope) -> DataFrame:
     """Pairs (a, b, group, more) of different components within large groups that their stored entries don't rule out.
 
     The classes of a group's most frequent component needn't meet each other. The others, and those against them, are dealt to tiles
@@ -299,6 +294,7 @@ def _group_pairs(packed: DataFrame, sketches: DataFrame, large: DataFrame, label
     dealt = rows.join(grid, "group").withColumns({"minor": F.col("minor") | F.col("one"), "majors": F.when(F.col("one"), 0).otherwise(F.col("majors"))}).withColumn("tile", F.when(F.col("minor"), F.pmod(F.xxhash64("class"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("class"), F.col("majors"))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1))
     dealt = dealt.select("class", "label", "group", "tile", other.alias("other")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
+    dealt = scope.saved(dealt, "dealt")
 
     def run(table: pa.Table) -> pa.Table:
         def out(a: np.ndarray, b: np.ndarray, more: bool) -> pa.Table:
@@ -340,9 +336,8 @@ def _group_pairs(packed: DataFrame, sketches: DataFrame, large: DataFrame, label
             a, b = a[tree], b[tree]
         return out(ids[a], ids[b], more)
 
-    wanted = dealt.select("class").distinct()
-    few = large.count() <= BROADCAST_ROWS
-    own = lambda table: table.join(F.broadcast(wanted), "class", "left_semi") if few else table
+    few = dealt.count() <= BROADCAST_ROWS
+    own = lambda table: table.join(F.broadcast(dealt.select("class")), "class", "left_semi") if few else table
     cells = dealt.join(own(packed.select("class", "size", "entries")), "class").join(own(sketches.select("class", "sketch")), "class")
     if refuted is None:
         cells = cells.withColumn("refuted", F.array().cast("array<bigint>"))
@@ -366,7 +361,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
         rows = saved(stored.select("key", "size", "class"), "classes")
         # of copies in several chunks the one with the smallest key brings the entries
         first = stored.where("entries is not null").groupBy("class").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("class", "first")
-        again = scope.saved(stored.where("entries is not null").select("class", "key").join(first, "class").where("not key <=> first").select("class", "key").distinct(), "again")
+        first = _small(scope.saved(first, "first-keys"))
+        again = scope.saved(stored.where("entries is not null").select("class", "key").join(first, "class").where("not key <=> first").select("class", "key"), "again")
         mark = _small(again).select(F.col("class").alias("_class"), F.col("key").alias("_key"))
         once = stored.where("entries is not null").join(mark, (F.col("class") == F.col("_class")) & F.col("key").eqNullSafe(F.col("_key")), "left_anti")
         each = once.select("class", "size", "early", F.posexplode("entries").alias("rank", "gram"))
@@ -380,23 +376,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
         released(spark)
 
         # a column's pivot: the row with most of its set in common with others (of copies, the original); a row's group: the pivot it meets most often
-        single = packed.select("class", "size", (F.size("entries") / F.col("size")).alias("met"), F.explode("entries").alias("gram"))
+        single = packed.select("class", "size", (F.size("entries") / F.col("size")).alias("met"), F.size("entries").alias("stored"), F.explode("entries").alias("gram"))
         pivots = single.groupBy("gram").agg(F.max(F.struct("met", F.xxhash64("class").alias("h"), F.col("class").alias("pivot"), F.col("size").alias("pivot_size"))).alias("p")).select("gram", "p.pivot", "p.pivot_size")
-        met = scope.saved(single.select("gram", "class", "size").join(pivots, "gram").groupBy("class", "size", "pivot", "pivot_size").agg(F.count(F.lit(1)).alias("overlap")), "met")
-        members = met.groupBy("class").agg(F.max_by("pivot", F.struct("overlap", "pivot")).alias("group"))
-        members = scope.saved(members.join(packed.select("class", F.size("entries").alias("stored")), "class"), "members")
+        met = scope.saved(single.select("gram", "class", "size", "stored").join(pivots, "gram").groupBy("class", "size", "stored", "pivot", "pivot_size").agg(F.count(F.lit(1)).alias("overlap")), "met")
+        members = scope.saved(met.groupBy("class", "stored").agg(F.max_by("pivot", F.struct("overlap", "pivot")).alias("group")), "members")
         large = members.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP_FROM).select("group")
-        large = scope.saved(members.join(_small(scope.saved(large, "large-names")), "group"), "large-groups")
-        wanted = packed.select("class")
-        chosen = scope.saved(rows.where("key is not null").join(wanted, "class", "left_semi").groupBy("class", "size").agg(F.min("key").alias("key")), "representatives")
+        large = scope.saved(members.join(large, "group"), "large-groups")
+        chosen = scope.saved(rows.where("key is not null and size > 0").groupBy("class", "size").agg(F.min("key").alias("key")), "representatives")
         stars = met.where("class <> pivot").withColumnsRenamed({"class": "a", "pivot": "b", "size": "size_a", "pivot_size": "size_b"}).where(_enough(percent)).select("a", "b")
         released(spark)
 
         def verified(pairs: DataFrame) -> DataFrame:
-            return scope.saved(_verified(docs, key, text, n, percent, chosen, pairs, scope), "verified")
+            return scope.saved(_verified(docs, key, text, n, percent, chosen, pairs), "verified")
 
-        stars = scope.saved(stars, "stars")
-        done = [verified(scope.saved(_bounded(stars, sketches, percent), "stars"))]
+        done = [verified(scope.saved(_bounded(scope.saved(stars, "stars"), sketches, percent), "stars"))]
         labels = scope.saved(components(done[0].where("linked").select("a", "b")), "labels").select(F.col("node").alias("class"), F.col("component").alias("label"))
         released(spark)
 
@@ -407,7 +400,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
         x, y = (cells.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "label", "group")]) for s in "ab")
         pairs = x.join(y, "gram").where(f"class_a < class_b and label_a <> label_b and not coalesce(group_a = group_b, false) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
         pairs = scope.saved(pairs.groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b")).agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count(F.lit(1)).alias("overlap")).where(_enough(percent)).select("a", "b"), "across")
-        inside = scope.saved(_group_pairs(packed, sketches, large, labels, None, percent, whole=False), "inside")
+        inside = scope.saved(_group_pairs(packed, sketches, large, labels, None, percent, False, scope), "inside")
         pairs = scope.saved(_bounded(pairs, sketches, percent).union(inside.select("a", "b")).distinct(), "pairs")
         scope.dropped(cells)
         released(spark)
@@ -421,7 +414,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
             large = scope.saved(large.join(_small(scope.saved(inside.where("more").select("group").distinct(), "unfinished")), "group", "left_semi"), "large-groups")
             if not large.head(1):
                 break
-            inside = scope.saved(_group_pairs(packed, sketches, large, labels, found.where("not linked"), percent, whole=step > FOREST_ROUNDS), "inside")
+            inside = scope.saved(_group_pairs(packed, sketches, large, labels, found.where("not linked"), percent, step > FOREST_ROUNDS, scope), "inside")
             pairs = scope.saved(inside.select("a", "b").distinct(), "pairs")
         return _rows_out(rows, saved(labels, "component-labels"), key)
 
