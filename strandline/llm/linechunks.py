@@ -23,10 +23,9 @@ CHUNK_LINES = 4
 PASSAGE_WORDS = 50
 PASSAGE_LINES = 3
 WINDOW_LINES = 5
-#: Repeated hashes or matches (a few numbers each) that are broadcast at most, and bytes of first copies; more are joined.
+#: Repeated hashes or matches (a few numbers each) and texts' runs that are broadcast at most; more are joined.
 BROADCAST_ROWS = 300_000
 BROADCAST_SPANS = 100_000
-BROADCAST_BYTES = 32 << 20
 
 
 def _bound(df: DataFrame, **columns: Column) -> DataFrame:
@@ -56,13 +55,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return found.where(some).select("key", "version", "first", F.expr("xxhash64(n, slice(hashes, first + 1, n))").alias("h"))
 
 
-def matches(docs: DataFrame, key: str, text: str, scope: Scope) -> DataFrame:
-    """Texts with lines in common and how far they are shifted: key, version, key0, version0, shift.
+def matches(marks: DataFrame, scope: Scope) -> DataFrame:
+    """Of fingerprints, the texts with lines in common and how far they are shifted: key, version, key0, version0, shift.
 
     A chunk or window that stands earlier in the same text is matched with its last place there, any other with the first
-    place of all, in order of key, version and line; nulls sort first among keys. Hashes are counted before anything moves, and only repeated ones keep their places.
+    place of all, in order of key, version and line; nulls sort first among keys. Hashes are counted first, and only repeated ones keep their places.
     """
-    marks = fingerprints(docs, key, text)
     again = scope.saved(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-hashes")
     found = scope.saved(marks.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, "h", "left_semi").distinct(), "repeated-places")
     own = Window.partitionBy("h", "key", "version").orderBy("first")
@@ -78,17 +76,19 @@ def matches(docs: DataFrame, key: str, text: str, scope: Scope) -> DataFrame:
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each text that has some: key, version and the runs of lines (first, last) to remove."""
     with Scope(docs.sparkSession) as scope:
-        pairs = scope.saved(matches(docs, key, text, scope), "matches")
+        marks = scope.saved(fingerprints(docs, key, text), "fingerprints")
+        pairs = scope.saved(matches(marks, scope), "matches")
         few = pairs.count() <= BROADCAST_ROWS
         small = lambda df: F.broadcast(df) if few else df
         texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
         same = lambda a, b: (a["key"].eqNullSafe(b["k"])) & (a["version"] == b["v"])
         wanted = pairs.select(F.col("key0").alias("k"), F.col("version0").alias("v")).distinct()
+        scope.dropped(marks)
+        released(docs.sparkSession)
         first = scope.saved(texts.join(small(wanted), same(texts, wanted), "left_semi").dropDuplicates(["key", "version"]).select(F.col("key").alias("k"), F.col("version").alias("v"), F.col("text").alias("text0")), "first-texts")
-        light = (first.agg(F.sum(F.octet_length("text0"))).first()[0] or 0) <= BROADCAST_BYTES
         asked = pairs.select(F.col("key").alias("k"), F.col("version").alias("v"), "key0", "version0", "shift")
         left = texts.join(small(asked), same(texts, asked)).select("key", "version", "text", "key0", "version0", "shift")
-        both = left.join(F.broadcast(first) if light else first, left["key0"].eqNullSafe(first["k"]) & (left["version0"] == first["v"]))
+        both = left.join(first, left["key0"].eqNullSafe(first["k"]) & (left["version0"] == first["v"]))
         both = _bound(both.select("key", "version", "key0", "version0", "shift", F.split("text", "\n", -1).alias("lines"), F.split("text0", "\n", -1).alias("lines0")), low=F.expr("greatest(0, shift)"), high=F.expr("least(size(lines), size(lines0) + shift) - 1"))
         equal = F.expr("filter(sequence(low, high), i -> lines[i] = lines0[i - shift])")
         lines = both.where("high >= low").select("key", "version", "key0", "version0", "shift", "lines", F.posexplode(equal).alias("k", "line"))
