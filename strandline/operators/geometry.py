@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.rounds import settled
+
 
 def measured(vertices: DataFrame) -> DataFrame:
     """Each vertex with the length and bearing (degrees from north) of the segment that leaves it; the last has length 0 and the bearing before."""
@@ -84,7 +86,7 @@ def merged(ends: DataFrame, tolerance: float) -> DataFrame:
     """Groups of lines that meet within a tolerance (line_id, x0, y0, x1, y1): adds group, the smallest line_id of the chain.
 
     Ends are dealt to grid cells of twice the tolerance and their neighbours; labels then spread along meeting lines,
-    jumping to the least label that any line of a label knows, until nothing changes.
+    jumping to the least label that any line of a label knows, until nothing changes; raises if that takes over 200 rounds.
     """
     e = ends.select("line_id", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p")).select("line_id", "p.x", "p.y")
     size = 2 * tolerance
@@ -92,14 +94,12 @@ def merged(ends: DataFrame, tolerance: float) -> DataFrame:
     around = lambda c: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: cell(c) + k))
     b = e.select(F.col("line_id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"), around("x").alias("cx"), "y").select("other", "bx", "by", "cx", around("y").alias("cy"))
     meets = e.withColumns({"cx": cell("x"), "cy": cell("y")}).join(b, ["cx", "cy"]).where(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")) <= tolerance).select("line_id", "other").distinct().persist()
-    state, previous = ends.select("line_id", F.col("line_id").alias("group")), None
-    for _ in range(64):
+
+    def step(state: DataFrame) -> DataFrame:
         near = meets.join(state.select(F.col("line_id").alias("other"), "group"), "other").groupBy("line_id").agg(F.min("group").alias("near"))
-        state = state.join(near, "line_id").withColumn("group", F.min("near").over(Window.partitionBy("group"))).select("line_id", "group")
-        state = state.checkpoint() if ends.sparkSession.sparkContext.getCheckpointDir() else state.persist()
-        total = state.agg(F.sum("group")).first()[0]
-        if total == previous:
-            break
-        previous = total
+        least = state.join(near, "line_id").groupBy("group").agg(F.min("near").alias("least"))
+        return state.join(least, "group").select("line_id", F.col("least").alias("group"))
+
+    state = settled(ends.select("line_id", F.col("line_id").alias("group")), step, F.xxhash64("line_id", "group"), 200)
     meets.unpersist()
     return ends.join(state, "line_id")

@@ -16,10 +16,11 @@ def nearest_in_time(left: DataFrame, right: DataFrame, by: list[str], time: str,
     merged = left.select("*", F.col(time).alias("_t"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("_r"), F.lit(1).alias("_side"))
     other = right.select(*[F.col(k) for k in by], F.col(right_time).alias("_t"), row.alias("_r"), F.lit(0).alias("_side"))
     merged = merged.unionByName(other, allowMissingColumns=True)
-    # right rows come before left rows of the same time going up, and the first of equal times is kept going down
+    # right rows come before left rows of the same time in both directions; both frames grow from a window's start, so each is one pass
     before = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy("_t", F.desc("_side")).rowsBetween(0, Window.unboundedFollowing)
-    found = merged.withColumns({"_before": F.last("_r", ignorenulls=True).over(before), "_after": F.first("_r", ignorenulls=True).over(after)}).where("_side = 1")
+    after = Window.partitionBy(*by).orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("_r", ignorenulls=True)
+    found = merged.withColumns({"_before": last.over(before), "_after": last.over(after)}).where("_side = 1")
     back, ahead = F.col("_t") - F.col(f"_before.{right_time}"), F.col(f"_after.{right_time}") - F.col("_t")
     best = F.when(ahead.isNull() | (back <= ahead), F.col("_before")).otherwise(F.col("_after"))
     found = found.withColumn("_best", best)
@@ -27,19 +28,47 @@ def nearest_in_time(left: DataFrame, right: DataFrame, by: list[str], time: str,
     return found.select(*left.columns, *[F.when(near, F.col(f"_best.{c}")).alias(f"r_{c}") for c in names])
 
 
-def bracketed(left: DataFrame, right: DataFrame, time: str, right_time: str, value: str, bucket: float) -> DataFrame:
-    """Left rows with the right samples at or before and strictly after their time: prev_time, prev, next_time, next.
+#: Parts of a series that are sorted on their own, and intervals between its samples that are broadcast at most.
+SERIES_PARTS = 256
+BROADCAST_INTERVALS = 300_000
 
-    One series serves all left rows. It is dealt out by time buckets, each sample to its own and the two
-    neighbouring ones, so samples up to a bucket's width away are found and no task holds the series.
+
+def intervals(series: DataFrame, time: str, value: str) -> DataFrame:
+    """The intervals between a series' samples: prev_time, prev, next_time, next; one before the first sample and one after the last have nulls.
+
+    The series is cut into parts of time that are sorted on their own; a part's last interval ends at the first sample of the next part that has any.
+    """
+    low, high = series.agg(F.min(time).cast("double"), F.max(time).cast("double")).first()
+    width = ((high or 0.0) - (low or 0.0)) / SERIES_PARTS or 1.0
+    s = series.select(F.col(time).alias("prev_time"), F.col(value).alias("prev"), F.floor((F.col(time) - F.lit(low or 0.0)) / width).alias("_part"))
+    w = Window.partitionBy("_part").orderBy("prev_time")
+    s = s.withColumn("_next", F.lead(F.struct("prev_time", "prev")).over(w))
+    heads = s.groupBy("_part").agg(F.min(F.struct("prev_time", "prev")).alias("_head"))
+    heads = heads.select("_part", "_head", F.lead("_head").over(Window.orderBy("_part")).alias("_later"))  # at most SERIES_PARTS + 1 rows
+    s = s.join(F.broadcast(heads), "_part").withColumn("_next", F.coalesce("_next", "_later"))
+    s = s.select("prev_time", "prev", F.col("_next.prev_time").alias("next_time"), F.col("_next.prev").alias("next"))
+    first = heads.where("_part = 0").select(F.lit(None).cast(s.schema["prev_time"].dataType).alias("prev_time"), F.lit(None).cast(s.schema["prev"].dataType).alias("prev"), F.col("_head.prev_time").alias("next_time"), F.col("_head.prev").alias("next"))
+    return s.union(first)
+
+
+def bracketed(left: DataFrame, right: DataFrame, time: str, right_time: str, value: str, bucket: float | None = None) -> DataFrame:
+    """Left rows with the right samples at or before and strictly after their time, however far: prev_time, prev, next_time, next.
+
+    One series serves all left rows. Its intervals are dealt to time buckets (of a given width, or about one sample to each) and joined on the bucket:
+    by a broadcast if they are few, else by a join in which AQE may split a bucket that many left rows share.
     """
-    samples = right.select(F.col(right_time).alias("_t"), F.struct(F.col(right_time).alias("time"), F.col(value).alias("value")).alias("_r"), F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_k"))
-    samples = samples.select("_t", "_r", (F.floor(F.col("_t") / bucket) + F.col("_k")).alias("_b"), F.lit(0).alias("_side"))
-    merged = left.select("*", F.col(time).alias("_t"), F.floor(F.col(time) / bucket).alias("_b"), F.lit(1).alias("_side")).unionByName(samples, allowMissingColumns=True)
-    before = Window.partitionBy("_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("_b").orderBy("_t", "_side").rowsBetween(1, Window.unboundedFollowing)
-    found = merged.withColumns({"_p": F.last("_r", ignorenulls=True).over(before), "_n": F.first("_r", ignorenulls=True).over(after)}).where("_side = 1")
-    return found.select(*left.columns, F.col("_p.time").alias("prev_time"), F.col("_p.value").alias("prev"), F.col("_n.time").alias("next_time"), F.col("_n.value").alias("next"))
+    n, low, high = right.where(F.col(right_time).isNotNull()).agg(F.count(F.lit(1)), F.min(right_time).cast("double"), F.max(right_time).cast("double")).first()
+    width = bucket or ((high - low) / n if n and high > low else 1.0)
+    low, high = low or 0.0, high or 0.0
+    dealt = lambda t: F.floor((F.greatest(F.least(t.cast("double"), F.lit(high)), F.lit(low)) - F.lit(low)) / width)
+    spread = intervals(right.where(F.col(right_time).isNotNull()), right_time, value)
+    start, end = F.coalesce(F.col("prev_time").cast("double"), F.lit(low)), F.coalesce(F.col("next_time").cast("double"), F.lit(high))
+    spread = spread.select("*", F.explode(F.sequence(dealt(start), dealt(end))).alias("_b"))
+    if 2 * n <= BROADCAST_INTERVALS:
+        spread = F.broadcast(spread)
+    inside = (F.col("prev_time").isNull() | (F.col(time) >= F.col("prev_time"))) & (F.col("next_time").isNull() | (F.col(time) < F.col("next_time")))
+    keyed = left.withColumn("_left", dealt(F.col(time)))
+    return keyed.join(spread, (F.col("_left") == F.col("_b")) & inside, "left").drop("_left", "_b")
 
 
 def interpolated(bracket: DataFrame, time: str) -> Column:
@@ -51,16 +80,24 @@ def interpolated(bracket: DataFrame, time: str) -> Column:
 def in_intervals(left: DataFrame, intervals: DataFrame, time: str, start: str, end: str, order: str, columns: list[str], bucket: float) -> DataFrame:
     """Left rows tagged by the interval [start, end] that holds their time, the one with the highest order; nulls where none does.
 
-    Intervals are dealt to the time buckets that they touch and joined on the bucket.
+    Where intervals overlap, time is first cut at every start and end: a piece belongs to the interval with the highest order. Pieces are
+    disjoint, are dealt to the time buckets that they touch and joined on the bucket, so no left row is shuffled to be made one again.
     """
     b = lambda c: F.floor(c / bucket)
-    spread = intervals.select("*", F.explode(F.sequence(b(F.col(start)), b(F.col(end)))).alias("_b"))
-    keyed = left.withColumns({"_id": F.monotonically_increasing_id(), "_b": b(F.col(time))})
-    pick = spread.select("_b", F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(F.col(order).alias("_o"), *[F.col(c) for c in columns]).alias("_i"))
-    hits = keyed.join(pick, "_b", "left").withColumn("_i", F.when(F.col(time).between(F.col("_s"), F.col("_e")), F.col("_i")))
-    rest = [c for c in left.columns]
-    one = hits.groupBy("_id").agg(*[F.first(c).alias(c) for c in rest], F.max("_i").alias("_i"))
-    return one.select(*rest, *[F.col(f"_i.{c}").alias(c) for c in columns])
+    given = intervals.where(F.col(start) <= F.col(end)).select(F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(F.col(order).alias("_o"), *[F.col(c).alias(c) for c in columns]).alias("_i"))
+    spread = given.select("*", F.explode(F.sequence(b(F.col("_s")), b(F.col("_e")))).alias("_b"))
+    # a piece is a point or the open span up to the next point
+    points = spread.select("_b", F.explode(F.array(F.col("_s").cast("double"), F.col("_e").cast("double"), (F.col("_b") * bucket).cast("double"))).alias("_p")).where(b(F.col("_p")) == F.col("_b")).distinct()
+    pieces = points.withColumn("_q", F.lead("_p").over(Window.partitionBy("_b").orderBy("_p")))
+    pieces = pieces.select("_b", "_p", F.explode(F.array(F.struct(F.lit(True).alias("point"), F.col("_p").alias("q")), F.struct(F.lit(False).alias("point"), F.coalesce("_q", ((F.col("_b") + 1) * bucket).cast("double")).alias("q")))).alias("_k"))
+    covers = (F.col("_s") <= F.col("_p")) & F.when(F.col("_k.point"), F.col("_e") >= F.col("_p")).otherwise(F.col("_e") >= F.col("_k.q"))
+    owned = pieces.join(spread, "_b").where(covers).groupBy("_b", "_p", F.col("_k.point").alias("_point"), F.col("_k.q").alias("_q")).agg(F.max("_i").alias("_i"))
+    owned = owned.withColumnRenamed("_b", "_ib")
+    if owned.count() <= BROADCAST_INTERVALS:
+        owned = F.broadcast(owned)
+    t = F.col(time).cast("double")
+    held = (b(t) == F.col("_ib")) & F.when(F.col("_point"), t == F.col("_p")).otherwise((t > F.col("_p")) & (t < F.col("_q")))
+    return left.join(owned, held, "left").select(*left.columns, *[F.col(f"_i.{c}").alias(c) for c in columns])
 
 
 def segments(vertices: DataFrame, line: str = "line_id", seq: str = "seq") -> DataFrame:

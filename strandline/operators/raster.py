@@ -5,28 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.rounds import settled
+
 
 def objects(mask: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected sets of mask pixels (image_id, row, col) by their four neighbours: adds label, the smallest row * 2^20 + col of the set.
 
     Labels spread to neighbours and then jump along rows of equal label until nothing changes; images are independent.
     """
-    spark = mask.sparkSession
-    state = mask.select("image_id", "row", "col", (F.col("row") * (1 << 20) + F.col("col")).alias("label"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])
-    previous = None
-    for _ in range(rounds):
+
+    def step(state: DataFrame) -> DataFrame:
         sent = state.select("image_id", "label", F.explode(steps).alias("s"), "row", "col").select("image_id", "label", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
-        least = sent.groupBy("image_id", "row", "col").agg(F.min("label").alias("near"))
-        state = state.join(least, ["image_id", "row", "col"]).select("image_id", "row", "col", F.col("label").alias("old"), "near")
-        # all pixels of an old label take the least label that any of them met
-        state = state.withColumn("label", F.min("near").over(Window.partitionBy("image_id", "old"))).select("image_id", "row", "col", "label")
-        state = state.checkpoint() if spark.sparkContext.getCheckpointDir() else state.persist()
-        total = state.agg(F.sum("label")).first()[0]
-        if total == previous:
-            return state
-        previous = total
-    raise RuntimeError("objects still grow")
+        near = sent.groupBy("image_id", "row", "col").agg(F.min("label").alias("near"))
+        state = state.join(near, ["image_id", "row", "col"])
+        # all pixels of a label take the least label that any of them met
+        least = state.groupBy("image_id", "label").agg(F.min("near").alias("least"))
+        return state.join(least, ["image_id", "label"]).select("image_id", "row", "col", F.col("least").alias("label"))
+
+    state = mask.select("image_id", "row", "col", (F.col("row") * (1 << 20) + F.col("col")).alias("label"))
+    return settled(state, step, F.xxhash64("image_id", "row", "col", "label"), rounds)
 
 
 def contour_segments(pixels: DataFrame, band: str, level: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def filled(df: DataFrame, by: list[str], order: str, value: str, limit: int = 10
     w = Window.partitionBy(*by).orderBy(order)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_n").alias("n"), F.col(value).alias("v")))
     d = df.withColumn("_n", F.row_number().over(w))
-    d = d.withColumns({"_p": F.last(known, ignorenulls=True).over(w), "_q": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    d = d.withColumns({"_p": F.last(known, ignorenulls=True).over(w), "_q": F.last(known, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(order)))})
     n, p, q = F.col("_n"), F.col("_p"), F.col("_q")
     near = (n - p["n"] <= limit) | (q["n"] - n <= limit)
     inside = p["v"] + (q["v"] - p["v"]) * (n - p["n"]) / (q["n"] - p["n"])
@@ -40,21 +41,15 @@ def filled(df: DataFrame, by: list[str], order: str, value: str, limit: int = 10
 def exponential_mean(df: DataFrame, by: list[str], order: str, value: str, out: str, span: int = 10) -> DataFrame:
     """Recursive exponential mean m = m + a (x - m), a = 2 / (span + 1), from the first value; nulls keep the mean.
 
-    A series is folded inside one array, which bounds it by what a row can hold.
+    A value's weight falls below what a double resolves after a number of rows that the span gives; the recursion is run over that many rows.
     """
     a = 2 / (span + 1)
-    row = F.struct(F.col(order).alias("_o"), *[F.col(c) for c in df.columns if c not in (*by, order)])
-    lists = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_l"))
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.array().cast("array<double>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        v = x[value].cast("double")
-        m = F.when(s["m"].isNull(), v).when(v.isNull(), s["m"]).otherwise(s["m"] + a * (v - s["m"]))
-        return F.struct(m.alias("m"), F.array_append(s["out"], m).alias("out"))
-
-    means = lists.withColumn("_m", F.aggregate("_l", start, step)["out"])
-    rows = means.select(*by, F.explode(F.arrays_zip("_l", "_m")).alias("_z"))
-    return rows.select(*by, F.col("_z._l._o").alias(order), *[F.col(f"_z._l.{c}") for c in df.columns if c not in (*by, order)], F.col("_z._m").alias(out))
+    rows = int(np.ceil(np.log(1e-20) / np.log(1 - a)))
+    known = Window.partitionBy(*by, F.col(value).isNotNull()).orderBy(order).rowsBetween(-rows, 0)
+    series = F.collect_list(F.col(value).cast("double")).over(known)
+    mean = F.aggregate(F.slice(series, 2, rows + 1), F.get(series, F.lit(0)), lambda m, x: m + a * (x - m))
+    d = df.withColumn("_m", F.when(F.col(value).isNotNull(), mean))
+    return d.withColumn(out, F.last("_m", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order))).drop("_m")
 
 
 def runs(df: DataFrame, by: list[str], order: str, flag: str) -> DataFrame:

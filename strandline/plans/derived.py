@@ -63,17 +63,17 @@ def extended_transects(spark, sf_dir):
     return t.select("transect_id", r(F.col("x0") - 10 * ux, "x0"), r(F.col("y0") - 10 * uy, "y0"), r(F.col("x1") + 25 * ux, "x1"), r(F.col("y1") + 25 * uy, "y1"), r(F.col("x0") + 30 * ux, "px"), r(F.col("y0") + 30 * uy, "py"))
 
 
-@register(T.sql(""", g AS (SELECT line_id, x AS xa, y AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM v_vertex WHERE line_id % 100 = 5 WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
-p AS (SELECT line_id, seq, x, y FROM v_vertex WHERE line_id % 10 = 2),
+@register(T.sql(""", g AS (SELECT line_id, x AS xa, y AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM v_coast WHERE cls = 5 WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+p AS (SELECT line_id, seq, x, y FROM v_coast WHERE cls <> 5),
 d AS (SELECT p.line_id, p.seq, greatest(0, least(1, ((x - xa) * (xb - xa) + (y - ya) * (yb - ya)) / ((xb - xa) ** 2 + (yb - ya) ** 2))) AS t, x, y, xa, ya, xb, yb FROM p JOIN g ON xb IS NOT NULL AND x BETWEEN least(xa, xb) - 2 AND greatest(xa, xb) + 2 AND y BETWEEN least(ya, yb) - 2 AND greatest(ya, yb) + 2)
-SELECT DISTINCT line_id, seq FROM d WHERE sqrt((x - xa - t * (xb - xa)) ** 2 + (y - ya - t * (yb - ya)) ** 2) <= 2""", "v_vertex"))
+SELECT DISTINCT line_id, seq FROM d WHERE sqrt((x - xa - t * (xb - xa)) ** 2 + (y - ya - t * (yb - ya)) ** 2) <= 2""", "v_coast"))
 def within_buffer(spark, sf_dir):
-    """Vertices within 2 m of reference lines."""
-    v = T.vertex(spark, sf_dir)
-    g = joins.segments(v.where("line_id % 100 = 5")).drop("line_id", "seq")
+    """Vertices of other lines within 2 m of reference lines (class 5)."""
+    v = T.coast(spark, sf_dir)
+    g = joins.segments(v.where("cls = 5")).drop("line_id", "seq")
     span = lambda a, b: F.explode(F.sequence(F.floor((F.least(F.col(a), F.col(b)) - 2) / 10), F.floor((F.greatest(F.col(a), F.col(b)) + 2) / 10)))
     g = g.select("*", span("xa", "xb").alias("cx")).select("*", span("ya", "yb").alias("cy"))
-    p = v.where("line_id % 10 = 2").withColumns({"cx": F.floor(F.col("x") / 10), "cy": F.floor(F.col("y") / 10)})
+    p = v.where("cls <> 5").withColumns({"cx": F.floor(F.col("x") / 10), "cy": F.floor(F.col("y") / 10)})
     near = joins.point_to_segment(F.col("x"), F.col("y"), F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) <= 2
     return p.join(g, ["cx", "cy"]).where(near).select("line_id", "seq").distinct()
 

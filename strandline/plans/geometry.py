@@ -62,41 +62,42 @@ def line_round_trip(spark, sf_dir):
     return geometry.disassembled(geometry.assembled(T.vertex(spark, sf_dir)))
 
 
-_HITS = """sg AS (SELECT line_id, seq, x AS xa, y AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM v_vertex WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
-j AS (SELECT *, (x1 - x0) * (yb - ya) - (y1 - y0) * (xb - xa) AS den FROM v_transect, sg WHERE xb IS NOT NULL AND greatest(xa, xb) >= least(x0, x1) AND least(xa, xb) <= greatest(x0, x1)),
+_HITS = """sg AS (SELECT line_id, seq, x AS xa, y AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM v_coast WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+j AS (SELECT *, (x1 - x0) * (yb - ya) - (y1 - y0) * (xb - xa) AS den FROM v_transect, sg WHERE xb IS NOT NULL AND greatest(xa, xb) >= least(x0, x1) AND least(xa, xb) <= greatest(x0, x1) AND greatest(ya, yb) >= least(y0, y1) AND least(ya, yb) <= greatest(y0, y1)),
 u AS (SELECT *, ((xa - x0) * (yb - ya) - (ya - y0) * (xb - xa)) / den AS u, ((xa - x0) * (y1 - y0) - (ya - y0) * (x1 - x0)) / den AS v FROM j WHERE den <> 0),
 h AS (SELECT transect_id, line_id, seq, x0 + u * (x1 - x0) AS x, y0 + u * (y1 - y0) AS y, u * sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS dist, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM u WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1)"""
 
 
-@register(T.sql(f""", {_HITS} SELECT transect_id, line_id, round(arg_min(x, (dist, seq)), 6) AS x, round(arg_min(y, (dist, seq)), 6) AS y, round(min(dist), 6) AS dist, round(min(dist) - any_value(len) / 2, 6) AS signed FROM h GROUP BY ALL""", "v_vertex", "v_transect"))
+@register(T.sql(f""", {_HITS} SELECT transect_id, line_id, round(arg_min(x, (dist, seq)), 6) AS x, round(arg_min(y, (dist, seq)), 6) AS y, round(min(dist), 6) AS dist, round(min(dist) - any_value(len) / 2, 6) AS signed FROM h GROUP BY ALL""", "v_coast", "v_transect"))
 def transects_hit(spark, sf_dir):
     """First crossing of each transect with each line, with its signed distance to the transect's midpoint."""
     t = T.transect(spark, sf_dir)
-    found = joins.first_crossings(joins.crossings(t, joins.segments(T.vertex(spark, sf_dir)), 20.0))
+    found = joins.first_crossings(joins.crossings(t, joins.segments(T.coast(spark, sf_dir)), 20.0))
     length = t.select("transect_id", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("len"))
     return found.join(length, "transect_id").select("transect_id", "line_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "dist")], F.round(F.col("dist") - F.col("len") / 2, 6).alias("signed"))
 
 
-@register(T.sql(""", a AS (SELECT * FROM v_vertex WHERE line_id % 10 = 0), b AS (SELECT * FROM v_vertex WHERE line_id % 10 = 1),
-d AS (SELECT a.line_id, a.seq, b.line_id AS near_line, b.seq AS near_seq, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM a JOIN b ON abs(a.x - b.x) <= 10 AND abs(a.y - b.y) <= 10)
-SELECT line_id, seq, arg_min(near_line, (d, near_line, near_seq)) AS near_line, round(min(d), 6) AS d FROM d WHERE d <= 10 GROUP BY ALL""", "v_vertex"))
+@register(T.sql(""", c AS (SELECT *, floor(x / 10)::BIGINT AS cx, floor(y / 10)::BIGINT AS cy FROM v_coast), o AS (SELECT * FROM (VALUES (-1), (0), (1)) t(i), (VALUES (-1), (0), (1)) u(j)),
+d AS (SELECT a.line_id, a.seq, b.line_id AS near_line, b.seq AS near_seq, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM c a, o JOIN c b ON b.cx = a.cx + o.i AND b.cy = a.cy + o.j AND b.line_id <> a.line_id)
+SELECT line_id, seq, arg_min(near_line, (d, near_line, near_seq)) AS near_line, round(min(d), 6) AS d FROM d WHERE d <= 10 GROUP BY ALL""", "v_coast"))
 def nearest_feature(spark, sf_dir):
     """Nearest vertex of other lines within 10 m of each vertex."""
-    v = T.vertex(spark, sf_dir)
+    v = T.coast(spark, sf_dir)
     cell = lambda c: F.floor(F.col(c) / 10)
     around = lambda c: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: cell(c) + k))
-    a = v.where("line_id % 10 = 0").withColumns({"cx": cell("x"), "cy": cell("y")})
-    b = v.where("line_id % 10 = 1").select(F.col("line_id").alias("near_line"), F.col("seq").alias("near_seq"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: cell("x") + k)).alias("cx")).select("*", around("by").alias("cy"))
-    j = a.join(b, ["cx", "cy"]).withColumn("d", F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))).where("d <= 10")
+    a = v.withColumns({"cx": cell("x"), "cy": cell("y")})
+    b = v.select(F.col("line_id").alias("near_line"), F.col("seq").alias("near_seq"), F.col("x").alias("bx"), F.col("y").alias("by"), around("x").alias("cx")).select("*", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.floor(F.col("by") / 10) + k)).alias("cy"))
+    j = a.join(b, ["cx", "cy"]).where("line_id <> near_line").withColumn("d", F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))).where("d <= 10")
     return j.groupBy("line_id", "seq").agg(F.min_by("near_line", F.struct("d", "near_line", "near_seq")).alias("near_line"), F.round(F.min("d"), 6).alias("d"))
 
 
-@register(T.sql(""", b AS (SELECT line_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v_vertex GROUP BY line_id)
-SELECT transect_id, count(*) AS n_lines, min(line_id) AS first_line, max(line_id) AS last_line FROM v_transect t JOIN b ON t.x0 <= b.x1 AND t.x1 >= b.x0 AND t.y0 <= b.y1 AND t.y1 >= b.y0 GROUP BY transect_id""", "v_vertex", "v_transect"))
+@register(T.sql(""", b AS (SELECT line_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v_coast GROUP BY line_id)
+SELECT transect_id, count(*) AS n_lines, min(line_id) AS first_line, max(line_id) AS last_line FROM v_transect t JOIN b ON t.x0 <= b.x1 AND t.x1 >= b.x0 AND t.y0 <= b.y1 AND t.y1 >= b.y0 GROUP BY transect_id""", "v_coast", "v_transect"))
 def tile_lookup(spark, sf_dir):
     """Lines whose box meets a transect's box."""
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 50), F.floor(F.col(b) / 50)))
-    b = T.vertex(spark, sf_dir).groupBy("line_id").agg(F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1")).select("*", span("bx0", "bx1").alias("c"))
-    t = T.transect(spark, sf_dir).select("*", span("x0", "x1").alias("c"))
-    j = t.join(b, "c").where("x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0").select("transect_id", "line_id").distinct()
+    b = T.coast(spark, sf_dir).groupBy("line_id").agg(F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1"))
+    b = b.select("*", span("bx0", "bx1").alias("c")).select("*", span("by0", "by1").alias("d"))
+    t = T.transect(spark, sf_dir).select("*", span("x0", "x1").alias("c")).select("*", span("y0", "y1").alias("d"))
+    j = t.join(b, ["c", "d"]).where("x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0").select("transect_id", "line_id").distinct()
     return j.groupBy("transect_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_id").alias("first_line"), F.max("line_id").alias("last_line"))

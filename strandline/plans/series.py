@@ -10,6 +10,8 @@ from strandline.operators import joins, windows
 from strandline.registry import register
 from strandline.sources import tables as T
 
+#: Years that annual_stack sets side by side: all that the series have.
+YEARS = range(1992, 1999)
 _DAILY_KIND = "d AS (SELECT transect_id, kind, acq_ts::DATE AS day, avg(dist) AS dist FROM v_obs GROUP BY ALL)"
 
 
@@ -59,7 +61,7 @@ def tide_at_image(spark, sf_dir):
 def _tides(spark, sf_dir):
     o = T.obs(spark, sf_dir).withColumn("n", T.micros())
     t = T.tide(spark, sf_dir).select(T.micros("date").alias("d"), "tide")
-    b = joins.bracketed(o, t, "n", "d", "tide", 2 * 86400e6)
+    b = joins.bracketed(o, t, "n", "d", "tide")
     return b.withColumn("tide", joins.interpolated(b, "n"))
 
 
@@ -144,8 +146,8 @@ def seasonal_strength(spark, sf_dir):
     """Share of the seasonal part in each daily series' variance: trend by a centred year, season by day of the cycle."""
     i = windows.daily_linear(T.daily(spark, sf_dir), ["transect_id"], "day", "y")
     o = Window.partitionBy("transect_id").orderBy("day")
-    year = o.rowsBetween(-182, 182)
-    t = i.withColumns({"n": F.row_number().over(o) - 1, "trend": F.when(F.count(F.lit(1)).over(year) == 365, F.avg("y").over(year))})
+    i = i.withColumns({"n": F.row_number().over(o) - 1, "upto": F.sum("y").over(o)})
+    t = i.withColumn("trend", F.when(F.col("n") >= 182, (F.lead("upto", 182).over(o) - F.coalesce(F.lag("upto", 183).over(o), F.lit(0.0))) / 365))
     s = t.withColumn("raw", F.avg(F.col("y") - F.col("trend")).over(Window.partitionBy("transect_id", F.col("n") % 365)))
     c = s.withColumn("seasonal", F.col("raw") - F.avg("raw").over(Window.partitionBy("transect_id"))).where("trend is not null")
     v, r = F.var_pop("seasonal"), F.var_pop(F.col("y") - F.col("trend") - F.col("seasonal"))
@@ -161,7 +163,7 @@ def rolling_features(spark, sf_dir):
     return T.daily(spark, sf_dir).select("transect_id", "day", F.round(F.avg("y").over(w.rowsBetween(-9, 0)), 6).alias("rolling"), F.round(F.coalesce(F.lag("y", 10).over(w), F.avg("y").over(Window.partitionBy("transect_id"))), 6).alias("lagged"), F.round((F.col("y") - F.lag("y").over(w)) / (86400 * F.datediff("day", F.lag("day").over(w))) * 1e6, 4).alias("change"))
 
 
-@register()
+@register(T.sql("""SELECT transect_id, day, round(list_reduce(list(y::DOUBLE) OVER (PARTITION BY transect_id ORDER BY day), lambda m, x: m + 2.0::DOUBLE / 11 * (x - m)), 6) AS mean FROM v_daily""", "v_daily"))
 def exponential_mean(spark, sf_dir):
     """Recursive exponential mean of each daily series, span 10."""
     return windows.exponential_mean(T.daily(spark, sf_dir), ["transect_id"], "day", "y", "mean").select("transect_id", "day", F.round("mean", 6).alias("mean"))
@@ -189,13 +191,13 @@ def trend_band(spark, sf_dir):
     return j.select("transect_id", "day", F.round(F.col("a") + F.col("b") * F.col("t"), 5).alias("fit"), F.round(band, 5).alias("band"), F.round(F.col("b") * 365.25, 5).alias("per_year"))
 
 
-@register(T.sql("""PIVOT (SELECT transect_id, dayofyear(day) AS doy, year(day) AS year, y FROM v_daily WHERE year(day) BETWEEN 1995 AND 1998) ON year IN (1995, 1996, 1997, 1998) USING sum(y) GROUP BY transect_id, doy""", "v_daily").replace("PIVOT (", "SELECT transect_id, doy::BIGINT AS doy, \"1995\" AS y1995, \"1996\" AS y1996, \"1997\" AS y1997, \"1998\" AS y1998 FROM (PIVOT (").rstrip() + ")")
+@register(T.sql("""PIVOT (SELECT transect_id, dayofyear(day) AS doy, year(day) AS year, y FROM v_daily WHERE year(day) BETWEEN 1992 AND 1998) ON year IN (1992, 1993, 1994, 1995, 1996, 1997, 1998) USING sum(y) GROUP BY transect_id, doy""", "v_daily").replace("PIVOT (", "SELECT transect_id, doy::BIGINT AS doy, \"1992\" AS y1992, \"1993\" AS y1993, \"1994\" AS y1994, \"1995\" AS y1995, \"1996\" AS y1996, \"1997\" AS y1997, \"1998\" AS y1998 FROM (PIVOT (").rstrip() + ")")
 def annual_stack(spark, sf_dir):
     """Years of a series side by side by day of the year."""
     d = T.daily(spark, sf_dir).select("transect_id", F.dayofyear("day").cast("long").alias("doy"), F.year("day").alias("year"), "y")
-    p = d.groupBy("transect_id", "doy").pivot("year", [1995, 1996, 1997, 1998]).agg(F.sum("y"))
-    years = [F.col(str(y)) for y in range(1995, 1999)]
-    return p.where(F.coalesce(*years).isNotNull()).select("transect_id", "doy", *[c.alias(f"y{k}") for c, k in zip(years, range(1995, 1999), strict=True)])
+    p = d.groupBy("transect_id", "doy").pivot("year", list(YEARS)).agg(F.sum("y"))
+    years = [F.col(str(y)) for y in YEARS]
+    return p.where(F.coalesce(*years).isNotNull()).select("transect_id", "doy", *[c.alias(f"y{k}") for c, k in zip(years, YEARS, strict=True)])
 
 
 @register(T.sql(""", r AS (SELECT transect_id, day, dense_rank() OVER (PARTITION BY transect_id ORDER BY day DESC) AS r, min(day) OVER (PARTITION BY transect_id) AS oldest FROM v_daily)

@@ -22,11 +22,11 @@ def _near(points, others, x: str, y: str, ox: str, oy: str, reach: float):
 
 
 @register(T.sql(f""", {_HITS}, y AS (SELECT *, 1950 + line_id % 60 AS year, abs(dist - len / 2) AS off FROM h)
-SELECT transect_id, year, round(arg_min(dist, (off, line_id, seq)), 6) AS dist, CASE WHEN year < 1970 THEN 5.0::DOUBLE WHEN year < 2000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS error FROM y GROUP BY transect_id, year""", "v_vertex", "v_transect"))
+SELECT transect_id, year, round(arg_min(dist, (off, line_id, seq)), 6) AS dist, CASE WHEN year < 1970 THEN 5.0::DOUBLE WHEN year < 2000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS error FROM y GROUP BY transect_id, year""", "v_coast", "v_transect"))
 def survey_positions(spark, sf_dir):
     """Position of each survey year on each transect: of several hits the nearest to the transect's midpoint."""
     t = T.transect(spark, sf_dir)
-    hits = joins.crossings(t, joins.segments(T.vertex(spark, sf_dir)), 20.0).join(t.select("transect_id", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("len")), "transect_id")
+    hits = joins.crossings(t, joins.segments(T.coast(spark, sf_dir)), 20.0).join(t.select("transect_id", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("len")), "transect_id")
     y = hits.withColumns({"year": 1950 + F.col("line_id") % 60, "off": F.abs(F.col("dist") - F.col("len") / 2)})
     return y.groupBy("transect_id", "year").agg(F.round(F.min_by("dist", F.struct("off", "line_id", "seq")), 6).alias("dist")).withColumn("error", S.survey_error(F.col("year")))
 
@@ -39,45 +39,47 @@ def raster_sample(spark, sf_dir):
     return v.join(p, ["line_id", "row", "col"], "left").select("line_id", "seq", F.round("a", 6).alias("value"))
 
 
-@register(T.sql("""SELECT transect_id, min(seq) FILTER (z < -23) AS first_low, count(*) FILTER (z < -23) AS n_low FROM v_profile WHERE seq < 50 GROUP BY transect_id""", "v_profile"))
+@register(T.sql("""SELECT transect_id, min(seq) FILTER (z < -23) AS first_low, count(*) FILTER (z < -23) AS n_low FROM v_profile GROUP BY transect_id""", "v_profile"))
 def first_low_sample(spark, sf_dir):
-    """First of fifty samples along each transect under a threshold."""
+    """First sample along each transect under a threshold."""
     low = F.col("z") < -23
-    return T.profile(spark, sf_dir).where("seq < 50").groupBy("transect_id").agg(F.min(F.when(low, F.col("seq"))).alias("first_low"), F.count_if(low).alias("n_low"))
+    return T.profile(spark, sf_dir).groupBy("transect_id").agg(F.min(F.when(low, F.col("seq"))).alias("first_low"), F.count_if(low).alias("n_low"))
 
 
-@register(T.sql(""", b AS (SELECT line_id, line_id % 50 AS g, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v_vertex GROUP BY line_id)
-SELECT line_id FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.g = b.g AND o.line_id <> b.line_id AND o.x0 <= b.x0 AND o.x1 >= b.x1 AND o.y0 <= b.y0 AND o.y1 >= b.y1)""", "v_vertex"))
+@register(T.sql(""", b AS (SELECT line_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v_coast GROUP BY line_id)
+SELECT line_id FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.line_id <> b.line_id AND o.x0 <= b.x0 AND o.x1 >= b.x1 AND o.y0 <= b.y0 AND o.y1 >= b.y1)""", "v_coast"))
 def uncontained(spark, sf_dir):
-    """Boxes that no other box of their group contains."""
-    b = T.vertex(spark, sf_dir).groupBy("line_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).withColumn("g", F.col("line_id") % 50)
-    o = b.select("g", *[F.col(c).alias(f"o_{c}") for c in ("line_id", "x0", "x1", "y0", "y1")])
+    """Boxes that no other box contains: a box is dealt to the cells that it touches, and met there by the boxes whose lower corner it holds."""
+    b = T.coast(spark, sf_dir).groupBy("line_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    b = b.withColumns({"cx": F.floor(F.col("x0") / 20), "cy": F.floor(F.col("y0") / 20)})
+    span = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / 20), F.floor(F.col(z) / 20)))
+    o = b.select(*[F.col(c).alias(f"o_{c}") for c in ("line_id", "x0", "x1", "y0", "y1")]).select("*", span("o_x0", "o_x1").alias("ox")).select("*", span("o_y0", "o_y1").alias("oy"))
     inside = (F.col("o_line_id") != F.col("line_id")) & (F.col("o_x0") <= F.col("x0")) & (F.col("o_x1") >= F.col("x1")) & (F.col("o_y0") <= F.col("y0")) & (F.col("o_y1") >= F.col("y1"))
-    return b.join(o, (b["g"] == o["g"]) & inside, "left_anti").select("line_id")
+    return b.join(o, (b["cx"] == o["ox"]) & (b["cy"] == o["oy"]) & inside, "left_anti").select("line_id")
 
 
-@register(T.sql(""", c AS (SELECT x AS cx, y AS cy FROM v_vertex WHERE line_id % 100 = 3)
-SELECT line_id, seq FROM v_vertex v WHERE line_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM c WHERE (x - cx) ** 2 + (y - cy) ** 2 <= 64)""", "v_vertex"))
+@register(T.sql(""", c AS (SELECT x AS cx, y AS cy FROM v_coast WHERE cls = 3)
+SELECT line_id, seq FROM v_coast v WHERE cls <> 3 AND NOT EXISTS (SELECT 1 FROM c WHERE cy BETWEEN y - 8 AND y + 8 AND cx BETWEEN x - 8 AND x + 8 AND (x - cx) ** 2 + (y - cy) ** 2 <= 64)""", "v_coast"))
 def away_from_clouds(spark, sf_dir):
-    """Vertices farther than 8 m from every cloud point."""
-    v = T.vertex(spark, sf_dir)
-    a = v.where("line_id % 10 = 0")
-    c = v.where("line_id % 100 = 3").select(F.col("x").alias("cx"), F.col("y").alias("cy"))
+    """Vertices farther than 8 m from every cloud point (a vertex of class 3)."""
+    v = T.coast(spark, sf_dir)
+    a = v.where("cls <> 3")
+    c = v.where("cls = 3").select(F.col("x").alias("cx"), F.col("y").alias("cy"))
     hit = _near(a, c, "x", "y", "cx", "cy", 8.0).where("(x - cx) * (x - cx) + (y - cy) * (y - cy) <= 64").select("line_id", "seq").distinct()
     return a.join(hit, ["line_id", "seq"], "left_anti").select("line_id", "seq")
 
 
-@register(T.sql(""", s AS (SELECT t.transect_id, v.line_id, v.seq, (v.line_id % 10)::DOUBLE AS z, ((v.x - x0) * (x1 - x0) + (v.y - y0) * (y1 - y0)) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS along, abs((v.x - x0) * (y1 - y0) - (v.y - y0) * (x1 - x0)) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS off, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM v_transect t, v_vertex v WHERE v.x BETWEEN x0 - 4 AND x1 + 4),
+@register(T.sql(""", s AS (SELECT t.transect_id, v.line_id, v.seq, (v.line_id % 10)::DOUBLE AS z, ((v.x - x0) * (x1 - x0) + (v.y - y0) * (y1 - y0)) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS along, abs((v.x - x0) * (y1 - y0) - (v.y - y0) * (x1 - x0)) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS off, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM v_transect t, v_coast v WHERE v.x BETWEEN x0 - 4 AND x1 + 4 AND v.y BETWEEN y0 - 4 AND y1 + 4),
 k AS (SELECT *, floor(along / 20)::BIGINT AS step, (along - (floor(along / 20) * 20 + 10)) ** 2 + off * off AS d2 FROM s WHERE off <= 3 AND along BETWEEN 0 AND len)
-SELECT transect_id, step, count(*) AS n, round(sum(z / greatest(d2, 0.01)) / sum(1 / greatest(d2, 0.01)), 5) AS idw, min(z) AS low, max(z) AS high FROM k GROUP BY ALL""", "v_transect", "v_vertex"))
+SELECT transect_id, step, count(*) AS n, round(sum(z / greatest(d2, 0.01)) / sum(1 / greatest(d2, 0.01)), 5) AS idw, min(z) AS low, max(z) AS high FROM k GROUP BY ALL""", "v_transect", "v_coast"))
 def swath_profile(spark, sf_dir):
     """Inverse-distance mean, least and greatest value of the points within 3 m of each transect, by steps of 20 m."""
-    span = F.explode(F.sequence(F.floor((F.col("x0") - 4) / 10), F.floor((F.col("x1") + 4) / 10)))
-    t = T.transect(spark, sf_dir).select("*", span.alias("c"))
-    v = T.vertex(spark, sf_dir).select("line_id", "seq", "x", "y", F.floor(F.col("x") / 10).alias("c"))
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - 4) / 10), F.floor((F.col(b) + 4) / 10)))
+    t = T.transect(spark, sf_dir).select("*", span("x0", "x1").alias("c")).select("*", span("y0", "y1").alias("d"))
+    v = T.coast(spark, sf_dir).select("line_id", "seq", "x", "y", F.floor(F.col("x") / 10).alias("c"), F.floor(F.col("y") / 10).alias("d"))
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     dx, dy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    s = t.join(v, "c").where("x between x0 - 4 and x1 + 4").select("transect_id", (F.col("line_id") % 10).cast("double").alias("z"), ((dx * (F.col("x1") - F.col("x0")) + dy * (F.col("y1") - F.col("y0"))) / length).alias("along"), (F.abs(dx * (F.col("y1") - F.col("y0")) - dy * (F.col("x1") - F.col("x0"))) / length).alias("off"), length.alias("len"))
+    s = t.join(v, ["c", "d"]).where("x between x0 - 4 and x1 + 4 and y between y0 - 4 and y1 + 4").select("transect_id", (F.col("line_id") % 10).cast("double").alias("z"), ((dx * (F.col("x1") - F.col("x0")) + dy * (F.col("y1") - F.col("y0"))) / length).alias("along"), (F.abs(dx * (F.col("y1") - F.col("y0")) - dy * (F.col("x1") - F.col("x0"))) / length).alias("off"), length.alias("len"))
     off = F.col("along") - (F.floor(F.col("along") / 20) * 20 + 10)
     k = s.where("off <= 3 and along between 0 and len").withColumns({"step": F.floor(F.col("along") / 20), "d2": F.greatest(off * off + F.col("off") * F.col("off"), F.lit(0.01))})
     return k.groupBy("transect_id", "step").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("z") / F.col("d2")) / F.sum(1 / F.col("d2")), 5).alias("idw"), F.min("z").alias("low"), F.max("z").alias("high"))

@@ -118,6 +118,6 @@ def quantile_match(spark, sf_dir):
     side = lambda kind: o.where(F.col("kind") == kind).select("transect_id", "dist").distinct().withColumn("q", F.cume_dist().over(w))
     s, t = side("VE"), side("WL")
     merged = s.select("transect_id", "dist", F.lit(None).cast("double").alias("target"), (F.col("q") - 1e-12).alias("q")).union(t.select("transect_id", F.lit(None).cast("double"), F.col("dist"), "q"))
-    after = Window.partitionBy("transect_id").orderBy("q", "target").rowsBetween(0, Window.unboundedFollowing)
-    m = merged.withColumn("matched", F.first("target", ignorenulls=True).over(after))
+    after = Window.partitionBy("transect_id").orderBy(F.desc("q"), F.desc("target"))
+    m = merged.withColumn("matched", F.last("target", ignorenulls=True).over(after.rowsBetween(Window.unboundedPreceding, 0)))
     return m.where("dist is not null and matched is not null").select("transect_id", "dist", "matched")

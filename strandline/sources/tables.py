@@ -65,9 +65,16 @@ def vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") <= 30)
-    x = 10.0 * F.col("p_partkey") + 3
-    return p.select(F.col("p_partkey").alias("transect_id"), x.alias("x0"), F.lit(-60.0).alias("y0"), (x + F.col("p_size") / 10).alias("x1"), F.lit(60.0).alias("y1"))
+    """A transect of 120 m for every part, all along the coast."""
+    p = table(spark, sf_dir, "part")
+    x, y = 3 + (F.col("p_partkey") * 37 % 3000) / 10, 2.5 * F.col("p_partkey") - 60
+    return p.select(F.col("p_partkey").alias("transect_id"), x.alias("x0"), y.alias("y0"), (x + F.col("p_size") / 10).alias("x1"), (y + 120).alias("y1"))
+
+
+def coast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polylines set side by side, 5 m apart, with a class each."""
+    v = vertex(spark, sf_dir).withColumn("y", F.col("y") + 5.0 * F.col("line_id"))
+    return v.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("line_id"), F.col("label").cast("long").alias("cls")), "line_id")
 
 
 def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +103,8 @@ CTES = {
     "v_survey": "SELECT l_suppkey AS transect_id, year(l_shipdate) AS year, avg(l_quantity) AS dist, CASE WHEN year(l_shipdate) < 1996 THEN 5.0::DOUBLE WHEN year(l_shipdate) < 1999 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS error FROM lineitem GROUP BY l_suppkey, year(l_shipdate)",
     "v_daily": "SELECT l_suppkey AS transect_id, l_shipdate::DATE AS day, sum(l_quantity) AS y FROM lineitem GROUP BY ALL",
     "v_vertex": "SELECT vec_id AS line_id, i AS seq, 10 * i + 20 * embedding[2 * i + 1]::DOUBLE AS x, 50 * embedding[2 * i + 2]::DOUBLE AS y FROM embeddings, (SELECT unnest(range(32)) AS i)",
-    "v_transect": "SELECT p_partkey AS transect_id, 10.0::DOUBLE * p_partkey + 3 AS x0, -60.0::DOUBLE AS y0, 10.0::DOUBLE * p_partkey + 3 + p_size / 10 AS x1, 60.0::DOUBLE AS y1 FROM part WHERE p_partkey <= 30",
+    "v_coast": "SELECT vec_id AS line_id, i AS seq, 10 * i + 20 * embedding[2 * i + 1]::DOUBLE AS x, 50 * embedding[2 * i + 2]::DOUBLE + 5.0::DOUBLE * vec_id AS y, label::BIGINT AS cls FROM embeddings, (SELECT unnest(range(32)) AS i)",
+    "v_transect": "SELECT p_partkey AS transect_id, 3 + (p_partkey * 37 % 3000) / 10 AS x0, 2.5::DOUBLE * p_partkey - 60 AS y0, 3 + (p_partkey * 37 % 3000) / 10 + p_size / 10 AS x1, 2.5::DOUBLE * p_partkey - 60 + 120 AS y1 FROM part",
     "v_pixel": "SELECT e.vec_id AS image_id, i // 8 AS row, i % 8 AS col, e.embedding[i + 1]::DOUBLE AS a, n.embedding[i + 1]::DOUBLE AS b, (e.label % 2)::BIGINT AS cls FROM embeddings e JOIN embeddings n ON n.vec_id = e.vec_id + 1, (SELECT unnest(range(64)) AS i)",
     "v_profile": "SELECT l_suppkey AS transect_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS seq, l_quantity - 25 AS z FROM lineitem",
 }
