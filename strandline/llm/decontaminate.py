@@ -24,9 +24,9 @@ from strandline.llm.work import Scope, saved, small_batches
 WINDOW = 13
 #: Words beyond the window's length over which a proximity match may spread to either side.
 SLOP = 7
-#: Text of a segment, and benchmark text that is broadcast at once; a larger benchmark takes more passes.
+#: Text of a segment, and benchmark text whose windows (one a word at most) are broadcast at once; a larger benchmark takes more passes.
 SEGMENT_BYTES = 8 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 #: Candidate positions examined at once.
 _CANDIDATES = 1 << 21
 
@@ -73,18 +73,22 @@ class Windows:
 def windows_of(items: list[tuple[int, str]], size: int = WINDOW) -> Windows:
     """All windows of ``size`` consecutive words; an item with fewer words, but not none, is one window."""
     ids, terms, ends = tx.encoded(pa.array([t for _, t in items], pa.string()), tx.ALNUM)
-    found: dict[tuple, set[int]] = {}
-    start = 0
-    for (item, _), end in zip(items, ends.tolist(), strict=True):
-        words = ids[start:end].tolist()
-        start = end
-        for k in range(max(1, len(words) - size + 1) if words else 0):
-            found.setdefault(tuple(words[k : k + size]), set()).add(item)
-    matrix = np.full((len(found), size), -1, np.int64)
-    for row, window in enumerate(found):
-        matrix[row, : len(window)] = window
-    sets = [sorted(x) for x in found.values()]
-    return Windows(terms, matrix, (matrix >= 0).sum(axis=1), np.cumsum([len(x) for x in sets], dtype=np.int64), np.array([i for x in sets for i in x], np.int64))
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    words = ends - begins
+    count = np.where(words > 0, np.maximum(1, words - size + 1), 0)
+    owner = np.repeat(np.arange(len(items)), count)
+    start = tx.ragged(begins, count)
+    place = np.arange(size)
+    inside = place < np.minimum(words[owner], size)[:, None]
+    rows = np.where(inside, ids[np.minimum(start[:, None] + place, max(len(ids) - 1, 0))], -1).astype(np.int32) if len(ids) else np.zeros((0, size), np.int32)
+    _, first, window = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * size))).ravel(), return_index=True, return_inverse=True)
+    item = np.array([i for i, _ in items], np.int64)[owner]
+    by = np.lexsort((item, window))
+    window, item = window[by], item[by]
+    once = np.ones(len(item), bool)
+    once[1:] = (window[1:] != window[:-1]) | (item[1:] != item[:-1])
+    matrix = rows[first]
+    return Windows(terms, matrix, (matrix >= 0).sum(axis=1), np.cumsum(np.bincount(window[once], minlength=len(first))), item[once])
 
 
 def search_segment(w: Windows, terms: pa.Array, term_ends: np.ndarray, steps: np.ndarray, token_ends: np.ndarray, slop: int = SLOP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
