@@ -14,7 +14,7 @@ a chunk, not one per token.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,8 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    #: log10 likelihood of the training pieces before each round.
+    likelihoods: list[float] = field(default_factory=list)
 
 
 @dataclass
@@ -232,7 +234,7 @@ def fit(coded: DataFrame, sizes: Symbols, rounds: int = ROUNDS, states: int = ST
         flat[sums.column("place").to_numpy()] = sums.column("v").to_numpy()
         start, move, emit = np.split(flat[:-1], [states, states + states * states])
         norm = lambda v: (v + ALPHA) / (v + ALPHA).sum(axis=-1, keepdims=True)
-        model = Model(norm(start), norm(move.reshape(states, states)), norm(emit.reshape(states, symbols)))
+        model = Model(norm(start), norm(move.reshape(states, states)), norm(emit.reshape(states, symbols)), [*model.likelihoods, float(flat[-1])])
     return model
 
 
