@@ -99,19 +99,97 @@ NOTICES: list[tuple[int, float, str]] = [
 PHRASES: list[tuple[str, str, int, float, str]] = [
     ("mit", "permission is hereby granted", 5, 1.0, r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "sublicense", 4, 0.95, r"to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "this permission notice shall be included", 5, 0.95, r"(?:the above copyright notice and )?this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "mit licensed", 2, 0.8, r"mit licensed"),
     ("bsd", "redistribution and use", 5, 1.0, r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "redistributions of source", 4, 0.9, r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form", 4, 0.9, r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "without specific prior written permission", 4, 0.9, r"(?:may not be used )?to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "bsd style", 2, 0.8, r"bsd style (?:license|licence)"),
+    ("bsd", "bsd licensed", 2, 0.8, r"bsd licensed"),
     ("isc", "permission to use", 5, 0.95, r"permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", "provided that the above copyright notice and this permission", 4, 0.9, r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("hpnd", "permission to use", 4, 0.85, r"permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("ntp", "permission to use", 4, 0.85, r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee"),
     ("apache", "you may not use this file", 5, 1.0, r"you may not use this file except in compliance with the license"),
+    ("apache", "you may obtain a copy of the license", 4, 0.95, r"you may obtain a copy of the license at"),
+    ("apache", "contributor license", 3, 0.8, r"(?:one or more )?contributor license agreements"),
+    ("apache", "to you under the apache", 5, 1.0, r"licenses this file to you under the apache"),
+    ("apache", "governing permissions and limitations", 4, 0.9, r"specific language governing permissions and limitations under the license"),
+    ("apache", "apache licensed", 2, 0.8, r"apache licensed"),
     ("gpl", "redistribute it and or modify", 5, 0.95, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "copy of the gnu general public", 4, 0.95, r"you should have received a copy of the gnu general public license"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim", 4, 0.9, r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl", "gpl licensed", 2, 0.8, r"gpl licensed"),
+    ("gpl", "gpl compatible", 1, 0.6, r"gpl compatible"),
+    ("lgpl", "redistribute it and or modify", 5, 0.95, r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "copy of the gnu lesser", 4, 0.95, r"you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", "lgpl licensed", 2, 0.8, r"lgpl licensed"),
+    ("agpl", "redistribute it and or modify", 5, 0.95, r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl", "copy of the gnu affero", 4, 0.95, r"you should have received a copy of the gnu affero general public license"),
+    ("agpl", "agpl licensed", 2, 0.8, r"agpl licensed"),
+    ("mpl", "this source code form is subject", 5, 1.0, r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "incompatible with secondary licenses", 4, 0.9, r"incompatible with secondary licenses"),
+    ("mpl", "mpl licensed", 2, 0.8, r"mpl licensed"),
+    ("epl", "made available under the terms of the eclipse", 5, 1.0, r"(?:this program and the accompanying materials are )?made available under the terms of the eclipse public license"),
+    ("epl", "spdx license identifier epl", 5, 1.0, r"spdx license identifier epl \d 0"),
+    ("cddl", "subject to the terms of the common development", 5, 1.0, r"subject to the terms of the common development and distribution license"),
+    ("cpl", "subject to the terms of the common public", 5, 1.0, r"subject to the terms of the common public license"),
+    ("eupl", "licensed under the eupl", 5, 1.0, r"licensed under the eupl(?: version \d+ \d+)?"),
+    ("cecill", "governed by the cecill", 5, 1.0, r"governed by the cecill(?: [abc])? license"),
     ("zlib", "altered source versions", 5, 1.0, r"altered source versions must be plainly marked as such"),
+    ("zlib", "permission is granted to anyone to use this software", 5, 0.95, r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("boost", "distributed under the boost", 5, 1.0, r"distributed under the boost software license"),
+    ("boost", "person or organization obtaining a copy", 5, 0.95, r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("artistic", "same terms as perl", 4, 0.9, r"(?:licensed |available |redistributed )?under the same terms as perl(?: itself)?(?: license)?"),
+    ("psf", "psf license agreement", 5, 1.0, r"psf license agreement(?: for python)?"),
+    ("psf", "python software foundation", 2, 0.7, r"licensed to the python software foundation"),
+    ("php", "subject to version", 4, 0.9, r"subject to version \d(?: \d+)? of the php license"),
     ("unlicense", "released into the public domain", 5, 0.95, r"free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify", 4, 0.9, r"anyone is free to copy modify publish use compile sell or distribute this software(?: for any purpose)?"),
+    ("wtfpl", "wtfpl", 4, 0.9, r"wtfpl(?: license)?"),
+    ("ofl", "this font software is licensed", 5, 1.0, r"this font software is licensed under the sil open font license"),
+    ("ofl", "reserved font name", 3, 0.8, r"(?:with )?reserved font names?"),
+    ("ms-pl", "this license governs use", 4, 0.9, r"this license governs use of the accompanying software"),
+    ("ms-eula", "microsoft software license terms", 4, 0.9, r"microsoft software license terms"),
+    ("eula", "end user licen", 3, 0.8, r"end user licen[cs]e agreement"),
+    ("eula", "by installing", 2, 0.7, r"by installing (?:copying or otherwise using )?(?:the|this) software you agree to be bound by the terms of this licen[cs]e"),
+    ("cc0", "waived all copyright", 5, 0.95, r"(?:has )?waived all copyright and related or neighbou?ring rights(?: to this work)?"),
+    ("cc0", "no rights reserved", 2, 0.8, r"no rights reserved"),
+    ("cc-by", "cc by", 3, 0.9, r"cc by [1234] [05]"),
+    ("cc-by-sa", "cc by sa", 4, 0.9, r"cc by sa(?: [1234] [05])?"),
+    ("cc-by-nc", "cc by nc", 4, 0.9, r"cc by nc(?: [1234] [05])?"),
+    ("cc-by-nd", "cc by nd", 4, 0.9, r"cc by nd(?: [1234] [05])?"),
+    ("cc-by-nc-sa", "cc by nc sa", 5, 0.95, r"cc by nc sa(?: [1234] [05])?"),
+    ("cc-by-nc-nd", "cc by nc nd", 5, 0.95, r"cc by nc nd(?: [1234] [05])?"),
+    ("cc-by", "licensed under a creative commons", 4, 0.95, r"(?:this work is )?licensed under a creative commons attribution(?: [1234] [05])?(?: international| unported)? licen[cs]e"),
+    ("cc-by-sa", "share alike", 3, 0.85, r"creative commons share alike(?: license)?"),
+    ("gfdl", "permission is granted to copy distribute", 5, 0.95, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "no invariant sections", 3, 0.85, r"with no invariant sections"),
+    ("odbl", "odbl", 3, 0.85, r"odbl(?: license)?"),
+    ("ogl", "contains public sector information licensed", 5, 1.0, r"contains public sector information licensed under the open government licen[cs]e"),
+    ("busl", "change license", 3, 0.8, r"change license(?: means)?"),
+    ("elastic", "dual licensed under the elastic", 4, 0.9, r"dual licensed under the elastic license"),
+    ("sspl", "sspl", 3, 0.85, r"sspl(?: license)?"),
+    ("llama", "llama", 4, 0.9, r"llama \d(?: \d)? community license(?: agreement)?"),
+    ("rail", "use based restrictions", 3, 0.8, r"use based restrictions (?:as )?(?:referenced|set forth) in (?:paragraph \d+|attachment a)"),
     ("public-domain", "public domain", 1, 0.7, r"(?:released|dedicated|placed) (?:in|into|to) the public domain"),
+    ("public-domain", "public domain", 1, 0.7, r"(?:this|the) (?:work|file|software|document|text) is in the public domain"),
+    ("public-domain", "public domain mark", 2, 0.8, r"public domain mark(?: 1 0)?"),
+    ("dual", "dual licensed", 2, 0.7, r"dual licensed under"),
+    ("dual", "at your option", 2, 0.7, r"(?:either )?licen[cs]e at your option"),
     ("spdx", "spdx", 2, 0.9, r"spdx license identifier \w+(?: \d+)*"),
+    ("all-permissive", "are permitted in any medium", 4, 0.9, r"copying and distribution of this file with or without modification are permitted in any medium"),
+    ("non-commercial", "non commercial", 2, 0.7, r"licensed for (?:personal )?non commercial use(?: only)?"),
+    ("no-license", "no license is granted", 2, 0.7, r"no license is granted"),
     ("proprietary", "all rights reserved", 1, 0.5, r"all rights reserved"),
+    ("proprietary", "may not be reproduced", 2, 0.7, r"may not be reproduced (?:or (?:distributed|transmitted) )?(?:in whole or in part )?without (?:the )?(?:prior )?(?:express )?(?:written )?permission"),
+    ("proprietary", "reproduction in whole or in part", 2, 0.7, r"reproduction in whole or in part without (?:written )?permission is prohibited"),
+    ("proprietary", "confidential and proprietary", 1, 0.5, r"confidential and proprietary"),
+    ("proprietary", "unauthorized copying", 2, 0.7, r"unauthorized copying of this file(?: via any medium)? is strictly prohibited"),
 ]
 #: Words one of which stands in every text that any rule can match.
-STEMS = ["licen", "mit", "apache", "gpl", "permission", "redistribut", "public domain", "rights reserved", "altered source", "sublicense", "you may not use", "spdx", "cc0", "bsd", "asl 2", "mpl", "creative commons", "openrail"]
+STEMS = ["licen", "mit", "apache", "gpl", "permission", "redistribut", "public domain", "rights reserved", "altered source", "sublicense", "you may not use", "spdx", "cc0", "bsd", "asl 2", "mpl", "creative commons", "openrail", "verbatim", "same terms as perl", "anyone is free", "reserved font name", "waived all", "no rights", "cc by", "invariant sections", "odbl", "sspl", "wtfpl", "use based restrictions", "are permitted", "may not be reproduced", "confidential and", "unauthorized copying"]
 #: Base phrases and their labels.
 BASE: list[tuple[str, str]] = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 #: Priorities run from 1 to this.
