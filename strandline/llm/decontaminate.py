@@ -204,6 +204,7 @@ def _search(index: DataFrame, w: Windows, slop: int) -> DataFrame:
                 exact = _items(w, window, np.searchsorted(ends, start, side="right"), n)
                 close = _items(w, near, np.searchsorted(ends, anchor, side="right"), n)
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(cell("segment").as_py(), pa.int64()), n), pa.array(np.arange(n), pa.int32()), doc_ids, pa.array(ends - doc_first, pa.int64()), pa.ListArray.from_arrays(offsets, spans), exact, close], names=["segment", "place", "doc_id", "n_words", "spans", "items", "near_items"])
+        tx.hand_back()
 
     return index.mapInArrow(run, RESULT_SCHEMA)
 

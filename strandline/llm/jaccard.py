@@ -224,7 +224,7 @@ def _bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "left", "right", "size_a", "size_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(docs: DataFrame, key: str, text: str, n: int, percent: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, key: str, text: str, n: int, percent: int, classes: DataFrame, pairs: DataFrame, scope: Scope) -> DataFrame:
     """Candidate pairs (a, b) of classes with whether their whole sets are similar enough (linked).
 
     classes: class, size and the key of one document. If pairs are few, the set of a stays where it is made; that of b
@@ -247,7 +247,9 @@ def _verified(docs: DataFrame, key: str, text: str, n: int, percent: int, classe
 
     left_sets = _sets_of(docs, key, text, n, left.select("class", "key"), few).select(F.col("class").alias("a"), F.col("entries").alias("left"))
     joined = left_sets.join(F.broadcast(pairs) if few else pairs, "a").join(F.broadcast(right_sets) if light else right_sets, "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(count, "a bigint, b bigint, linked boolean")
+    # written first, so that a task needs one Python worker at a time
+    joined = scope.saved(joined.select("a", "b", "left", "right"), "pairs-of-sets", codec="lz4")
+    return joined.mapInArrow(count, "a bigint, b bigint, linked boolean")
 
 
 def tile_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, size_left: np.ndarray, size_right: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -379,6 +381,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
         single = packed.select("class", "size", (F.size("entries") / F.col("size")).alias("met"), F.size("entries").alias("stored"), F.explode("entries").alias("gram"))
         pivots = single.groupBy("gram").agg(F.max(F.struct("met", F.xxhash64("class").alias("h"), F.col("class").alias("pivot"), F.col("size").alias("pivot_size"))).alias("p")).select("gram", "p.pivot", "p.pivot_size")
         met = scope.saved(single.select("gram", "class", "size", "stored").join(pivots, "gram").groupBy("class", "size", "stored", "pivot", "pivot_size").agg(F.count(F.lit(1)).alias("overlap")), "met")
+        released(spark)
         members = scope.saved(met.groupBy("class", "stored").agg(F.max_by("pivot", F.struct("overlap", "pivot")).alias("group")), "members")
         large = members.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP_FROM).select("group")
         large = scope.saved(members.join(large, "group"), "large-groups")
@@ -387,7 +390,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NG
         released(spark)
 
         def verified(pairs: DataFrame) -> DataFrame:
-            return scope.saved(_verified(docs, key, text, n, percent, chosen, pairs), "verified")
+            return scope.saved(_verified(docs, key, text, n, percent, chosen, pairs, scope), "verified")
 
         done = [verified(scope.saved(_bounded(scope.saved(stars, "stars"), sketches, percent), "stars"))]
         labels = scope.saved(components(done[0].where("linked").select("a", "b")), "labels").select(F.col("node").alias("class"), F.col("component").alias("label"))

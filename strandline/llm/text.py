@@ -6,6 +6,8 @@ multi-byte character is ASCII, so cutting bytes equals cutting characters.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +16,8 @@ import pyarrow as pa
 #: Bytes of text that one chunk holds at most, unless a single document is longer.
 CHUNK_BYTES = 4 << 20
 
+#: The C library's own way to do so, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -39,6 +43,15 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK_BYT
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    hand_back()
+
+
+def hand_back() -> None:
+    """Gives freed memory back to the system: a Python worker stays alive for a while after its task, beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
