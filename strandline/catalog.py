@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.plans import derived, edges, geometry, images, learning, pixels, series, shore, spatial, stats, waves  # noqa: F401
+from strandline.plans import derived, edges, geometry, images, learning, live, pixels, series, shore, spatial, stats, waves  # noqa: F401
 from strandline.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

@@ -5,22 +5,29 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not given:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = f"file://{tempfile.mkdtemp(prefix='spark-rounds-', dir='/tmp')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(given)
+    return given.rstrip("/")
+
+
 def settled(state: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Column, rounds: int) -> DataFrame:
     """Applies step until the state stays the same by the sum of a hash (mark) over its rows and by their number.
 
-    Each round is written to the folder in spark.checkpoint.dir, which cuts lineage and outlives executors; a local
-    session without one gets a folder of its own. Raises if the state still changes after so many rounds.
+    Each round is written to the shared folder, which cuts lineage and outlives executors. Raises if the state still changes after so many rounds.
     """
-    context = state.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        given = state.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not given and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(given or f"file://{tempfile.mkdtemp(prefix='spark-rounds-', dir='/tmp')}")
+    shared_folder(state.sparkSession)
     known = None
     for _ in range(rounds):
         seen = state.agg(F.count(F.lit(1)), F.sum(mark.cast("decimal(38,0)"))).first()
