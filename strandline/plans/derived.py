@@ -90,7 +90,14 @@ def balanced_pixels(spark, sf_dir):
     return c.join(sizes, "image_id").where("r <= size").groupBy("image_id", "veg").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("nd"), 6).alias("nd"))
 
 
-@register()
+_SMOOTH = "CASE WHEN k > 1 AND k < n THEN " + " + ".join(
+    f"{weight} * " + ("{c}" if d == 0 else f"coalesce(lead({{c}}, {d}) OVER w, lag({{c}}, {d}) OVER w, {{c}})" if d > 0 else f"coalesce(lag({{c}}, {-d}) OVER w, lead({{c}}, {-d}) OVER w, {{c}})")
+    for weight, d in zip(geometry._FIVE, range(-2, 3), strict=True)
+) + " ELSE {c} END"
+
+
+@register(T.sql(f""", k AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY line_id) AS n FROM v_vertex)
+SELECT line_id, seq, round({_SMOOTH.format(c="x")}, 6) AS x, round({_SMOOTH.format(c="y")}, 6) AS y FROM k WINDOW w AS (PARTITION BY line_id ORDER BY seq)""", "v_vertex"))
 def smoothed_lines(spark, sf_dir):
     """Lines after a five-point quadratic smoothing that keeps their ends."""
     return geometry.smoothed(T.vertex(spark, sf_dir)).select("line_id", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

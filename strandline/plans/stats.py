@@ -97,7 +97,12 @@ def balanced_sample(spark, sf_dir):
     """Two classes cut to the size of the smaller, in order of a hash; series of under 18 rows don't count."""
     m = T.daily(spark, sf_dir).groupBy("transect_id").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).withColumn("high", F.col("y") >= 125)
     size = m.groupBy("high").count().agg(F.min("count").alias("size"))
-    c = m.withColumn("r", F.row_number().over(Window.partitionBy("high").orderBy(F.md5(F.col("transect_id").cast("string")), "transect_id")))
+    # ranks are taken within 4096 parts of each class by the hash's first digits, after the counts of the parts before
+    m = m.withColumn("hash", F.md5(F.col("transect_id").cast("string"))).withColumn("part", F.substring("hash", 1, 3))
+    before = F.sum("n_part").over(Window.partitionBy("high").orderBy("part")) - F.col("n_part")
+    parts = m.groupBy("high", "part").agg(F.count(F.lit(1)).alias("n_part")).withColumn("before", before).select("high", "part", "before")
+    own = F.row_number().over(Window.partitionBy("high", "part").orderBy("hash", "transect_id"))
+    c = m.withColumn("own", own).join(F.broadcast(parts), ["high", "part"]).withColumn("r", F.col("own") + F.col("before"))
     return c.join(F.broadcast(size)).where("r <= size and n >= 18").select("transect_id", "high")
 
 
