@@ -23,8 +23,21 @@ from pyspark.sql import types as T
 
 from strandline.llm import text as tx
 
-#: The vocabulary's pre-tokenization pattern, as its file states it.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Code points that the regex module counts as letters or numbers and the tokenizers library doesn't yet.
+_UNKNOWN = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9"
+    r"\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6"
+    r"\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2"
+    r"\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    r"\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    r"\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+# Lower case of letters that the library knows and Python's tables don't yet.
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: The vocabulary's pre-tokenization pattern, as its file states it, with the library's idea of letters and numbers.
+WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_UNKNOWN}]]+|[\p{{N}}--[{_UNKNOWN}]]|[[^\s\p{{L}}\p{{N}}]||[{_UNKNOWN}]]+", regex.V1)
 WORD_END = "</w>"
 #: Bytes of text whose words share one pair index; larger chunks repeat fewer merges.
 CHUNK_BYTES = 4 << 20
@@ -72,7 +85,7 @@ class Vocabulary:
     def normal(self, word: str) -> str:
         if word.isascii():
             return word.lower()
-        return "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+        return "".join(c.lower() for c in unicodedata.normalize("NFC", word)).translate(_LOWER)
 
     def pieces(self, word: str) -> list[str | int]:
         """A word's pre-tokens, special tokens as their id."""

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -42,3 +43,12 @@ def test_decoding_odd_ids(spark):
     vocabulary = spark.sparkContext.broadcast(bpe.vocabulary_bytes(PATH))
     df = spark.createDataFrame([(1, None), (2, []), (3, [49407, -1, 10**6, 320])], "k int, ids array<int>")
     assert [r.decoded for r in bpe.decode(df, vocabulary).orderBy("k").collect()] == ["", "", "<|endoftext|> a</w>"]
+
+
+def test_every_class_of_characters_is_the_librarys(library):
+    v = bpe.Vocabulary(bpe.vocabulary_bytes(PATH))
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000] + [*range(0x2B700, 0x2D000), *range(0x32300, 0x33500), *range(0x3D000, 0x110000, 97)]
+    texts = ["a" + chr(c) + "b1" for c in points]
+    got = bpe.encode_texts(v, pa.array(texts, pa.string()))
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [hex(c) for c, a, b in zip(points, got, want, strict=True) if a.as_py() != b.ids] == []
