@@ -245,8 +245,8 @@ def importance(found: DataFrame) -> DataFrame:
     return own.join(above, "parent", "left").select("host", "path", (DECAY * F.col("content") + (1 - DECAY) * F.coalesce("presentation", F.lit(1.0))).alias("importance"))
 
 
-def kept_blocks(page: str, host: str, measured: Mapping[int, float] | set[int], threshold: float = THRESHOLD) -> Iterator[str]:
-    """Texts of a page's branches whose weighed importance isn't low. measured: importance of the host's paths that several pages have."""
+def weighed_blocks(page: str, host: str) -> Iterator[tuple[int, float, str]]:
+    """A page's blocks in order: hash of host and path, the weight that tags, names and place give, and the text."""
     blocks, _ = parse(page)
     marked = any(b.main and not (b.noise or b.named) for b in blocks)
     for b in blocks:
@@ -255,17 +255,46 @@ def kept_blocks(page: str, host: str, measured: Mapping[int, float] | set[int],
         else:
             outside = OUTSIDE if marked and not b.main else 1.0
             weight = NAMED * outside if b.named else ARTICLE if b.main else outside
-        path = _hash(host, b.path)
+        yield _hash(host, b.path), weight, b.text
+
+
+def kept_blocks(page: str, host: str, measured: Mapping[int, float] | set[int], threshold: float = THRESHOLD) -> Iterator[str]:
+    """Texts of a page's branches whose weighed importance isn't low. measured: importance of the host's paths that several pages have."""
+    for path, weight, text in weighed_blocks(page, host):
         if weight * (measured[path] if path in measured else UNMEASURED) >= threshold:
-            yield b.text
+            yield text
+
+
+BLOCK_SCHEMA = "row bigint, place int, path bigint, weight double, block string"
+
+
+def joined(pages: DataFrame, measured: DataFrame, url: str, html: str, text: str, threshold: float) -> DataFrame:
+    """pages with the main text where there are too many importances to broadcast: blocks are joined to them by path, and put together again by page."""
+    own = next(name for name in (f"_row{k}" for k in range(len(pages.columns) + 1)) if name not in pages.columns)
+    numbered = saved(pages.withColumn(own, F.monotonically_increasing_id()), "numbered-pages")
+
+    def run(batches):
+        for part in tx.chunks(batches, html):
+            columns: list[list] = [[], [], [], [], []]
+            for row, address, page in zip(part.column(own).to_pylist(), part.column(url).to_pylist(), part.column(html).to_pylist(), strict=True):
+                for place, found in enumerate(weighed_blocks(page or "", host_of(address))):
+                    for column, v in zip(columns, (row, place, *found), strict=True):
+                        column.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "place", "path", "weight", "block"])
+
+    blocks = numbered.select(own, url, html).mapInArrow(run, BLOCK_SCHEMA).join(measured.select("path", "importance"), "path", "left")
+    kept = blocks.where(F.col("weight") * F.coalesce("importance", F.lit(UNMEASURED)) >= threshold)
+    texts = kept.groupBy(F.col("row").alias(own)).agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", "block")))["block"], "\n").alias("_text"))
+    return numbered.join(texts, own, "left").select(*[F.col(c) for c in pages.columns], F.coalesce("_text", F.lit("")).alias(text))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """pages with the main text: blocks joined by newlines; empty where there is none, as for a null page.
 
     Rows without a host share one tree. Copies of a page are one page of its tree and get the same text.
-    The paths' importances are counted and broadcast if they are few enough; else they are joined by host
-    to the pages. A column named as ``text`` is replaced.
+    The paths' importances are counted and broadcast if they are few enough; else they are joined to the
+    pages' blocks by path. A column named as ``text`` is replaced.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -276,24 +305,15 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
     out = T.StructType([*fields, T.StructField(text, T.StringType())])
     base = pages.select([f.name for f in fields])
     dropped(spark, at)
-    if measured.count() <= BROADCAST_KEYS:
-        rows = measured.select("path", "importance").toArrow()
-        shared = spark.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_numpy()))
-        few = lambda batch: None
-    else:
-        shared = None
-        by_host = measured.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("_measured"))
-        host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*[a-zA-Z][-+.\w]*://([^/?#\s]*)", 1), r"^.*@|:.*$", ""))
-        base = base.withColumn("_host", host).join(by_host.withColumnRenamed("host", "_host"), "_host", "left").drop("_host")
-        few = lambda batch: [dict(v or ()) for v in batch.column("_measured").to_pylist()]
+    if measured.count() > BROADCAST_KEYS:
+        return joined(base, measured, url, html, text, threshold)
+    rows = measured.select("path", "importance").toArrow()
+    shared = spark.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_numpy()))
 
     def run(batches):
-        common = dict(zip(*(v.tolist() for v in shared.value), strict=True)) if shared is not None else None
+        common = dict(zip(*(v.tolist() for v in shared.value), strict=True))
         for part in tx.chunks(batches, html):
-            sets = few(part)
-            texts = []
-            for k, (address, page) in enumerate(zip(part.column(url).to_pylist(), part.column(html).to_pylist(), strict=True)):
-                texts.append("\n".join(kept_blocks(page or "", host_of(address), common if sets is None else sets[k], threshold)))
+            texts = ["\n".join(kept_blocks(page or "", host_of(address), common, threshold)) for address, page in zip(part.column(url).to_pylist(), part.column(html).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(texts, pa.string())], names=out.names)
 
     return base.mapInArrow(run, out)

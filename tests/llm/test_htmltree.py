@@ -1,3 +1,8 @@
+import math
+from collections import defaultdict
+
+import pytest
+
 from strandline.llm import htmltree as h
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title></head><body><div id="cookie-notice">We use cookies</div><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>
@@ -46,3 +51,33 @@ def test_marked_pages_are_judged_by_importance(spark):
     ]
     got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[3] == "Story 3\nSouth of 3\nDay 3"
+
+
+def test_importance_equals_a_plain_count(spark):
+    pages = [(f"http://{'ab'[k % 2]}.example/{k}", f"<body><nav>Menu{'' if k % 3 else ' more'}</nav><div class=x><p>Text {k}</p>{'<p>And so on</p>' * (k % 4)}</div><div>Same</div></body>") for k in range(30)]
+    pages += [pages[0], ("http://a.example/lone", "<main><h2>Only here</h2></main>"), (None, None)]
+    got = {r.path: r.importance for r in h.importance(h.nodes(spark.createDataFrame(pages, "url string, html string"))).collect()}
+    having, texts, shapes, above = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), {}
+    for url, page in set(pages):
+        host = h.host_of(url)
+        blocks, elements = h.parse(page or "")
+        for e in elements:
+            having[host, e.path].add(page)
+            shapes[host, e.path][tuple(e.children)].add(page)
+        for b in blocks:
+            texts[host, b.path][b.text].add(page)
+            above[host, b.path] = (host, b.parent)
+
+    def presentation(key):
+        m, counts = len(having[key]), [len(v) for v in shapes[key].values()]
+        total = sum(counts)
+        return 1.0 if m <= 1 else min(1.0, -sum(n / total * math.log(n / total) for n in counts) / math.log(m))
+
+    want = {}
+    for key, found in texts.items():
+        m = len(having[key])
+        if m > 1:
+            content = 1 - sum(math.log(len(v)) for v in found.values()) / len(found) / math.log(m)
+            want[h._hash(*key)] = h.DECAY * content + (1 - h.DECAY) * presentation(above[key])
+    assert got.keys() == want.keys() and len(want) == 6
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
