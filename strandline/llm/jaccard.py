@@ -287,13 +287,14 @@ def _group_pairs(packed: DataFrame, sketches: DataFrame, large: DataFrame, label
     of about TILE classes or TILE_ENTRIES entries; a task holds two tiles. Unless whole, a task gives all its pairs if they are few, else
     a spanning forest of them (more is true then), so that its rows are in proportion to its classes. Refuted pairs are left out.
     """
+    hint = F.broadcast if large.count() <= BROADCAST_ROWS else lambda groups: groups  # there are fewer groups than classes
     labelled = large.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     counts = labelled.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
     major = counts.groupBy("group").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    rows = labelled.join(major, "group").withColumn("minor", F.col("label") != F.col("major"))
+    rows = labelled.join(hint(major), "group").withColumn("minor", F.col("label") != F.col("major"))
     tiles = lambda minor: F.ceil(F.greatest(F.count(F.when(F.col("minor") == minor, 1)) / TILE, F.coalesce(F.sum(F.when(F.col("minor") == minor, F.col("stored"))), F.lit(0)) / TILE_ENTRIES)).cast("int")
     grid = rows.groupBy("group").agg(tiles(True).alias("minors"), tiles(False).alias("majors"), ((F.count(F.lit(1)) <= TILE) & (F.sum("stored") <= TILE_ENTRIES)).alias("one"))
-    dealt = rows.join(grid, "group").withColumns({"minor": F.col("minor") | F.col("one"), "majors": F.when(F.col("one"), 0).otherwise(F.col("majors"))}).withColumn("tile", F.when(F.col("minor"), F.pmod(F.xxhash64("class"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("class"), F.col("majors"))).cast("int"))
+    dealt = rows.join(hint(grid), "group").withColumns({"minor": F.col("minor") | F.col("one"), "majors": F.when(F.col("one"), 0).otherwise(F.col("majors"))}).withColumn("tile", F.when(F.col("minor"), F.pmod(F.xxhash64("class"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("class"), F.col("majors"))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1))
     dealt = dealt.select("class", "label", "group", "tile", other.alias("other")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
     dealt = scope.saved(dealt, "dealt")
