@@ -147,7 +147,8 @@ def weighted_peaks(spark, sf_dir):
     veg = k.where("veg").groupBy("image_id").agg(F.min_by("g", F.struct(-F.col("density"), "g")).alias("veg"))
     # a density is a grid of under 200 points: peaks and their bases are found inside one row
     line = k.where("not veg").groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "density"))).alias("m"))
-    line = line.select("image_id", F.transform(F.sequence(F.lit(-110), F.lit(110)), lambda g: F.coalesce(F.try_element_at("m", g.cast("long")), F.lit(0.0))).alias("d"))
+    grid = F.transform(F.sequence(F.lit(-110), F.lit(110)), lambda g: F.coalesce(F.try_element_at("m", g.cast("long")), F.lit(0.0)))
+    line = line.select("image_id", F.explode(F.array(grid)).alias("d"))  # made once a row, however often the lambdas below read it
     side = "aggregate({part}, named_struct('low', d[i], 'on', true), (s, y) -> if(s.on and y <= d[i], named_struct('low', least(s.low, y), 'on', true), named_struct('low', s.low, 'on', false))).low"
     left, right = side.format(part="reverse(slice(d, 1, i))"), side.format(part="slice(d, i + 2, size(d))")
     peaks = F.expr(f"filter(sequence(1, size(d) - 2), i -> d[i] > d[i - 1] and d[i] > d[i + 1] and d[i] - greatest({left}, {right}) >= {PROMINENCE})")
