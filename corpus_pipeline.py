@@ -13,6 +13,15 @@ from strandline.llm import decontaminate, jaccard, langid, linechunks, queries
 from strandline.llm.work import Scope, dropped, new_path, released, saved
 
 
+#: Keys of dropped documents that are broadcast at most; more are joined.
+BROADCAST_KEYS = 1_000_000
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """A table of keys, marked for broadcast if it is small: texts then stay where they are."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without any letter. Sets lang to the predicted one.
 
@@ -43,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1):
         found = saved(jaccard.groups(docs), "groups", new_path(spark, "groups"))
         gone = found.where("component <> doc_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(columns)
+        return docs.join(_few(gone), "doc_id", "left_anti").select(columns)
     docs = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered", new_path(spark, "numbered"))
     found = saved(jaccard.groups(docs, key="_row"), "groups", new_path(spark, "groups"))
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")
@@ -57,7 +66,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         found = decontaminate.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scope=scope)
         gone = saved(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
     released(spark)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
