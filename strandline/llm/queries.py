@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, hmm, hnsw, htmltree, jaccard, langid, licenses, linechunks, warc
+from strandline.llm import alignment, bpe, decontaminate, hmm, hnsw, htmltree, jaccard, langid, licenses, linechunks, vocabularies, warc
 from strandline.llm.work import small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,17 @@ def op10_bidirectional_gru_langid(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 4) == 2)
     net = langid.fit(docs.where(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "text", "held_out"), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
+# --- 12: alignment of two tokenizers
+
+
+def vocabulary(spark: SparkSession, name: str):
+    """A broadcast of the bytes of one of the public vocabulary files."""
+    return spark.sparkContext.broadcast(vocabularies.content(public_tokenizers.path(name)))
+
+
+@query
+def op12_token_end_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = vocabulary(spark, "byte_bpe_50k.json"), vocabulary(spark, "piece_bpe_32k.model")
+    return alignment.report(table(spark, sf_dir, "documents"), a, b)
