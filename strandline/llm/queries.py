@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import alignment, bpe, decontaminate, hmm, hnsw, htmltree, jaccard, langid, licenses, linechunks, vocabularies, warc
+from strandline.llm import alignment, bpe, decontaminate, hmm, hnsw, htmltree, jaccard, langid, licenses, linechunks, vocabularies, warc, whitening
 from strandline.llm.work import small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,14 @@ def vocabulary(spark: SparkSession, name: str):
 def op12_token_end_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = vocabulary(spark, "byte_bpe_50k.json"), vocabulary(spark, "piece_bpe_32k.model")
     return alignment.report(table(spark, sf_dir, "documents"), a, b)
+
+
+# --- 13: whitened vectors
+
+
+@query
+def op13_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("z", "explained")).alias("i", "c")
+    rows = found.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", each)
+    return rows.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", F.col("c.z").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
