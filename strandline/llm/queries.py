@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import alignment, bpe, decontaminate, hmm, hnsw, htmltree, jaccard, langid, licenses, linechunks, vocabularies, warc, whitening
+from strandline.llm import alignment, bpe, decontaminate, hmm, hnsw, htmltree, jaccard, langid, licenses, linechunks, packing, vocabularies, warc, whitening
 from strandline.llm.work import small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,7 +157,7 @@ def op10_bidirectional_gru_langid(spark: SparkSession, sf_dir: str) -> DataFrame
     return langid.predict(docs.select("doc_id", "text", "held_out"), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
-# --- 12: alignment of two tokenizers
+# --- 11: packing along a curve
 
 
 def vocabulary(spark: SparkSession, name: str):
@@ -165,6 +165,15 @@ def vocabulary(spark: SparkSession, name: str):
     return spark.sparkContext.broadcast(vocabularies.content(public_tokenizers.path(name)))
 
 
+@query
+def op11_hilbert_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(spark, "byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+# --- 12: alignment of two tokenizers
+
+
 @query
 def op12_token_end_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = vocabulary(spark, "byte_bpe_50k.json"), vocabulary(spark, "piece_bpe_32k.model")
