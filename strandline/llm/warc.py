@@ -69,7 +69,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     """Writes the archive: ``path/payloads`` (sha256, payload) once per address, ``path/headers`` (key, header, sha256).
 
     Headers are settled from addresses alone. The payloads of responses are then written where they were read:
-    the keys of revisits are broadcast if they are few enough, else joined. Only addresses that several
+    the keys and addresses of revisits are broadcast if they are few enough, else joined. Only addresses that several
     responses share (repeated rows, null keys, payloads under min_bytes) carry payloads through a shuffle.
     """
     spark = pages.sparkSession
@@ -77,10 +77,10 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     made = saved(records(base, min_bytes), "warc-records", path=f"{path}/records")
     made.select("key", "header", "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    revisits = made.where("record_type = 'revisit' and key is not null").select("key").distinct()
+    revisits = made.where("record_type = 'revisit' and key is not null").select("key", "sha256").distinct()
     shared = saved(made.where("record_type = 'response' or key is null").groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha256"), "warc-shared", path=f"{path}/shared")
     payloads = base.select("key", "sha256", "payload")
-    own = payloads.join(small(revisits), "key", "left_anti").join(small(shared), "sha256", "left_anti").select("sha256", "payload")
+    own = payloads.join(small(revisits), ["key", "sha256"], "left_anti").join(small(shared), "sha256", "left_anti").select("sha256", "payload")
     if shared.head(1):
         own = own.union(payloads.join(small(shared), "sha256", "left_semi").groupBy("sha256").agg(F.first("payload").alias("payload")))
     own.write.option("compression", "zstd").parquet(f"{path}/payloads")

@@ -39,6 +39,19 @@ def test_small_payloads_repeated_rows_and_null_keys(spark):
     assert archive(spark, []).count() == 0
 
 
+def test_repeated_keys_with_different_payloads(spark):
+    rows = [(1, "u", "Y"), (2, "u", "X"), (2, "u", "Y"), (3, "u", "X"), (3, "u", "Z"), (3, "u", "Z")]
+    got = archive(spark, rows).collect()
+    assert sorted((r.key, bytes(r.payload).decode(), r.record_type, r.refers) for r in got) == [
+        (1, "Y", "response", ""),
+        (2, "X", "response", ""),
+        (2, "Y", "revisit", "1"),
+        (3, "X", "revisit", "2"),
+        (3, "Z", "response", ""),
+        (3, "Z", "response", ""),
+    ]
+
+
 def test_files_hold_all_records(spark, tmp_path):
     a = archive(spark, PAGES)
     warc.write_files(a, str(tmp_path / "files"))
