@@ -10,8 +10,6 @@ from strandline.operators import joins, windows
 from strandline.registry import register
 from strandline.sources import tables as T
 
-#: Years that annual_stack sets side by side: all that the series have.
-YEARS = range(1992, 1999)
 _DAILY_KIND = "d AS (SELECT transect_id, kind, acq_ts::DATE AS day, avg(dist) AS dist FROM v_obs GROUP BY ALL)"
 
 
@@ -191,13 +189,13 @@ def trend_band(spark, sf_dir):
     return j.select("transect_id", "day", F.round(F.col("a") + F.col("b") * F.col("t"), 5).alias("fit"), F.round(band, 5).alias("band"), F.round(F.col("b") * 365.25, 5).alias("per_year"))
 
 
-@register(T.sql("""PIVOT (SELECT transect_id, dayofyear(day) AS doy, year(day) AS year, y FROM v_daily WHERE year(day) BETWEEN 1992 AND 1998) ON year IN (1992, 1993, 1994, 1995, 1996, 1997, 1998) USING sum(y) GROUP BY transect_id, doy""", "v_daily").replace("PIVOT (", "SELECT transect_id, doy::BIGINT AS doy, \"1992\" AS y1992, \"1993\" AS y1993, \"1994\" AS y1994, \"1995\" AS y1995, \"1996\" AS y1996, \"1997\" AS y1997, \"1998\" AS y1998 FROM (PIVOT (").rstrip() + ")")
+@register(T.sql("""SELECT transect_id, dayofyear(day)::BIGINT AS doy, year(day)::BIGINT AS year, y, count(*) OVER w AS n_years, round(avg(y) OVER w, 6) AS stacked
+FROM v_daily WINDOW w AS (PARTITION BY transect_id, dayofyear(day))""", "v_daily"))
 def annual_stack(spark, sf_dir):
-    """Years of a series side by side by day of the year."""
-    d = T.daily(spark, sf_dir).select("transect_id", F.dayofyear("day").cast("long").alias("doy"), F.year("day").alias("year"), "y")
-    p = d.groupBy("transect_id", "doy").pivot("year", list(YEARS)).agg(F.sum("y"))
-    years = [F.col(str(y)) for y in YEARS]
-    return p.where(F.coalesce(*years).isNotNull()).select("transect_id", "doy", *[c.alias(f"y{k}") for c, k in zip(years, YEARS, strict=True)])
+    """All years of a series stacked by day of the year: each value with the mean of that day in every year and their number."""
+    d = T.daily(spark, sf_dir).select("transect_id", F.dayofyear("day").cast("long").alias("doy"), F.year("day").cast("long").alias("year"), "y")
+    w = Window.partitionBy("transect_id", "doy")
+    return d.withColumns({"n_years": F.count(F.lit(1)).over(w), "stacked": F.round(F.avg("y").over(w), 6)})
 
 
 @register(T.sql(""", r AS (SELECT transect_id, day, dense_rank() OVER (PARTITION BY transect_id ORDER BY day DESC) AS r, min(day) OVER (PARTITION BY transect_id) AS oldest FROM v_daily)
