@@ -77,6 +77,21 @@ def coast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("line_id"), F.col("label").cast("long").alias("cls")), "line_id")
 
 
+def tangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polylines of 32 vertices that cross themselves about ten times."""
+    e = table(spark, sf_dir, "embeddings")
+    pairs = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((i * 3 + 60 * F.get("embedding", i * 2).cast("double")).alias("x"), (60 * F.get("embedding", i * 2 + 1).cast("double")).alias("y"))))
+    return e.select(F.col("vec_id").alias("line_id"), pairs.alias("seq", "p")).select("line_id", F.col("seq").cast("long").alias("seq"), "p.x", "p.y")
+
+
+def piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polylines cut into eight pieces of five vertices that share their ends, numbered out of order and every third turned round."""
+    v = coast(spark, sf_dir).select("line_id", "seq", "x", "y", F.explode(F.sequence(F.floor(F.greatest(F.col("seq") - 1, F.lit(0)) / 4), F.floor(F.least(F.col("seq"), F.lit(31)) / 4))).alias("p"))
+    at, n = F.col("seq") - 4 * F.col("p"), F.when(F.col("p") == 7, 3).otherwise(4)
+    turned = (F.col("line_id") + F.col("p")) % 3 == 0
+    return v.select((F.col("line_id") * 8 + (F.col("p") * 5 + 3) % 8).alias("line_id"), F.when(turned, n - at).otherwise(at).alias("seq"), "x", "y")
+
+
 def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of 8 x 8 pixels: band a of the image, band b of the image with the next id."""
     e = table(spark, sf_dir, "embeddings")
@@ -104,6 +119,8 @@ CTES = {
     "v_daily": "SELECT l_suppkey AS transect_id, l_shipdate::DATE AS day, sum(l_quantity) AS y FROM lineitem GROUP BY ALL",
     "v_vertex": "SELECT vec_id AS line_id, i AS seq, 10 * i + 20 * embedding[2 * i + 1]::DOUBLE AS x, 50 * embedding[2 * i + 2]::DOUBLE AS y FROM embeddings, (SELECT unnest(range(32)) AS i)",
     "v_coast": "SELECT vec_id AS line_id, i AS seq, 10 * i + 20 * embedding[2 * i + 1]::DOUBLE AS x, 50 * embedding[2 * i + 2]::DOUBLE + 5.0::DOUBLE * vec_id AS y, label::BIGINT AS cls FROM embeddings, (SELECT unnest(range(32)) AS i)",
+    "v_tangle": "SELECT vec_id AS line_id, i AS seq, 3 * i + 60 * embedding[2 * i + 1]::DOUBLE AS x, 60 * embedding[2 * i + 2]::DOUBLE AS y FROM embeddings, (SELECT unnest(range(32)) AS i)",
+    "v_piece": "SELECT line_id * 8 + (p * 5 + 3) % 8 AS line_id, CASE WHEN (line_id + p) % 3 = 0 THEN CASE WHEN p = 7 THEN 3 ELSE 4 END - (seq - 4 * p) ELSE seq - 4 * p END AS seq, x, y FROM (SELECT vec_id AS line_id, i AS seq, 10 * i + 20 * embedding[2 * i + 1]::DOUBLE AS x, 50 * embedding[2 * i + 2]::DOUBLE + 5.0::DOUBLE * vec_id AS y FROM embeddings, (SELECT unnest(range(32)) AS i)), (SELECT unnest(range(8)) AS p) WHERE seq BETWEEN 4 * p AND 4 * p + 4",
     "v_transect": "SELECT p_partkey AS transect_id, 3 + (p_partkey * 37 % 3000) / 10 AS x0, 2.5::DOUBLE * p_partkey - 60 AS y0, 3 + (p_partkey * 37 % 3000) / 10 + p_size / 10 AS x1, 2.5::DOUBLE * p_partkey - 60 + 120 AS y1 FROM part",
     "v_pixel": "SELECT e.vec_id AS image_id, i // 8 AS row, i % 8 AS col, e.embedding[i + 1]::DOUBLE AS a, n.embedding[i + 1]::DOUBLE AS b, (e.label % 2)::BIGINT AS cls FROM embeddings e JOIN embeddings n ON n.vec_id = e.vec_id + 1, (SELECT unnest(range(64)) AS i)",
     "v_profile": "SELECT l_suppkey AS transect_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS seq, l_quantity - 25 AS z FROM lineitem",
