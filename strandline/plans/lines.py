@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import lines
+from strandline.operators import geometry, lines, morphology
 from strandline.registry import register
 from strandline.sources import tables as T
 
@@ -110,3 +110,28 @@ def contour_transects(spark, sf_dir):
 def contour_midpoints(spark, sf_dir):
     """New lines through the middles of the transects between two contours."""
     return lines.midpoint_lines(_between(spark, sf_dir)).select("line_id", "seq", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+_NORMALS = """m AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, coalesce(sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2), 0) AS l FROM v_vertex WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+s AS (SELECT *, sum(l) OVER (PARTITION BY line_id ORDER BY seq) - l AS s0 FROM m),
+k AS (SELECT *, unnest(range(floor(s0 / 10)::BIGINT + 1, ceil((s0 + l) / 10)::BIGINT)) * 10.0::DOUBLE AS pos FROM s WHERE nx IS NOT NULL),
+p AS (SELECT line_id, pos, x + (pos - s0) / l * (nx - x) AS x, y + (pos - s0) / l * (ny - y) AS y FROM k UNION ALL SELECT line_id, 0.0, x, y FROM s WHERE seq = 0 UNION ALL SELECT line_id, s0, x, y FROM s WHERE nx IS NULL),
+a AS (SELECT *, atan2(lead(x) OVER w - x, lead(y) OVER w - y) AS b0, row_number() OVER w - 1 AS id FROM p WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+b AS (SELECT *, coalesce(b0, lag(b0) OVER (PARTITION BY line_id ORDER BY pos)) AS b FROM a),
+t AS (SELECT line_id, id, x + 2 * sin(b - pi() / 2) AS x0, y + 2 * cos(b - pi() / 2) AS y0, x + 8 * sin(b + pi() / 2) AS x1, y + 8 * cos(b + pi() / 2) AS y1 FROM b)"""
+
+
+@register(T.sql(f""", {_NORMALS},
+c AS (SELECT DISTINCT t.line_id, t.id FROM t JOIN t o ON o.line_id = t.line_id AND o.id <> t.id
+  AND ((t.x1 - t.x0) * (o.y0 - t.y0) - (t.y1 - t.y0) * (o.x0 - t.x0)) * ((t.x1 - t.x0) * (o.y1 - t.y0) - (t.y1 - t.y0) * (o.x1 - t.x0)) <= 0
+  AND ((o.x1 - o.x0) * (t.y0 - o.y0) - (o.y1 - o.y0) * (t.x0 - o.x0)) * ((o.x1 - o.x0) * (t.y1 - o.y0) - (o.y1 - o.y0) * (t.x1 - o.x0)) <= 0),
+h AS (SELECT t.*, c.id IS NOT NULL AND t.id < max(t.id) OVER (PARTITION BY t.line_id) AS hit FROM t LEFT JOIN c ON c.line_id = t.line_id AND c.id = t.id),
+i AS (SELECT *, id - row_number() OVER (PARTITION BY line_id, hit ORDER BY id) AS island FROM h),
+g AS (SELECT line_id, island, min(id) AS first, max(id) AS last FROM i WHERE hit GROUP BY ALL),
+q AS (SELECT i.*, i.id - first AS j, last - first + 1 AS n, a.x1 AS ax, a.y1 AS ay, z.x1 AS zx, z.y1 AS zy FROM i LEFT JOIN g ON i.hit AND g.line_id = i.line_id AND g.island = i.island LEFT JOIN t a ON a.line_id = i.line_id AND a.id = first LEFT JOIN t z ON z.line_id = i.line_id AND z.id = last + 1)
+SELECT line_id, id AS transect_id, round(CASE WHEN hit THEN ax + (CASE WHEN n > 1 THEN j / (n - 1) ELSE 0 END) * (zx - ax) ELSE x1 END, 5) AS x1, round(CASE WHEN hit THEN ay + (CASE WHEN n > 1 THEN j / (n - 1) ELSE 0 END) * (zy - ay) ELSE y1 END, 5) AS y1, hit AS moved FROM q WHERE NOT hit OR j % 2 = 0""", "v_vertex"))
+def respaced_transects(spark, sf_dir):
+    """Transects across each line every 10 m; where neighbours cross, their seaward ends are spread evenly and every second one goes."""
+    t = geometry.shore_normals(T.vertex(spark, sf_dir), 10.0, 2.0, 8.0).drop("at")
+    out = morphology.respaced(t, "line_id")
+    return out.select("line_id", "transect_id", F.round("x1", 5).alias("x1"), F.round("y1", 5).alias("y1"), F.col("hit").alias("moved"))

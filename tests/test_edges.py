@@ -82,14 +82,35 @@ def test_longest_of_crossing_transects_go(spark):
     side = lambda a, p, q: (a[3] - a[1]) * (q - a[2]) - (a[4] - a[2]) * (p - a[1])
     cross = lambda a, b: side(a, b[1], b[2]) * side(a, b[3], b[4]) <= 0 and side(b, a[1], a[2]) * side(b, a[3], a[4]) <= 0
     pairs = {(a[0], b[0]) for a in t for b in t if a[0] != b[0] and cross(a, b)}
-    left = set(size)
-    while True:
-        live = {(a, b) for a, b in pairs if a in left and b in left}
-        lost = {a for a, _ in live if all(size[a] > size[b] for c, b in live if c == a)}
-        if not lost:
-            break
-        left -= lost
-    assert got == left and not {(a, b) for a, b in pairs if a in left and b in left}
+    left = set()
+    for k in sorted(size, key=size.get):  # from the shortest on
+        if not any((k, o) in pairs for o in left):
+            left.add(k)
+    assert got == left
+    assert not {(a, b) for a, b in pairs if a in left and b in left}
+    assert all(any((k, o) in pairs for o in left) for k in set(size) - left)
+
+
+def test_every_second_of_a_chain_stays(spark):
+    t = [(k, 10.0 * k, 0.0, 10.0 * k + 12.0 + k / 100, (-1.0) ** k) for k in range(1, 31)]
+    df = spark.createDataFrame([(k, x0, -y1, x1, y1) for k, x0, _, x1, y1 in t], "transect_id long, x0 double, y0 double, x1 double, y1 double")
+    left = {r.transect_id for r in morphology.uncrossed(df).collect()}
+    assert left == set(range(1, 31, 2))
+
+
+def test_runs_of_crossing_transects_are_spread(spark):
+    n = 1000
+    rows = [(1, k, 10.0 * k, 0.0, 10.0 * k + (15.0 if k % 2 else -15.0) * (10 <= k < n - 10), 50.0) for k in range(n)]
+    rows += [(2, 0, 0.0, 0.0, 30.0, 20.0), (2, 1, 10.0, 0.0, 0.0, 20.0), (2, 2, 20.0, 0.0, 20.0, 5.0), (3, 0, 0.0, 0.0, 0.0, 5.0)]
+    df = spark.createDataFrame(rows, "line_id long, transect_id long, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    got = {(r.line_id, r.transect_id): r for r in morphology.respaced(df, "line_id").collect()}
+    run = sorted(k for line, k in got if line == 1 and got[line, k].hit)
+    assert run == list(range(run[0], n - 10, 2)) and 9 <= run[0] <= 10
+    ends = [got[1, k].x1 for k in run]
+    assert max(abs((b - a) - (ends[1] - ends[0])) for a, b in zip(ends, ends[1:])) < 1e-6 and ends[0] < ends[-1]
+    assert [got[1, k].x1 for k in range(5)] == [10.0 * k for k in range(5)] and (1, n - 1) in got
+    # the last of a line ends the run that reaches it
+    assert {k for k in got if k[0] != 1} == {(2, 0), (2, 2), (3, 0)} and (got[2, 0].x1, got[2, 0].y1) == (30.0, 20.0) and got[2, 2].x1 == 20.0
 
 
 def test_merged_chains_settle(spark):
