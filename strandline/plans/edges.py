@@ -252,13 +252,13 @@ def cliffs(spark, sf_dir):
     return morphology.cliffs(T.profile(spark, sf_dir), "transect_id", "seq", "z")
 
 
-@register("WITH RECURSIVE" + T.sql(""", t AS (SELECT *, row_number() OVER (ORDER BY sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), transect_id) AS r FROM v_transect),
-c AS (SELECT a.r, list(b.r) AS others FROM t a JOIN t b ON a.r <> b.r AND greatest(a.x0, a.x1) >= least(b.x0, b.x1) AND least(a.x0, a.x1) <= greatest(b.x0, b.x1) AND greatest(a.y0, a.y1) >= least(b.y0, b.y1) AND least(a.y0, a.y1) <= greatest(b.y0, b.y1)
+@register("WITH RECURSIVE" + T.sql(""", p AS MATERIALIZED (SELECT a.transect_id AS id, b.transect_id AS other, sqrt((a.x1 - a.x0) * (a.x1 - a.x0) + (a.y1 - a.y0) * (a.y1 - a.y0)) AS len FROM v_transect a JOIN v_transect b ON a.transect_id <> b.transect_id
+  AND greatest(a.x0, a.x1) >= least(b.x0, b.x1) AND least(a.x0, a.x1) <= greatest(b.x0, b.x1) AND greatest(a.y0, a.y1) >= least(b.y0, b.y1) AND least(a.y0, a.y1) <= greatest(b.y0, b.y1)
   AND ((a.x1 - a.x0) * (b.y0 - a.y0) - (a.y1 - a.y0) * (b.x0 - a.x0)) * ((a.x1 - a.x0) * (b.y1 - a.y0) - (a.y1 - a.y0) * (b.x1 - a.x0)) <= 0
-  AND ((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) * ((b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0)) <= 0 GROUP BY a.r),
-walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT w.r + 1, CASE WHEN list_has_any(w.kept, coalesce(c.others, []::BIGINT[])) THEN w.kept ELSE list_append(w.kept, w.r + 1) END
-  FROM walk w LEFT JOIN c ON c.r = w.r + 1 WHERE w.r < (SELECT count(*) FROM t))
-SELECT transect_id FROM t JOIN (SELECT unnest(kept) AS r FROM walk WHERE r = (SELECT count(*) FROM t)) USING (r)""", "v_transect").removeprefix("WITH"))
+  AND ((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) * ((b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0)) <= 0),
+c AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY any_value(len), id) AS r, list(other) AS others FROM p GROUP BY id),
+walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT c.r, CASE WHEN list_has_any(w.kept, c.others) THEN w.kept ELSE list_append(w.kept, c.id) END FROM walk w JOIN c ON c.r = w.r + 1)
+SELECT transect_id FROM v_transect WHERE transect_id NOT IN (SELECT id FROM c) OR transect_id IN (SELECT unnest(kept) FROM walk WHERE r = (SELECT count(*) FROM c))""", "v_transect").removeprefix("WITH"))
 def uncrossed_transects(spark, sf_dir):
     """Transects that are left when, of those that cross, the shortest stay."""
     return morphology.uncrossed(T.transect(spark, sf_dir)).select("transect_id")
