@@ -76,22 +76,3 @@ def ridge_by_group(df: DataFrame, by: str, order: str, value: str, lags: int = 1
         return pd.DataFrame(out)
 
     return df.groupBy(by).applyInPandas(fit, f"{by} bigint, n_test bigint, rmse double, naive_rmse double")
-
-
-def oversampled(df: DataFrame, key: str, columns: list[str], label: str, minority: int, neighbours: int = 5, seed: int = 1) -> DataFrame:
-    """Rows of the minority class made between a row and one of its nearest neighbours, one for each row.
-
-    Neighbours are sought among minority rows of the same or a neighbouring cell along the first column, which
-    bounds what a row meets; the partner and the place between come from a hash of the key.
-    """
-    m = df.where(F.col(label) == minority)
-    spread = m.agg(F.percentile(columns[0], [0.1, 0.9]).alias("q")).first()["q"] or [0.0, 1.0]
-    width = max((spread[1] - spread[0]) / 8, 1e-9)
-    cell = F.floor(F.col(columns[0]) / width)
-    a = m.select(key, *columns, cell.alias("_c"))
-    b = m.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns], F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: cell + d)).alias("_c"))
-    d = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in columns), F.lit(0.0))
-    near = a.join(b, "_c").where(F.col(key) != F.col("_k")).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(d, "_k"))).where(F.col("_r") <= neighbours)
-    pick = near.withColumn("_n", F.max("_r").over(Window.partitionBy(key))).where(F.col("_r") == F.pmod(F.xxhash64(key, F.lit(seed)), F.col("_n")) + 1)
-    at = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(1000)) / 1000
-    return pick.select(F.col(key).alias("from_key"), F.col("_k").alias("to_key"), *[(F.col(c) + at * (F.col(f"_{c}") - F.col(c))).alias(c) for c in columns], F.lit(minority).alias(label))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.nearest import nearest
 from strandline.operators.rounds import settled
 
 
@@ -51,3 +54,79 @@ def contour_segments(pixels: DataFrame, band: str, level: float) -> DataFrame:
     cases = cases.when(code == 5, F.when(high, F.array(seg("t", "r"), seg("l", "b"))).otherwise(F.array(seg("l", "t"), seg("r", "b"))))
     cases = cases.when(code == 10, F.when(high, F.array(seg("l", "t"), seg("r", "b"))).otherwise(F.array(seg("t", "r"), seg("l", "b"))))
     return q.select("image_id", "row", "col", F.explode(cases).alias("s")).select("image_id", "row", "col", "s.*")
+
+
+def principal_axes(pixels: DataFrame, bands: list[str], by: str = "image_id") -> DataFrame:
+    """Of each image, the means of its bands and the direction of their greatest variance: by, mean, axis, its largest part being positive.
+
+    Sums of products come from one aggregate; the eigenvectors are found from one row an image.
+    """
+    pairs = [(a, b) for i, a in enumerate(bands) for b in bands[i:]]
+    known = pixels.dropna(subset=bands)
+    means = known.groupBy(by).agg(F.array(*[F.avg(c) for c in bands]).alias("mean"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("cov"))
+
+    def run(batches):
+        for batch in batches:
+            axes = []
+            for cov in batch["cov"]:
+                v = np.zeros((len(bands), len(bands)))
+                v[np.triu_indices(len(bands))] = cov
+                axis = np.linalg.eigh(v + np.triu(v, 1).T)[1][:, -1]
+                axes.append((axis * np.sign(axis[np.abs(axis).argmax()])).tolist())
+            yield pd.DataFrame({by: batch[by], "mean": batch["mean"], "axis": axes})
+
+    return means.mapInPandas(run, f"{by} {dict(pixels.dtypes)[by]}, mean array<double>, axis array<double>")
+
+
+def pan_sharpened(pixels: DataFrame, bands: list[str], pan: str, by: str = "image_id") -> DataFrame:
+    """Images (image_id, row, col, bands, pan) whose first principal component is replaced by the pan band: image_id, row, col, bands.
+
+    The pan band is first given the component's distribution: its m-th value from below becomes the component's m-th, equal ones
+    the last of theirs. As only that component changes, a pixel moves along the principal axis by the difference. Mask a pixel
+    by nulls: where a band or pan is null it has no part in sums and ranks, and all its bands come out null.
+    """
+    columns = [by, "row", "col"]
+    given = pixels.select(*columns, *[F.col(c).cast("double").alias(c) for c in bands], F.col(pan).cast("double").alias("_pan"))
+    known = given.dropna()
+    p = known.join(principal_axes(known, bands, by), by)
+    first = sum(((F.col(c) - F.col("mean")[i]) * F.col("axis")[i] for i, c in enumerate(bands)), F.lit(0.0))
+    upto = F.count(F.lit(1)).over(Window.partitionBy(by).orderBy("_pan").rangeBetween(Window.unboundedPreceding, 0))
+    p = p.withColumn("_first", first).withColumns({"_m": upto, "_r": F.row_number().over(Window.partitionBy(by).orderBy("_first"))})
+    ranked = p.select(by, F.col("_r").cast("long").alias("_m"), F.col("_first").alias("_matched"))
+    moved = F.col("_matched") - F.col("_first")
+    done = p.join(ranked, [by, "_m"]).select(*columns, *[(F.col(c) + moved * F.col("axis")[i]).alias(c) for i, c in enumerate(bands)])
+    return given.select(*columns).join(done, columns, "left")
+
+
+def evaluated(pixels: DataFrame, truth: str, predicted: str, by: str = "image_id") -> DataFrame:
+    """Of each image, how a class (0 or 1) is predicted and how far the line around it lies from the true one.
+
+    Columns: by, n, accuracy, precision, recall, kappa, n_true and n_predicted (segments of either line), mean_distance and
+    max_distance from the predicted line's ends of segments to the nearest of the true line's, and back_distance (the greatest from
+    the true line to the predicted one), in pixels. Without a class or a line what needs it is null. Pixels without truth or
+    prediction don't count.
+    """
+    p = pixels.select(by, "row", "col", F.col(truth).cast("double").alias("t"), F.col(predicted).cast("double").alias("p")).dropna()
+    both, t, q = (F.sum(c) for c in (F.col("t") * F.col("p"), F.col("t"), F.col("p")))
+    n = F.count(F.lit(1))
+    counts = p.groupBy(by).agg(n.alias("n"), both.alias("_b"), t.alias("_t"), q.alias("_p"))
+    right = (F.col("n") - F.col("_t") - F.col("_p") + 2 * F.col("_b")) / F.col("n")
+    chance = (F.col("_t") * F.col("_p") + (F.col("n") - F.col("_t")) * (F.col("n") - F.col("_p"))) / (F.col("n") * F.col("n"))
+    counts = counts.select(by, "n", right.alias("accuracy"), F.try_divide("_b", "_p").alias("precision"), F.try_divide("_b", "_t").alias("recall"), F.try_divide(right - chance, 1 - chance).alias("kappa"))
+    image = p.withColumnRenamed(by, "image_id")
+    ends = F.explode(F.array(F.struct(F.col("xa").alias("x"), F.col("ya").alias("y")), F.struct(F.col("xb").alias("x"), F.col("yb").alias("y")))).alias("e")
+
+    def line(column: str, name: str) -> tuple[DataFrame, DataFrame]:
+        s = contour_segments(image, column, 0.5)
+        points = s.select("image_id", ends).select("image_id", "e.x", "e.y").distinct()
+        # an end's place makes its number: lines of a class run through the middles between pixels
+        return s.groupBy("image_id").agg(F.count(F.lit(1)).alias(f"n_{name}")), points.withColumn(name, (F.col("y") * 2).cast("long") * (1 << 31) + (F.col("x") * 2).cast("long"))
+
+    n_true, true = line("t", "true")
+    n_predicted, found = line("p", "predicted")
+    there = nearest(found, true, "predicted", "true", ["x", "y"], 1, by=["image_id"]).groupBy("image_id").agg(F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"))
+    back = nearest(true, found, "true", "predicted", ["x", "y"], 1, by=["image_id"]).groupBy("image_id").agg(F.max("distance").alias("back_distance"))
+    out = counts.withColumnRenamed(by, "image_id")
+    for other in (n_true, n_predicted, there, back):
+        out = out.join(other, "image_id", "left")
+    return out.fillna(0, ["n_true", "n_predicted"]).withColumnRenamed("image_id", by)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.operators import learn, raster, spectra
+from strandline.operators import graphs, learn, nearest, raster, spectra, tuning
 from strandline.registry import register
 from strandline.sources import tables as T
 
@@ -73,10 +74,98 @@ def ridge_fleet(spark, sf_dir):
     return learn.ridge_by_group(T.daily(spark, sf_dir), "transect_id", "day", "y").select("transect_id", "n_test", F.round("rmse", 6).alias("rmse"), F.round("naive_rmse", 6).alias("naive_rmse"))
 
 
-@register()
+def _quarters(spark, sf_dir):
+    """Four features of each vector: the means of its quarters."""
+    e = T.table(spark, sf_dir, "embeddings").where(F.forall("embedding", lambda v: v.isNotNull()))
+    mean = lambda k: F.aggregate(F.slice("embedding", 16 * k + 1, 16), F.lit(0.0), lambda a, v: a + v.cast("double")) / 16
+    return e.select("vec_id", (F.col("label") % 2).cast("int").alias("cls"), *[mean(k).alias(f"x{k}") for k in range(4)])
+
+
+_FOUR = [f"x{k}" for k in range(4)]
+_QUARTERS = """f AS (SELECT vec_id, label % 2 AS cls, list_sum(embedding[1:16]::DOUBLE[]) / 16 AS x0, list_sum(embedding[17:32]::DOUBLE[]) / 16 AS x1, list_sum(embedding[33:48]::DOUBLE[]) / 16 AS x2, list_sum(embedding[49:64]::DOUBLE[]) / 16 AS x3 FROM embeddings),
+d AS (SELECT a.vec_id AS from_key, b.vec_id AS to_key, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2 + (a.x3 - b.x3) ** 2) AS d FROM f a JOIN f b ON a.vec_id <> b.vec_id AND a.cls = b.cls),
+r AS (SELECT *, row_number() OVER (PARTITION BY from_key ORDER BY d, to_key) AS rank FROM d)"""
+
+
+@register(f"""WITH {_QUARTERS} SELECT from_key AS vec_id, rank, to_key AS near, round(d, 6) AS distance FROM r WHERE rank <= 5""")
+def nearest_rows(spark, sf_dir):
+    """The five nearest rows of the same class to each row, in four dimensions."""
+    f = _quarters(spark, sf_dir)
+    out = nearest.nearest(f, f.withColumnRenamed("vec_id", "near"), "vec_id", "near", _FOUR, 5, by=["cls"], apart=True)
+    return out.select("vec_id", "rank", "near", F.round("distance", 6).alias("distance"))
+
+
+@register(f"""WITH {_QUARTERS}, n AS (SELECT *, least(count(*) OVER (PARTITION BY from_key), 5) AS n FROM r),
+c AS (SELECT n.*, c AS copy, ((from_key * 104729 + c * 7907) % 1000) / 1000 AS at_share FROM n, (SELECT unnest([0, 1]) AS c) WHERE rank = (from_key * 7919 + c * 31) % n + 1)
+SELECT from_key, copy::BIGINT AS copy, to_key, round(a.x0 + at_share * (b.x0 - a.x0), 6) AS x0, round(a.x1 + at_share * (b.x1 - a.x1), 6) AS x1, round(a.x2 + at_share * (b.x2 - a.x2), 6) AS x2, round(a.x3 + at_share * (b.x3 - a.x3), 6) AS x3
+FROM c JOIN f a ON a.vec_id = from_key JOIN f b ON b.vec_id = to_key WHERE a.cls = 1""")
 def oversampled_rows(spark, sf_dir):
-    """Synthetic rows of the second class."""
-    return learn.oversampled(_features(spark, sf_dir), "vec_id", NAMES[:4], "cls", 1).select("from_key", "to_key", *[F.round(c, 6).alias(c) for c in NAMES[:4]])
+    """Two rows made between each row of the second class and its nearest ones."""
+    f = _quarters(spark, sf_dir).where("cls = 1")
+    out = nearest.between_neighbours(f, "vec_id", _FOUR, copies=2)
+    return out.select("from_key", "copy", "to_key", *[F.round(c, 6).alias(c) for c in _FOUR])
+
+
+@register()
+def coast_clusters(spark, sf_dir):
+    """Three clusters of the graph of nearest rows."""
+    f = _quarters(spark, sf_dir)
+    near = nearest.nearest(f, f.withColumnRenamed("vec_id", "near"), "vec_id", "near", _FOUR, 10, apart=True)
+    edges = near.select(F.col("vec_id").alias("a"), F.col("near").alias("b"), F.exp(-200 * F.col("distance") * F.col("distance")).alias("weight"))
+    return graphs.spectral_clusters(edges, 3).withColumnRenamed("node", "vec_id")
+
+
+def _lagged(spark, sf_dir, lags: list[int]):
+    """Daily values with earlier ones of their series."""
+    w = Window.partitionBy("transect_id").orderBy("day")
+    return T.daily(spark, sf_dir).select("transect_id", "day", "y", *[F.lag("y", k).over(w).alias(f"lag{k}") for k in lags]).dropna()
+
+
+TRIALS = [(n, p) for n in (1, 2, 3, 5, 10) for p in (0.0, 1.0, 100.0, 10_000.0, 1_000_000.0)]
+
+
+@register()
+def parameter_search(spark, sf_dir):
+    """Number of lags and penalty of the ridge regression that forecasts each transect best, of 25 trials over three folds of years."""
+    d = _lagged(spark, sf_dir, list(range(1, 11))).withColumn("fold", F.year("day") % 3)
+    found = tuning.search(d, "transect_id", "fold", [f"lag{k}" for k in range(1, 11)], "y", TRIALS)
+    return found.where("best").select("transect_id", "features", "penalty", F.round("rmse", 6).alias("rmse"))
+
+
+@register(T.sql(""", l AS (SELECT transect_id, day, y, lag(y, 1) OVER w AS lag1, lag(y, 10) OVER w AS lag10 FROM v_daily WINDOW w AS (PARTITION BY transect_id ORDER BY day)),
+d AS (SELECT *, transect_id * 100000 + (day - DATE '1970-01-01') AS key FROM l WHERE lag10 IS NOT NULL),
+s AS (SELECT avg(y) AS my, avg(lag1) AS m1, avg(lag10) AS m2, covar_pop(lag1, lag1) AS s11, covar_pop(lag1, lag10) AS s12, covar_pop(lag10, lag10) AS s22, covar_pop(lag1, y) AS s1, covar_pop(lag10, y) AS s2 FROM d),
+b AS (SELECT *, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY key) AS i, row_number() OVER (ORDER BY (key * 2654435761) % 4294967296) AS j FROM d),
+x AS (SELECT r.y, r.lag1, r.lag10, o.lag1 AS other1, o.lag10 AS other10 FROM r JOIN r o ON o.j = r.i),
+e AS (SELECT sqrt(avg((y - my - b1 * (lag1 - m1) - b2 * (lag10 - m2)) ** 2)) AS rmse, sqrt(avg((y - my - b1 * (other1 - m1) - b2 * (lag10 - m2)) ** 2)) AS lag1, sqrt(avg((y - my - b1 * (lag1 - m1) - b2 * (other10 - m2)) ** 2)) AS lag10 FROM x, b)
+SELECT 'lag1' AS feature, round(rmse, 6) AS rmse, round(lag1, 6) AS shuffled, round(lag1 - rmse, 6) AS change FROM e UNION ALL SELECT 'lag10', round(rmse, 6), round(lag10, 6), round(lag10 - rmse, 6) FROM e""", "v_daily"))
+def feature_influence(spark, sf_dir):
+    """What a regression on the last and the tenth last value loses when either is dealt to other rows."""
+    d = _lagged(spark, sf_dir, [1, 10]).withColumn("key", F.col("transect_id") * 100_000 + F.unix_date("day"))
+    found = tuning.influence(d, "key", ["lag1", "lag10"], "y", tuning.least_squares(d, ["lag1", "lag10"], "y"), F.col("key") * 2654435761 % 4294967296)
+    return found.select("feature", *[F.round(c, 6).alias(c) for c in ("rmse", "shuffled", "change")])
+
+
+@register(T.sql(""", m AS (SELECT *, CASE WHEN a <= 0.2 THEN a * 0.7 + b * b END AS pan FROM v_pixel), k AS (SELECT * FROM m WHERE pan IS NOT NULL),
+s AS (SELECT image_id, avg(a) AS ma, avg(b) AS mb, 0.5::DOUBLE * atan2(2 * covar_pop(a, b), covar_pop(a, a) - covar_pop(b, b)) AS angle FROM k GROUP BY image_id),
+v AS (SELECT *, CASE WHEN (CASE WHEN abs(cos(angle)) >= abs(sin(angle)) THEN cos(angle) ELSE sin(angle) END) < 0 THEN -1 ELSE 1 END AS sign FROM s),
+p AS (SELECT k.*, sign * cos(angle) AS ca, sign * sin(angle) AS cb, (a - ma) * sign * cos(angle) + (b - mb) * sign * sin(angle) AS first FROM k JOIN v USING (image_id)),
+r AS (SELECT *, count(*) OVER (PARTITION BY image_id ORDER BY pan RANGE UNBOUNDED PRECEDING) AS m, row_number() OVER (PARTITION BY image_id ORDER BY first) AS r FROM p)
+SELECT m.image_id, m.row, m.col, round(x.a + (o.first - x.first) * x.ca, 5) AS a, round(x.b + (o.first - x.first) * x.cb, 5) AS b FROM m LEFT JOIN r x ON x.image_id = m.image_id AND x.row = m.row AND x.col = m.col LEFT JOIN r o ON o.image_id = x.image_id AND o.r = x.m""", "v_pixel"))
+def pan_sharpened(spark, sf_dir):
+    """Images whose first principal component is replaced by a pan band; clouds stay out."""
+    p = T.pixel(spark, sf_dir).withColumn("pan", F.when(F.col("a") <= 0.2, F.col("a") * 0.7 + F.col("b") * F.col("b")))
+    return raster.pan_sharpened(p, ["a", "b"], "pan").select("image_id", "row", "col", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"))
+
+
+@register()
+def image_evaluation(spark, sf_dir):
+    """How a perceptron trained on a third of the images finds a class in every image, and how far its line lies from the true one."""
+    p = T.pixel(spark, sf_dir).withColumn("truth", (F.col("a") + F.col("b") * F.col("b") * 4 > 0.05).cast("int"))
+    found = learn.perceptron(p.where(F.pmod(F.xxhash64("image_id"), F.lit(3)) == 0), p, ["a", "b"], "truth", hidden=(8, 4))
+    out = raster.evaluated(found, "truth", "predicted")
+    return out.select("image_id", "n", "n_true", "n_predicted", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "kappa", "mean_distance", "max_distance", "back_distance")])
 
 
 @register()

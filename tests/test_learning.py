@@ -52,9 +52,3 @@ def test_ridge_beats_the_last_value_on_a_wave(spark):
     df = spark.createDataFrame([(g, k, math.sin(k / 3 + g)) for g in (1, 2) for k in range(200)] + [(3, 0, 1.0)], "id long, k int, v double")
     got = {r.id: r for r in learn.ridge_by_group(df, "id", "k", "v").collect()}
     assert got[1].rmse < 0.2 * got[1].naive_rmse and got[3].n_test == 0
-
-
-def test_oversampled_rows_lie_between(spark):
-    df = spark.createDataFrame([(k, float(k), float(2 * k), int(k % 3 == 0)) for k in range(60)], "id long, a double, b double, c int")
-    for r in learn.oversampled(df, "id", ["a", "b"], "c", 1).collect():
-        assert min(r.from_key, r.to_key) <= r.a <= max(r.from_key, r.to_key) and math.isclose(r.b, 2 * r.a)
