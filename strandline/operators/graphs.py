@@ -42,20 +42,20 @@ def spectral_vectors(edges: DataFrame, count: int, tolerance: float = 1e-4, roun
     start = [((F.pmod(F.xxhash64("a", F.lit(seed + i)), F.lit(1 << 20)) / float(1 << 20)) - 0.5).alias(n) for i, n in enumerate(names)]
     # the first vector is known: the roots of the degrees
     held = State(degree.select(F.col("a").alias("node"), F.sqrt("degree").alias("v0"), *start[1:]))
-    held.put(_combined(held.table, names, _factor(_products(held.table, names))))
+    now = _combined(held.table, names, _factor(_products(held.table, names)))
     known = np.zeros(count)
     for _ in range(rounds):
-        sent = links.table.join(held.table.withColumnRenamed("node", "b"), "b").groupBy("a").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names])
+        sent = links.table.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names])
         # half of the vector itself is added, so that only the greatest eigenvalues count, whatever their signs
-        both_sides = sent.withColumnRenamed("a", "node").join(held.table.select("node", *[F.col(n).alias(o) for n, o in zip(names, olds, strict=True)]), "node")
+        both_sides = sent.withColumnRenamed("a", "node").join(now.select("node", *[F.col(n).alias(o) for n, o in zip(names, olds, strict=True)]), "node")
         held.put(both_sides.select("node", *[((F.col(n) + F.col(o)) / 2).alias(n) for n, o in zip(names, olds, strict=True)], *olds))
         products = _products(held.table, [*names, *olds])
         values, turn = np.linalg.eigh((products[:carried, carried:] + products[carried:, :carried]) / 2)
         values, turn = values[::-1][:count], turn[:, ::-1]
-        held.put(_combined(held.table, names, turn @ _factor(turn.T @ products[:carried, :carried] @ turn)))
+        now = _combined(held.table, names, turn @ _factor(turn.T @ products[:carried, :carried] @ turn))
         if np.abs(values - known).max() < tolerance:
             links.drop()
-            return held.table.select("node", *names[:count])
+            return now.select("node", *names[:count])
         known = values
     raise RuntimeError(f"an eigenvalue still changes by {tolerance} after {rounds} rounds")
 

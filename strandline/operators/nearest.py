@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.parts import bounds_below
 from strandline.operators.rounds import State
 
 #: Parts of an axis of the grid at most, and points that a cell should hold about.
@@ -26,9 +27,7 @@ def _axes(points: DataFrame, columns: list[str], sets: int) -> list[tuple[str, l
 
 def _part(column: str, bounds: list[float]) -> Column:
     """Number of bounds at or below a value: its part of the axis."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= F.col(column)))
+    return bounds_below(F.col(column), [float(b) for b in bounds], closed=True)
 
 
 def _reach(column: str, part: str, bounds: list[float], ring: int) -> Column:

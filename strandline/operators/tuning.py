@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.parts import bounds_below
+
 
 def fold_products(df: DataFrame, by: list[str], fold: str, columns: list[str]) -> DataFrame:
     """Sums of products of all pairs of columns, with a column of ones first, by group and fold: by, fold, products (upper triangle, row by row)."""
@@ -75,8 +77,7 @@ def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
     """
     d = df.withColumn("_o", order)
     at = d.agg(F.percentile_approx("_o", [k / _PARTS for k in range(1, _PARTS)], 10_000)).first()[0] or []
-    ends = F.array(*[F.lit(v) for v in sorted(set(at))]) if at else F.array().cast("array<bigint>")
-    d = d.withColumn("_part", F.size(F.filter(ends, lambda e: e < F.col("_o"))))
+    d = d.withColumn("_part", bounds_below(F.col("_o"), sorted(set(at))))
     counts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most _PARTS rows
     own = F.row_number().over(Window.partitionBy("_part").orderBy("_o")) - 1
