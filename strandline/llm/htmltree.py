@@ -36,13 +36,16 @@ UNMEASURED = 0.7
 #: Weights: in the article; outside it on a page that marks one; in a branch whose name holds a noise word among
 #: others; and where a tag, a role or a whole name says noise, which no importance outweighs.
 ARTICLE, OUTSIDE, NAMED, NOISE = 1.5, 0.6, 0.5, 0.35
+#: Weight of a name that only says where in a layout something stands or what it deals with.
+SOFT = 0.8
 #: Measured (host, path) keys that are broadcast at most; more are joined by host.
 BROADCAST_KEYS = 2_000_000
 
 # Tags and name parts that say what an element is.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q s samp small span strike strong sub sup time tt u var br wbr img".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas noframes xmp".split())
+INLINE |= frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mspace mpadded semantics".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas noframes xmp annotation annotation-xml".split())
 NOISE_TAGS = frozenset("head nav footer aside form button select option input fieldset dialog menu menuitem audio video map".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 NOISE_NAMES = frozenset(
@@ -52,6 +55,7 @@ NOISE_NAMES = frozenset(
     "share sharing social related recommended recommendations widget widgets tags taglist search searchbox form "
     "comment comments commentlist commentary disqus respond reply replies discussion reviews copyright disclaimer legal skip".split()
 )
+SOFT_NAMES = frozenset("header head side rail legal reviews discussion".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("article content main post entry story articlebody postbody".split())
 #: Tags whose start closes an open element of the same kind.
@@ -69,6 +73,7 @@ class Element:
     path: str
     noise: bool = False
     named: bool = False
+    soft: bool = False
     main: bool = False
     children: list[str] = field(default_factory=list)
 
@@ -80,14 +85,20 @@ class Block:
     text: str
     noise: bool
     named: bool
+    soft: bool
     main: bool
 
 
 @functools.lru_cache(maxsize=4096)
-def _says_noise(names: str) -> tuple[bool, bool]:
-    """Whether one of the class names and ids consists of noise words, and whether one holds such a word."""
+def _says_noise(names: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether one of the class names and ids consists of noise words, holds such a word among others, and holds one of a layout.
+
+    Inside an article, layout words are never noise by themselves: an article has headers and may deal with law or reviews.
+    """
     words = [_parts(name) for name in names.split()]
-    return any(w and all(n in NOISE_NAMES for n in w) for w in words), any(n in NOISE_NAMES for w in words for n in w)
+    hard = NOISE_NAMES - SOFT_NAMES
+    whole = any(w and all(n in (hard if inside else NOISE_NAMES) for n in w) for w in words)
+    return whole, any(n in hard for w in words for n in w), any(n in SOFT_NAMES for w in words for n in w)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -109,7 +120,7 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
             text.clear()
             if joined:
                 top = stack[-1]
-                blocks.append(Block(top.path, stack[-2].path if len(stack) > 1 else "", joined, top.noise, top.named, top.main))
+                blocks.append(Block(top.path, stack[-2].path if len(stack) > 1 else "", joined, top.noise, top.named, top.soft, top.main))
 
     def pop(names) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -148,7 +159,6 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
                     flush()
             continue
         if tag in RAW:
-            flush()
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
@@ -166,12 +176,14 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
         above.children.append(label)
         role = attributes.get("role", "").lower()
         noise = tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not above.main) or "hidden" in m[3].lower().split()
-        named = False
+        named = soft = False
         if tag not in MAIN_TAGS and tag not in ("html", "body"):
-            whole, named = _says_noise(given)
+            whole, named, soft = _says_noise(given, above.main)
             noise = noise or whole
         main = not noise and not named and (tag in MAIN_TAGS or role in ("main", "article") or (any(n in MAIN_NAMES for n in names) and tag not in ("html", "body")))
-        element = Element(tag, f"{above.path}/{label}", above.noise or noise, above.named or named, above.main or main)
+        # what the name around an article holds says nothing of the article
+        starts = main and not above.main
+        element = Element(tag, f"{above.path}/{label}", above.noise or noise, (above.named and not starts) or named, (above.soft and not starts) or soft, above.main or main)
         elements.append(element)
         if tag not in VOID:
             stack.append(element)
@@ -254,7 +266,7 @@ def weighed_blocks(page: str, host: str) -> Iterator[tuple[int, float, str]]:
             weight = NOISE
         else:
             outside = OUTSIDE if marked and not b.main else 1.0
-            weight = NAMED * outside if b.named else ARTICLE if b.main else outside
+            weight = NAMED * outside if b.named else (ARTICLE if b.main else outside) * (SOFT if b.soft else 1.0)
         yield _hash(host, b.path), weight, b.text
 
 

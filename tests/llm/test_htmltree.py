@@ -81,3 +81,47 @@ def test_importance_equals_a_plain_count(spark):
             want[h._hash(*key)] = h.DECAY * content + (1 - h.DECAY) * presentation(above[key])
     assert got.keys() == want.keys() and len(want) == 6
     assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="page has-sidebar"><article><p>Hello world</p></article></div>', "Hello world"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Text</p></article>', "Title\nText"),
+        ('<article><p>One</p><section class="legal"><p>Of law</p></section><section id="reviews"><p>Reviewed</p></section></article>', "One\nOf law\nReviewed"),
+        ("<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here</p></article>", "Energy E=m here"),
+        ("<article><p>Before <svg><text>x</text></svg><script>1 < 2</script>after</p></article>", "Before after"),
+        ('<article><p>One</p><div class="ad-slot">Buy</div><div class="share">Share</div><div class="sidebar">Side</div></article>', "One"),
+        ('<div class="legal"><p>All rights</p></div><article><p>One</p></article>', "One"),
+    ],
+)
+def test_names_around_and_in_an_article(page, text):
+    assert "\n".join(h.kept_blocks(f"<html><body>{page}</body></html>", "h", set())) == text
+
+
+def test_text_equals_plain_rules_over_plain_counts(spark):
+    rows = [(k, f"http://{'ab'[k % 2]}.example/{k}", f"<body><div class=top>Start here</div><div class=box>{'Same words' if k % 3 else f'Own {k}'}</div><main><p>Story {k}</p><p>{'Shared end' if k % 4 else f'End {k}'}</p></main><div class=south-side>South {k}</div><nav>Go {k}</nav></body>") for k in range(24)]
+    having, texts, shapes = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
+    for k, url, page in rows:
+        blocks, elements = h.parse(page)
+        for e in elements:
+            having[url[:8], e.path].add(k)
+            shapes[url[:8], e.path][tuple(e.children)].add(k)
+        for b in blocks:
+            texts[url[:8], b.path][b.text].add(k)
+    removed = 0
+
+    def kept(url, b):
+        nonlocal removed
+        key, up = (url[:8], b.path), (url[:8], b.parent)
+        m = len(having[key])
+        counts = [len(v) for v in shapes[up].values()]
+        presentation = min(1.0, -sum(n / sum(counts) * math.log(n / sum(counts)) for n in counts) / math.log(len(having[up])))
+        importance = h.DECAY * (1 - sum(math.log(len(v)) for v in texts[key].values()) / len(texts[key]) / math.log(m)) + (1 - h.DECAY) * presentation
+        weight = h.NOISE if b.noise else (h.ARTICLE if b.main else h.OUTSIDE) * (h.SOFT if b.soft else 1.0)
+        removed += weight >= h.THRESHOLD > weight * importance
+        return weight * importance >= h.THRESHOLD
+
+    want = {k: "\n".join(b.text for b in h.parse(page)[0] if kept(url, b)) for k, url, page in rows}
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and removed > 20 and all(f"Story {k}" in v and "Start" not in v and "Go" not in v for k, v in want.items())
