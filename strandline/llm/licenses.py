@@ -212,6 +212,15 @@ def _words(x: str) -> str:
     return f"if(trim({x}) = '', 0, length(trim({x})) - length(replace(trim({x}), ' ', '')) + 1)"
 
 
+#: Matches of a rule, or of a text, that are summed up together: sums up to a match are those of whole blocks and of a part of its own.
+_BLOCK = 64
+
+
+def _block_start(k: str) -> str:
+    """SQL for the place (from 1) of the first match in the block of match k (from 0)."""
+    return f"cast(({k} div {_BLOCK}) * {_BLOCK} as int) + 1"
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -253,19 +262,28 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     listed = [{"rule": i, "label": label, "keyword": keyword, "priority": priority, "confidence": confidence, "pattern": f"(?<= )(?:{pattern})(?= )"} for i, (label, keyword, priority, confidence, pattern) in enumerate(rules())]
     table = F.from_json(F.lit(json.dumps(listed)), "array<struct<rule:int,label:string,keyword:string,priority:int,confidence:double,pattern:string>>")
     rows = _bound(rows, picked=F.when(F.col("words").isNotNull(), F.filter(table, lambda r: F.contains("words", r["keyword"]) & F.regexp_like("words", r["pattern"]))))
+    added = "(a, x) -> a + x"
+    # words before a match: those of the blocks of matches before its own, and of the matches before it in its block
+    place = f"offs[k div {_BLOCK}] + aggregate(slice(steps, {_block_start('k')}, k % {_BLOCK}), 0, {added}) + c.w[k]"
     places = f"""flatten(transform(coalesce(picked, array()), r ->
         flatten(transform(array(named_struct('m', regexp_extract_all(words, r.pattern, 0), 'p', split(words, r.pattern, -1))), b ->
-          transform(aggregate(sequence(0, size(b.m) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<first:int,after:int>>)),
-            (a, k) -> named_struct('at', a.at + {_words('b.p[k]')} + {_words('b.m[k]')},
-                                   'out', array_append(a.out, named_struct('first', a.at + {_words('b.p[k]')}, 'after', a.at + {_words('b.p[k]')} + {_words('b.m[k]')})))).out,
-            s -> named_struct('first', s.first, 'after', s.after, 'priority', r.priority, 'rule', r.rule, 'label', r.label, 'confidence', r.confidence))))))"""
+        flatten(transform(array(named_struct('v', transform(b.m, x -> {_words('x')}), 'w', transform(slice(b.p, 1, size(b.m)), x -> {_words('x')}))), c ->
+        flatten(transform(array(zip_with(c.v, c.w, (x, y) -> x + y)), steps ->
+        flatten(transform(array(transform(sequence(0, (size(steps) - 1) div {_BLOCK}), i -> aggregate(slice(steps, cast(i * {_BLOCK} as int) + 1, {_BLOCK}), 0, {added}))), sums ->
+        flatten(transform(array(transform(sums, (x, i) -> aggregate(slice(sums, 1, i), 0, {added}))), offs ->
+          zip_with(transform(c.v, (v, k) -> {place}), c.v, (f, v) -> named_struct('first', f, 'after', f + v, 'priority', r.priority, 'rule', r.rule, 'label', r.label, 'confidence', r.confidence))))))))))))))"""
     rows = _bound(rows, places=F.when(F.size(F.coalesce("picked", F.array())) > 0, F.expr(places)))
     order = "(x, y) -> case when x.first <> y.first then x.first - y.first when x.after <> y.after then y.after - x.after when x.priority <> y.priority then y.priority - x.priority else x.rule - y.rule end"
-    reach = "array(" + ", ".join(f"if(x.priority >= {p}, greatest(a.reach[{p - 1}], x.after), a.reach[{p - 1}])" for p in range(1, LEVELS + 1)) + ")"
+    rows = _bound(rows, placed=F.expr(f"array_sort(places, {order})"))
+    # a match is left unless one before it, of its priority or a higher one, reaches as far
+    levels = "array(" + ", ".join(map(str, range(1, LEVELS + 1))) + ")"
+    farthest = lambda list_, level: f"coalesce(array_max(transform(filter({list_}, y -> y.priority >= {level}), y -> y.after)), -1)"
+    rows = _bound(rows, blocks=F.expr(f"transform(sequence(0, (size(placed) - 1) div {_BLOCK}), i -> transform({levels}, p -> {farthest(f'slice(placed, cast(i * {_BLOCK} as int) + 1, {_BLOCK})', 'p')}))"))
+    rows = _bound(rows, reach=F.expr(f"transform(blocks, (x, i) -> transform({levels}, p -> coalesce(array_max(transform(slice(blocks, 1, i), t -> t[p - 1])), -1)))"))
+    before = farthest(f"slice(placed, {_block_start('k')}, k % {_BLOCK})", "x.priority")
+    left = F.expr(f"filter(placed, (x, k) -> greatest(reach[k div {_BLOCK}][x.priority - 1], {before}) < x.after)")
     kind = "array<struct<first:int,after:int,priority:int,rule:int,label:string,confidence:double>>"
-    left = f"""aggregate(array_sort(places, {order}), named_struct('reach', array_repeat(-1, {LEVELS}), 'out', cast(array() as {kind})),
-        (a, x) -> named_struct('reach', {reach}, 'out', if(a.reach[x.priority - 1] >= x.after, a.out, array_append(a.out, x)))).out"""
-    rows = _bound(rows, detections=F.when(F.col("places").isNotNull(), F.expr(left)).otherwise(F.expr(f"cast(array() as {kind})")))
+    rows = _bound(rows, detections=F.when(F.col("placed").isNotNull(), left).otherwise(F.expr(f"cast(array() as {kind})")))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return rows.select(F.col("key").alias(key), "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"), joined(F.concat("base", F.transform("detections", lambda d: d["label"]))).alias("labels"), F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)).alias("score"), "detections")
 

@@ -71,3 +71,18 @@ def test_every_rule_matches_a_text_made_from_its_pattern_alone(spark):
     for k, t in enumerate(texts):
         want = x.brute_force(t)
         assert want["labels"] and {c: got[k][c] for c in want} == want, t
+
+
+def test_thousands_of_matches_in_one_text(spark):
+    import time
+
+    lines = [f"line {k} mit license and apache license version 2.0 all rights reserved" for k in range(5400)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:300]))], "doc_id long, text string")
+    want = x.brute_force("\n".join(lines[:300]))
+    got = x.scan(df.where("doc_id = 2")).first()
+    assert all(got[k] == v for k, v in want.items())
+    began = time.time()
+    long = x.scan(df).where("doc_id = 1").first()
+    assert time.time() - began < 20
+    assert len(long.detections) == 18 * len(got.detections) >= 16_000 and long.n_base == 10_800 and long.labels == got.labels
+    assert [d.first for d in long.detections[-3:]] == [d.first + 5100 * 13 for d in got.detections[-3:]]
