@@ -56,6 +56,47 @@ def contour_segments(pixels: DataFrame, band: str, level: float) -> DataFrame:
     return q.select("image_id", "row", "col", F.explode(cases).alias("s")).select("image_id", "row", "col", "s.*")
 
 
+def box_deviations(pixels: DataFrame, bands: list[str]) -> DataFrame:
+    """Full images with the deviation of each band over a pixel and its eight neighbours (s and the band's name), mirrored at the edges.
+
+    Sums and sums of squares are taken along rows and then along columns, so no pixel is copied or joined; the two
+    windows are the only shuffles.
+    """
+    along, down = Window.partitionBy("image_id", "row").orderBy("col"), Window.partitionBy("image_id", "col").orderBy("row")
+    three = lambda c, w: F.coalesce(F.lag(c).over(w), F.col(c)) + F.col(c) + F.coalesce(F.lead(c).over(w), F.col(c))
+    p = pixels.withColumns({f"_q{b}": F.col(b) * F.col(b) for b in bands})
+    p = p.withColumns({f"_s{b}": three(b, along) for b in bands} | {f"_r{b}": three(f"_q{b}", along) for b in bands})
+    p = p.withColumns({f"_t{b}": three(f"_s{b}", down) / 9 for b in bands} | {f"_u{b}": three(f"_r{b}", down) / 9 for b in bands})
+    deviation = lambda b: F.sqrt(F.greatest(F.col(f"_u{b}") - F.col(f"_t{b}") * F.col(f"_t{b}"), F.lit(0.0)))
+    return p.select(*pixels.columns, *[deviation(b).alias(f"s{b}") for b in bands])
+
+
+def first_below(transects: DataFrame, cells: DataFrame, size_x: float, size_y: float, threshold: float, nodes: int = 50) -> DataFrame:
+    """Where each transect (transect_id, x0, y0, x1, y1) first meets a cell (row, col, v) under a threshold: transect_id, x, y, dist from its start.
+
+    Cell (row, col) covers x from col * size_x and y from row * size_y; values under 0 are no data. So many nodes are sampled from end to
+    end; between the neighbours of the first under the threshold it is sought again at about every metre. A transect on which only the
+    last node is under the threshold, or none, has no row.
+    """
+    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    t = transects.select("transect_id", "x0", "y0", "x1", "y1", length.alias("len"))
+    known = cells.where("v >= 0").where(F.col("v") < threshold).select(F.col("row").cast("long").alias("_row"), F.col("col").cast("long").alias("_col"))
+
+    def sampled(points: DataFrame) -> DataFrame:
+        """Of points at a share of their transect, those in a cell under the threshold."""
+        at = points.withColumns({"x": F.col("x0") + F.col("share") * (F.col("x1") - F.col("x0")), "y": F.col("y0") + F.col("share") * (F.col("y1") - F.col("y0"))})
+        return at.withColumns({"_row": F.floor(F.col("y") / size_y), "_col": F.floor(F.col("x") / size_x)}).join(known, ["_row", "_col"])
+
+    coarse = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("k")).withColumn("share", F.col("k") / (nodes - 1))
+    first = sampled(coarse).groupBy("transect_id").agg(F.min("k").alias("k")).where(F.col("k") < nodes - 1)
+    low, high = F.greatest(F.col("k") - 1, F.lit(0)) / (nodes - 1), (F.col("k") + 1) / (nodes - 1)
+    near = t.join(first, "transect_id").withColumns({"low": low, "high": high}).withColumn("n", F.floor((F.col("high") - F.col("low")) * F.col("len")))
+    fine = near.where("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    fine = fine.withColumn("share", F.col("low") + F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1)).otherwise(0.0) * (F.col("high") - F.col("low")))
+    found = sampled(fine).groupBy("transect_id").agg(F.min_by(F.struct("x", "y", (F.col("share") * F.col("len")).alias("dist")), "i").alias("p"))
+    return found.select("transect_id", "p.x", "p.y", "p.dist")
+
+
 def principal_axes(pixels: DataFrame, bands: list[str], by: str = "image_id") -> DataFrame:
     """Of each image, the means of its bands and the direction of their greatest variance: by, mean, axis, its largest part being positive.
 

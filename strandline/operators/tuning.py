@@ -24,11 +24,11 @@ def _square(products, size: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def ridge(products: np.ndarray, features: list[int], penalty: float) -> np.ndarray:
-    """Weights (constant first) of the last column on some features, from sums of products; the constant has no penalty."""
+def ridge(products: np.ndarray, features: list[int], penalty: float, target: int = -1) -> np.ndarray:
+    """Weights (constant first) of a column (the last) on some features, from sums of products; the constant has no penalty."""
     use = [0, *features]
     a = products[np.ix_(use, use)] + penalty * np.diag([0.0, *np.ones(len(features))])
-    return np.linalg.lstsq(a, products[use, -1], rcond=None)[0]
+    return np.linalg.lstsq(a, products[use, target], rcond=None)[0]
 
 
 def _error(products: np.ndarray, features: list[int], weights: np.ndarray) -> float:
@@ -65,6 +65,42 @@ def search(df: DataFrame, by: str, fold: str, features: list[str], target: str,
     return grouped.mapInPandas(run, f"{by} {dict(df.dtypes)[by]}, features int, penalty double, rmse double, best boolean")
 
 
+def members(df: DataFrame, by: str, fold: str, features: list[str], targets: list[str], penalty: float) -> DataFrame:
+    """Ridge regressions of each group, one without each fold and all targets at once: by, member (the fold left out), weights (a list for each target).
+
+    They come from one pass over the table, as do the trials of search. A group of one fold has none.
+    """
+    size = 1 + len(features) + len(targets)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for group, parts in zip(batch[by], batch["parts"], strict=True):
+                per_fold = {p[fold]: _square(p["products"], size) for p in parts}
+                total = sum(per_fold.values())
+                own = list(range(1, len(features) + 1))
+                rows += [(group, k, [ridge(total - p, own, penalty, 1 + len(features) + t).tolist() for t in range(len(targets))]) for k, p in per_fold.items() if len(per_fold) > 1]
+            yield pd.DataFrame(rows, columns=[by, "member", "weights"])
+
+    sums = fold_products(df, [by], fold, [*features, *targets])
+    grouped = sums.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(fold, "products"))).alias("parts"))  # one entry a fold
+    return grouped.mapInPandas(run, f"{by} {dict(df.dtypes)[by]}, member int, weights array<array<double>>")
+
+
+def forecast(df: DataFrame, models: DataFrame, by: str, features: list[str], targets: list[str]) -> DataFrame:
+    """Rows with the mean and the spread (deviation) of what their group's members say of each target, and the members' number; groups without members have nulls."""
+    grouped = models.groupBy(by).agg(F.collect_list("weights").alias("_w"))  # a few members a group
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features])
+    said = lambda t: F.transform("_w", lambda w: F.aggregate(F.zip_with(w[t], x, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
+    out = df.join(grouped, by, "left").withColumns({f"_{c}": said(t) for t, c in enumerate(targets)} | {"members": F.when(F.col("_w").isNotNull(), F.size("_w"))})
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
+    for c in targets:
+        out = out.withColumn(f"{c}_mean", mean(F.col(f"_{c}")))
+        m = F.col(f"{c}_mean")
+        out = out.withColumn(f"{c}_spread", F.sqrt(F.aggregate(F.col(f"_{c}"), F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(f"_{c}")))  # noqa: B023
+    return out.drop("_w", *[f"_{c}" for c in targets])
+
+
 #: Parts that a table is cut into to number its rows in an order.
 _PARTS = 1024
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import joins, morphology, windows
-from strandline.plans.pixels import neighbour_std
+from strandline.operators.raster import box_deviations
 from strandline.registry import register
 from strandline.sources import tables as T
 
@@ -193,17 +193,17 @@ def nearshore_waves(spark, sf_dir):
     return out.select("event_id", F.round(F.coalesce("b.near", F.lit(0.0)), 5).alias("height"), F.round("b.h", 5).alias("depth"), F.round(F.degrees("b.theta"), 4).alias("angle"))
 
 
-@register(T.sql(""", o AS (SELECT * FROM (VALUES (-1), (0), (1)) t(i), (VALUES (-1), (0), (1)) u(j)), w AS (SELECT p.image_id, p."row", p.col, p."row" + i AS r, p.col + j AS c FROM v_pixel p, o),
-m AS (SELECT image_id, "row", col, CASE WHEN r < 0 THEN -r - 1 WHEN r > 7 THEN 15 - r ELSE r END AS r, CASE WHEN c < 0 THEN -c - 1 WHEN c > 7 THEN 15 - c ELSE c END AS c FROM w),
-s AS (SELECT m.image_id, m."row", m.col, stddev_pop(p.a) AS sa, stddev_pop(p.b) AS sb FROM m JOIN v_pixel p ON p.image_id = m.image_id AND p."row" = m.r AND p.col = m.c GROUP BY ALL)
+@register(T.sql(""", q AS MATERIALIZED (SELECT * FROM v_pixel),
+c AS (SELECT image_id, "row", col, a, b, coalesce(lag(a) OVER w, a) AS a0, coalesce(lead(a) OVER w, a) AS a2, coalesce(lag(b) OVER w, b) AS b0, coalesce(lead(b) OVER w, b) AS b2 FROM q WINDOW w AS (PARTITION BY image_id, "row" ORDER BY col)),
+d AS (SELECT *, a0 + a + a2 AS sa, a0 * a0 + a * a + a2 * a2 AS qa, b0 + b + b2 AS sb, b0 * b0 + b * b + b2 * b2 AS qb FROM c),
+e AS (SELECT *, coalesce(lag(sa) OVER w, sa) + sa + coalesce(lead(sa) OVER w, sa) AS ta, coalesce(lag(qa) OVER w, qa) + qa + coalesce(lead(qa) OVER w, qa) AS ua,
+  coalesce(lag(sb) OVER w, sb) + sb + coalesce(lead(sb) OVER w, sb) AS tb, coalesce(lag(qb) OVER w, qb) + qb + coalesce(lead(qb) OVER w, qb) AS ub FROM d WINDOW w AS (PARTITION BY image_id, col ORDER BY "row"))
 SELECT image_id, "row", col, round(a, 6) AS f0, round(b, 6) AS f1, round(a - b, 6) AS f2, round((a - b) / (abs(a) + abs(b) + 0.5) * 1.5, 6) AS f3,
-  round((a - b) / nullif(abs(a) + abs(b), 0), 5) AS f4, round(sa, 6) AS f5, round(sb, 6) AS f6 FROM v_pixel JOIN s USING (image_id, "row", col)""", "v_pixel"))
+  round((a - b) / nullif(abs(a) + abs(b), 0), 5) AS f4, round(sqrt(greatest(ua / 9 - (ta / 9) ** 2, 0)), 6) AS f5, round(sqrt(greatest(ub / 9 - (tb / 9) ** 2, 0)), 6) AS f6 FROM e""", "v_pixel"))
 def feature_vectors(spark, sf_dir):
     """Features of each pixel: both bands, their difference, two indices, and both bands' neighbourhood deviations."""
-    p = T.pixel(spark, sf_dir)
     place = ["image_id", "row", "col"]
-    deviations = [neighbour_std(p, band, 8).withColumnRenamed("std", f"s{band}") for band in "ab"]
-    v = p.join(deviations[0], place).join(deviations[1], place)
+    v = box_deviations(T.pixel(spark, sf_dir), ["a", "b"])
     a, b = F.col("a"), F.col("b")
     size = F.abs(a) + F.abs(b)
     features = [F.round(a, 6), F.round(b, 6), F.round(a - b, 6), F.round((a - b) / (size + 0.5) * 1.5, 6), F.round(F.try_divide(a - b, F.nullif(size, F.lit(0))), 5), F.round("sa", 6), F.round("sb", 6)]

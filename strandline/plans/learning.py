@@ -112,7 +112,7 @@ def coast_clusters(spark, sf_dir):
     f = _quarters(spark, sf_dir)
     near = nearest.nearest(f, f.withColumnRenamed("vec_id", "near"), "vec_id", "near", _FOUR, 10, apart=True)
     edges = near.select(F.col("vec_id").alias("a"), F.col("near").alias("b"), F.exp(-200 * F.col("distance") * F.col("distance")).alias("weight"))
-    return graphs.spectral_clusters(edges, 3).withColumnRenamed("node", "vec_id")
+    return graphs.spectral_clusters(edges, 3, tolerance=1e-3).withColumnRenamed("node", "vec_id")
 
 
 def _lagged(spark, sf_dir, lags: list[int]):
@@ -132,6 +132,19 @@ def parameter_search(spark, sf_dir):
     return found.where("best").select("transect_id", "features", "penalty", F.round("rmse", 6).alias("rmse"))
 
 
+@register()
+def forecast_ensemble(spark, sf_dir):
+    """Two series of each transect in their last year, forecast from the last three values of both by five regressions: mean and spread."""
+    i = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("transect_id"), F.to_date("l_shipdate").alias("day"))
+    d = i.agg(F.sum("l_quantity").alias("y"), (F.sum("l_extendedprice") / 1000).alias("z"))
+    w = Window.partitionBy("transect_id").orderBy("day")
+    features = [f"{c}{k}" for c in "yz" for k in (1, 2, 3)]
+    d = d.select("*", *[F.lag(f[0], int(f[1])).over(w).alias(f) for f in features], (F.year(F.max("day").over(Window.partitionBy("transect_id"))) == F.year("day")).alias("ahead")).dropna()
+    models = tuning.members(d.where("not ahead").withColumn("fold", F.dayofyear("day") % 5), "transect_id", "fold", features, ["y", "z"], 10.0)
+    found = tuning.forecast(d.where("ahead"), models, "transect_id", features, ["y", "z"])
+    return found.select("transect_id", "day", "members", *[F.round(c, 5).alias(c) for c in ("y_mean", "y_spread", "z_mean", "z_spread")])
+
+
 @register(T.sql(""", l AS (SELECT transect_id, day, y, lag(y, 1) OVER w AS lag1, lag(y, 10) OVER w AS lag10 FROM v_daily WINDOW w AS (PARTITION BY transect_id ORDER BY day)),
 d AS (SELECT *, transect_id * 100000 + (day - DATE '1970-01-01') AS key FROM l WHERE lag10 IS NOT NULL),
 s AS (SELECT avg(y) AS my, avg(lag1) AS m1, avg(lag10) AS m2, covar_pop(lag1, lag1) AS s11, covar_pop(lag1, lag10) AS s12, covar_pop(lag10, lag10) AS s22, covar_pop(lag1, y) AS s1, covar_pop(lag10, y) AS s2 FROM d),

@@ -31,16 +31,19 @@ class Arriving:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that has arrived and returns what its sink holds. Complete results replace those of the batch before."""
+    """Runs a stream over all that has arrived and returns what its sink holds. Complete results replace those of the batch before.
+
+    Every batch has a folder by its number, which a batch that is tried again overwrites, so no row is written twice.
+    """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
 
     run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(stream.columns)
 
 
 @register(T.sql("""SELECT sat, file, cloud FROM v_image WHERE cloud <= 0.5""", "v_image"))
@@ -105,3 +108,13 @@ def live_alerts(spark, sf_dir):
     """Arriving positions at or under the 5th percentile of their transect."""
     limits = T.obs(spark, sf_dir).groupBy("transect_id").agg(F.percentile("dist", [0.05, 0.25]).alias("p")).select("transect_id", F.col("p")[0].alias("p5"), F.col("p")[1].alias("p25"))
     return drained(streams.impact_alerts(T.obs(Arriving(spark), sf_dir), limits).select("event_id", "impact"), "append")
+
+
+@register(T.sql("""SELECT transect_id, count(*) AS n, round(regr_slope(dist, day) * 365.2425, 4) AS rate FROM (SELECT transect_id, dist, epoch_us(acq_ts)::DOUBLE / 86400000000 - 19700 AS day FROM v_obs) GROUP BY transect_id HAVING count(*) > 1""", "v_obs"))
+def live_rates(spark, sf_dir):
+    """Rate of each transect after all observations have arrived, from running sums that are kept per transect."""
+    seen = T.obs(Arriving(spark), sf_dir).select("transect_id", (T.micros().cast("double") / 86400000000 - 19700).alias("day"), "dist")
+    with streams.rocks_db(spark):
+        found = drained(streams.running_rates(seen), "update")
+    last = found.groupBy("transect_id").agg(F.max("n").alias("n"), F.max_by("rate", "n").alias("rate"))
+    return last.where("n > 1").select("transect_id", "n", F.round(F.col("rate"), 4).alias("rate"))

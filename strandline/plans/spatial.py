@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars as S
-from strandline.operators import joins, spectra
+from strandline.operators import joins, raster, spectra
 from strandline.plans.geometry import _HITS
 from strandline.plans.learning import _SPECTRUM
 from strandline.registry import register
@@ -46,6 +46,30 @@ def first_low_sample(spark, sf_dir):
     return T.profile(spark, sf_dir).groupBy("transect_id").agg(F.min(F.when(low, F.col("seq"))).alias("first_low"), F.count_if(low).alias("n_low"))
 
 
+#: Size of the cells of rock depth, depth under which rock counts as met, and how far beyond it erosion may go.
+_CELL_X, _CELL_Y, _ROCK, _EROSION = 5, 10, 0.02, 25
+
+
+@register(T.sql(f""", r AS (SELECT vec_id AS row, i AS col FROM embeddings, (SELECT unnest(range(64)) AS i) WHERE embedding[i + 1]::DOUBLE >= 0 AND embedding[i + 1]::DOUBLE < {_ROCK}),
+t AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM v_transect), k AS (SELECT *, unnest(range(50)) AS k FROM t),
+f AS (SELECT transect_id, min(k) AS k FROM k JOIN r ON r.row = floor((y0 + k / 49 * (y1 - y0)) / {_CELL_Y})::BIGINT AND r.col = floor((x0 + k / 49 * (x1 - x0)) / {_CELL_X})::BIGINT GROUP BY transect_id HAVING min(k) < 49),
+n AS (SELECT t.*, greatest(k - 1, 0) / 49 AS low, (k + 1) / 49 AS high FROM t JOIN f USING (transect_id)), m AS (SELECT *, floor((high - low) * len)::BIGINT AS n FROM n),
+i AS (SELECT *, unnest(range(n)) AS i FROM m), s AS (SELECT *, low + CASE WHEN n > 1 THEN i / (n - 1) ELSE 0 END * (high - low) AS share FROM i),
+g AS (SELECT transect_id, arg_min(share * len, i) AS dist FROM s JOIN r ON r.row = floor((y0 + share * (y1 - y0)) / {_CELL_Y})::BIGINT AND r.col = floor((x0 + share * (x1 - x0)) / {_CELL_X})::BIGINT GROUP BY transect_id)
+SELECT transect_id, round(dist, 5) AS dist, round(dist + {_EROSION}, 5) AS erosion_limit FROM g""", "v_transect"))
+def rock_head(spark, sf_dir):
+    """Where each transect first meets rock, sampled at 50 nodes and then every metre, and how far erosion may go."""
+    e = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "v")).withColumn("v", F.col("v").cast("double"))
+    found = raster.first_below(T.transect(spark, sf_dir), e, _CELL_X, _CELL_Y, _ROCK)
+    return found.select("transect_id", F.round("dist", 5).alias("dist"), F.round(F.col("dist") + _EROSION, 5).alias("erosion_limit"))
+
+
+@register(T.sql("""SELECT transect_id, round(CASE WHEN a > 360 THEN a - 360 ELSE a END, 6) AS angle FROM (SELECT transect_id, 180 - degrees(atan2(y1 - y0, x1 - x0)) AS a FROM v_transect)""", "v_transect"))
+def shore_angles(spark, sf_dir):
+    """Angle of the shore at each transect, clockwise from north."""
+    return T.transect(spark, sf_dir).select("transect_id", F.round(S.shore_angle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]), 6).alias("angle"))
+
+
 @register(T.sql(""", b AS (SELECT line_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v_coast GROUP BY line_id)
 SELECT line_id FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.line_id <> b.line_id AND o.x0 <= b.x0 AND o.x1 >= b.x1 AND o.y0 <= b.y0 AND o.y1 >= b.y1)""", "v_coast"))
 def uncontained(spark, sf_dir):

@@ -126,3 +126,14 @@ def quantile_match(spark, sf_dir):
     after = Window.partitionBy("transect_id").orderBy(F.desc("q"), F.desc("target"))
     m = merged.withColumn("matched", F.last("target", ignorenulls=True).over(after.rowsBetween(Window.unboundedPreceding, 0)))
     return m.where("dist is not null and matched is not null").select("transect_id", "dist", "matched")
+
+
+@register(T.sql(""", r AS (SELECT transect_id, regr_slope(dist, epoch_us(acq_ts) / 86400000000 - 19700) FILTER (kind = 'VE') * 365.2425 AS ve, regr_slope(dist, epoch_us(acq_ts) / 86400000000 - 19700) FILTER (kind = 'WL') * 365.2425 AS wl FROM v_obs GROUP BY transect_id)
+SELECT transect_id, round(ve, 5) AS ve_rate, round(wl, 5) AS wl_rate FROM r WHERE ve > -50 AND ve < 50 AND wl > -190 AND wl < 190""", "v_obs"))
+def plausible_rates(spark, sf_dir):
+    """Rates of vegetation edge and waterline; transects with one out of its range are left out."""
+    day = T.micros() / 86400000000 - 19700
+    rate = lambda kind: F.regr_slope(F.when(F.col("kind") == kind, F.col("dist")), day) * 365.2425
+    r = T.obs(spark, sf_dir).groupBy("transect_id").agg(rate("VE").alias("ve"), rate("WL").alias("wl"))
+    masked = r.withColumns({"ve": F.when((F.col("ve") > -50) & (F.col("ve") < 50), F.col("ve")), "wl": F.when((F.col("wl") > -190) & (F.col("wl") < 190), F.col("wl"))}).dropna()
+    return masked.select("transect_id", F.round("ve", 5).alias("ve_rate"), F.round("wl", 5).alias("wl_rate"))

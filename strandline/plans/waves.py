@@ -16,10 +16,17 @@ _CIRC = "((degrees(atan2(avg(sin(radians(dir))){o}, avg(cos(radians(dir))){o}))
 @register(T.sql(f"""SELECT event_id, round(avg(hs) OVER w, 8) AS hs_mean, round(stddev_pop(hs) OVER w, 5) AS hs_std, round({_CIRC.format(o=' OVER w')}, 4) AS dir_mean
 FROM v_wave WINDOW w AS (PARTITION BY cell_id ORDER BY t RANGE BETWEEN INTERVAL 5 DAY PRECEDING AND CURRENT ROW)""", "v_wave"))
 def trailing_wave(spark, sf_dir):
-    """Mean, deviation and mean direction over the five days up to each row."""
-    w = Window.partitionBy("cell_id").orderBy(T.micros("t")).rangeBetween(-5 * 86400 * 10**6, 0)
+    """Mean, deviation and mean direction over the five days up to each row.
+
+    Time is cut into pieces of five days; a row also stands in the next piece, behind that one's own rows, so a cell's pieces are windows of their own.
+    """
+    five = 5 * 86400 * 10**6
+    piece = F.floor(T.micros("t") / five)
+    rows = T.wave(spark, sf_dir).select("*", piece.alias("_own"), F.explode(F.array(piece, piece + 1)).alias("_piece"))
+    w = Window.partitionBy("cell_id", "_piece").orderBy(T.micros("t")).rangeBetween(-five, 0)
     s, c = F.avg(F.sin(F.radians("dir"))).over(w), F.avg(F.cos(F.radians("dir"))).over(w)
-    return T.wave(spark, sf_dir).select("event_id", F.round(F.avg("hs").over(w), 8).alias("hs_mean"), F.round(F.stddev_pop("hs").over(w), 5).alias("hs_std"), F.round(F.pmod(F.degrees(F.atan2(s, c)), F.lit(360.0)), 4).alias("dir_mean"))
+    found = rows.select("event_id", (F.col("_own") == F.col("_piece")).alias("_is_own"), F.round(F.avg("hs").over(w), 8).alias("hs_mean"), F.round(F.stddev_pop("hs").over(w), 5).alias("hs_std"), F.round(F.pmod(F.degrees(F.atan2(s, c)), F.lit(360.0)), 4).alias("dir_mean"))
+    return found.where("_is_own").drop("_is_own")
 
 
 @register(T.sql(f"""SELECT cell_id, t::DATE AS day, count(*) AS n, round(avg(hs), 6) AS hs, round({_CIRC.format(o='')}, 4) AS dir, round(max(tp), 6) AS tp_max FROM v_wave GROUP BY ALL""", "v_wave"))
@@ -119,3 +126,12 @@ def runup(spark, sf_dir):
     w = T.wave(spark, sf_dir).where("hs > 0.01")
     slope, hs, tp = F.lit(0.1), F.col("hs"), F.col("tp")
     return w.select("event_id", F.round(S.runup_senechal(hs), 6).alias("senechal"), F.round(S.iribarren(slope, hs, tp), 5).alias("iribarren"), F.round(S.iribarren(slope, hs, tp, standard=True), 5).alias("iribarren_standard"))
+
+
+@register(T.sql(f"""SELECT event_id, round(avg(hs) OVER w, 6) AS hs_mean, round({_CIRC.format(o=' OVER w')}, 4) AS dir_mean, count(*) OVER w AS n
+FROM v_wave WINDOW w AS (PARTITION BY cell_id ORDER BY t, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""", "v_wave"))
+def rolling_directions(spark, sf_dir):
+    """Mean height and mean direction of each row and the nine before it, of fewer at a series' start."""
+    w = Window.partitionBy("cell_id").orderBy("t", "event_id").rowsBetween(-9, 0)
+    s, c = F.avg(F.sin(F.radians("dir"))).over(w), F.avg(F.cos(F.radians("dir"))).over(w)
+    return T.wave(spark, sf_dir).select("event_id", F.round(F.avg("hs").over(w), 6).alias("hs_mean"), F.round(F.pmod(F.degrees(F.atan2(s, c)), F.lit(360.0)), 4).alias("dir_mean"), F.count(F.lit(1)).over(w).alias("n"))

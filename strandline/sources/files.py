@@ -29,6 +29,50 @@ def write_lines(vertices: DataFrame, path: str) -> None:
     v.select(F.to_json(feature).alias("value")).write.text(path)
 
 
+def read_line_rows(spark: SparkSession, path: str, id_property: str = "id") -> DataFrame:
+    """Vertices (line_id, seq, x, y) of a folder that write_lines made: one feature a row of text."""
+    kind = "struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<double>>>>"
+    f = spark.read.text(path).select(F.from_json("value", kind).alias("f"))
+    p = f.select(F.col("f.properties")[id_property].alias("line_id"), F.posexplode("f.geometry.coordinates").alias("seq", "p"))
+    return p.select("line_id", F.col("seq").cast("long").alias("seq"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def write_points(points: DataFrame, path: str, x: str = "x", y: str = "y", z: str | None = None) -> None:
+    """One JSON feature a point; all other columns are its properties."""
+    place = F.array(*[F.col(c).cast("double") for c in (x, y, z) if c])
+    rest = [c for c in points.columns if c not in (x, y, z)]
+    properties = F.map_from_arrays(F.array(*[F.lit(c) for c in rest]), F.array(*[F.col(c).cast("string") for c in rest]))
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("Point").alias("type"), place.alias("coordinates")).alias("geometry"))
+    points.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def read_points(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
+    """Points (x, y, z or null, and named properties as text) of a folder that write_points made."""
+    kind = "struct<properties: map<string, string>, geometry: struct<coordinates: array<double>>>"
+    f = spark.read.text(path).select(F.from_json("value", kind).alias("f"))
+    c = F.col("f.geometry.coordinates")
+    return f.select(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"), F.get(c, F.lit(2)).alias("z"), *[F.col("f.properties")[p].alias(p) for p in properties])
+
+
+def write_labels(pixels: DataFrame, path: str) -> None:
+    """Labelled pixels (site, class name, features): a folder for each site and class."""
+    pixels.write.partitionBy("site", "class").parquet(path)
+
+
+def read_labels(spark: SparkSession, path: str, classes: dict[str, int], sites: list | None = None, missing: float = 1e-9) -> DataFrame:
+    """Labelled pixels of the wanted sites and classes with the class's number as label.
+
+    Rows without any feature are dropped; a single feature that is missing or not a number becomes a very small one. Only the folders
+    of wanted sites and classes are read.
+    """
+    p = spark.read.parquet(path).where(F.col("class").isin(list(classes)))
+    p = p.where(F.col("site").isin(sites)) if sites is not None else p
+    features = [c for c in p.columns if c not in ("site", "class") and dict(p.dtypes)[c] == "double"]
+    some = F.greatest(*[F.nanvl(c, F.lit(None)).isNotNull().cast("int") for c in features]) == 1
+    number = F.create_map(*[F.lit(v) for pair in classes.items() for v in pair])
+    return p.where(some).withColumns({c: F.coalesce(F.nanvl(c, F.lit(None)), F.lit(missing)) for c in features} | {"label": number[F.col("class")]})
+
+
 def read_area(spark: SparkSession, path: str) -> DataFrame:
     """Vertices (seq, lon, lat) of the first block of coordinates in KML files."""
     text = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_extract("value", r"<coordinates>\s*([^<]*?)\s*</coordinates>", 1)).alias("c"))
@@ -62,9 +106,13 @@ def catalogue(images: DataFrame, default_accuracy: float = 12.0) -> DataFrame:
     return images.withColumns({"acq_date": F.to_date(F.substring("file", 1, 8), "yyyyMMdd"), "acc_georef": F.coalesce(F.col("acc_georef").cast("double"), F.lit(default_accuracy))})
 
 
-def cells(raster: DataFrame, nodata: float) -> DataFrame:
-    """Raster cells (raster_id, row, col, v) with nodata as null."""
-    return raster.withColumn("v", F.when(F.col("v") != nodata, F.col("v")))
+def cells(raster: DataFrame, nodata: float, place: DataFrame | None = None) -> DataFrame:
+    """Raster cells (raster_id, row, col, v) with nodata as null; with the middle x, y of each where rasters' places (raster_id, x0, dx, y0, dy) are given."""
+    out = raster.withColumn("v", F.when(F.col("v") != nodata, F.col("v")))
+    if place is None:
+        return out
+    middle = lambda o, k, d: (F.col(o) + (F.col(k) + 0.5) * F.col(d))
+    return out.join(place, "raster_id").withColumns({"x": middle("x0", "col", "dx"), "y": middle("y0", "row", "dy")}).drop("x0", "dx", "y0", "dy")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

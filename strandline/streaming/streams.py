@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -93,3 +94,15 @@ class RunningRate(StatefulProcessor):
 def running_rates(observations: DataFrame) -> DataFrame:
     """Each transect's rate after every batch, from (transect_id, day, dist). Needs the RocksDB state store."""
     return observations.groupBy("transect_id").transformWithStateInPandas(RunningRate(), outputStructType=RATE_SCHEMA, outputMode="Update", timeMode="None")
+
+
+@contextlib.contextmanager
+def rocks_db(spark: SparkSession):
+    """Queries started meanwhile keep their state in RocksDB, which state of several variables needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

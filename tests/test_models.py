@@ -177,3 +177,20 @@ def test_evaluation_of_images(spark):
     assert got[1].precision == both / p and abs(got[1].kappa - (right - chance) / (1 - chance)) < 1e-12
     assert got[1].max_distance == 1.0 and got[1].mean_distance < 1.0
     assert got[3].precision is None and got[3].recall == 0.0 and got[3].n_predicted == 0 and got[3].max_distance is None and got[3].back_distance is None
+
+
+def test_ensemble_equals_fitting_without_each_fold(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 2))
+    y = np.c_[x @ [1.0, 2.0] + 3 + rng.normal(size=80), x @ [-1.0, 0.5] + rng.normal(size=80)]
+    fold = np.arange(80) % 4
+    df = spark.createDataFrame([(1, i, int(f), *map(float, a), *map(float, b)) for i, (f, a, b) in enumerate(zip(fold, x, y))] + [(2, 0, 0, 1.0, 1.0, 1.0, 1.0)], "g long, i int, fold int, a double, b double, u double, v double")
+    got = {(r.g, r.i): r for r in tuning.forecast(df, tuning.members(df, "g", "fold", ["a", "b"], ["u", "v"], 2.0), "g", ["a", "b"], ["u", "v"]).collect()}
+    said = []
+    for f in range(4):
+        z = np.c_[np.ones(80), x][fold != f]
+        w = np.linalg.solve(z.T @ z + 2.0 * np.diag([0, 1, 1]), z.T @ y[fold != f])
+        said.append(np.c_[np.ones(80), x] @ w)
+    mean, spread = np.mean(said, 0), np.std(said, 0)
+    assert all(np.allclose([got[1, i].u_mean, got[1, i].v_mean, got[1, i].u_spread, got[1, i].v_spread], [*mean[i], *spread[i]]) for i in range(80))
+    assert got[1, 0].members == 4 and got[2, 0].members is None and got[2, 0].u_mean is None
