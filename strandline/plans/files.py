@@ -17,22 +17,22 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
-@register(T.sql("SELECT line_id, seq, round(x, 9) AS x, round(y, 9) AS y FROM v_coast", "v_coast"))
+@register(T.sql("SELECT line_id, seq, round(x, 6) AS x, round(y, 6) AS y FROM v_coast", "v_coast"))
 def line_files(spark, sf_dir):
     """Lines written as features, one a row, and read again."""
     at = _folder(spark)
     files.write_lines(T.coast(spark, sf_dir), at)
-    return files.read_line_rows(spark, at).select(F.col("line_id").cast("long").alias("line_id"), "seq", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+    return files.read_line_rows(spark, at).select(F.col("line_id").cast("long").alias("line_id"), "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@register(T.sql("SELECT event_id, transect_id, sat, round(x0 + dist / 100, 9) AS x, round(y0 + dist, 9) AS y, dist AS z FROM v_obs JOIN v_transect USING (transect_id)", "v_obs", "v_transect"))
+@register(T.sql("SELECT event_id, transect_id, sat, round(x0 + dist / 100, 6) AS x, round(y0 + dist, 6) AS y, dist AS z FROM v_obs JOIN v_transect USING (transect_id)", "v_obs", "v_transect"))
 def point_files(spark, sf_dir):
     """Observed points with their transect and satellite written as features and read again."""
     at = _folder(spark)
     o = T.obs(spark, sf_dir).join(T.transect(spark, sf_dir), "transect_id")
     files.write_points(o.select("event_id", "transect_id", "sat", (F.col("x0") + F.col("dist") / 100).alias("x"), (F.col("y0") + F.col("dist")).alias("y"), F.col("dist").alias("z")), at, z="z")
     p = files.read_points(spark, at, ["event_id", "transect_id", "sat"])
-    return p.select(F.col("event_id").cast("long").alias("event_id"), F.col("transect_id").cast("long").alias("transect_id"), "sat", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "z")
+    return p.select(F.col("event_id").cast("long").alias("event_id"), F.col("transect_id").cast("long").alias("transect_id"), "sat", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "z")
 
 
 @register(T.sql("SELECT date, tide FROM v_tide", "v_tide"))
