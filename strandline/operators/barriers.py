@@ -93,7 +93,7 @@ def barriers(profile: DataFrame, by: str, at: str, z: str, level: float) -> Data
     out = found.join(body, by).join(spacing, by)
     rise = lambda a, b: F.col(f"{a}.z") - F.col(f"{b}.z")
     run = lambda a, b: F.col(f"{a}.at") - F.col(f"{b}.at")
-    return out.select(
+    done = out.select(
         by,
         F.col("toe.at").alias("front_toe"),
         F.col("top.at").alias("front_top"),
@@ -109,6 +109,9 @@ def barriers(profile: DataFrame, by: str, at: str, z: str, level: float) -> Data
         F.try_divide(rise("back_top", "back_toe"), run("back_top", "back_toe")).alias("back_slope"),
         (F.col("sz") * F.col("dx") - 0.5 * (F.col("z0") + F.col("e.z")) * F.abs(F.col("e.at") - F.col("toe.at"))).alias("volume"),
     )
+    done = State(done).table
+    samples.unpersist()
+    return done
 
 
 #: What a section that is open at one end has for width and volume.

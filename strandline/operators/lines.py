@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import geometry, joins
-from strandline.operators.rounds import ranked, reached
+from strandline.operators.rounds import State, ranked, reached
 
 
 def _numbered(vertices: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def simple(vertices: DataFrame, cell: float = 20.0) -> DataFrame:
     """
     v = _numbered(vertices)
     loops = self_crossings(v, cell).groupBy("line_id", "p").agg(F.max(F.struct("q", "x", "y")).alias("l")).select("line_id", "p", "l.q", "l.x", "l.y")
-    loops = loops.withColumn("k", F.row_number().over(Window.partitionBy("line_id").orderBy("p")).cast("long")).persist()
+    loops = State(loops.withColumn("k", F.row_number().over(Window.partitionBy("line_id").orderBy("p")).cast("long"))).table
     # from an end of a loop, the nearest start at or behind it
     marks = loops.select("line_id", F.col("p").alias("at"), F.lit(0).alias("kind"), F.col("k").alias("start"), "k").union(loops.select("line_id", F.col("q").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"), "k"))
     back = Window.partitionBy("line_id").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)

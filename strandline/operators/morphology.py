@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.rounds import State, settled
+from strandline.operators.rounds import State
 
 #: A cliff is steeper or higher than this, on a coast that is higher than LOW_COAST, with its top farther than NEAR_PEAK from the highest point.
 CLIFF_SLOPE, CLIFF_HEIGHT, LOW_COAST, NEAR_PEAK = 0.6, 15.0, 10.0, 10.0
-_ROUNDS = 200
 
 
 def _above_chord(z: str, at: str, first: str, last: str) -> Column:
@@ -30,17 +29,22 @@ def cliffs(profile: DataFrame, by: str, at: str, z: str) -> DataFrame:
     limits = samples.groupBy(by).agg(F.min_by(point, F.struct("z", "at")).alias("low"), F.max_by(point, F.struct("z", -F.col("at"))).alias("peak"), F.max(point).alias("end"))
     limits = limits.where("low.at < end.at")
     state = limits.select(by, "low", "peak", "end", F.col("low").alias("toe"), F.col("end").alias("top"))
-    inside = samples.join(limits.select(by, F.col("low.at").alias("_from")), by).where(F.col("at") >= F.col("_from")).drop("_from")
-
-    def step(state: DataFrame) -> DataFrame:
-        over = inside.join(state, by).withColumn("d", _above_chord("z", "at", "toe", "end")).where("at >= toe.at and at < end.at")
+    # profiles are cut and dealt once; in a round only transects that still move are joined with theirs, where they lie
+    inside = samples.join(limits.select(by, F.col("low.at").alias("_from")), by).where(F.col("at") >= F.col("_from")).drop("_from").repartition(by).persist()
+    held = State(state.withColumn("moving", F.lit(True)))
+    while held.table.where("moving").head(1):
+        live, rest = held.table.where("moving"), held.table.where("not moving")
+        over = inside.join(live, by).withColumn("d", _above_chord("z", "at", "toe", "end")).where("at >= toe.at and at < end.at")
         best = over.groupBy(by).agg(F.max_by(F.struct("at", "z", "d"), F.struct("d", -F.col("at"))).alias("b"))
-        state = state.join(best, by, "left").withColumn("top", F.when((F.col("b.d") > 0.001) & (F.col("b.at") < F.col("top.at")), F.struct("b.at", "b.z")).otherwise(F.col("top"))).drop("b")
-        under = inside.join(state, by).where("top.at > low.at and at < top.at").withColumn("d", _above_chord("z", "at", "low", "top"))
+        s = live.join(best, by, "left").withColumn("up", F.coalesce((F.col("b.d") > 0.001) & (F.col("b.at") < F.col("top.at")), F.lit(False)))
+        s = s.withColumn("top", F.when(F.col("up"), F.struct("b.at", "b.z")).otherwise(F.col("top"))).drop("b")
+        under = inside.join(s, by).where("top.at > low.at and at < top.at").withColumn("d", _above_chord("z", "at", "low", "top"))
         best = under.groupBy(by).agg(F.min_by(F.struct("at", "z", "d"), F.struct("d", "at")).alias("b"))
-        return state.join(best, by, "left").withColumn("toe", F.when((F.col("b.d") < -0.001) & (F.col("b.at") > F.col("toe.at")), F.struct("b.at", "b.z")).otherwise(F.col("toe"))).drop("b")
-
-    state = settled(state, step, F.xxhash64(by, "toe", "top"), _ROUNDS)
+        s = s.join(best, by, "left").withColumn("down", F.coalesce((F.col("b.d") < -0.001) & (F.col("b.at") > F.col("toe.at")), F.lit(False)))
+        s = s.withColumn("toe", F.when(F.col("down"), F.struct("b.at", "b.z")).otherwise(F.col("toe"))).withColumn("moving", F.col("up") | F.col("down"))
+        held.put(s.select(*rest.columns).unionByName(rest))
+    inside.unpersist()
+    state = held.table
     height = F.col("top.z") - F.col("toe.z")
     slope = F.try_divide(height, F.col("top.at") - F.col("toe.at"))
     is_cliff = (F.col("peak.z") >= LOW_COAST) & (F.abs(F.col("top.at") - F.col("peak.at")) >= NEAR_PEAK) & ((slope > CLIFF_SLOPE) | (height > CLIFF_HEIGHT))
