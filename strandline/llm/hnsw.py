@@ -36,6 +36,8 @@ AUDIT_QUERIES = 256
 AUDIT_NOISE = (0.2, 0.46)
 #: Vectors of a block of queries.
 BLOCK = 2048
+#: Tasks of a search at most, unless there are more shards: a task then lets more blocks pass by its graph.
+MOST_TASKS = 20_000
 #: Bytes of linked vectors that are broadcast at most; more are joined.
 BROADCAST_BYTES = 32 << 20
 
@@ -270,7 +272,7 @@ def build_shards(distinct: DataFrame, shards: int) -> DataFrame:
 def links(distinct: DataFrame, scope: Scope, threshold: float = THRESHOLD, shards: int | None = None) -> tuple[DataFrame, DataFrame, float]:
     """Of distinct vectors: (id, n: other rows linked directly in other classes), edges (a, b) that span the links found, and the least recall of the shards' audits.
 
-    Every vector asks every shard's graph. Queries are dealt to parts of about a shard's size; a task holds one graph and lets the blocks of
+    Every vector asks every shard's graph. Queries are dealt to parts of about a shard's size, or larger ones if that made over MOST_TASKS tasks; a task holds one graph and lets the blocks of
     one part pass, so a graph moves once for every part and a query once for every shard. It gives the links as counts and as forests.
     """
     spark = distinct.sparkSession
@@ -278,6 +280,7 @@ def links(distinct: DataFrame, scope: Scope, threshold: float = THRESHOLD, shard
     size = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * (width or 1))))
     shards = shards or max(SHARDS, -(-n // size))
     parts = max(1, -(-n // size), -(-2 * spark.sparkContext.defaultParallelism // shards))
+    parts = min(parts, max(1, MOST_TASKS // shards))
     graphs = scope.saved(build_shards(distinct, shards), "graphs")
     recall = graphs.agg(F.min("recall")).first()[0]
     blocks = max(parts, -(-n // BLOCK))
@@ -324,7 +327,7 @@ def links(distinct: DataFrame, scope: Scope, threshold: float = THRESHOLD, shard
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     stored = graphs.select("shard", every(parts).alias("part"), "width", F.lit(-1).alias("block"), "ids", "copies", "vectors", "layers", "degrees", "beam")
     asked = queries.select(every(shards).alias("shard"), (F.col("block") % parts).alias("part"), "width", "block", "q_ids", "q_vectors")
-    both = stored.unionByName(asked, allowMissingColumns=True).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "width", "block")
+    both = stored.unionByName(asked, allowMissingColumns=True).repartitionById(shards * parts, (F.col("shard") * parts + F.col("part")).cast("int")).sortWithinPartitions("shard", "part", "width", "block")
     found = scope.saved(both.mapInArrow(run, "a bigint, n bigint, b bigint"), "vector-links")
     return found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), found.where("b is not null").select("a", "b"), recall
 

@@ -152,7 +152,7 @@ def op9_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_bidirectional_gru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 4) == 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
     net = langid.fit(docs.where(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "text", "held_out"), net).select("doc_id", "held_out", "lang_pred", "score")
 
