@@ -191,3 +191,16 @@ def midpoint_lines(transects: DataFrame) -> DataFrame:
     """The middles of each line's transects put together as a new line, in the transects' order."""
     m = transects.select("line_id", F.col("transect_id").alias("seq"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     return _numbered(m)
+
+
+def truncated(transects: DataFrame, positions: DataFrame, min_length: float = 25.0) -> DataFrame:
+    """Transects (transect_id, x0, y0, x1, y1) cut to the span of positions (transect_id, dist from the start) along them.
+
+    A span shorter than min_length is widened alike on both sides. Transects without a position stay as they are.
+    """
+    span = positions.groupBy("transect_id").agg(F.min("dist").alias("low"), F.max("dist").alias("high"))
+    short = F.greatest(min_length - (F.col("high") - F.col("low")), F.lit(0.0)) / 2
+    t = transects.join(span, "transect_id", "left").withColumns({"low": F.col("low") - short, "high": F.col("high") + short})
+    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    at = lambda c, d: F.coalesce(F.col(f"{c}0") + F.col(d) * (F.col(f"{c}1") - F.col(f"{c}0")) / length, F.col(f"{c}{int(d == 'high')}"))
+    return t.select("transect_id", at("x", "low").alias("x0"), at("y", "low").alias("y0"), at("x", "high").alias("x1"), at("y", "high").alias("y1"))

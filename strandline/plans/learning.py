@@ -52,6 +52,16 @@ def kmeans_classes(spark, sf_dir):
     return learn.clusters(_features(spark, sf_dir), NAMES, 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x0"), 6).alias("x0"))
 
 
+@register()
+def rocky_coast(spark, sf_dir):
+    """Transects in two classes by the roughness of their slopes and elevations up to a level; the class of rougher elevations is rocky."""
+    w = Window.partitionBy("transect_id").orderBy("seq")
+    low = T.profile(spark, sf_dir).withColumn("slope", F.lead("z").over(w) - F.col("z")).where("z between -20 and 2")
+    rough = low.groupBy("transect_id").agg(F.stddev_pop("z").alias("elevation"), F.stddev_pop("slope").alias("slope")).dropna()
+    found = learn.clusters(rough, ["elevation", "slope"], 2)
+    return found.select("transect_id", F.round("elevation", 6).alias("elevation"), F.round("slope", 6).alias("slope"), (F.col("cluster") == 1).alias("rocky"))
+
+
 @register()
 def pca_scores(spark, sf_dir):
     """Scores on the components that explain 90 %."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import geometry, lines, morphology
+from strandline.plans.shore import _FUTURE, _level, future
 from strandline.registry import register
 from strandline.sources import tables as T
 
@@ -135,3 +136,18 @@ def respaced_transects(spark, sf_dir):
     t = geometry.shore_normals(T.vertex(spark, sf_dir), 10.0, 2.0, 8.0).drop("at")
     out = morphology.respaced(t, "line_id")
     return out.select("line_id", "transect_id", F.round("x1", 5).alias("x1"), F.round("y1", 5).alias("y1"), F.col("hit").alias("moved"))
+
+
+@register(T.sql(f""", {_FUTURE.format(rate='1')},
+d AS (SELECT transect_id, unnest([dist, dist + error, dist - error]) AS d FROM v_survey UNION ALL SELECT transect_id, dist FROM f WHERE dist > dist0),
+s AS (SELECT transect_id, min(d) AS low, max(d) AS high, greatest(25 - (max(d) - min(d)), 0) / 2 AS short FROM d GROUP BY transect_id),
+t AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS l FROM v_transect LEFT JOIN s USING (transect_id))
+SELECT transect_id, round(coalesce(x0 + (low - short) * (x1 - x0) / l, x0), 5) AS x0, round(coalesce(y0 + (low - short) * (y1 - y0) / l, y0), 5) AS y0, round(coalesce(x0 + (high + short) * (x1 - x0) / l, x1), 5) AS x1, round(coalesce(y0 + (high + short) * (y1 - y0) / l, y1), 5) AS y1 FROM t""", "v_survey", "v_transect"))
+def truncated_transects(spark, sf_dir):
+    """Transects cut to their surveyed positions with errors, and to the future ones that lie beyond the latest."""
+    s = T.survey(spark, sf_dir)
+    past = s.select("transect_id", F.explode(F.array(F.col("dist"), F.col("dist") + F.col("error"), F.col("dist") - F.col("error"))).alias("dist"))
+    latest = s.groupBy("transect_id").agg(F.max_by("dist", "year").alias("latest"))
+    ahead = future(s, [2030, 2050, 2100], F.lit(0.05), F.lit(2), _level, F.lit(1)).select("transect_id", "dist").join(latest, "transect_id").where("dist > latest").select("transect_id", "dist")
+    out = lines.truncated(T.transect(spark, sf_dir), past.union(ahead))
+    return out.select("transect_id", *[F.round(c, 5).alias(c) for c in ("x0", "y0", "x1", "y1")])

@@ -52,3 +52,9 @@ def test_ridge_beats_the_last_value_on_a_wave(spark):
     df = spark.createDataFrame([(g, k, math.sin(k / 3 + g)) for g in (1, 2) for k in range(200)] + [(3, 0, 1.0)], "id long, k int, v double")
     got = {r.id: r for r in learn.ridge_by_group(df, "id", "k", "v").collect()}
     assert got[1].rmse < 0.2 * got[1].naive_rmse and got[3].n_test == 0
+
+
+def test_the_rougher_class_is_numbered_last(spark):
+    rows = [(k, 1.0 + k % 3 / 10, 0.2) if k % 2 else (k, 5.0 + k % 5 / 10, 2.0) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, elevation double, slope double")
+    assert all((r.cluster == 1) == (r.elevation > 3) for r in learn.clusters(df, ["elevation", "slope"], 2).collect())

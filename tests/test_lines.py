@@ -121,3 +121,10 @@ def test_transects_between_contours(spark):
     assert got == {0: [0.0, 8.0, 0.0, -9.0], 1: [10.0, 8.0, 10.0, -9.0], 2: [20.0, 8.0, 20.0, -9.0], 3: [30.0, 8.0, 30.0, -15.0]}
     middle = by_line(lines.midpoint_lines(lines.between_contours(base, near, far, 10.0, 20.0, 15.0)))
     assert [round(y, 6) for _, _, y in middle[1]] == [-0.5, -0.5, -0.5, -3.5]
+
+
+def test_transects_are_cut_to_their_positions(spark):
+    t = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 100.0), (2, 0.0, 0.0, 30.0, 40.0), (3, 5.0, 5.0, 6.0, 5.0)], "transect_id long, x0 double, y0 double, x1 double, y1 double")
+    p = spark.createDataFrame([(1, 20.0), (1, 70.0), (1, 50.0), (2, 10.0), (2, 15.0), (9, 1.0)], "transect_id long, dist double")
+    got = {r.transect_id: [round(v, 9) for v in (r.x0, r.y0, r.x1, r.y1)] for r in lines.truncated(t, p).collect()}
+    assert got == {1: [0.0, 20.0, 0.0, 70.0], 2: [0.0, 0.0, 15.0, 20.0], 3: [5.0, 5.0, 6.0, 5.0]}
