@@ -62,6 +62,13 @@ def line_round_trip(spark, sf_dir):
     return geometry.disassembled(geometry.assembled(T.vertex(spark, sf_dir)))
 
 
+@register(T.sql("""SELECT line_id, count(*) AS n, 'LINESTRING (' || string_agg(x::DECIMAL(12, 3)::VARCHAR || ' ' || y::DECIMAL(12, 3)::VARCHAR, ', ' ORDER BY seq) || ')' AS wkt FROM v_vertex GROUP BY line_id""", "v_vertex"))
+def line_texts(spark, sf_dir):
+    """Each line as text, its coordinates in millimetres."""
+    v = T.vertex(spark, sf_dir)
+    return geometry.assembled(v.withColumns({c: F.col(c).cast("decimal(12,3)") for c in ("x", "y")}))
+
+
 _HITS = """sg AS (SELECT line_id, seq, x AS xa, y AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM v_coast WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
 j AS (SELECT *, (x1 - x0) * (yb - ya) - (y1 - y0) * (xb - xa) AS den FROM v_transect, sg WHERE xb IS NOT NULL AND greatest(xa, xb) >= least(x0, x1) AND least(xa, xb) <= greatest(x0, x1) AND greatest(ya, yb) >= least(y0, y1) AND least(ya, yb) <= greatest(y0, y1)),
 u AS (SELECT *, ((xa - x0) * (yb - ya) - (ya - y0) * (xb - xa)) / den AS u, ((xa - x0) * (y1 - y0) - (ya - y0) * (x1 - x0)) / den AS v FROM j WHERE den <> 0),

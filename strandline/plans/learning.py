@@ -191,14 +191,22 @@ def image_evaluation(spark, sf_dir):
     return out.select("image_id", "n", "n_true", "n_predicted", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "kappa", "mean_distance", "max_distance", "back_distance")])
 
 
-@register()
+@register("WITH RECURSIVE" + T.sql(""", m AS MATERIALIZED (SELECT image_id, "row", col, "row" * 1048576 + col AS id FROM v_pixel WHERE a > 0.1),
+r AS (SELECT image_id, id AS root, "row", col FROM m UNION SELECT r.image_id, r.root, m."row", m.col FROM r JOIN m ON m.image_id = r.image_id AND abs(m."row" - r."row") + abs(m.col - r.col) = 1),
+l AS (SELECT image_id, "row", col, min(root) AS label FROM r GROUP BY ALL)
+SELECT image_id, label, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 4""", "v_pixel").removeprefix("WITH"))
 def large_objects(spark, sf_dir):
     """Connected sets of at least four mask pixels."""
     o = raster.objects(T.pixel(spark, sf_dir).where("a > 0.1").select("image_id", "row", "col"))
     return o.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
 
 
-@register()
+@register(T.sql(""", q AS MATERIALIZED (SELECT * FROM v_pixel),
+c AS (SELECT a.image_id, a.a AS a, b.a AS b, c.a AS c, d.a AS d FROM q a JOIN q b ON b.image_id = a.image_id AND b."row" = a."row" AND b.col = a.col + 1 JOIN q c ON c.image_id = a.image_id AND c."row" = a."row" + 1 AND c.col = a.col + 1 JOIN q d ON d.image_id = a.image_id AND d."row" = a."row" + 1 AND d.col = a.col),
+k AS (SELECT *, (a >= 0)::INT + 2 * (b >= 0)::INT + 4 * (c >= 0)::INT + 8 * (d >= 0)::INT AS code, -a / (b - a) AS t, -b / (c - b) AS r, -d / (c - d) AS u, -a / (d - a) AS l, (a + b + c + d) / 4 >= 0 AS high FROM c),
+s AS (SELECT *, sqrt(l * l + t * t) AS lt, sqrt((1 - t) ** 2 + r * r) AS tr, sqrt(1 + (r - l) ** 2) AS lr, sqrt((1 - u) ** 2 + (1 - r) ** 2) AS rb, sqrt((u - t) ** 2 + 1) AS tb, sqrt(u * u + (1 - l) ** 2) AS lb FROM k WHERE code NOT IN (0, 15)),
+g AS (SELECT image_id, CASE WHEN code IN (5, 10) THEN 2 ELSE 1 END AS n, CASE WHEN code IN (1, 14) THEN lt WHEN code IN (2, 13) THEN tr WHEN code IN (3, 12) THEN lr WHEN code IN (4, 11) THEN rb WHEN code IN (6, 9) THEN tb WHEN code IN (7, 8) THEN lb WHEN (code = 5) = high THEN tr + lb ELSE lt + rb END AS length FROM s)
+SELECT image_id, sum(n)::BIGINT AS n, round(sum(length), 6) AS length FROM g GROUP BY image_id""", "v_pixel"))
 def contour_lengths(spark, sf_dir):
     """Segments and length of each image's line at zero."""
     s = raster.contour_segments(T.pixel(spark, sf_dir), "a", 0.0)
