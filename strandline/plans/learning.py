@@ -39,8 +39,9 @@ def beach_slope(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
+    """Eight features of each vector: the means of its eighths."""
     e = T.table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", (F.col("label") % 2).cast("int").alias("cls"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(8)]).dropna()
+    return e.select("vec_id", (F.col("label") % 2).cast("int").alias("cls"), *[T.block_mean(k, 8).alias(f"x{k}") for k in range(8)]).dropna()
 
 
 NAMES = [f"x{k}" for k in range(8)]
@@ -87,8 +88,7 @@ def ridge_fleet(spark, sf_dir):
 def _quarters(spark, sf_dir):
     """Four features of each vector: the means of its quarters."""
     e = T.table(spark, sf_dir, "embeddings").where(F.forall("embedding", lambda v: v.isNotNull()))
-    mean = lambda k: F.aggregate(F.slice("embedding", 16 * k + 1, 16), F.lit(0.0), lambda a, v: a + v.cast("double")) / 16
-    return e.select("vec_id", (F.col("label") % 2).cast("int").alias("cls"), *[mean(k).alias(f"x{k}") for k in range(4)])
+    return e.select("vec_id", (F.col("label") % 2).cast("int").alias("cls"), *[T.block_mean(k, 16).alias(f"x{k}") for k in range(4)])
 
 
 _FOUR = [f"x{k}" for k in range(4)]

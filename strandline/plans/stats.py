@@ -43,11 +43,11 @@ def density(spark, sf_dir):
     return x.groupBy("kind", "x").agg(F.round(F.sum(F.col("n") * F.exp(-0.5 * z * z)) / (F.sum("n") * 5 * F.sqrt(F.lit(2 * 3.141592653589793))), 8).alias("density"))
 
 
-@register("""WITH f AS (SELECT vec_id, label, i AS v, embedding[i + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(6)) AS i))
+@register("""WITH f AS (SELECT vec_id, label, i AS v, list_sum(embedding[8 * i + 1:8 * i + 8]::DOUBLE[]) / 8 AS x FROM embeddings, (SELECT unnest(range(8)) AS i))
 SELECT a.label % 2 AS class, a.v AS v1, b.v AS v2, round(corr(a.x, b.x), 7) AS r, round(regr_slope(b.x, a.x), 7) AS slope, count(*) AS n FROM f a JOIN f b USING (vec_id) GROUP BY ALL""")
 def correlation_matrix(spark, sf_dir):
-    """Pearson correlation and slope of all pairs of six variables by class."""
-    e = T.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("class"), F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("x"))
+    """Pearson correlation and slope of all pairs of the means of the vectors' eighths by class."""
+    e = T.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("class"), F.array(*[T.block_mean(k, 8) for k in range(8)]).alias("x"))
     pairs = e.select("class", F.posexplode("x").alias("v1", "a"), "x").select("class", "v1", "a", F.posexplode("x").alias("v2", "b"))
     return pairs.groupBy("class", F.col("v1").cast("long").alias("v1"), F.col("v2").cast("long").alias("v2")).agg(F.round(F.corr("a", "b"), 7).alias("r"), F.round(F.regr_slope("b", "a"), 7).alias("slope"), F.count(F.lit(1)).alias("n"))
 

@@ -101,6 +101,11 @@ def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("image_id", F.floor(F.col("i") / 8).alias("row"), (F.col("i") % 8).cast("long").alias("col"), F.col("a").cast("double"), F.col("b").cast("double"), "cls")
 
 
+def block_mean(k: int, size: int, column: str = "embedding"):
+    """Mean of the k-th block of so many components of a vector."""
+    return F.aggregate(F.slice(column, size * k + 1, size), F.lit(0.0), lambda a, v: a + v.cast("double")) / size
+
+
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
