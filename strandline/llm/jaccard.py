@@ -227,29 +227,45 @@ def _bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def _verified(docs: DataFrame, key: str, text: str, n: int, percent: int, classes: DataFrame, pairs: DataFrame, scope: Scope) -> DataFrame:
     """Candidate pairs (a, b) of classes with whether their whole sets are similar enough (linked).
 
-    classes: class, size and the key of one document. If pairs are few, the set of a stays where it is made; that of b
-    is broadcast if all of them together are small. One row of a class is used, so repeated keys do no harm.
+    classes: class, size and the key of one document. If pairs are few, the set of a stays where it is made; if those of all b together
+    are small, every task has them and only the sets of a are written, else the sets meet in a join that isn't written. So a set
+    moves once for each pair at most. One row of a class is used, so repeated keys do no harm.
     """
+    spark = docs.sparkSession
     few = pairs.count() <= BROADCAST_ROWS
     asked = lambda side: F.broadcast(pairs.select(F.col(side).alias("class"))) if few else pairs.select(F.col(side).alias("class")).distinct()
     left, right = (classes.select("class", "size", "key").join(asked(side), "class", "left_semi") for side in "ab")
     light = 8 * (right.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_BYTES
     right_sets = _sets_of(docs, key, text, n, right.select("class", "key"), few).select(F.col("class").alias("b"), F.col("entries").alias("right"))
+    left_sets = _sets_of(docs, key, text, n, left.select("class", "key"), few).select(F.col("class").alias("a"), F.col("entries").alias("left"))
+    sided = left_sets.join(F.broadcast(pairs) if few else pairs, "a").select("a", "b", "left")
+
+    def similar(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    def rows(batch, linked):
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    def count(batches):
+    out = "a bigint, b bigint, linked boolean"
+    if light:
+        found = right_sets.toArrow()
+        shared = spark.sparkContext.broadcast(dict(zip(found.column("b").to_pylist(), found.column("right").to_pylist(), strict=True)))
+
+        def against_shared(batches):
+            for batch in batches:
+                batch = batch.filter(pa.array([b in shared.value for b in batch.column("b").to_pylist()], pa.bool_()))
+                yield rows(batch, [similar(x.as_buffer(), shared.value[b]) for x, b in zip(batch.column("left"), batch.column("b").to_pylist(), strict=True)])
+
+        # written first, so that a task needs one Python worker at a time
+        return scope.saved(sided, "left-sets", codec="lz4").mapInArrow(against_shared, out)
+
+    def against_joined(batches):
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield rows(batch, [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("left"), batch.column("right"), strict=True)])
 
-    left_sets = _sets_of(docs, key, text, n, left.select("class", "key"), few).select(F.col("class").alias("a"), F.col("entries").alias("left"))
-    joined = left_sets.join(F.broadcast(pairs) if few else pairs, "a").join(F.broadcast(right_sets) if light else right_sets, "b")
-    # written first, so that a task needs one Python worker at a time
-    joined = scope.saved(joined.select("a", "b", "left", "right"), "pairs-of-sets", codec="lz4")
-    return joined.mapInArrow(count, "a bigint, b bigint, linked boolean")
+    return sided.join(right_sets, "b").select("a", "b", "left", "right").mapInArrow(against_joined, out)
 
 
 def tile_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, size_left: np.ndarray, size_right: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
