@@ -89,7 +89,7 @@ def chained(vertices: DataFrame, tolerance: float) -> DataFrame:
         opened = links.join(ring, "node").select("node", F.when(F.col("next") != F.col("low"), F.col("next")).alias("next"), "steps")
         found = found.where("last is not null").unionByName(ranked(opened, "steps"))
     chain = found.groupBy("last").agg(F.min("node").alias("least"), F.max("behind").alias("total")).where("least % 2 = 0")
-    placed = found.join(chain, "last").select(F.floor(F.col("node") / 2).alias("part"), (F.col("node") % 2 == 1).alias("turned"), F.floor(F.col("least") / 2).alias("line_id"), (F.col("total") - F.col("behind")).alias("before"), (F.col("behind") == F.col("total")).alias("first"))
+    placed = found.join(chain, "last").select(F.floor(F.col("node") / 2).alias("part"), (F.col("node") % 2 != 0).alias("turned"), F.floor(F.col("least") / 2).alias("line_id"), (F.col("total") - F.col("behind")).alias("before"), (F.col("behind") == F.col("total")).alias("first"))
     out = v.withColumnRenamed("line_id", "part").join(placed.join(size.withColumnRenamed("line_id", "part"), "part"), "part")
     out = out.withColumn("k", F.when(F.col("turned"), F.col("n") - 1 - F.col("seq")).otherwise(F.col("seq"))).where("first or k > 0")
     return out.select("line_id", (F.col("before") + F.col("k")).cast("long").alias("seq"), "x", "y", "part")
