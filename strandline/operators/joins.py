@@ -100,6 +100,14 @@ def in_intervals(left: DataFrame, intervals: DataFrame, time: str, start: str, e
     return left.join(owned, held, "left").select(*left.columns, *[F.col(f"_i.{c}").alias(c) for c in columns])
 
 
+def by_cell(left: DataFrame, right: DataFrame, cells: list[str]) -> DataFrame:
+    """Inner join of two sides on the grid cells that they are dealt to.
+
+    Both are sorted: sizes are estimated from files, which know nothing of the copies that dealing makes, so a side that looks small isn't broadcast.
+    """
+    return left.join(right.hint("merge"), cells)
+
+
 def segments(vertices: DataFrame, line: str = "line_id", seq: str = "seq") -> DataFrame:
     """Consecutive vertices of lines as segments (line, seq, xa, ya, xb, yb)."""
     w = Window.partitionBy(line).orderBy(seq)
@@ -110,21 +118,21 @@ def crossings(transects: DataFrame, lines: DataFrame, cell: float) -> DataFrame:
     """Points where transects (x0, y0 to x1, y1) cross line segments, once for each transect and segment.
 
     Both sides are dealt to the grid cells that their boxes touch and joined on the cell; touching end points count.
-    Columns: transect_id, line_id, seq, x, y, dist (from the transect's start).
+    Columns: transect_id, line_id, seq, x, y, dist (from the transect's start), len (the transect's).
     """
     span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
     t = transects.select("transect_id", "x0", "y0", "x1", "y1", span(F.col("x0"), F.col("x1")).alias("_cx")).select("*", span(F.col("y0"), F.col("y1")).alias("_cy"))
     s = lines.select("line_id", "seq", "xa", "ya", "xb", "yb", span(F.col("xa"), F.col("xb")).alias("_cx")).select("*", span(F.col("ya"), F.col("yb")).alias("_cy"))
-    j = t.join(s, ["_cx", "_cy"])
+    j = by_cell(t, s, ["_cx", "_cy"])
     den = "((x1 - x0) * (yb - ya) - (y1 - y0) * (xb - xa))"
     j = j.where(f"{den} <> 0").withColumns({"u": F.expr(f"((xa - x0) * (yb - ya) - (ya - y0) * (xb - xa)) / {den}"), "v": F.expr(f"((xa - x0) * (y1 - y0) - (ya - y0) * (x1 - x0)) / {den}")})
     j = j.where("u between 0 and 1 and v between 0 and 1").dropDuplicates(["transect_id", "line_id", "seq"])
-    return j.select("transect_id", "line_id", "seq", F.expr("x0 + u * (x1 - x0)").alias("x"), F.expr("y0 + u * (y1 - y0)").alias("y"), F.expr("u * sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))").alias("dist"))
+    return j.select("transect_id", "line_id", "seq", F.expr("x0 + u * (x1 - x0)").alias("x"), F.expr("y0 + u * (y1 - y0)").alias("y"), F.expr("u * sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))").alias("dist"), F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("len"))
 
 
 def first_crossings(found: DataFrame) -> DataFrame:
     """Of a transect's crossings with a line, the nearest to its start; the lower segment on ties."""
-    return found.groupBy("transect_id", "line_id").agg(F.min_by(F.struct("x", "y", "dist"), F.struct("dist", "seq")).alias("p")).select("transect_id", "line_id", "p.x", "p.y", "p.dist")
+    return found.groupBy("transect_id", "line_id").agg(F.min_by(F.struct("x", "y", "dist", "len"), F.struct("dist", "seq")).alias("p")).select("transect_id", "line_id", "p.x", "p.y", "p.dist", "p.len")
 
 
 def point_to_segment(px: Column, py: Column, xa: Column, ya: Column, xb: Column, yb: Column) -> Column:

@@ -78,10 +78,8 @@ h AS (SELECT transect_id, line_id, seq, x0 + u * (x1 - x0) AS x, y0 + u * (y1 -
 @register(T.sql(f""", {_HITS} SELECT transect_id, line_id, round(arg_min(x, (dist, seq)), 6) AS x, round(arg_min(y, (dist, seq)), 6) AS y, round(min(dist), 6) AS dist, round(min(dist) - any_value(len) / 2, 6) AS signed FROM h GROUP BY ALL""", "v_coast", "v_transect"))
 def transects_hit(spark, sf_dir):
     """First crossing of each transect with each line, with its signed distance to the transect's midpoint."""
-    t = T.transect(spark, sf_dir)
-    found = joins.first_crossings(joins.crossings(t, joins.segments(T.coast(spark, sf_dir)), 20.0))
-    length = t.select("transect_id", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("len"))
-    return found.join(length, "transect_id").select("transect_id", "line_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "dist")], F.round(F.col("dist") - F.col("len") / 2, 6).alias("signed"))
+    found = joins.first_crossings(joins.crossings(T.transect(spark, sf_dir), joins.segments(T.coast(spark, sf_dir)), 20.0))
+    return found.select("transect_id", "line_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "dist")], F.round(F.col("dist") - F.col("len") / 2, 6).alias("signed"))
 
 
 @register(T.sql(""", c AS (SELECT *, floor(x / 10)::BIGINT AS cx, floor(y / 10)::BIGINT AS cy FROM v_coast), o AS (SELECT * FROM (VALUES (-1), (0), (1)) t(i), (VALUES (-1), (0), (1)) u(j)),
@@ -94,7 +92,7 @@ def nearest_feature(spark, sf_dir):
     around = lambda c: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: cell(c) + k))
     a = v.withColumns({"cx": cell("x"), "cy": cell("y")})
     b = v.select(F.col("line_id").alias("near_line"), F.col("seq").alias("near_seq"), F.col("x").alias("bx"), F.col("y").alias("by"), around("x").alias("cx")).select("*", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.floor(F.col("by") / 10) + k)).alias("cy"))
-    j = a.join(b, ["cx", "cy"]).where("line_id <> near_line").withColumn("d", F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))).where("d <= 10")
+    j = joins.by_cell(a, b, ["cx", "cy"]).where("line_id <> near_line").withColumn("d", F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))).where("d <= 10")
     return j.groupBy("line_id", "seq").agg(F.min_by("near_line", F.struct("d", "near_line", "near_seq")).alias("near_line"), F.round(F.min("d"), 6).alias("d"))
 
 
@@ -106,5 +104,5 @@ def tile_lookup(spark, sf_dir):
     b = T.coast(spark, sf_dir).groupBy("line_id").agg(F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1"))
     b = b.select("*", span("bx0", "bx1").alias("c")).select("*", span("by0", "by1").alias("d"))
     t = T.transect(spark, sf_dir).select("*", span("x0", "x1").alias("c")).select("*", span("y0", "y1").alias("d"))
-    j = t.join(b, ["c", "d"]).where("x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0").select("transect_id", "line_id").distinct()
+    j = joins.by_cell(t, b, ["c", "d"]).where("x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0").select("transect_id", "line_id").distinct()
     return j.groupBy("transect_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_id").alias("first_line"), F.max("line_id").alias("last_line"))
