@@ -98,7 +98,7 @@ def survey_attributes(spark, sf_dir):
     surveys = T.coast(spark, sf_dir).where("cls = 2").select("line_id", "seq", F.col("x").alias("sx"), F.col("y").alias("sy"), (1950 + F.col("line_id") % 60).alias("year"))
     surveys = surveys.select("*", around("sx").alias("cx")).select("*", around("sy").alias("cy"))
     d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    met = first.withColumns({"cx": cell("x"), "cy": cell("y")}).join(surveys, ["cx", "cy"]).withColumn("d", d).where("d <= 25")
+    met = joins.by_cell(first.withColumns({"cx": cell("x"), "cy": cell("y")}), surveys, ["cx", "cy"]).withColumn("d", d).where("d <= 25")
     best = met.groupBy("transect_id").agg(F.min_by(F.struct("line_id", "year", "d"), F.struct("d", "line_id", "seq")).alias("b"))
     return best.select("transect_id", F.col("b.line_id").alias("survey"), "b.year", F.round("b.d", 6).alias("d"))
 
