@@ -18,15 +18,14 @@ def _near(points, others, x: str, y: str, ox: str, oy: str, reach: float):
     cell = lambda c: F.floor(F.col(c) / reach)
     around = lambda c: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: cell(c) + k))
     spread = others.select("*", around(ox).alias("_cx")).select("*", around(oy).alias("_cy"))
-    return points.withColumns({"_cx": cell(x), "_cy": cell(y)}).join(spread, ["_cx", "_cy"])
+    return joins.by_cell(points.withColumns({"_cx": cell(x), "_cy": cell(y)}), spread, ["_cx", "_cy"])
 
 
 @register(T.sql(f""", {_HITS}, y AS (SELECT *, 1950 + line_id % 60 AS year, abs(dist - len / 2) AS off FROM h)
 SELECT transect_id, year, round(arg_min(dist, (off, line_id, seq)), 6) AS dist, CASE WHEN year < 1970 THEN 5.0::DOUBLE WHEN year < 2000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS error FROM y GROUP BY transect_id, year""", "v_coast", "v_transect"))
 def survey_positions(spark, sf_dir):
     """Position of each survey year on each transect: of several hits the nearest to the transect's midpoint."""
-    t = T.transect(spark, sf_dir)
-    hits = joins.crossings(t, joins.segments(T.coast(spark, sf_dir)), 20.0).join(t.select("transect_id", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("len")), "transect_id")
+    hits = joins.crossings(T.transect(spark, sf_dir), joins.segments(T.coast(spark, sf_dir)), 20.0)
     y = hits.withColumns({"year": 1950 + F.col("line_id") % 60, "off": F.abs(F.col("dist") - F.col("len") / 2)})
     return y.groupBy("transect_id", "year").agg(F.round(F.min_by("dist", F.struct("off", "line_id", "seq")), 6).alias("dist")).withColumn("error", S.survey_error(F.col("year")))
 
@@ -79,7 +78,7 @@ def uncontained(spark, sf_dir):
     span = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / 20), F.floor(F.col(z) / 20)))
     o = b.select(*[F.col(c).alias(f"o_{c}") for c in ("line_id", "x0", "x1", "y0", "y1")]).select("*", span("o_x0", "o_x1").alias("ox")).select("*", span("o_y0", "o_y1").alias("oy"))
     inside = (F.col("o_line_id") != F.col("line_id")) & (F.col("o_x0") <= F.col("x0")) & (F.col("o_x1") >= F.col("x1")) & (F.col("o_y0") <= F.col("y0")) & (F.col("o_y1") >= F.col("y1"))
-    return b.join(o, (b["cx"] == o["ox"]) & (b["cy"] == o["oy"]) & inside, "left_anti").select("line_id")
+    return b.join(o.hint("merge"), (b["cx"] == o["ox"]) & (b["cy"] == o["oy"]) & inside, "left_anti").select("line_id")
 
 
 @register(T.sql(""", c AS (SELECT x AS cx, y AS cy FROM v_coast WHERE cls = 3)
@@ -103,7 +102,7 @@ def swath_profile(spark, sf_dir):
     v = T.coast(spark, sf_dir).select("line_id", "seq", "x", "y", F.floor(F.col("x") / 10).alias("c"), F.floor(F.col("y") / 10).alias("d"))
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     dx, dy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    s = t.join(v, ["c", "d"]).where("x between x0 - 4 and x1 + 4 and y between y0 - 4 and y1 + 4").select("transect_id", (F.col("line_id") % 10).cast("double").alias("z"), ((dx * (F.col("x1") - F.col("x0")) + dy * (F.col("y1") - F.col("y0"))) / length).alias("along"), (F.abs(dx * (F.col("y1") - F.col("y0")) - dy * (F.col("x1") - F.col("x0"))) / length).alias("off"), length.alias("len"))
+    s = joins.by_cell(t, v, ["c", "d"]).where("x between x0 - 4 and x1 + 4 and y between y0 - 4 and y1 + 4").select("transect_id", (F.col("line_id") % 10).cast("double").alias("z"), ((dx * (F.col("x1") - F.col("x0")) + dy * (F.col("y1") - F.col("y0"))) / length).alias("along"), (F.abs(dx * (F.col("y1") - F.col("y0")) - dy * (F.col("x1") - F.col("x0"))) / length).alias("off"), length.alias("len"))
     off = F.col("along") - (F.floor(F.col("along") / 20) * 20 + 10)
     k = s.where("off <= 3 and along between 0 and len").withColumns({"step": F.floor(F.col("along") / 20), "d2": F.greatest(off * off + F.col("off") * F.col("off"), F.lit(0.01))})
     return k.groupBy("transect_id", "step").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("z") / F.col("d2")) / F.sum(1 / F.col("d2")), 5).alias("idw"), F.min("z").alias("low"), F.max("z").alias("high"))
