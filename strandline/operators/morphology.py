@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.joins import by_cell
 from strandline.operators.rounds import State
 
 #: A cliff is steeper or higher than this, on a coast that is higher than LOW_COAST, with its top farther than NEAR_PEAK from the highest point.
@@ -65,7 +66,7 @@ def crossing_pairs(transects: DataFrame, cell: float, by: str | None = None) ->
     across = [side("x0", "y0", "x1", "y1", f"o_x{k}", f"o_y{k}") for k in (0, 1)]
     back = [side("o_x0", "o_y0", "o_x1", "o_y1", f"x{k}", f"y{k}") for k in (0, 1)]
     boxes = " and ".join(f"greatest({c}0, {c}1) >= least(o_{c}0, o_{c}1) and least({c}0, {c}1) <= greatest(o_{c}0, o_{c}1)" for c in "xy")
-    pairs = dealt.join(other, [*keys, "cx", "cy"]).where("transect_id <> o_transect_id").where(f"{boxes} and {across[0]} * {across[1]} <= 0 and {back[0]} * {back[1]} <= 0")
+    pairs = by_cell(dealt, other, [*keys, "cx", "cy"]).where("transect_id <> o_transect_id").where(f"{boxes} and {across[0]} * {across[1]} <= 0 and {back[0]} * {back[1]} <= 0")
     return pairs.select(*keys, "transect_id", "len", F.col("o_transect_id").alias("other"), F.col("o_len").alias("other_len")).distinct()
 
 
