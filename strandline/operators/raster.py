@@ -21,10 +21,10 @@ def objects(mask: DataFrame, rounds: int = 64) -> DataFrame:
     def step(state: DataFrame) -> DataFrame:
         sent = state.select("image_id", "label", F.explode(steps).alias("s"), "row", "col").select("image_id", "label", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
         near = sent.groupBy("image_id", "row", "col").agg(F.min("label").alias("near"))
-        state = state.join(near, ["image_id", "row", "col"])
+        state = state.join(near.hint("merge"), ["image_id", "row", "col"])
         # all pixels of a label take the least label that any of them met
         least = state.groupBy("image_id", "label").agg(F.min("near").alias("least"))
-        return state.join(least, ["image_id", "label"]).select("image_id", "row", "col", F.col("least").alias("label"))
+        return state.join(least.hint("merge"), ["image_id", "label"]).select("image_id", "row", "col", F.col("least").alias("label"))
 
     state = mask.select("image_id", "row", "col", (F.col("row") * (1 << 20) + F.col("col")).alias("label"))
     return settled(state, step, F.xxhash64("image_id", "row", "col", "label"), rounds)
@@ -85,12 +85,12 @@ def first_below(transects: DataFrame, cells: DataFrame, size_x: float, size_y: f
     def sampled(points: DataFrame) -> DataFrame:
         """Of points at a share of their transect, those in a cell under the threshold."""
         at = points.withColumns({"x": F.col("x0") + F.col("share") * (F.col("x1") - F.col("x0")), "y": F.col("y0") + F.col("share") * (F.col("y1") - F.col("y0"))})
-        return at.withColumns({"_row": F.floor(F.col("y") / size_y), "_col": F.floor(F.col("x") / size_x)}).join(known, ["_row", "_col"])
+        return at.withColumns({"_row": F.floor(F.col("y") / size_y), "_col": F.floor(F.col("x") / size_x)}).join(known.hint("merge"), ["_row", "_col"])
 
     coarse = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("k")).withColumn("share", F.col("k") / (nodes - 1))
     first = sampled(coarse).groupBy("transect_id").agg(F.min("k").alias("k")).where(F.col("k") < nodes - 1)
     low, high = F.greatest(F.col("k") - 1, F.lit(0)) / (nodes - 1), (F.col("k") + 1) / (nodes - 1)
-    near = t.join(first, "transect_id").withColumns({"low": low, "high": high}).withColumn("n", F.floor((F.col("high") - F.col("low")) * F.col("len")))
+    near = t.join(first.hint("merge"), "transect_id").withColumns({"low": low, "high": high}).withColumn("n", F.floor((F.col("high") - F.col("low")) * F.col("len")))
     fine = near.where("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     fine = fine.withColumn("share", F.col("low") + F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1)).otherwise(0.0) * (F.col("high") - F.col("low")))
     found = sampled(fine).groupBy("transect_id").agg(F.min_by(F.struct("x", "y", (F.col("share") * F.col("len")).alias("dist")), "i").alias("p"))
