@@ -24,7 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class State:
-    """A table of the shared folder that every round writes anew; the one before is deleted. Writing cuts lineage and outlives executors."""
+    """A table of the shared folder that every round writes anew; the one before is deleted. Writing cuts lineage and outlives executors.
+
+    It is joined by sorting: a file of numbers that repeat is many times smaller than its rows, so its size doesn't tell whether it can be broadcast.
+    """
 
     def __init__(self, first: DataFrame) -> None:
         self.spark, self.path, self.table = first.sparkSession, None, first
@@ -33,7 +36,7 @@ class State:
     def put(self, df: DataFrame) -> DataFrame:
         before, self.path = self.path, f"{shared_folder(self.spark)}/round-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
-        self.table = self.spark.read.schema(df.schema).parquet(self.path)
+        self.table = self.spark.read.schema(df.schema).parquet(self.path).hint("merge")
         if before:
             self._delete(before)
         return self.table

@@ -95,10 +95,11 @@ def piece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of 8 x 8 pixels: band a of the image, band b of the image with the next id."""
     e = table(spark, sf_dir, "embeddings")
-    one = lambda shift: e.select((F.col("vec_id") - shift).alias("image_id"), F.posexplode("embedding").alias("i", "v"), (F.col("label") % 2).cast("long").alias("cls"))
-    a, b = one(0), one(1)
-    a = a.withColumnRenamed("v", "a").join(b.select("image_id", "i", F.col("v").alias("b")), ["image_id", "i"])
-    return a.select("image_id", F.floor(F.col("i") / 8).alias("row"), (F.col("i") % 8).cast("long").alias("col"), F.col("a").cast("double"), F.col("b").cast("double"), "cls")
+    a = e.select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("a"), (F.col("label") % 2).cast("long").alias("cls"))
+    b = e.select((F.col("vec_id") - 1).alias("image_id"), F.col("embedding").alias("b"))
+    # images are joined whole, then cut into pixels
+    p = a.join(b, "image_id").select("image_id", "cls", F.least(F.size("a"), F.size("b")).alias("n"), F.posexplode(F.arrays_zip("a", "b")).alias("i", "v")).where("i < n")
+    return p.select("image_id", F.floor(F.col("i") / 8).alias("row"), (F.col("i") % 8).cast("long").alias("col"), F.col("v.a").cast("double").alias("a"), F.col("v.b").cast("double").alias("b"), "cls")
 
 
 def block_mean(k: int, size: int, column: str = "embedding"):

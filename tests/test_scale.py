@@ -6,6 +6,7 @@ import pytest
 
 from strandline import catalog
 from strandline.operators import morphology
+from strandline.operators.rounds import State
 from strandline.sources import tables as T
 
 
@@ -23,3 +24,15 @@ def test_sides_dealt_to_cells_are_not_broadcast(name, spark, sf_dir):
 
 def test_crossing_pairs_are_not_broadcast(spark, sf_dir):
     assert not re.search(CELL, plan(morphology.crossing_pairs(T.transect(spark, sf_dir), 20.0)))
+
+
+def test_round_tables_are_not_broadcast(spark):
+    held = State(spark.range(1000).withColumnRenamed("id", "a"))
+    try:
+        assert "BroadcastHashJoin" not in plan(held.table.join(spark.range(10).withColumnRenamed("id", "a"), "a"))
+    finally:
+        held.drop()
+
+
+def test_rock_is_met_without_a_broadcast(spark, sf_dir):
+    assert "BroadcastHashJoin [_row" not in plan(catalog.queries()["rock_head"](spark, sf_dir))
