@@ -77,27 +77,38 @@ def interpolated(bracket: DataFrame, time: str) -> Column:
     return F.when(F.col("next_time").isNotNull(), F.col("prev") + (F.col("next") - F.col("prev")) * (t - F.col("prev_time")) / (F.col("next_time") - F.col("prev_time")))
 
 
-def in_intervals(left: DataFrame, intervals: DataFrame, time: str, start: str, end: str, order: str, columns: list[str], bucket: float) -> DataFrame:
+def in_intervals(left: DataFrame, intervals: DataFrame, time: str, start: str, end: str, order: str, columns: list[str], bucket: float | None = None) -> DataFrame:
     """Left rows tagged by the interval [start, end] that holds their time, the one with the highest order; nulls where none does.
 
-    Where intervals overlap, time is first cut at every start and end: a piece belongs to the interval with the highest order. Pieces are
-    disjoint, are dealt to the time buckets that they touch and joined on the bucket, so no left row is shuffled to be made one again.
+    Intervals are taken by size: of each size (powers of four), time is cut into buckets at most half as long as any of them, so in a bucket an
+    interval starts, ends or covers the whole. Left rows are merged with the starts and ends in their bucket and sorted; the highest order that
+    has started, or is yet to end, is a maximum over a frame that only grows. No pairs are made, however many intervals lie over one another.
+    bucket has no effect: widths follow from the intervals.
     """
-    b = lambda c: F.floor(c / bucket)
-    given = intervals.where(F.col(start) <= F.col(end)).select(F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(F.col(order).alias("_o"), *[F.col(c).alias(c) for c in columns]).alias("_i"))
-    spread = given.select("*", F.explode(F.sequence(b(F.col("_s")), b(F.col("_e")))).alias("_b"))
-    # a piece is a point or the open span up to the next point
-    points = spread.select("_b", F.explode(F.array(F.col("_s").cast("double"), F.col("_e").cast("double"), (F.col("_b") * bucket).cast("double"))).alias("_p")).where(b(F.col("_p")) == F.col("_b")).distinct()
-    pieces = points.withColumn("_q", F.lead("_p").over(Window.partitionBy("_b").orderBy("_p")))
-    pieces = pieces.select("_b", "_p", F.explode(F.array(F.struct(F.lit(True).alias("point"), F.col("_p").alias("q")), F.struct(F.lit(False).alias("point"), F.coalesce("_q", ((F.col("_b") + 1) * bucket).cast("double")).alias("q")))).alias("_k"))
-    covers = (F.col("_s") <= F.col("_p")) & F.when(F.col("_k.point"), F.col("_e") >= F.col("_p")).otherwise(F.col("_e") >= F.col("_k.q"))
-    owned = pieces.join(spread, "_b").where(covers).groupBy("_b", "_p", F.col("_k.point").alias("_point"), F.col("_k.q").alias("_q")).agg(F.max("_i").alias("_i"))
-    owned = owned.withColumnRenamed("_b", "_ib")
-    if owned.count() <= BROADCAST_INTERVALS:
-        owned = F.broadcast(owned)
-    t = F.col(time).cast("double")
-    held = (b(t) == F.col("_ib")) & F.when(F.col("_point"), t == F.col("_p")).otherwise((t > F.col("_p")) & (t < F.col("_q")))
-    return left.join(owned, held, "left").select(*left.columns, *[F.col(f"_i.{c}").alias(c) for c in columns])
+    long = (F.col("_e") - F.col("_s")).cast("double")
+    given = intervals.where(F.col(start) <= F.col(end)).select(F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"), F.struct(F.col(order).alias("_o"), *[F.col(c).alias(c) for c in columns]).alias("_i"))
+    given = given.withColumn("_size", F.when(long > 0, F.floor(F.log2(long) / 2)))
+    sizes = [r[0] for r in given.select("_size").distinct().collect()]  # a few: powers of four between the shortest and the longest
+    kind = given.schema["_i"].dataType
+    rows = left.select("*", F.col(time).cast("double").alias("_t"), F.lit(None).cast(kind).alias("_best"))
+    for size in sizes:
+        mine = given.where(F.col("_size").eqNullSafe(F.lit(size).cast("long")))
+        if size is None:  # points
+            bucket = lambda t: t
+            events = mine.select(F.col("_s").alias("_b"), F.col("_s").alias("_t"), F.lit(None).cast(kind).alias("_begun"), F.lit(None).cast(kind).alias("_open"), F.col("_i").alias("_whole"))
+        else:
+            bucket = lambda t, width=4.0**size / 2: F.floor(t / width).cast("double")
+            first, last = bucket(F.col("_s")), bucket(F.col("_e"))
+            touched = mine.select("*", F.explode(F.transform(F.sequence(first.cast("long"), last.cast("long")), lambda k: k.cast("double"))).alias("_b"))
+            when = lambda c: F.when(c, F.col("_i"))
+            begins, ends = F.col("_b") == first, F.col("_b") == last
+            events = touched.select("_b", F.when(begins, F.col("_s")).otherwise(F.col("_e")).alias("_t"), when(begins).alias("_begun"), when(ends & ~begins).alias("_open"), when(~begins & ~ends).alias("_whole"))
+        merged = rows.withColumns({"_b": bucket(F.col("_t")), "_is_left": F.lit(True)}).unionByName(events.withColumn("_is_left", F.lit(False)), allowMissingColumns=True)
+        up = Window.partitionBy("_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        down = Window.partitionBy("_b").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        best = F.greatest("_best", F.max("_begun").over(up), F.max("_open").over(down), F.max("_whole").over(Window.partitionBy("_b")))
+        rows = merged.withColumn("_best", best).where("_is_left").select(*rows.columns)
+    return rows.select(*left.columns, *[F.col(f"_best.{c}").alias(c) for c in columns])
 
 
 def by_cell(left: DataFrame, right: DataFrame, cells: list[str]) -> DataFrame:
