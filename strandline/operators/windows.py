@@ -41,15 +41,48 @@ def filled(df: DataFrame, by: list[str], order: str, value: str, limit: int = 10
 def exponential_mean(df: DataFrame, by: list[str], order: str, value: str, out: str, span: int = 10) -> DataFrame:
     """Recursive exponential mean m = m + a (x - m), a = 2 / (span + 1), from the first value; nulls keep the mean.
 
-    A value's weight falls below what a double resolves after a number of rows that the span gives; the recursion is run over that many rows.
+    A value's weight falls below what a double resolves after a number of rows that the span gives. A series is cut into blocks of so many
+    rows: a row's mean is the weighted sum over its own block so far, and over the block before by that one's sum. All frames only grow.
     """
     a = 2 / (span + 1)
-    rows = int(np.ceil(np.log(1e-20) / np.log(1 - a)))
-    known = Window.partitionBy(*by, F.col(value).isNotNull()).orderBy(order).rowsBetween(-rows, 0)
-    series = F.collect_list(F.col(value).cast("double")).over(known)
-    mean = F.aggregate(F.slice(series, 2, rows + 1), F.get(series, F.lit(0)), lambda m, x: m + a * (x - m))
-    d = df.withColumn("_m", F.when(F.col(value).isNotNull(), mean))
-    return d.withColumn(out, F.last("_m", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order))).drop("_m")
+    rows = max(1, int(np.ceil(np.log(1e-20) / np.log(1 - a)))) if a < 1 else 1
+    x, given = F.col(value).cast("double"), F.col(value).isNotNull()
+    w = Window.partitionBy(*by).orderBy(order)
+    d = df.withColumn("_n", F.count(value).over(w) - 1)  # number among the known rows
+    j = F.col("_n") % rows
+    grown = F.when(given, x * F.when(F.col("_n") == 0, 1.0).otherwise(a) * F.pow(F.lit(1 - a), (rows - 1 - j).cast("double")))
+    block = Window.partitionBy(*by, F.floor(F.col("_n") / rows)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_sum", F.sum(grown).over(block))
+    # the sum at the last known row of the block before
+    full = given & (j == rows - 1)
+    earlier = F.last(F.when(full, F.col("_sum")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_earlier", earlier)
+    mean = F.col("_sum") / F.pow(F.lit(1 - a), (rows - 1 - j).cast("double")) + F.coalesce("_earlier", F.lit(0.0)) * F.pow(F.lit(1 - a), (j + 1).cast("double"))
+    d = d.withColumn("_m", F.when(given, mean))
+    return d.withColumn(out, F.last("_m", ignorenulls=True).over(w)).drop("_n", "_sum", "_earlier", "_m")
+
+
+def trailing(df: DataFrame, by: list[str], time: str, reach: int, values: list[str]) -> DataFrame:
+    """Rows with the mean and population deviation (value_mean, value_std) of each value over [time - reach, time] of their series; time is a whole number.
+
+    Time is cut into pieces of the reach. A row's span is its own piece's rows up to it and the earlier piece's from its start on; both are frames that
+    only grow, and their means and variances are put together.
+    """
+    piece = F.floor(F.col(time) / reach)
+    late = F.explode(F.array(F.struct(piece.alias("p"), F.lit(True).alias("own"), F.col(time).alias("t")), F.struct((piece + 1).alias("p"), F.lit(False).alias("own"), (F.col(time) + reach).alias("t")))).alias("_k")
+    d = df.select("*", late).select(*df.columns, F.col("_k.p").alias("_p"), F.col("_k.own").alias("_own"), F.col("_k.t").alias("_at"))
+    up = Window.partitionBy(*by, "_p").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by, "_p").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    for side, kept, w in (("o", F.col("_own"), up), ("e", ~F.col("_own"), down)):
+        part = lambda c: F.when(kept, F.col(c))  # noqa: E731, B023
+        d = d.withColumns({f"_{side}{f}_{c}": g(part(c)).over(w) for c in values for f, g in (("n", F.count), ("s", F.sum), ("v", F.var_pop))})
+    out = d.where("_own")
+    for c in values:
+        n1, s1, v1, n2, s2, v2 = (F.coalesce(F.col(f"_{s}{f}_{c}"), F.lit(0)) for s in "oe" for f in "nsv")
+        n, gap = F.nullif(n1 + n2, F.lit(0)), F.coalesce(F.try_divide(s1, n1) - F.try_divide(s2, n2), F.lit(0.0))
+        variance = (n1 * v1 + n2 * v2) / n + gap * gap * (n1 / n) * (n2 / n)
+        out = out.withColumns({f"{c}_mean": (s1 + s2) / n, f"{c}_std": F.sqrt(variance)})
+    return out.select(*df.columns, *[f"{c}_{k}" for c in values for k in ("mean", "std")])
 
 
 def runs(df: DataFrame, by: list[str], order: str, flag: str) -> DataFrame:

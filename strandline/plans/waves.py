@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars as S
-from strandline.operators import joins
+from strandline.operators import joins, windows
 from strandline.registry import register
 from strandline.sources import tables as T
 
@@ -18,15 +18,12 @@ FROM v_wave WINDOW w AS (PARTITION BY cell_id ORDER BY t RANGE BETWEEN INTERVAL
 def trailing_wave(spark, sf_dir):
     """Mean, deviation and mean direction over the five days up to each row.
 
-    Time is cut into pieces of five days; a row also stands in the next piece, behind that one's own rows, so a cell's pieces are windows of their own.
+    Time is cut into pieces of five days; a row also stands in the next piece, five days later. There the five days up to an own row are the
+    own rows up to its time and the earlier piece's from its time on: two frames that only grow, so work doesn't depend on how dense rows are.
     """
-    five = 5 * 86400 * 10**6
-    piece = F.floor(T.micros("t") / five)
-    rows = T.wave(spark, sf_dir).select("*", piece.alias("_own"), F.explode(F.array(piece, piece + 1)).alias("_piece"))
-    w = Window.partitionBy("cell_id", "_piece").orderBy(T.micros("t")).rangeBetween(-five, 0)
-    s, c = F.avg(F.sin(F.radians("dir"))).over(w), F.avg(F.cos(F.radians("dir"))).over(w)
-    found = rows.select("event_id", (F.col("_own") == F.col("_piece")).alias("_is_own"), F.round(F.avg("hs").over(w), 8).alias("hs_mean"), F.round(F.stddev_pop("hs").over(w), 5).alias("hs_std"), F.round(F.pmod(F.degrees(F.atan2(s, c)), F.lit(360.0)), 4).alias("dir_mean"))
-    return found.where("_is_own").drop("_is_own")
+    found = windows.trailing(T.wave(spark, sf_dir).withColumns({"_t": T.micros("t"), "_s": F.sin(F.radians("dir")), "_c": F.cos(F.radians("dir"))}), ["cell_id"], "_t", 5 * 86400 * 10**6, ["hs", "_s", "_c"])
+    direction = F.pmod(F.degrees(F.atan2("_s_mean", "_c_mean")), F.lit(360.0))
+    return found.select("event_id", F.round("hs_mean", 8).alias("hs_mean"), F.round("hs_std", 5).alias("hs_std"), F.round(direction, 4).alias("dir_mean"))
 
 
 @register(T.sql(f"""SELECT cell_id, t::DATE AS day, count(*) AS n, round(avg(hs), 6) AS hs, round({_CIRC.format(o='')}, 4) AS dir, round(max(tp), 6) AS tp_max FROM v_wave GROUP BY ALL""", "v_wave"))
@@ -99,7 +96,7 @@ def storm_join(spark, sf_dir):
     """Waves with the storm at their time; of several the later catalogue row."""
     w = T.wave(spark, sf_dir).select("event_id", F.unix_micros("t").alias("n"))
     s = T.storm(spark, sf_dir).select("storm_id", F.unix_micros("start").alias("s"), F.unix_micros("end").alias("e"), "gust")
-    return joins.in_intervals(w, s, "n", "s", "e", "storm_id", ["storm_id", "gust"], 6 * 3600e6).select("event_id", "storm_id", F.round("gust", 6).alias("gust"))
+    return joins.in_intervals(w, s, "n", "s", "e", "storm_id", ["storm_id", "gust"]).select("event_id", "storm_id", F.round("gust", 6).alias("gust"))
 
 
 @register(T.sql(f""", a AS (SELECT *, {_ALPHA} AS alpha, hs > quantile_cont(hs, 0.95) OVER (PARTITION BY cell_id) AS storm FROM v_wave)
