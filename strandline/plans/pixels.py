@@ -20,11 +20,11 @@ def indices(spark, sf_dir):
 
 def neighbour_std(pixels, band: str, size: int):
     """Population standard deviation of the 3 x 3 neighbourhood; beyond the edge the image is mirrored on its border pixels."""
-    mirror = lambda c: F.when(c < 0, -c - 1).when(c >= size, 2 * size - 1 - c).otherwise(c)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    want = pixels.select("image_id", "row", "col", F.explode(steps).alias("s")).select("image_id", "row", "col", mirror(F.col("row") + F.col("s.i")).alias("nr"), mirror(F.col("col") + F.col("s.j")).alias("nc"))
-    values = pixels.select("image_id", F.col("row").alias("nr"), F.col("col").alias("nc"), band)
-    return want.join(values, ["image_id", "nr", "nc"]).groupBy("image_id", "row", "col").agg(F.stddev_pop(band).alias("std"))
+    # a pixel is sent to those whose neighbourhood holds it, to itself twice along an edge; rows meet in one aggregate, without a join
+    to = lambda c: F.filter(F.array(c - 1, c, c + 1, F.when((c == 0) | (c == size - 1), c)), lambda k: k.isNotNull() & (k >= 0) & (k < size))
+    sent = pixels.select("image_id", band, F.col("row").alias("_r"), F.col("col").alias("_c"), F.explode(to(F.col("row"))).alias("row")).select("*", F.explode(to(F.col("_c"))).alias("col"))
+    own = F.max((F.col("row") == F.col("_r")) & (F.col("col") == F.col("_c")))
+    return sent.groupBy("image_id", "row", "col").agg(F.stddev_pop(band).alias("std"), own.alias("_own")).where("_own").drop("_own")
 
 
 @register(T.sql(""", o AS (SELECT * FROM (VALUES (-1), (0), (1)) t(i), (VALUES (-1), (0), (1)) u(j)), w AS (SELECT p.image_id, p."row", p.col, p."row" + i AS r, p.col + j AS c FROM v_pixel p, o),
