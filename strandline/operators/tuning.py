@@ -105,18 +105,18 @@ def forecast(df: DataFrame, models: DataFrame, by: str, features: list[str], tar
 _PARTS = 1024
 
 
-def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Column, name: str, then: str | None = None) -> DataFrame:
     """Rows with their number (from 0) in an order over the whole table: ranks within parts of the order, after the counts of the parts before.
 
     order is a whole number that spreads over its values evenly or not; parts end at its quantiles. Rows of equal order are
-    numbered in no stated way, so it should be unique.
+    numbered by then, or in no stated way.
     """
     d = df.withColumn("_o", order)
     at = d.agg(F.percentile_approx("_o", [k / _PARTS for k in range(1, _PARTS)], 10_000)).first()[0] or []
     d = d.withColumn("_part", bounds_below(F.col("_o"), sorted(set(at))))
     counts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most _PARTS rows
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("_o")) - 1
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_o", *([then] if then else []))) - 1
     return d.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_o", "_part", "_own", "_before")
 
 
@@ -127,7 +127,7 @@ def influence(df: DataFrame, key: str, features: list[str], target: str, weights
     row that is i-th by shuffle. Both numberings are made in parts and joined, so no column is collected.
     """
     d = df.select(key, *[F.col(c).cast("double").alias(c) for c in [*features, target]]).withColumn("_s", shuffle)
-    d = numbered(numbered(d, F.col(key), "_i"), F.col("_s"), "_j")
+    d = numbered(numbered(d, F.col(key), "_i"), F.col("_s"), "_j", key)
     other = d.select(F.col("_j").alias("_i"), *[F.col(c).alias(f"_{c}") for c in features])
     predicted = lambda swapped: sum((w * F.col(f"_{c}" if c == swapped else c) for c, w in zip(features, weights[1:], strict=True)), F.lit(weights[0]))
     error = lambda swapped: F.sqrt(F.avg((F.col(target) - predicted(swapped)) * (F.col(target) - predicted(swapped))))

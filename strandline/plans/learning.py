@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import graphs, learn, nearest, raster, spectra, tuning
+from strandline.operators.rounds import State
 from strandline.registry import register
 from strandline.sources import tables as T
 
@@ -59,7 +60,7 @@ def rocky_coast(spark, sf_dir):
     w = Window.partitionBy("transect_id").orderBy("seq")
     low = T.profile(spark, sf_dir).withColumn("slope", F.lead("z").over(w) - F.col("z")).where("z between -20 and 2")
     rough = low.groupBy("transect_id").agg(F.stddev_pop("z").alias("elevation"), F.stddev_pop("slope").alias("slope")).dropna()
-    found = learn.clusters(rough, ["elevation", "slope"], 2)
+    found = learn.clusters(State(rough).table, ["elevation", "slope"], 2)  # written once, read by each pass
     return found.select("transect_id", F.round("elevation", 6).alias("elevation"), F.round("slope", 6).alias("slope"), (F.col("cluster") == 1).alias("rocky"))
 
 
@@ -166,7 +167,10 @@ SELECT 'lag1' AS feature, round(rmse, 6) AS rmse, round(lag1, 6) AS shuffled, ro
 def feature_influence(spark, sf_dir):
     """What a regression on the last and the tenth last value loses when either is dealt to other rows."""
     d = _lagged(spark, sf_dir, [1, 10]).withColumn("key", F.col("transect_id") * 100_000 + F.unix_date("day"))
-    found = tuning.influence(d, "key", ["lag1", "lag10"], "y", tuning.least_squares(d, ["lag1", "lag10"], "y"), F.col("key") * 2654435761 % 4294967296)
+    # key * 2654435761 % 2^32 by halves of the factor, as the whole product may pass 64 bits
+    low = F.col("key") % 4294967296
+    shuffle = (low * 40503 % 4294967296 * 65536 + low * 31153) % 4294967296
+    found = tuning.influence(d, "key", ["lag1", "lag10"], "y", tuning.least_squares(d, ["lag1", "lag10"], "y"), shuffle)
     return found.select("feature", *[F.round(c, 6).alias(c) for c in ("rmse", "shuffled", "change")])
 
 
