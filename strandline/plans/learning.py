@@ -191,7 +191,8 @@ def image_evaluation(spark, sf_dir):
     """How a perceptron trained on a third of the images finds a class in every image, and how far its line lies from the true one."""
     p = T.pixel(spark, sf_dir).withColumn("truth", (F.col("a") + F.col("b") * F.col("b") * 4 > 0.05).cast("int"))
     found = learn.perceptron(p.where(F.pmod(F.xxhash64("image_id"), F.lit(3)) == 0), p, ["a", "b"], "truth", hidden=(8, 4))
-    out = raster.evaluated(found, "truth", "predicted")
+    # pixels are joined and classified once; counts, lines and both searches read what was written
+    out = raster.evaluated(State(found.select("image_id", "row", "col", "truth", "predicted")).table, "truth", "predicted")
     return out.select("image_id", "n", "n_true", "n_predicted", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "kappa", "mean_distance", "max_distance", "back_distance")])
 
 
