@@ -19,4 +19,5 @@ def bounds_below(value: Column, bounds: list, closed: bool = False) -> Column:
     listed = lambda values: F.array(*[F.lit(v) for v in values])
     whole = F.size(F.filter(listed([b[-1] for b in blocks]), below))
     inside = F.get(F.array(*[listed(b) for b in blocks]), whole)
-    return whole * size + F.coalesce(F.size(F.filter(inside, below)), F.lit(0))
+    # the last block may be short, so beyond all blocks it isn't their number times their size
+    return F.least(whole * size + F.coalesce(F.size(F.filter(inside, below)), F.lit(0)), F.lit(len(bounds)))

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from strandline.operators import graphs, nearest, raster, tuning
+from strandline.operators import graphs, nearest, parts, raster, tuning
 
 COLUMNS = ["a", "b", "c", "d"]
 POINTS = "k long, a double, b double, c double, d double, s string"
@@ -56,6 +57,30 @@ def test_points_are_made_between_neighbours(spark):
     assert nearest.between_neighbours(df.limit(0), "k", COLUMNS).count() == 0
 
 
+def test_parts_end_with_the_last_bound(spark):
+    values = spark.createDataFrame([(v / 2,) for v in range(-1, 70)], "v double")
+    for n in (1, 2, 3, 5, 8, 17, 18, 23, 26, 31):  # mostly no multiples of the blocks' size
+        for closed in (False, True):
+            found = values.select("v", parts.bounds_below(F.col("v"), [float(b) for b in range(n)], closed).alias("p")).collect()
+            assert all(r.p == sum(b < r.v or (closed and b == r.v) for b in range(n)) for r in found), (n, closed)
+
+
+def test_graph_of_nearest_points_beyond_the_last_bound(spark, monkeypatch):
+    # 18 parts of an axis, so 17 bounds in blocks of four: the last block is short
+    monkeypatch.setattr(nearest, "PER_CELL", 1)
+    rng = random.Random(4)
+    of = lambda k: k % 3
+    rows = [(k, rng.gauss(20 * of(k), 1), rng.gauss(0, 1), 0.0, 0.0, "x") for k in range(330)]
+    df = spark.createDataFrame(rows, POINTS)
+    found = nearest.nearest(df, df.withColumnRenamed("k", "o"), "k", "o", COLUMNS, 3, apart=True)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.k, set()).add(r.o)
+    assert got == {key: {o for _, o in v} for key, v in near(rows, 3, False, True).items()}
+    edges = found.select(F.col("k").alias("a"), F.col("o").alias("b"), F.lit(1.0).alias("weight"))
+    assert graphs.spectral_clusters(edges, 3, tolerance=1e-3).count() == 330
+
+
 def test_three_planted_clusters(spark):
     rng = random.Random(6)
     of = lambda v: v * 7 % 3
