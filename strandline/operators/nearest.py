@@ -72,7 +72,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, columns: li
             around = around.withColumn(f"{n}_at", F.explode(span))
         inside = " and ".join(f"abs({n}_at - {n}) <= {before}" for n in cells)
         around = around.where(f"not ({inside})").select("_id", *place, *[F.col(f"{n}_at").alias(n) for n in cells])
-        d = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in columns), F.lit(0.0))
+        # places are in the order of distances, not of their squares: the root makes some unequal squares equal
+        d = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in columns), F.lit(0.0)))
         new = around.join(dealt, [*by, *cells]).select("_id", d.alias("d"), F.col("_other").alias("other"))
         old = live.select("_id", F.explode("best").alias("b")).select("_id", "b.d", "b.other")
         first = new.union(old).withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy("d", "other"))).where(F.col("_r") <= need)
@@ -80,7 +81,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, columns: li
         out = live.join(best, "_id", "left").withColumn("best", F.coalesce(F.col("found"), F.array().cast(best_type)))
         reach = [_reach(c, n, b, ring) for n, (c, b) in zip(cells, axes, strict=True)]
         reach = F.least(*reach) if len(reach) > 1 else reach[0]
-        sure = (F.size("best") >= need) & (F.sqrt(F.element_at("best", -1)["d"]) < reach)
+        sure = (F.size("best") >= need) & (F.element_at("best", -1)["d"] < reach)
         out = out.withColumn("done", (reach == float("inf")) | F.coalesce(sure, F.lit(False)))
         held.put(out.select(*rest.columns).unionByName(rest))
         ring, before = 2 * ring + 1, ring
@@ -90,7 +91,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, columns: li
     rank = F.row_number().over(Window.partitionBy(*by, "_key", "_copy").orderBy("d", "other"))
     pairs = lefts.withColumn("_copy", F.monotonically_increasing_id()).join(answers, place).select(*by, "_key", "_copy", F.explode("best").alias("b")).select(*by, "_key", "_copy", "b.d", "b.other")
     pairs = pairs.where("_key <> other") if apart else pairs
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, F.col("_key").alias(key), F.col("rank").cast("long").alias("rank"), F.col("other").alias(other), F.sqrt("d").alias("distance"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, F.col("_key").alias(key), F.col("rank").cast("long").alias("rank"), F.col("other").alias(other), F.col("d").alias("distance"))
 
 
 def between_neighbours(points: DataFrame, key: str, columns: list[str], copies: int = 1, k: int = 5) -> DataFrame:

@@ -43,6 +43,12 @@ def test_nearest_equals_brute_force(spark, by, apart, k):
     assert all(abs(a[0] - b[0]) < 1e-9 for key in want for a, b in zip(got[key], want[key], strict=True))
 
 
+def test_distances_that_the_root_makes_equal_are_ordered_by_key(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (9, 1.0, 0.0), (3, 1.0, 2.0**-26)], "k long, a double, b double")
+    found = nearest.nearest(df.where("k = 1"), df.withColumnRenamed("k", "o"), "k", "o", ["a", "b"], 2, apart=True).collect()
+    assert sorted((r["rank"], r.o, r.distance) for r in found) == [(1, 3, 1.0), (2, 9, 1.0)]
+
+
 def test_points_are_made_between_neighbours(spark):
     rows = [r for r in cloud() if r[0] < 300]
     df = spark.createDataFrame(rows, POINTS)
