@@ -49,6 +49,17 @@ def test_distances_that_the_root_makes_equal_are_ordered_by_key(spark):
     assert sorted((r["rank"], r.o, r.distance) for r in found) == [(1, 3, 1.0), (2, 9, 1.0)]
 
 
+@pytest.mark.parametrize("n", [365, 404])
+def test_points_made_beyond_the_last_bound(spark, monkeypatch, n):
+    # 18 and 19 bounds in blocks of four
+    monkeypatch.setattr(nearest, "PER_CELL", 1)
+    rng = random.Random(5)
+    rows = [(k, *(rng.gauss(0, 1) for _ in range(4)), "x") for k in range(n)]
+    five = near(rows, 5, False, True)
+    made = nearest.between_neighbours(spark.createDataFrame(rows, POINTS), "k", COLUMNS, copies=2).collect()
+    assert {(r.from_key, r.copy): r.to_key for r in made} == {(k, c): five[k][(k * 7919 + c * 31) % 5][1] for k in range(n) for c in (0, 1)}
+
+
 def test_points_are_made_between_neighbours(spark):
     rows = [r for r in cloud() if r[0] < 300]
     df = spark.createDataFrame(rows, POINTS)
