@@ -92,8 +92,24 @@ def runs(df: DataFrame, by: list[str], order: str, flag: str) -> DataFrame:
     return df.withColumn("_turn", turn).withColumn("run", F.sum("_turn").over(w)).drop("_turn")
 
 
-def daily_linear(df: DataFrame, by: list[str], day: str, value: str) -> DataFrame:
-    """A row for every day from a series' first to its last, linear in time between its days (one row a day)."""
+#: Days of all series that one task takes about.
+DAYS_A_TASK = 1_000_000
+
+
+def days_spanned(df: DataFrame, by: list[str], day: str) -> int:
+    """Number of days from each series' first to its last, of all series."""
+    spans = df.groupBy(*by).agg((F.datediff(F.max(day), F.min(day)) + 1).alias("n"))
+    return spans.agg(F.sum("n")).first()[0] or 0
+
+
+def daily_linear(df: DataFrame, by: list[str], day: str, value: str, days: int | None = None) -> DataFrame:
+    """A row for every day from a series' first to its last, linear in time between its days (one row a day).
+
+    Series are dealt to as many tasks as their days need (days, counted if not given): days are made after the shuffle, so its size
+    doesn't tell how many a task gets. Windows over the series that follow need no other shuffle and sort no more than that.
+    """
+    days = days_spanned(df, by, day) if days is None else days
+    df = df.repartition(max(days // DAYS_A_TASK + 1, df.sparkSession.sparkContext.defaultParallelism), *by)
     w = Window.partitionBy(*by).orderBy(day)
     d = df.select(*by, day, F.col(value).alias("_v"), F.lead(day).over(w).alias("_next"), F.lead(value).over(w).alias("_nv"))
     last = F.coalesce(F.date_sub("_next", 1), F.col(day))

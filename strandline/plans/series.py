@@ -125,12 +125,18 @@ def impact_class(spark, sf_dir):
     return s.select("transect_id", "day", cls("y", "p5", "p25").alias("percent_class"), cls("rate", "r5", "r25").alias("slope_class"), F.greatest(cls("y", "p5", "p25", True), cls("rate", "r5", "r25")).alias("combined"))
 
 
+def _every_day(spark, sf_dir):
+    # spans are counted on the rows as they are given, which need no sums by day
+    given = T.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("transect_id"), F.to_date("l_shipdate").alias("day"))
+    return windows.daily_linear(T.daily(spark, sf_dir), ["transect_id"], "day", "y", windows.days_spanned(given, ["transect_id"], "day"))
+
+
 @register(T.sql(""", l AS (SELECT transect_id, day, y, lead(day) OVER w AS nd, lead(y) OVER w AS ny FROM v_daily WINDOW w AS (PARTITION BY transect_id ORDER BY day))
 SELECT transect_id, d::DATE AS day, round(CASE WHEN nd IS NULL THEN y ELSE y + (ny - y) * (d::DATE - day) / (nd - day) END, 6) AS y
 FROM (SELECT *, unnest(generate_series(day::TIMESTAMP, coalesce(nd - 1, day)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM l)""", "v_daily"))
 def daily_interp(spark, sf_dir):
     """Every day of each series, linear in time."""
-    return windows.daily_linear(T.daily(spark, sf_dir), ["transect_id"], "day", "y").select("transect_id", "day", F.round("y", 6).alias("y"))
+    return _every_day(spark, sf_dir).select("transect_id", "day", F.round("y", 6).alias("y"))
 
 
 @register(T.sql(""", l AS (SELECT transect_id, day, y, lead(day) OVER w AS nd, lead(y) OVER w AS ny FROM v_daily WINDOW w AS (PARTITION BY transect_id ORDER BY day)),
@@ -142,7 +148,7 @@ c AS (SELECT *, raw - avg(raw) OVER (PARTITION BY transect_id) AS seasonal FROM
 SELECT transect_id, count(*) AS n_days, round(var_pop(seasonal) / (var_pop(seasonal) + var_pop(y - trend - seasonal)), 5) AS strength FROM c WHERE trend IS NOT NULL GROUP BY transect_id""", "v_daily"))
 def seasonal_strength(spark, sf_dir):
     """Share of the seasonal part in each daily series' variance: trend by a centred year, season by day of the cycle."""
-    i = windows.daily_linear(T.daily(spark, sf_dir), ["transect_id"], "day", "y")
+    i = _every_day(spark, sf_dir)
     o = Window.partitionBy("transect_id").orderBy("day")
     i = i.withColumns({"n": F.row_number().over(o) - 1, "upto": F.sum("y").over(o)})
     t = i.withColumn("trend", F.when(F.col("n") >= 182, (F.lead("upto", 182).over(o) - F.coalesce(F.lag("upto", 183).over(o), F.lit(0.0))) / 365))

@@ -93,6 +93,16 @@ def test_daily_linear(spark):
     assert [r.v for r in windows.daily_linear(d, ["id"], "day", "v").orderBy("day").collect()] == [0.0, 1.0, 2.0, 3.0]
 
 
+def test_daily_linear_deals_series_by_their_days(spark, monkeypatch):
+    monkeypatch.setattr(windows, "DAYS_A_TASK", 100)
+    d = spark.createDataFrame([(k, date(2020, m, 1), float(k * m)) for k in range(40) for m in (1, 3)], "id int, day date, v double")
+    assert windows.days_spanned(d, ["id"], "day") == 40 * 61
+    found = windows.daily_linear(d, ["id"], "day", "v").withColumn("task", F.spark_partition_id())
+    tasks = found.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).collect()
+    assert sum(r.n for r in tasks) == 40 * 61 and len(tasks) > 10 and sum(r.ids for r in tasks) == 40
+    assert windows.days_spanned(d.limit(0), ["id"], "day") == 0 and windows.daily_linear(d.limit(0), ["id"], "day", "v").count() == 0
+
+
 def test_resampled_line_keeps_its_ends(spark):
     v = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 10.0, 0.0), (1, 2, 10.0, 5.0)], "line_id int, seq int, x double, y double")
     got = sorted(rows(geometry.resampled(v, 5.0)))
