@@ -14,6 +14,11 @@ T975 = [12.7062, 4.3027, 3.1824, 2.7764, 2.5706, 2.4469, 2.3646, 2.3060, 2.2622,
 COREGISTRATION = {"L5": (-4.5, 42.3), "L7": (13.7, 37.4), "L8": (13.7, 37.4), "L9": (13.7, 37.4), "S2": (-7.5, 15.5)}
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half away from zero; a negative value that becomes 0 keeps its sign, as in SQL (F.round drops it)."""
+    return F.when(x < 0, -F.round(-x, digits)).otherwise(F.round(x, digits))
+
+
 def t975(df: Column) -> Column:
     """Student's t quantile for a 95 % interval; an expansion in 1/df beyond the table. Null under one degree."""
     table = F.array(*[F.lit(v) for v in T975])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.functions.scalars import rounded
 from strandline.operators import geometry, lines, morphology
 from strandline.plans.shore import _FUTURE, _level, future
 from strandline.registry import register
@@ -78,7 +79,7 @@ def _smooth_sql(source: str, name: str) -> str:
 def smoothed_resampled_lines(spark, sf_dir):
     """Lines put at equal distances and smoothed by cubics over nine vertices, twice."""
     out = lines.smoothed(T.vertex(spark, sf_dir), _WINDOW, _ORDER, passes=2, spacing=float(_STEP))
-    return out.select("line_id", "seq", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    return out.select("line_id", "seq", rounded(F.col("x"), 5).alias("x"), rounded(F.col("y"), 5).alias("y"))
 
 
 _LAND, _SEA, _EVERY = 150.0, 200.0, 40

@@ -3,7 +3,12 @@
 import math
 import random
 
-from strandline.operators import lines, rounds
+import duckdb
+from pyspark.sql import functions as F
+
+from strandline import catalog
+from strandline.functions.scalars import rounded
+from strandline.operators import geometry, lines, rounds
 
 SCHEMA = "line_id long, seq long, x double, y double"
 
@@ -128,3 +133,40 @@ def test_transects_are_cut_to_their_positions(spark):
     p = spark.createDataFrame([(1, 20.0), (1, 70.0), (1, 50.0), (2, 10.0), (2, 15.0), (9, 1.0)], "transect_id long, dist double")
     got = {r.transect_id: [round(v, 9) for v in (r.x0, r.y0, r.x1, r.y1)] for r in lines.truncated(t, p).collect()}
     assert got == {1: [0.0, 20.0, 0.0, 70.0], 2: [0.0, 0.0, 15.0, 20.0], 3: [5.0, 5.0, 6.0, 5.0]}
+
+
+def test_rounding_keeps_the_sign_of_zero_as_sql_does(spark):
+    values = [-1e-9, 1e-9, 0.0, -5e-6, -4.9e-6, 5e-6, -0.125, 0.125, -2.5, 2.5, 123.456785, -123.456785, math.inf, -math.inf]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", rounded(F.col("v"), 5).alias("r")).collect()
+    want = {v: duckdb.execute("select round(?::double, 5)", [v]).fetchone()[0] for v in values}
+    assert all(str(r.r) == str(want[r.v]) for r in got)
+    assert spark.sql("select cast(null as double) v").select(rounded(F.col("v"), 5)).first()[0] is None
+
+
+def test_smoothed_lines_keep_the_sign_of_zero_as_sql_does(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k, [rng.gauss(0, 0.1) for _ in range(64)], 1) for k in range(4)]
+    for k, v, _ in rows:
+        v[1], v[63] = -1e-8 * (k + 1), 1e-8 * (k + 1)  # y of the first and the last vertex
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["smoothed_resampled_lines"]).fetchall())
+    got = sorted(tuple(r) for r in catalog.queries()["smoothed_resampled_lines"](spark, str(tmp_path)).collect())
+    assert [str(r) for r in got] == [str(r) for r in want]
+    assert sum(str(r[3]) == "-0.0" for r in got) == 4
+
+
+def test_smoothing_at_equal_distances_shuffles_lines_once(spark):
+    v = spark.range(0, 400, 1, 3).select(F.floor(F.col("id") / 40).alias("line_id"), (F.col("id") % 40).alias("seq"), (F.col("id") % 40 * 3.0).alias("x"), F.sin("id").alias("y"))
+    df = lines.smoothed(v, 9, 3, passes=2, spacing=5.0)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert df.groupBy("line_id").count().count() == 10
+
+
+def test_vertices_on_a_multiple_are_given_once(spark):
+    rows = [(1, k, 5.0 * k, 0.0) for k in range(4)] + [(2, 3, 1.0, 1.0)] + [(3, k, 2.0, 2.0) for k in range(3)] + [(4, 7, 0.0, 0.0), (4, 9, 0.0, 12.0)]
+    got = sorted(tuple(r) for r in geometry.resampled(frame(spark, rows).repartition(3), 5.0).collect())
+    assert [r for r in got if r[0] == 1] == [(1, 5.0 * k, 5.0 * k, 0.0) for k in range(4)]
+    assert [r for r in got if r[0] in (2, 3)] == [(2, 0.0, 1.0, 1.0), (3, 0.0, 2.0, 2.0)]
+    assert [r[1:] for r in got if r[0] == 4] == [(0.0, 0.0, 0.0), (5.0, 0.0, 5.0), (10.0, 0.0, 10.0), (12.0, 0.0, 12.0)]
