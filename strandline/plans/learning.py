@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.functions.scalars import rounded
 from strandline.operators import graphs, learn, nearest, raster, spectra, tuning
 from strandline.operators.rounds import State
 from strandline.registry import register
@@ -114,7 +115,7 @@ def oversampled_rows(spark, sf_dir):
     """Two rows made between each row of the second class and its nearest ones."""
     f = _quarters(spark, sf_dir).where("cls = 1")
     out = nearest.between_neighbours(f, "vec_id", _FOUR, copies=2)
-    return out.select("from_key", "copy", "to_key", *[F.round(c, 6).alias(c) for c in _FOUR])
+    return out.select("from_key", "copy", "to_key", *[rounded(F.col(c), 6).alias(c) for c in _FOUR])
 
 
 @register()

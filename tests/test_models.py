@@ -3,10 +3,12 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import catalog
 from strandline.operators import graphs, nearest, parts, raster, tuning
 
 COLUMNS = ["a", "b", "c", "d"]
@@ -60,6 +62,19 @@ def test_points_made_beyond_the_last_bound(spark, monkeypatch, n):
     assert {(r.from_key, r.copy): r.to_key for r in made} == {(k, c): five[k][(k * 7919 + c * 31) % 5][1] for k in range(n) for c in (0, 1)}
 
 
+def test_made_points_keep_the_sign_of_zero_as_sql_does(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, [rng.gauss(0, 0.1) for _ in range(48)] + [-1e-9 if k % 3 else 1e-9] * 16, 2 * (k % 5) + 1) for k in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    cur = con.execute(catalog.oracle_sql()["oversampled_rows"])
+    names = [d[0] for d in cur.description]
+    got = catalog.queries()["oversampled_rows"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(r) for r in cur.fetchall())
+    assert len(got) == 80 and {str(r.x3) for r in got} == {"0.0", "-0.0"}
+
+
 def test_points_are_made_between_neighbours(spark):
     rows = [r for r in cloud() if r[0] < 300]
     df = spark.createDataFrame(rows, POINTS)
