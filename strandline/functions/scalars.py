@@ -15,8 +15,8 @@ COREGISTRATION = {"L5": (-4.5, 42.3), "L7": (13.7, 37.4), "L8": (13.7, 37.4), "L
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """Rounded half away from zero; a negative value that becomes 0 keeps its sign, as in SQL (F.round drops it)."""
-    return F.when(x < 0, -F.round(-x, digits)).otherwise(F.round(x, digits))
+    """Rounded half away from zero; a negative value that becomes 0, and a negative 0, keep their sign, as in SQL (F.round drops it)."""
+    return F.when(x < 0, -F.round(-x, digits)).when(x == 0, x).otherwise(F.round(x, digits))
 
 
 def t975(df: Column) -> Column:

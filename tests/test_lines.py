@@ -170,3 +170,37 @@ def test_vertices_on_a_multiple_are_given_once(spark):
     assert [r for r in got if r[0] == 1] == [(1, 5.0 * k, 5.0 * k, 0.0) for k in range(4)]
     assert [r for r in got if r[0] in (2, 3)] == [(2, 0.0, 1.0, 1.0), (3, 0.0, 2.0, 2.0)]
     assert [r[1:] for r in got if r[0] == 4] == [(0.0, 0.0, 0.0), (5.0, 0.0, 5.0), (10.0, 0.0, 10.0), (12.0, 0.0, 12.0)]
+
+
+def smoothed_by_sql_and_spark(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["smoothed_resampled_lines"]).fetchall()
+    got = [tuple(r) for r in catalog.queries()["smoothed_resampled_lines"](spark, str(tmp_path)).collect()]
+    return sorted(map(str, want)), sorted(map(str, got))
+
+
+def test_lines_that_run_straight_from_their_start_are_smoothed_as_by_sql(spark, tmp_path):
+    # over a first segment of 40 m, the vertices of the second pass lie on multiples of the spacing but for the last digit; in a few
+    # such lines (not these) that digit hangs on the C library's pow, and with several threads on the run of the SQL
+    rng = random.Random(1)
+    rows = [(k, [rng.gauss(0, 0.125) for _ in range(64)], 1) for k in range(12)]
+    for _, v, _ in rows:
+        v[1], v[3] = -rng.uniform(0.4, 0.6), rng.uniform(0.4, 0.6)
+    want, got = smoothed_by_sql_and_spark(spark, tmp_path, rows)
+    assert got == want
+
+
+def test_odd_vectors_are_smoothed_as_by_sql(spark, tmp_path):
+    rng = random.Random(9)
+    some = lambda n=64: [rng.gauss(0, 0.1) for _ in range(n)]
+    twice, straight, negative = some(), [0.0] * 64, [-0.0] * 64
+    rows = [(1, None, 1), (2, [], 1), (3, straight, 1), (4, negative, 1), (5, twice, 1), (5, twice, 1), (None, some(), 1), (6, some(80), 1)]
+    for k, at in enumerate([(0,), (1,), (10,), (11,), (14, 15), (63,)]):
+        v = some()
+        for i in at:
+            v[i] = None
+        rows.append((10 + k, v, 1))
+    want, got = smoothed_by_sql_and_spark(spark, tmp_path, rows)
+    assert got == want
