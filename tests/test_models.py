@@ -97,6 +97,31 @@ def test_parts_end_with_the_last_bound(spark):
             assert all(r.p == sum(b < r.v or (closed and b == r.v) for b in range(n)) for r in found), (n, closed)
 
 
+def test_nearest_points_are_not_joined_as_pairs(spark, monkeypatch):
+    # the two widest columns part the points in four only
+    monkeypatch.setattr(nearest, "PER_CELL", 100)
+    rng = np.random.default_rng(7)
+    n = 3000
+    x = np.column_stack([rng.integers(0, 2, n) * 90.0, rng.integers(0, 2, n) * 70.0, rng.uniform(0, 9, n), rng.uniform(0, 9, n)])
+    df = spark.createDataFrame([(k, *map(float, x[k]), "x") for k in range(n)], POINTS)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    seen = store.executionsList()
+    before = max((seen.apply(i).executionId() for i in range(seen.size())), default=-1)
+    found = nearest.nearest(df, df.withColumnRenamed("k", "o"), "k", "o", COLUMNS, 4, apart=True).collect()
+    bus.waitUntilEmpty()
+    most, runs = 0, store.executionsList()
+    for run in [r for r in (runs.apply(i) for i in range(runs.size())) if r.executionId() > before]:
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        metrics = [m for node in (nodes.apply(i) for i in range(nodes.size())) for m in (node.metrics().apply(i) for i in range(node.metrics().size()))]
+        rows = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+        most = max([most, *(int(v.get().replace(",", "")) for v in rows if v.isDefined())])
+    assert n <= most < n * n / 20
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert len(found) == 4 * n and all(want[r.k, r["rank"] - 1] == r.o for r in found)
+
+
 def test_graph_of_nearest_points_beyond_the_last_bound(spark, monkeypatch):
     # 18 parts of an axis, so 17 bounds in blocks of four: the last block is short
     monkeypatch.setattr(nearest, "PER_CELL", 1)
