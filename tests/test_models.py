@@ -122,6 +122,27 @@ def test_nearest_points_are_not_joined_as_pairs(spark, monkeypatch):
     assert len(found) == 4 * n and all(want[r.k, r["rank"] - 1] == r.o for r in found)
 
 
+def test_nearest_among_uneven_sets_and_crowds_that_ask(spark, monkeypatch):
+    for name, value in (("PER_CELL", 8), ("AT_ONCE", 3000), ("ASKING", 15)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(0, 1 + i, 400) for i in range(3)])
+    x[:40], x[50, 1], x[52, 0] = x[0], math.inf, -math.inf
+    kinds = ["rare" if k % 100 == 7 else "ab"[k % 3 == 0] for k in range(400)]
+    points = [(f"k{k:03d}", *map(float, x[k]), kinds[k]) for k in range(400)]
+    y = np.vstack([rng.normal(0, 3, (80, 3)), np.tile([90.0, 80.0, 70.0], (5, 1)), rng.normal(60, 0.1, (100, 3))])
+    asking = [(k, *map(float, y[k]), ["a", "b", "rare", "none"][k % 4]) for k in range(len(y))]
+    kind = "a double, b double, c double, s string"
+    found = nearest.nearest(spark.createDataFrame(asking, f"k long, {kind}"), spark.createDataFrame(points, f"o string, {kind}"), "k", "o", ["a", "b", "c"], 6, by=["s"])
+    got = {(r.k, r["rank"]): (r.distance, r.o) for r in found.collect()}
+    want = {}
+    for k, *place, s in asking:
+        d = sorted((math.sqrt((place[0] - o[1]) ** 2 + (place[1] - o[2]) ** 2 + (place[2] - o[3]) ** 2), o[0]) for o in points if o[4] == s)
+        want |= {(k, i + 1): v for i, v in enumerate(d[:6])}
+    assert {key: o for key, (_, o) in got.items()} == {key: o for key, (_, o) in want.items()}
+    assert all(got[key][0] == want[key][0] or abs(got[key][0] - want[key][0]) < 1e-9 for key in want)
+
+
 def test_graph_of_nearest_points_beyond_the_last_bound(spark, monkeypatch):
     # 18 parts of an axis, so 17 bounds in blocks of four: the last block is short
     monkeypatch.setattr(nearest, "PER_CELL", 1)
